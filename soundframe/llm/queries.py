@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from soundframe.llm import bpe, chat, quality, secrets, toxicity, warc
+from soundframe.llm import bpe, chat, minhash, quality, secrets, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.query_secrets,
+        "op3_minhash": minhash.query_minhash,
         "op4_warc": warc.query_warc,
         "op6_quality": quality.query_quality,
         "op7_bpe": bpe.query_bpe,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality": quality.SQL, "op9_chat": chat.SQL}
+    return {"op3_minhash": minhash.SQL, "op6_quality": quality.SQL, "op9_chat": chat.SQL}
