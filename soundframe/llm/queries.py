@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from soundframe.llm import bpe, chat, minhash, quality, secrets, toxicity, warc
+from soundframe.llm import bpe, chat, minhash, quality, repeats, secrets, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.query_secrets,
+        "op2_repeats": repeats.query_repeats,
         "op3_minhash": minhash.query_minhash,
         "op4_warc": warc.query_warc,
         "op6_quality": quality.query_quality,
