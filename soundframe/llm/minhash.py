@@ -60,12 +60,13 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def signatures_of(sets: np.ndarray, soff: np.ndarray) -> np.ndarray:
+    """The low 16 bits of each minimum: different minima agree in them once in 65,536 times, which only adds candidates."""
     full = np.flatnonzero(np.diff(soff))
-    sig = np.zeros((len(soff) - 1, HASHES), np.uint32)
+    sig = np.zeros((len(soff) - 1, HASHES), np.uint16)
     if len(full):
         x, starts = (sets >> np.uint64(32)).astype(np.uint32), soff[:-1][full]
         for k in range(HASHES):
-            sig[full, k] = np.minimum.reduceat(x * FACTOR[k] + TERM[k], starts)
+            sig[full, k] = np.minimum.reduceat(x * FACTOR[k] + TERM[k], starts) & np.uint32(0xFFFF)
     return sig
 
 
@@ -75,7 +76,10 @@ def binary_rows(data: np.ndarray, off: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE, with_set: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, sig) per row of docs (doc_id, text); set_a and set_b are digests of the whole set."""
+    """(doc_id, n_shingles, set_a, set_b, sig) per row of docs (doc_id, text); set_a and set_b are digests of the whole set.
+
+    with_set: docs also has component and m, which stay, and the result has items, the sorted set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,12 +90,13 @@ def signatures(docs: DataFrame, size: int = SHINGLE, with_set: bool = False) ->
                 total = np.concatenate([[0], np.cumsum(sets * np.uint64(0x9E3779B97F4A7C15) ^ (sets >> np.uint64(29)), dtype=np.uint64)])
                 plain = np.concatenate([[0], np.cumsum(sets, dtype=np.uint64)])
                 digest = [pa.array((x[soff[1:]] - x[soff[:-1]]).view(np.int64)) for x in (total.astype(np.uint64), plain.astype(np.uint64))]
-                columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(soff)), *digest, binary_rows(sig.view(np.uint8).reshape(-1), np.arange(j - i + 1) * HASHES * 4)]
+                columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(soff)), *digest, binary_rows(sig.view(np.uint8).reshape(-1), np.arange(j - i + 1) * HASHES * 2)]
                 if with_set:
-                    columns.append(binary_rows(sets.view(np.uint8), soff * 8))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", "sig", "items"][: len(columns)])
+                    columns += [binary_rows(sets.view(np.uint8), soff * 8), batch.column(2).slice(i, j - i), batch.column(3).slice(i, j - i)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", "sig", "items", "component", "m"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary" + ", items binary" * with_set)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *["component", "m"] * with_set]
+    return docs.select(*columns).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary" + ", items binary, component long, m long" * with_set)
 
 
 def bands(sigs: DataFrame) -> DataFrame:
@@ -103,7 +108,7 @@ def bands(sigs: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, HASHES // ROWS, ROWS).astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, HASHES // ROWS, ROWS).astype(np.uint64)
             h = np.arange(1, HASHES // ROWS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
             for r in range(ROWS):
                 h = mix(h ^ sig[:, :, r])
@@ -197,7 +202,7 @@ def unit_forests(rows: DataFrame, exact: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(t: pa.Table) -> pa.RecordBatch:
             unit, ids, n = (np.asarray(t.column(c).combine_chunks()) for c in ("unit", "doc_id", "n_shingles"))
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
             items = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()] if exact else None
             edges = np.array(forest_edges(unit, n, sig, items, least), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(ids[edges[:, 0]]), pa.array(ids[edges[:, 1]])], names=["a", "b"])
@@ -239,17 +244,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rep = written(rep.select("doc_id", "n_shingles", "sig"), "representatives")
 
     rows = bands(rep)
-    groups = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("doc_id", F.lit(7))).alias("x")).where("m > 1")
-    groups = groups.groupBy("m", "s", "x").agg(F.min("bucket").alias("bucket"))
+    groups = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("x")).where("m > 1")
+    groups = groups.groupBy("m", "x").agg(F.min("bucket").alias("bucket"))
     members = rows.join(groups.select("bucket", "m"), "bucket")
     compared = units(members, "bucket", "m").select("unit", "doc_id").join(rep, "doc_id")
     near = components(unit_forests(compared, exact=False))
 
     sizes = near.groupBy("component").agg(F.count("*").alias("m"))
     asked = written(near.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "m"), "candidates")
-    texts = docs.join(asked.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = signatures(texts, size, with_set=True).select("doc_id", "n_shingles", "sig", "items")
-    exact = unit_forests(units(sets.join(asked, "doc_id"), "component", "m"), exact=True)
+    texts = docs.join(asked, "doc_id").dropDuplicates(["doc_id"])
+    exact = unit_forests(units(signatures(texts, size, with_set=True), "component", "m"), exact=True)
     linked = components(exact)
 
     named = classes.join(linked, classes.rep == linked.node, "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
