@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from soundframe.llm import bpe, chat, minhash, quality, repeats, secrets, toxicity, warc
+from soundframe.llm import bpe, chat, decontaminate, lm, minhash, quality, repeats, secrets, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,12 +16,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_repeats": repeats.query_repeats,
         "op3_minhash": minhash.query_minhash,
         "op4_warc": warc.query_warc,
+        "op5_decontaminate": decontaminate.query_decontaminate,
         "op6_quality": quality.query_quality,
         "op7_bpe": bpe.query_bpe,
+        "op8_lm": lm.query_lm,
         "op9_chat": chat.query_chat,
         "op10_toxicity": toxicity.query_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash": minhash.SQL, "op6_quality": quality.SQL, "op9_chat": chat.SQL}
+    return {"op3_minhash": minhash.SQL, "op5_decontaminate": decontaminate.SQL, "op6_quality": quality.SQL, "op9_chat": chat.SQL}
