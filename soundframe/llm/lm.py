@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from soundframe.llm.common import pieces, read, text_buffer, word_hashes, written
 
-FREQUENT = 1_000_000
+FREQUENT = 500_000
 CLASSES, SIZE = 510, 16
 NOISE, BATCH, RATE = 24, 8192, 0.02
 #: Shares of the training texts that successive rounds see: a small start, then all.
@@ -156,9 +156,9 @@ def train(docs: DataFrame, model: Model, round_no: int) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * tokens), pa.array(np.full(len(flat), float(tokens)))], names=["k", "x", "n"])
 
     rows = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
-    found = rows.mapInArrow(run, "k long, x double, n double").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()  # the parameters
-    if len(found):
-        model.load(found.sort_values("k")["x"].to_numpy())
+    found = rows.mapInArrow(run, "k long, x double, n double").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()  # the parameters
+    if found.num_rows:
+        model.load(found.sort_by("k")["x"].to_numpy())
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -179,8 +179,8 @@ def scores(docs: DataFrame) -> DataFrame:
     while bound > 0 and many + levels.get(bound - 1, (0, 0))[0] <= FREQUENT:
         bound -= 1
         many += levels.get(bound, (0, 0))[0]
-    head = counts.where((F.col("word") != END) & (F.col("n") >= F.lit(1 << min(bound, 62)))).toPandas()  # FREQUENT rows at most
-    word, n = head["word"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64)
+    head = counts.where((F.col("word") != END) & (F.col("n") >= F.lit(1 << min(bound, 62)))).toArrow()  # FREQUENT rows of two numbers at most
+    word, n = head["word"].to_numpy().astype(np.int64).view(np.uint64), head["n"].to_numpy().astype(np.int64)
     top = np.lexsort((word, -n))[:CLASSES]
     top = top[np.argsort(word[top])]
     other = total - ends - int(n[top].sum())
