@@ -266,9 +266,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     gram = min(GRAM, length)
     found = written(anchors(docs, length), "anchors")
     twice = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("several")).where("n > 1").select("anchor", "several")
-    found = written(found.join(twice, "anchor"), "anchors")
+    # written, so that nothing stands between the join and its shuffles, and Spark can split a hot anchor's rows
+    found = written(found.join(written(twice, "twice"), "anchor"), "anchors")
 
-    counts = found.groupBy("anchor", "context", "several").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at", "near", "far")).alias("rep"))
+    counts = written(found.groupBy("anchor", "context", "several").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at", "near", "far")).alias("rep")), "counts")
     marks = [found.join(counts.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("k1", "k2", (F.col("at") - F.col("far")).alias("begin"), (F.col("at") - F.col("near")).alias("end"))]
 
     different = counts.where("several").select("rep.*", "anchor", (F.col("n") > 1).alias("known"))
