@@ -41,4 +41,4 @@ def test_same_as_sql(spark, con, name):
 def test_hashed_neighbours_recall(spark):
     exact = {(r.query_id, r.id) for r in QUERIES["knn_exact"](spark, "/root/testdata/sf0.01").collect()}
     found = {(r.query_id, r.id) for r in QUERIES["knn_lsh"](spark, "/root/testdata/sf0.01").collect()}
-    assert len(exact & found) / len(exact) >= 0.5
+    assert len(exact & found) / len(exact) >= 0.9
