@@ -27,6 +27,8 @@ from soundframe.llm.common import components, pieces, read, shingle_hashes, text
 HASHES, ROWS, BATCH = 160, 4, 16
 MISS = 1e-6
 BLOCK = 1000
+#: Bitmaps of 4 KB that tell which documents are asked for.
+SLOTS = 1024
 SHINGLE = 5
 #: Similarity is compared as OVER * intersection >= UNDER * union.
 OVER, UNDER = 100, 75
@@ -229,6 +231,32 @@ def unit_forests(rows: DataFrame, exact: bool) -> DataFrame:
     return rows.select(*columns).repartition("unit").sortWithinPartitions("unit", "n_shingles", "doc_id").mapInArrow(run, "a long, b long")
 
 
+def slot(column: str) -> F.Column:
+    """A place from 1 to 32,768 * SLOTS for a value."""
+    return F.pmod(F.xxhash64(column), F.lit(SLOTS * 32768)) + 1
+
+
+def mostly_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs (doc_id, text) without most rows whose id is not in wanted: a filter before a join, which loses none that is wanted.
+
+    Ids set bits of SLOTS bitmaps of 4 KB, 4 MB in all whatever the input, so few texts are shuffled in vain up to some 30
+    million wanted ids. With many more the bits fill up and the join behind it does the work.
+    """
+    at = F.bitmap_bucket_number("slot").alias("at")
+    maps = wanted.select(slot("doc_id").alias("slot")).groupBy(at).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    bits = np.zeros((SLOTS, 4096), np.uint8)
+    for row in maps.toLocalIterator():
+        bits[row["at"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.asarray(batch.column(2)) - 1
+            yield batch.select([0, 1]).filter(pa.array((held.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), slot("doc_id").alias("slot")).mapInArrow(run, "doc_id long, text string")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs: its group of near-duplicates, named by the smallest id.
 
@@ -252,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sizes = near.groupBy("component").agg(F.count("*").alias("m"))
     asked = written(near.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "m"), "candidates")
-    texts = docs.join(asked, "doc_id").dropDuplicates(["doc_id"])
+    texts = mostly_in(docs, asked).join(asked, "doc_id").dropDuplicates(["doc_id"])
     exact = unit_forests(units(signatures(texts, size, with_set=True), "component", "m"), exact=True)
     linked = components(exact)
 
