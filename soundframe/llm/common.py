@@ -140,12 +140,11 @@ def shingle_hashes(words: np.ndarray, woff: np.ndarray, size: int = 5) -> tuple[
 def components(edges: DataFrame, a: str = "a", b: str = "b", cut_every: int = 1) -> DataFrame:
     """(node, component) of an undirected edge list; component is the smallest node that can be reached.
 
-    Alternates large-star and small-star steps until nothing changes. Every step is a pre-aggregated minimum and one
-    equi-join, so a hub's edges are split over tasks; each round is written to the shared folder.
+    Alternates large-star and small-star steps until only stars are left: no node has two edges down, or edges
+    both ways. Every step is a pre-aggregated minimum and one equi-join, so a hub's edges are split over tasks; each round is written to the shared folder.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = written(e, "edges")
-    last = None
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -153,9 +152,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", cut_every: int = 1)
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         e = written(e, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("root")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))
+        if ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root")).where("leaf + root > 1").isEmpty():
             break
-        last = now
     roots = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
