@@ -14,6 +14,8 @@ SORTABLE = {"id", "path", "bpm", "key", "duration", "created_at", "sample_type",
 SYSTEM_TAGS = ("session:", "parent:", "stem:", "stems-")
 #: Groups of a fixed, small size may be broadcast; larger ones are left to the planner.
 BROADCAST_ROWS = 100_000
+#: Clips in a block of the pair join: two blocks meet in one cell.
+PAIR_BLOCK = 500
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -210,12 +212,18 @@ def top_k(df: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
 
 
 def compatible_pairs(samples: DataFrame, floor: float = 0.8) -> DataFrame:
-    """Edges between clips with equal normalised key and tempo octave: a blocked approximation of all pairs.
+    """Edges between all clips, each pair once and scored from the smaller id; unknown keys and tempos count as in the parts.
 
-    Blocks are split by clip type and pack, so that no block grows with the library as a whole.
+    No part rules a pair out, so every two clips meet: ids are hashed into sides blocks, and one cell of the square of blocks holds
+    the pairs of two of them. A clip is copied once a block; a cell holds about PAIR_BLOCK clips on either side, whatever their values.
     """
-    s = samples.where("key is not null and bpm is not null").withColumn("block", F.concat_ws("|", music.normalize_key(F.col("key")), F.floor(F.log2("bpm") * 8).cast("string"), F.coalesce("sample_type", F.lit("")), F.col("pack_id").cast("string")))
-    return compatibility(side(s, "", "block").join(side(s, "a_", "block"), "block").where("a_id < id")).where(F.col("score") >= floor)
+    sides = -(-samples.count() // PAIR_BLOCK) or 1
+    block, others = F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))
+    tasks = min(-(-sides * sides // 4), 4096)
+    a = side(samples.withColumn("row", block), "a_", "row").withColumn("column", others).repartition(tasks, "row", "column")
+    b = side(samples.withColumn("column", block), "", "column").withColumn("row", others).repartition(tasks, "row", "column")
+    pairs = a.join(b.hint("shuffle_hash"), (a.row == b.row) & (a.column == b.column) & (F.col("a_id") < F.col("id"))).drop("row", "column")
+    return compatibility(pairs).where(F.col("score") >= floor)
 
 
 def lineage(sample_tag: DataFrame) -> DataFrame:
