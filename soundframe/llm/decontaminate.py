@@ -1,7 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact weighted-shingle similarity.
 
-Only built-in functions. A document's five-word shingles that occur in the benchmark place windows: a shingle at word i that
-stands at word j of an item starts a window of the item's size at i - j (a window without such a shingle has similarity 0). Each
+Only built-in functions. All windows of the item's size count. A document's five-word shingles that occur in an item place them:
+as the shared shingles in a window bound its similarity, only stretches with enough of them are looked at, and there the windows
+where a shared shingle enters (the similarity rises nowhere else) or that begin where the item would (i - j for a shingle at word
+i that stands at word j of the item). Each
 window's 64-bit SimHash must share one of RADIUS + 1 bit blocks with the item's, as every fingerprint within RADIUS does, and
 lie within RADIUS; survivors are verified by the weighted Jaccard similarity of their shingles (weights: occurrences). At
 similarity 0.75 a bit differs with probability 0.17, so RADIUS 26 of 64 loses about two windows in a million.
@@ -64,10 +66,30 @@ def weighted_jaccard(a: str, b: str) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def spans() -> Column:
+    """From the sorted words `at` that start a shared shingle: (lo, hi) of the starts whose windows hold `need` of them in a row.
+
+    lo is where the last of them enters the window, hi where the first is about to leave. A similar window holds need at least.
+    """
+    last = F.sequence(F.col("need") - 1, F.size("at") - 1)
+    both = F.transform(last, lambda e: F.struct(F.greatest(F.get("at", e) - F.col("width") + 1, F.lit(0)).alias("lo"), F.get("at", e - F.col("need") + 1).alias("hi")))
+    return F.filter(both, lambda x: x.lo <= x.hi)
+
+
+def starts() -> Column:
+    """Starts to be verified, from spans: each lo, and each of `lines` (where an item would begin by one shingle) inside a span.
+
+    The similarity rises only where a shared shingle enters, so the first best of all windows starts at some lo.
+    """
+    lo = F.array_distinct(F.col("spans.lo"))
+    lines = F.filter("lines", lambda a: F.exists("spans", lambda x: (x.lo <= a) & (a <= x.hi)))
+    return F.transform(F.array_union(lo, lines), lambda a: F.struct(a.alias("start"), F.array_contains("lines", a).alias("line")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): for each document and item the best window of at least `least`.
 
-    Of equal windows the first counts. Items and documents of fewer than five words are never matched; null texts are empty;
+    Of equal windows one that begins at some i - j counts, else the first. Items and documents of fewer than five words are never matched; null texts are empty;
     rows that repeat an id and a text count once; a null id stays null. Other columns are ignored; empty tables give none.
     """
     items = shingled(benchmark.select("item_id", "text")).where("size(h) > 0").select("item_id", F.size("h").alias("size"), F.col("h").alias("item_h"))
@@ -86,9 +108,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     else:
         d = written(d, "shingled_documents")
     hits = d.select("doc_id", "k", F.size("h").alias("n"), F.posexplode("h").alias("i", "s"))
+    width = F.least("n", "size")
     start = F.greatest(F.least(F.col("i") - F.col("j"), F.col("n") - F.col("size")), F.lit(0))
-    windows = hits.join(index, "s").select("doc_id", "k", "item_id", "item_key", start.alias("start")).distinct()
-    per_doc = windows.groupBy("doc_id", "k").agg(F.collect_list(F.struct("item_id", "item_key", "start")).alias("windows"))
+    pairs = hits.join(index, "s").groupBy("doc_id", "k", "item_id", "item_key", "n", "size").agg(F.array_sort(F.collect_set("i")).alias("at"), F.collect_set(start).alias("lines"))
+    need = F.greatest(F.ceil((width + F.col("size")) * (least / (1 + least)) - 1e-9), F.lit(1)).cast("int")
+    pairs = fixed(pairs.withColumns({"width": width, "need": need}).where(F.size("at") >= F.col("need")), spans=spans()).where("size(spans) > 0")
+    per_doc = fixed(pairs, found=starts()).select("doc_id", "k", F.explode("found").alias("f"), "item_id", "item_key").groupBy("doc_id", "k").agg(F.collect_list(F.struct("item_id", "item_key", "f.start", "f.line")).alias("windows"))
     d = d.drop("_fixed").dropDuplicates(["doc_id", "k"]).alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.k").eqNullSafe(F.col("p.k")))
     w = d.select("d.doc_id", "d.h", F.explode("p.windows").alias("w")).select("doc_id", "h", "w.*")
     w = w.join(items.withColumn("item_key", F.xxhash64("item_h")), ["item_id", "item_key"])
@@ -97,7 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     w = w.where(F.arrays_overlap(blocks("fp"), blocks("item_fp")))
     w = w.withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= RADIUS)
     w = fixed(w, similarity=weighted_jaccard("h", "item_h")).where(F.col("similarity") >= least)
-    best = F.max_by(F.struct("start", F.size("h").alias("n"), "hamming", "similarity"), F.struct("similarity", (-F.col("start")).alias("s")))
+    best = F.max_by(F.struct("start", F.size("h").alias("n"), "hamming", "similarity"), F.struct("similarity", "line", (-F.col("start")).alias("s")))
     w = w.groupBy("doc_id", "item_id").agg(best.alias("b"))
     return w.select("doc_id", "item_id", F.col("b.start").cast("long").alias("start_word"), (F.col("b.n") + SHINGLE - 1).cast("long").alias("n_words"), F.col("b.hamming").cast("long").alias("hamming"), F.col("b.similarity").alias("similarity"))
 
