@@ -1,12 +1,12 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact weighted-shingle similarity.
+"""Benchmark decontamination: item-sized windows with enough shared shingles, exact weighted-shingle similarity.
 
 Only built-in functions. All windows of the item's size count. A document's five-word shingles that occur in an item place them:
 as the shared shingles in a window bound its similarity, only stretches with enough of them are looked at, and there the windows
 where a shared shingle enters (the similarity rises nowhere else) or that begin where the item would (i - j for a shingle at word
-i that stands at word j of the item). Each
-window's 64-bit SimHash must share one of RADIUS + 1 bit blocks with the item's, as every fingerprint within RADIUS does, and
-lie within RADIUS; survivors are verified by the weighted Jaccard similarity of their shingles (weights: occurrences). At
-similarity 0.75 a bit differs with probability 0.17, so RADIUS 26 of 64 loses about two windows in a million.
+i that stands at word j of the item). These
+are verified by the weighted Jaccard similarity of their shingles (weights: occurrences), with nothing between that could lose one.
+The 64-bit SimHash distance of a found window and its item is reported only. It counts each occurrence of a shingle as a shingle of
+its own, so that a repeated one does not outweigh the rest.
 """
 
 from __future__ import annotations
@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 
 from soundframe.llm.common import SPACE_RE, read, written
 
-SHINGLE, LEAST, RADIUS = 5, 0.75, 26
+SHINGLE, LEAST = 5, 0.75
 #: Up to so many benchmark shingles are looked up inside a row and broadcast; more are joined.
 IN_ROW = 20_000
 BITS = 64
-EDGES = [round(k * BITS / (RADIUS + 1)) for k in range(RADIUS + 2)]
 
 
 def shingled(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -40,21 +39,18 @@ def fixed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns(columns | {"_fixed": F.monotonically_increasing_id()})
 
 
-def simhash(h: Column) -> Column:
-    """64 bits: bit b is set if over half of the hashes have it. Four 16-bit counters are summed at once, so up to 65,535 hashes.
-
-    The 16 sums are an array, not 16 columns, so the expression stays short whatever the number of bits.
-    """
-    n, quarter = F.size(h), lambda x, k: F.call_function("shiftrightunsigned", x, k).bitwiseAND(F.lit(0x0001000100010001))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + quarter(x, k)))
-    half = lambda x, lane: F.shiftleft((2 * F.shiftrightunsigned(x, 16 * lane).bitwiseAND(F.lit(0xFFFF)) > n).cast("long"), 16 * lane)
-    bits = F.transform(sums, lambda x, k: F.call_function("shiftleft", half(x, 0) + half(x, 1) + half(x, 2) + half(x, 3), k))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+def majority(h: Column) -> Column:
+    """64 bits: bit b is set if over half of the hashes have it, however many they are."""
+    count = lambda x, k: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + F.call_function("shiftrightunsigned", y, k).bitwiseAND(F.lit(1).cast("long")))
+    bit = lambda x, k: F.call_function("shiftleft", (2 * count(x, k) > F.size(x)).cast("long"), k)
+    # h stands in an array of one, so that the lambda's name holds it and it is computed once, not once a bit
+    bits = F.transform(F.array(h), lambda x: F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(bit(x, k))))
+    return F.get(bits, F.lit(0))
 
 
-def blocks(fp: str) -> Column:
-    """The values of the RADIUS + 1 blocks of bits, each marked with its block."""
-    return F.array(*[F.shiftrightunsigned(F.col(fp), a).bitwiseAND(F.lit((1 << (b - a)) - 1)) + F.lit(k << 16) for k, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False))])
+def simhash(h: Column) -> Column:
+    """The majority bits of the shingles' hashes, each with the number of its occurrence: a repeated shingle is many different ones."""
+    return majority(F.transform(h, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(h, F.lit(1), i), lambda y: y == x)))))
 
 
 def weighted_jaccard(a: str, b: str) -> Column:
@@ -93,7 +89,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     rows that repeat an id and a text count once; a null id stays null. Other columns are ignored; empty tables give none.
     """
     items = shingled(benchmark.select("item_id", "text")).where("size(h) > 0").select("item_id", F.size("h").alias("size"), F.col("h").alias("item_h"))
-    items = items.withColumn("item_fp", simhash(F.col("item_h"))).dropDuplicates(["item_id", "item_h"])
+    items = items.dropDuplicates(["item_id", "item_h"])
     items = written(items, "items")
     index = items.select("item_id", "size", F.xxhash64("item_h").alias("item_key"), F.posexplode("item_h").alias("j", "s"))
     found = index.select("s").limit(IN_ROW + 1).collect()  # bounded; beyond it shingles are joined
@@ -118,13 +114,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     w = d.select("d.doc_id", "d.h", F.explode("p.windows").alias("w")).select("doc_id", "h", "w.*")
     w = w.join(items.withColumn("item_key", F.xxhash64("item_h")), ["item_id", "item_key"])
     w = w.withColumn("h", F.slice("h", F.col("start") + 1, F.col("size")))
-    w = fixed(w, fp=simhash(F.col("h")))
-    w = w.where(F.arrays_overlap(blocks("fp"), blocks("item_fp")))
-    w = w.withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= RADIUS)
     w = fixed(w, similarity=weighted_jaccard("h", "item_h")).where(F.col("similarity") >= least)
-    best = F.max_by(F.struct("start", F.size("h").alias("n"), "hamming", "similarity"), F.struct("similarity", "line", (-F.col("start")).alias("s")))
+    best = F.max_by(F.struct("start", "h", "item_h", "similarity"), F.struct("similarity", "line", (-F.col("start")).alias("s")))
     w = w.groupBy("doc_id", "item_id").agg(best.alias("b"))
-    return w.select("doc_id", "item_id", F.col("b.start").cast("long").alias("start_word"), (F.col("b.n") + SHINGLE - 1).cast("long").alias("n_words"), F.col("b.hamming").cast("long").alias("hamming"), F.col("b.similarity").alias("similarity"))
+    hamming = F.bit_count(simhash(F.col("b.h")).bitwiseXOR(simhash(F.col("b.item_h"))))
+    return w.select("doc_id", "item_id", F.col("b.start").cast("long").alias("start_word"), (F.size("b.h") + SHINGLE - 1).cast("long").alias("n_words"), hamming.cast("long").alias("hamming"), F.col("b.similarity").alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:

@@ -31,3 +31,21 @@ def test_rotated_items(spark, docs_of):
     swapped, turned = " ".join(w[30:] + w[:30]), " ".join(few[20:] + few[:20])
     texts = [f"{fill(80)} {swapped} {fill(90)}", swapped, f"{fill(7)} {turned} {fill(3)}", " ".join(w[20:40]), f"{' '.join(w[30:])} {fill(40)} {' '.join(w[:30])}", " ".join(few * 3)]
     assert {(0, 0), (1, 0), (5, 1)} <= set(leaks(spark, docs_of, texts, [" ".join(w), " ".join(few)]))
+
+
+def test_near_copies_that_repeat_a_word(spark, docs_of):
+    texts, items = [], []
+    for k in range(12):
+        item = [f"a{k}x{i}" for i in range(176)] + ["_"] * 28  # 200 shingles, of which the last 24 are one
+        near = item[:176] + [f"q{k}x{i}" for i in range(28)]  # 172 of 228
+        texts.append(" ".join(near))
+        items.append(" ".join(item))
+    assert len(leaks(spark, docs_of, texts, items)) == 12
+
+
+def test_fingerprints_of_long_texts(spark):
+    df = spark.range(1).selectExpr("sequence(1L, 70000L) as h")
+    h = df.select(decontaminate.F.transform("h", lambda x: decontaminate.F.xxhash64(x)).alias("h"))
+    plain = [sum(x >> b & 1 for x in h.first().h) for b in range(64)]
+    got = h.select(decontaminate.majority(decontaminate.F.col("h")).alias("x")).first().x
+    assert [got >> b & 1 for b in range(64)] == [int(2 * n > 70000) for n in plain]
