@@ -353,7 +353,7 @@ def coverage(spark, sf):
 @query("attr_sort", SAMPLES, select="SELECT id, round(coalesce(least(1, greatest(0, (crest_factor - 3) / 17)), -1), 6) AS v FROM samples ORDER BY v DESC, id LIMIT 60".replace("coalesce(least(1, greatest(0, (crest_factor - 3) / 17)), -1)", "CASE WHEN crest_factor IS NULL THEN -1 ELSE least(1, greatest(0, (crest_factor - 3) / 17)) END"))
 def attr_sort(spark, sf):
     v = F.round(F.coalesce(rules.perceptual()["percussiveness"], F.lit(-1.0)), 6)
-    return V.samples(spark, sf).select("id", v.alias("v")).orderBy(F.desc("v"), "id").limit(60)
+    return V.samples(spark, sf).select("id", v.alias("v")).orderBy(F.desc("v"), "id")
 
 
 @query("key_normalize", SAMPLES, select="SELECT id, regexp_replace(key, 'm$', '') || CASE WHEN ends_with(key, 'm') THEN 'm' ELSE '' END AS k FROM samples")

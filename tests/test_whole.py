@@ -26,3 +26,9 @@ def test_all_pairs(spark, con, monkeypatch):
     want = con.sql(views.sql(views.SAMPLES, queries.COMPAT.replace("{where}", "a.id < b.id"), select=f"SELECT a_id, id, round({score}, 6) FROM pairs WHERE {score} >= 0.6")).fetchall()
     got = [(r.a_id, r.id, round(r.score, 6)) for r in QUERIES["compat_pairs"](spark, SF).collect()]
     assert len(got) > 9000 and sorted(got) == sorted((a, b, round(s, 6)) for a, b, s in want)
+
+
+def test_sort_keeps_all_rows(spark, con):
+    sql = queries.SQL["attr_sort"].replace(" LIMIT 60", "")
+    got = [(r.id, round(r.v, 6)) for r in QUERIES["attr_sort"](spark, SF).collect()]
+    assert len(got) == 200 and got == [(i, round(v, 6)) for i, v in con.sql(sql).fetchall()]
