@@ -14,7 +14,7 @@ SORTABLE = {"id", "path", "bpm", "key", "duration", "created_at", "sample_type",
 SYSTEM_TAGS = ("session:", "parent:", "stem:", "stems-")
 #: Groups of a fixed, small size may be broadcast; larger ones are left to the planner.
 BROADCAST_ROWS = 100_000
-#: Clips in a block of the pair join: two blocks meet in one cell.
+#: Rows in a block of the pair join: two blocks meet in one cell.
 PAIR_BLOCK = 500
 
 
@@ -185,10 +185,10 @@ def side(clips: DataFrame, prefix: str = "", *keep: str) -> DataFrame:
 
 
 def compatible(source: DataFrame, candidates: DataFrame, k: int = 20, floor: float = 0.3, parts=("key", "bpm", "frequency", "dynamics")) -> DataFrame:
-    """Top k candidates for each clip of a stated source set (its size is checked) by the mean of the enabled parts."""
-    if source.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"over {BROADCAST_ROWS} source clips: score them in blocks or by compatible_pairs")
-    j = side(candidates).join(F.broadcast(side(source, "a_")), F.col("id") != F.col("a_id"))
+    """Top k candidates for each clip of a source set by the mean of the enabled parts; a small set (it is counted) is broadcast."""
+    a, b, other = side(source, "a_"), side(candidates), F.col("id") != F.col("a_id")
+    few = source.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    j = b.join(F.broadcast(a), other) if few else meet(a, b, "a_id", "id", other)
     scored = compatibility(j, parts).withColumn("score", F.round("score", 9)).where(F.col("score") >= floor)
     return top_k(scored, "a_id", "score", "id", k)
 
@@ -211,18 +211,28 @@ def top_k(df: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def meet(a: DataFrame, b: DataFrame, a_id: str, b_id: str, match: Column) -> DataFrame:
+    """Every row of a with every row of b that matches, without a broadcast.
+
+    Ids are hashed into blocks of about PAIR_BLOCK rows, and one cell holds the pairs of a block of a and a block of b, so a row is
+    copied once a block of the other side and no cell depends on the values of the rows.
+    """
+    rows, columns = (max(-(-x.count() // PAIR_BLOCK), 1) for x in (a, b))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tasks = min(-(-rows * columns // 4), 4096)
+    x = a.withColumn("_row", block(a_id, rows)).withColumn("_column", every(columns)).repartition(tasks, "_row", "_column")
+    y = b.withColumn("_column_b", block(b_id, columns)).withColumn("_row_b", every(rows)).repartition(tasks, "_row_b", "_column_b")
+    cell = (F.col("_row") == F.col("_row_b")) & (F.col("_column") == F.col("_column_b"))
+    return x.join(y.hint("shuffle_hash"), cell & match).drop("_row", "_column", "_row_b", "_column_b")
+
+
 def compatible_pairs(samples: DataFrame, floor: float = 0.8) -> DataFrame:
     """Edges between all clips, each pair once and scored from the smaller id; unknown keys and tempos count as in the parts.
 
-    No part rules a pair out, so every two clips meet: ids are hashed into sides blocks, and one cell of the square of blocks holds
-    the pairs of two of them. A clip is copied once a block; a cell holds about PAIR_BLOCK clips on either side, whatever their values.
+    No part rules a pair out, so every two clips meet.
     """
-    sides = -(-samples.count() // PAIR_BLOCK) or 1
-    block, others = F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))
-    tasks = min(-(-sides * sides // 4), 4096)
-    a = side(samples.withColumn("row", block), "a_", "row").withColumn("column", others).repartition(tasks, "row", "column")
-    b = side(samples.withColumn("column", block), "", "column").withColumn("row", others).repartition(tasks, "row", "column")
-    pairs = a.join(b.hint("shuffle_hash"), (a.row == b.row) & (a.column == b.column) & (F.col("a_id") < F.col("id"))).drop("row", "column")
+    pairs = meet(side(samples, "a_"), side(samples), "a_id", "id", F.col("a_id") < F.col("id"))
     return compatibility(pairs).where(F.col("score") >= floor)
 
 

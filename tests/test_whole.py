@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from soundframe.operators import catalog
+from soundframe.operators import catalog, vectors
 from soundframe.plans import queries, views
 from soundframe.plans.queries import QUERIES
 
@@ -32,3 +32,13 @@ def test_sort_keeps_all_rows(spark, con):
     sql = queries.SQL["attr_sort"].replace(" LIMIT 60", "")
     got = [(r.id, round(r.v, 6)) for r in QUERIES["attr_sort"](spark, SF).collect()]
     assert len(got) == 200 and got == [(i, round(v, 6)) for i, v in con.sql(sql).fetchall()]
+
+
+def test_query_sets_above_the_broadcast_bound(spark, monkeypatch):
+    few = sorted(map(tuple, QUERIES["compatible_to"](spark, SF).collect()))
+    v = views.vectors(spark, SF)
+    near = lambda limit: sorted((r.query_id, r.rank, r.id, round(r.similarity, 9)) for r in vectors.knn(v.where("id % 20 = 0"), v, 5, limit).collect())
+    monkeypatch.setattr(catalog, "PAIR_BLOCK", 30)
+    monkeypatch.setattr(catalog, "BROADCAST_ROWS", 1)
+    assert len(few) == 40 and sorted(map(tuple, QUERIES["compatible_to"](spark, SF).collect())) == few
+    assert near(2) == near(100_000)
