@@ -7,9 +7,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words: space and 0x09-0x0D.
@@ -30,19 +32,62 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one only where none is set."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Where none is set it lies in the warehouse, and only with a master of one machine, as in tests, in a temporary folder.
+    """
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if not base and spark.sparkContext.master.startswith("local["):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{base or spark.conf.get('spark.sql.warehouse.dir') + '/_scratch'}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    return written_at(df, name)[0]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a table of written_at that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def slot(columns: list[str], slots: int) -> Column:
+    """A place from 1 to 32,768 * slots for the values of columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(slots * 32768)) + 1
+
+
+def marked(wanted: DataFrame, keys: list[str], slots: int = 1024) -> Broadcast:
+    """Bits of the keys of wanted, in slots bitmaps of 4 KB: 4 MB in all whatever the input."""
+    at = F.bitmap_bucket_number("slot").alias("at")
+    maps = wanted.select(slot(keys, slots).alias("slot")).groupBy(at).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()  # slots rows at most
+    bits = np.zeros((slots, 4096), np.uint8)
+    for row in maps:
+        bits[row["at"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return wanted.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+
+def maybe_in(df: DataFrame, bits: Broadcast, keys: list[str], slots: int = 1024) -> DataFrame:
+    """df with maybe: false where the keys are surely not among those marked.
+
+    A filter before a join: what is surely not asked for need not be shuffled. Up to some 30 million keys few others pass; with
+    many more the bits fill up and the join behind it does the work.
+    """
+
+    def run(places: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for place in places:
+            k = place.to_numpy() - 1
+            yield pd.Series((bits.value[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1)
+
+    return df.withColumn("maybe", F.pandas_udf(run, "boolean")(slot(keys, slots)))
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,23 +182,72 @@ def shingle_hashes(words: np.ndarray, woff: np.ndarray, size: int = 5) -> tuple[
     return h, soff
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", cut_every: int = 1) -> DataFrame:
-    """(node, component) of an undirected edge list; component is the smallest node that can be reached.
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, root): the nodes of the edges (a, b) and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    lead = np.arange(len(nodes))
+    while True:
+        low = np.minimum(lead[x], lead[y])
+        new = lead.copy()
+        np.minimum.at(new, lead[x], low)
+        np.minimum.at(new, lead[y], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == lead).all():
+            return nodes, nodes[lead]
+        lead = new
+
+
+def stars(edges: Iterator[tuple[np.ndarray, np.ndarray]], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(u, v) with u > v: a task's edges united, every node pointing to the smallest one it reaches there.
+
+    Edges are taken in lots of about limit and each lot is united with the stars so far, so a task holds its nodes, not its edges.
+    """
+    u, v, held, count = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def unite() -> tuple[np.ndarray, np.ndarray]:
+        nodes, root = roots(np.concatenate([u, *(x for x, _ in held)]), np.concatenate([v, *(y for _, y in held)]))
+        return nodes[nodes != root], root[nodes != root]
+
+    for a, b in edges:
+        held.append((np.asarray(a, np.int64), np.asarray(b, np.int64)))
+        count += len(a)
+        if count >= limit:
+            u, v = unite()
+            held, count = [], 0
+    u, v = unite()
+    for i in range(0, len(u), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(u[i : i + (1 << 16)]), pa.array(v[i : i + (1 << 16)])], names=["u", "v"])
+
+
+def star_edges(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from stars((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows)
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of undirected edges (two long columns); component is the smallest node that can be reached.
 
-    Alternates large-star and small-star steps until only stars are left: no node has two edges down, or edges
-    both ways. Every step is a pre-aggregated minimum and one equi-join, so a hub's edges are split over tasks; each round is written to the shared folder.
+    Edges point from the larger to the smaller node. In each round every node's targets are gathered (one for each task that held the
+    node at most, since tasks unite their edges first), a node with several targets hooks them to the smallest, and every edge moves
+    on to its target's own smallest target; it ends when neither changes anything, that is when all are stars. Edges of a hub meet
+    in a join whose other side has one row a node, and each round is written to the shared folder; the one before is deleted.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = written(e, "edges")
+    a, b = edges.columns
+    e, path = written_at(star_edges(edges.select(F.col(a).cast("long"), F.col(b).cast("long"))), "edges")
     while True:
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        e = written(e, "edges")
-        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("root")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))
-        if ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root")).where("leaf + root > 1").isEmpty():
-            break
-    roots = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
+        changed = Observation()
+        p = e.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("targets"))
+        up = p.select(F.col("u").alias("v"), F.col("m").alias("up"))
+        moved = e.join(up, "v", "left").select("u", F.coalesce("up", "v").alias("v"), F.col("up").isNotNull().alias("moved"))
+        hooked = p.where(F.size("targets") > 1).select(F.explode("targets").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved")).where("u <> v")
+        new = moved.unionByName(hooked).observe(changed, F.max("moved").alias("moved")).select("u", "v")
+        last = path
+        e, path = written_at(star_edges(new), "edges")
+        delete(edges.sparkSession, last)
+        if not changed.get["moved"]:
+            found = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))  # several tasks may have the same edge
+            return found.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from soundframe.llm.common import components, pieces, read, shingle_hashes, text_buffer, word_hashes, written
+from soundframe.llm.common import components, marked, maybe_in, pieces, read, shingle_hashes, stars, text_buffer, word_hashes, written
 
 HASHES, ROWS, BATCH = 160, 4, 16
 MISS = 1e-6
 BLOCK = 1000
-#: Bitmaps of 4 KB that tell which documents are asked for.
-SLOTS = 1024
 SHINGLE = 5
 #: Similarity is compared as OVER * intersection >= UNDER * union.
 OVER, UNDER = 100, 75
@@ -198,16 +196,16 @@ def forest_edges(unit: np.ndarray, n: np.ndarray, sig: np.ndarray, items: list |
 
 
 def unit_forests(rows: DataFrame, exact: bool) -> DataFrame:
-    """(a, b) links of the forests of rows (unit, doc_id, n_shingles, sig[, items])."""
+    """(u, v) links of the forests of rows (unit, doc_id, n_shingles, sig[, items]), united over the units of each task."""
     least = least_matches(UNDER / OVER)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(t: pa.Table) -> pa.RecordBatch:
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def found(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             unit, ids, n = (np.asarray(t.column(c).combine_chunks()) for c in ("unit", "doc_id", "n_shingles"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
             items = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()] if exact else None
             edges = np.array(forest_edges(unit, n, sig, items, least), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(ids[edges[:, 0]]), pa.array(ids[edges[:, 1]])], names=["a", "b"])
+            return ids[edges[:, 0]], ids[edges[:, 1]]
 
         held: list[pa.Table] = []
         for batch in batches:
@@ -227,34 +225,16 @@ def unit_forests(rows: DataFrame, exact: bool) -> DataFrame:
         if held:
             yield found(pa.concat_tables(held))
 
-    columns = ["unit", "doc_id", "n_shingles", "sig"] + ["items"] * exact
-    return rows.select(*columns).repartition("unit").sortWithinPartitions("unit", "n_shingles", "doc_id").mapInArrow(run, "a long, b long")
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from stars(forests(batches))
 
-def slot(column: str) -> F.Column:
-    """A place from 1 to 32,768 * SLOTS for a value."""
-    return F.pmod(F.xxhash64(column), F.lit(SLOTS * 32768)) + 1
+    columns = ["unit", "doc_id", "n_shingles", "sig"] + ["items"] * exact
+    return rows.select(*columns).repartition("unit").sortWithinPartitions("unit", "n_shingles", "doc_id").mapInArrow(run, "u long, v long")
 
 
 def mostly_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs (doc_id, text) without most rows whose id is not in wanted: a filter before a join, which loses none that is wanted.
-
-    Ids set bits of SLOTS bitmaps of 4 KB, 4 MB in all whatever the input, so few texts are shuffled in vain up to some 30
-    million wanted ids. With many more the bits fill up and the join behind it does the work.
-    """
-    at = F.bitmap_bucket_number("slot").alias("at")
-    maps = wanted.select(slot("doc_id").alias("slot")).groupBy(at).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    bits = np.zeros((SLOTS, 4096), np.uint8)
-    for row in maps.toLocalIterator():
-        bits[row["at"] - 1] = np.frombuffer(row["bits"], np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = np.asarray(batch.column(2)) - 1
-            yield batch.select([0, 1]).filter(pa.array((held.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), slot("doc_id").alias("slot")).mapInArrow(run, "doc_id long, text string")
+    """docs (doc_id, text) without most rows whose id is not in wanted: it loses none that is."""
+    return maybe_in(docs.select("doc_id", F.col("text").cast("string").alias("text")), marked(wanted, ["doc_id"]), ["doc_id"]).where("maybe").drop("maybe")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -278,8 +258,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared = units(members, "bucket", "m").select("unit", "doc_id").join(rep, "doc_id")
     near = components(unit_forests(compared, exact=False))
 
-    sizes = near.groupBy("component").agg(F.count("*").alias("m"))
-    asked = written(near.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "m"), "candidates")
+    near = written(near, "near")
+    large = written(near.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK), "large")  # only these are cut
+    asked = written(near.join(large, "component", "left").select(F.col("node").alias("doc_id"), "component", F.coalesce("m", F.lit(1)).alias("m")), "candidates")
     texts = mostly_in(docs, asked).join(asked, "doc_id").dropDuplicates(["doc_id"])
     exact = unit_forests(units(signatures(texts, size, with_set=True), "component", "m"), exact=True)
     linked = components(exact)
