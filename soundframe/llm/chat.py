@@ -1,6 +1,6 @@
 """Preference formatting: one prompt and two masked completions per pair of conversations.
 
-The longest common prefix of whole turns of the chosen and the rejected conversation is rendered once as the prompt; what
+Conversations that share their first turn are paired. The longest common prefix of whole turns of the chosen and the rejected conversation is rendered once as the prompt; what
 follows in each is a completion. A completion's mask lists the character spans that count for the loss: the text and end mark
 of assistant turns. All of it is built-in array functions over one row per pair.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soundframe.llm.common import read
+from soundframe.llm.common import numbered, read, written
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -46,9 +46,11 @@ def conversations(turns: DataFrame) -> DataFrame:
 def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """Replaces two columns of turn arrays by n_prompt_turns, prompt, chosen, rejected, chosen_mask and rejected_mask.
 
-    Equal conversations give two empty completions; without a common first turn the prompt is empty.
+    Equal conversations give two empty completions; without a common first turn the prompt is empty; if one is the beginning of
+    the other its completion is empty. Neither column is null; other columns stay; repeated rows stay; texts may be of any length; an
+    empty table gives an empty result.
     """
-    differ = F.array_position(F.zip_with(chosen, rejected, lambda a, b: a.eqNullSafe(b)), False)
+    differ = F.array_position(F.zip_with(chosen, rejected, lambda a, b: a.eqNullSafe(b)), False)  # the shorter side is filled with nulls
     p = pairs.withColumn("_n", F.when(differ == 0, F.size(chosen)).otherwise(differ - 1).cast("int"))
     rest = lambda c: F.slice(F.col(c), F.col("_n") + 1, F.size(c))
     p = p.withColumns({"_c": rest(chosen), "_r": rest(rejected), "_p": F.array_join(rendered(F.slice(F.col(chosen), F.lit(1), F.col("_n"))), "")})
@@ -57,37 +59,70 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
 
 
 def worse_replies(convs: DataFrame) -> DataFrame:
-    """Pairs for training: chosen is the conversation, rejected has its last assistant text replaced by the one before (or '').
+    """chosen is the conversation, rejected has its last assistant text replaced by the one before, or cut in half if there is none.
 
-    Conversations without an assistant turn give no pair.
+    A conversation without an assistant turn is rejected as it is: its pair has two empty completions.
     """
     replies = F.filter("turns", lambda t: t.role == "assistant")
-    last = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t.role == "assistant")), True)  # from 0
-    c = convs.withColumns({"_replies": replies, "_last": last.cast("int")}).where(F.size("_replies") > 0)
-    worse = F.when(F.size("_replies") > 1, F.get("_replies", F.size("_replies") - 2).text).otherwise("")
-    return c.withColumn("_worse", worse).select("conv_id", F.col("turns").alias("chosen"), F.transform("turns", lambda t, i: F.when(i == F.col("_last"), F.struct(t.role.alias("role"), F.col("_worse").alias("text"))).otherwise(t)).alias("rejected"))
+    place = F.array_position(F.reverse(F.transform("turns", lambda t: t.role == "assistant")), True)  # of the last reply, from the end
+    c = convs.withColumns({"_replies": replies, "_last": F.when(place > 0, F.size("turns") - place).cast("int")})
+    half = lambda t: F.substr(t, F.lit(1), F.floor(F.length(t) / 2).cast("int"))
+    worse = F.when(F.size("_replies") > 1, F.get("_replies", F.size("_replies") - 2).text).otherwise(half(F.get("_replies", F.lit(0)).text))
+    rejected = F.transform("turns", lambda t, i: F.when(i == F.col("_last"), F.struct(t.role.alias("role"), F.col("_worse").alias("text"))).otherwise(t))
+    return c.withColumn("_worse", worse).select("conv_id", F.col("turns").alias("chosen"), rejected.alias("rejected"))
+
+
+def partners(convs: DataFrame) -> DataFrame:
+    """(conv_id, partner): for each conversation the next by id of those with the same first turn, for the last one the one before.
+
+    Conversations are numbered in order of first turn and id, by range partitions, and meet by neighbouring numbers: however many share
+    a first turn, no group of them is gathered. Those alone with theirs are left out.
+    """
+    first = convs.select("conv_id", F.xxhash64(F.col("turns")[0].role, F.col("turns")[0].text).alias("opening"))
+    n = numbered(first, ["opening", "conv_id"]).select("conv_id", "opening", "number")
+    beside = lambda step, name: n.select((F.col("number") - step).alias("number"), "opening", F.struct("conv_id").alias(name))
+    both = n.join(beside(1, "after"), ["number", "opening"], "left").join(beside(-1, "before"), ["number", "opening"], "left")
+    return both.select("conv_id", F.coalesce("after", "before").alias("p")).where("p is not null").select("conv_id", F.col("p.conv_id").alias("partner"))
+
+
+def preference_pairs(convs: DataFrame) -> DataFrame:
+    """(conv_id, chosen, rejected), one row per conversation: rejected is another with the same first turn, else its own worse replies.
+
+    Conversations carry no preferences; the one whose row it is counts as chosen. An empty table gives an empty result.
+    """
+    convs = written(convs, "conversations")
+    p = written(partners(convs), "partners")
+    other = convs.select(F.col("conv_id").alias("_other"), F.col("turns").alias("rejected"))
+    met = p.join(other, F.col("partner").eqNullSafe(F.col("_other"))).select(F.col("conv_id").alias("_id"), "rejected")
+    real = convs.join(met, F.col("conv_id").eqNullSafe(F.col("_id"))).select("conv_id", F.col("turns").alias("chosen"), "rejected")
+    alone = convs.join(p.select(F.col("conv_id").alias("_id")), F.col("conv_id").eqNullSafe(F.col("_id")), "left_anti")
+    return real.unionByName(worse_replies(alone))
 
 
 def query_chat(spark, sf_dir: str) -> DataFrame:
-    return format_preferences(worse_replies(conversations(read(spark, sf_dir, "conversations"))))
+    return format_preferences(preference_pairs(conversations(read(spark, sf_dir, "conversations"))))
 
 
 SQL = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS k FROM conversations),
+o AS (SELECT conv_id, lead(conv_id) OVER w AS after, lag(conv_id) OVER w AS before FROM t WHERE k = 1 WINDOW w AS (PARTITION BY role, text ORDER BY conv_id)),
+p AS (SELECT conv_id, coalesce(after, before) AS partner FROM o),
 a AS (SELECT *, max(CASE WHEN role = 'assistant' THEN k END) OVER (PARTITION BY conv_id) AS last FROM t),
-b AS (SELECT *, max(CASE WHEN role = 'assistant' AND k < last THEN k END) OVER (PARTITION BY conv_id) AS prev FROM a WHERE last IS NOT NULL),
-c AS (SELECT *, coalesce(max(CASE WHEN k = prev THEN text END) OVER (PARTITION BY conv_id), '') AS worse FROM b),
-d AS (SELECT conv_id, k, role, text AS good, CASE WHEN k = last THEN worse ELSE text END AS bad FROM c),
-e AS (SELECT *, coalesce(min(CASE WHEN good <> bad THEN k END) OVER (PARTITION BY conv_id), 1000000000) AS differ FROM d),
-f AS (SELECT *, '<|im_start|>' || role || chr(10) || good || '<|im_end|>' || chr(10) AS g, '<|im_start|>' || role || chr(10) || bad || '<|im_end|>' || chr(10) AS h FROM e),
-g AS (SELECT *, coalesce(sum(CASE WHEN k >= differ THEN length(g) END) OVER w, 0) AS gend, coalesce(sum(CASE WHEN k >= differ THEN length(h) END) OVER w, 0) AS hend FROM f
+b AS (SELECT *, max(CASE WHEN role = 'assistant' AND k < last THEN k END) OVER (PARTITION BY conv_id) AS prev FROM a),
+c AS (SELECT *, max(CASE WHEN k = prev THEN text END) OVER (PARTITION BY conv_id) AS older FROM b),
+r AS (SELECT conv_id, k, role, CASE WHEN k = last THEN coalesce(older, substr(text, 1, length(text) // 2)) ELSE text END AS text FROM c JOIN p USING (conv_id) WHERE partner IS NULL
+    UNION ALL SELECT p.conv_id, k, role, text FROM p JOIN t ON t.conv_id = p.partner),
+m AS (SELECT conv_id, k, t.role AS grole, t.text AS gtext, r.role AS hrole, r.text AS htext FROM t FULL JOIN r USING (conv_id, k)),
+e AS (SELECT *, coalesce(min(CASE WHEN grole IS DISTINCT FROM hrole OR gtext IS DISTINCT FROM htext THEN k END) OVER (PARTITION BY conv_id), 1000000000) AS differ FROM m),
+f AS (SELECT *, '<|im_start|>' || grole || chr(10) || gtext || '<|im_end|>' || chr(10) AS g, '<|im_start|>' || hrole || chr(10) || htext || '<|im_end|>' || chr(10) AS h FROM e),
+s AS (SELECT *, coalesce(sum(CASE WHEN k >= differ THEN length(g) END) OVER w, 0) AS gend, coalesce(sum(CASE WHEN k >= differ THEN length(h) END) OVER w, 0) AS hend FROM f
     WINDOW w AS (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, CAST(count(*) FILTER (k < differ) AS BIGINT) AS n_prompt_turns,
     coalesce(string_agg(g, '' ORDER BY k) FILTER (k < differ), '') AS prompt,
     coalesce(string_agg(g, '' ORDER BY k) FILTER (k >= differ), '') AS chosen,
     coalesce(string_agg(h, '' ORDER BY k) FILTER (k >= differ), '') AS rejected,
-    coalesce(string_agg(CAST(gend - length(g) + 13 + length(role) AS VARCHAR) || ':' || CAST(gend - 1 AS VARCHAR), ',' ORDER BY k) FILTER (k >= differ AND role = 'assistant'), '') AS chosen_mask,
-    coalesce(string_agg(CAST(hend - length(h) + 13 + length(role) AS VARCHAR) || ':' || CAST(hend - 1 AS VARCHAR), ',' ORDER BY k) FILTER (k >= differ AND role = 'assistant'), '') AS rejected_mask
-FROM g GROUP BY conv_id
+    coalesce(string_agg(CAST(gend - length(g) + 13 + length(grole) AS VARCHAR) || ':' || CAST(gend - 1 AS VARCHAR), ',' ORDER BY k) FILTER (k >= differ AND grole = 'assistant'), '') AS chosen_mask,
+    coalesce(string_agg(CAST(hend - length(h) + 13 + length(hrole) AS VARCHAR) || ':' || CAST(hend - 1 AS VARCHAR), ',' ORDER BY k) FILTER (k >= differ AND hrole = 'assistant'), '') AS rejected_mask
+FROM s GROUP BY conv_id
 """

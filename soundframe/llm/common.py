@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space between words: space and 0x09-0x0D.
@@ -60,6 +60,17 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with number, the row's place from 0 in that order: range partitions are counted, and each row adds its place in its own."""
+    df = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    df = written(df, "numbered")
+    part = F.shiftright("_m", 33)
+    counts = df.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))  # a row per partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = df.join(F.broadcast(counts.select("_p", before.alias("_o"))), part == F.col("_p"))
+    return df.withColumn("number", F.col("_o") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_o")
+
+
 def slot(columns: list[str], slots: int) -> Column:
     """A place from 1 to 32,768 * slots for the values of columns."""
     return F.pmod(F.xxhash64(*columns), F.lit(slots * 32768)) + 1
@@ -240,7 +251,8 @@ def components(edges: DataFrame) -> DataFrame:
     e, path = written_at(star_edges(edges.select(F.col(a).cast("long"), F.col(b).cast("long"))), "edges")
     while True:
         changed = Observation()
-        p = e.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("targets"))
+        # written, so that nothing stands between the join and its shuffles, and Spark can split a hub's edges
+        p, below = written_at(e.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("targets")), "targets")
         up = p.select(F.col("u").alias("v"), F.col("m").alias("up"))
         moved = e.join(up, "v", "left").select("u", F.coalesce("up", "v").alias("v"), F.col("up").isNotNull().alias("moved"))
         hooked = p.where(F.size("targets") > 1).select(F.explode("targets").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved")).where("u <> v")
@@ -248,6 +260,7 @@ def components(edges: DataFrame) -> DataFrame:
         last = path
         e, path = written_at(star_edges(new), "edges")
         delete(edges.sparkSession, last)
+        delete(edges.sparkSession, below)
         if not changed.get["moved"]:
             found = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))  # several tasks may have the same edge
             return found.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,124 +1,134 @@
-"""Benchmark decontamination: item-sized windows with enough shared shingles, exact weighted-shingle similarity.
-
-Only built-in functions. All windows of the item's size count. A document's five-word shingles that occur in an item place them:
-as the shared shingles in a window bound its similarity, only stretches with enough of them are looked at, and there the windows
-where a shared shingle enters (the similarity rises nowhere else) or that begin where the item would (i - j for a shingle at word
-i that stands at word j of the item). These
-are verified by the weighted Jaccard similarity of their shingles (weights: occurrences), with nothing between that could lose one.
-The 64-bit SimHash distance of a found window and its item is reported only. It counts each occurrence of a shingle as a shingle of
-its own, so that a repeated one does not outweigh the rest.
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity.
+
+Only built-in functions.
+
+1. Windows. Every window of an item's size counts. A document's five-word shingles that occur in an item bound the similarity of
+   the windows there, so only windows with enough of them are formed, and of those only the ones where a shared shingle enters:
+   the similarity rises nowhere else, so the first best window is always among them.
+2. Fingerprints. A window and an item each get a SimHash of BLOCKS * WIDTH = 120 bits over their shingles. Each occurrence of a
+   repeated shingle counts as a shingle of its own, so that none outweighs the rest.
+3. Blocks. The fingerprints are cut into BLOCKS blocks. Items are indexed under all values within NEAR = 2 bits of each block;
+   a window looks up its own value of each. Fingerprints within RADIUS = BLOCKS * (NEAR + 1) - 1 = 35 bits agree so in one block at
+   least, so the equi-join on size, block and value finds all of them. A random pair of one size meets 0.66 times on average.
+4. What is within RADIUS is verified by the weighted Jaccard similarity of the shingles (weights: occurrences).
+
+At a similarity of 0.75 a bit differs with probability acos(6/7) / pi = 0.172, so 20.6 of 120 do, with a deviation of 4.1, and RADIUS
+misses two pairs in ten thousand there, fewer above. The SQL has no fingerprints and tries every window.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soundframe.llm.common import SPACE_RE, read, written
 
 SHINGLE, LEAST = 5, 0.75
-#: Up to so many benchmark shingles are looked up inside a row and broadcast; more are joined.
-IN_ROW = 20_000
-BITS = 64
+#: Up to so many benchmark shingles (16 bytes each) are broadcast; the planner chooses beyond.
+SENT = 1_000_000
+BLOCKS, WIDTH, NEAR = 12, 10, 2
+RADIUS = BLOCKS * (NEAR + 1) - 1
+
+
+def let(value: Column, f) -> Column:
+    """f(value): value stands in an array of one, so that the lambda's name holds it and it is computed once, wherever f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def shingled(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds h, the hashes of all shingles in order. Texts with fewer words, and null texts, have none."""
-    df = df.withColumn("_w", F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), SPACE_RE), ""))
-    df = df.withColumn("_w", F.transform("_w", lambda x: F.xxhash64(x)))
-    count = F.greatest(F.size("_w") - (SHINGLE - 1), F.lit(0))
-    h = F.transform(F.slice("_w", F.lit(1), count), lambda x, i: F.xxhash64(x, *[F.get("_w", i + k) for k in range(1, SHINGLE)]))
-    return fixed(df, h=h).drop("_w")
+    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), SPACE_RE), "")
+    shingle = lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)]))
+    return df.withColumn("h", let(F.transform(words, lambda x: F.xxhash64(x)), shingle))
 
 
-def fixed(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that filters above are not pushed into: else each use in a filter would compute them again, for each element.
+def majority(h: Column, blocks: int) -> Column:
+    """blocks integers of WIDTH bits: a bit is set if over half of the hashes have it, however many they are."""
+    count = lambda x, k: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + F.call_function("shiftrightunsigned", y, k).bitwiseAND(F.lit(1).cast("long")))
+    bit = lambda x, b, k: F.call_function("shiftleft", (2 * count(x, b * WIDTH + k) > F.size(x)).cast("int"), k)
+    block = lambda x, b: F.aggregate(F.sequence(F.lit(0), F.lit(WIDTH - 1)), F.lit(0), lambda a, k: a.bitwiseOR(bit(x, b, k)))
+    return let(h, lambda x: F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: block(x, b)))
 
-    A row number makes the projection non-deterministic, which is what stops the optimizer.
-    """
-    return df.withColumns(columns | {"_fixed": F.monotonically_increasing_id()})
 
+def simhash(h: Column) -> Column:
+    """The blocks of the fingerprint of shingle hashes, each hashed with the number of its occurrence: a repeated one is many different ones."""
+    before = lambda h, x, i: F.size(F.filter(F.slice(h, F.lit(1), i), lambda y: y == x))
+    plain = lambda h: F.size(F.array_distinct(h)) == F.size(h)
+    own = lambda h, s: F.when(plain(h), F.transform(h, lambda x: F.xxhash64(x, F.lit(0), F.lit(s)))).otherwise(F.transform(h, lambda x, i: F.xxhash64(x, before(h, x, i), F.lit(s))))
+    return let(h, lambda h: F.concat(majority(own(h, 0), BLOCKS // 2), majority(own(h, 1), BLOCKS // 2)))
 
-def majority(h: Column) -> Column:
-    """64 bits: bit b is set if over half of the hashes have it, however many they are."""
-    count = lambda x, k: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + F.call_function("shiftrightunsigned", y, k).bitwiseAND(F.lit(1).cast("long")))
-    bit = lambda x, k: F.call_function("shiftleft", (2 * count(x, k) > F.size(x)).cast("long"), k)
-    # h stands in an array of one, so that the lambda's name holds it and it is computed once, not once a bit
-    bits = F.transform(F.array(h), lambda x: F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(bit(x, k))))
-    return F.get(bits, F.lit(0))
 
+def hamming(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
-def simhash(h: Column) -> Column:
-    """The majority bits of the shingles' hashes, each with the number of its occurrence: a repeated shingle is many different ones."""
-    return majority(F.transform(h, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(h, F.lit(1), i), lambda y: y == x)))))
+
+#: What a block may differ by.
+MASKS = [sum(1 << k for k in ks) for n in range(NEAR + 1) for ks in combinations(range(WIDTH), n)]
+
+
+def block_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """(wid, item) of all windows (wid, size, fp) and items (item, size, fp) of one size within RADIUS, once each."""
+    keys = items.select("item", "size", F.col("fp").alias("item_fp"), F.posexplode("fp").alias("block", "bits"))
+    keys = keys.select("item", "size", "item_fp", "block", F.explode(F.transform(F.array(*map(F.lit, MASKS)), lambda m: F.col("bits").bitwiseXOR(m))).alias("bits"))
+    met = windows.select("wid", "size", "fp", F.posexplode("fp").alias("block", "bits")).join(keys, ["size", "block", "bits"])
+    return met.where(hamming("fp", "item_fp") <= RADIUS).select("wid", "item").distinct()
 
 
 def weighted_jaccard(a: str, b: str) -> Column:
     """Sum of smaller over sum of larger occurrence counts; plain set operations where nothing repeats."""
-    plain = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
+    plain = lambda x: F.size(F.array_distinct(x)) == F.size(x)
     times = lambda c, x: F.size(F.filter(c, lambda y: y == x))
-    least = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x)))
-    both = F.when(plain, F.size(F.array_intersect(a, b))).otherwise(least)
-    return both / (F.size(a) + F.size(b) - both)
+    least = lambda x, y: F.aggregate(F.array_intersect(x, y), F.lit(0), lambda s, z: s + F.least(times(x, z), times(y, z)))
+    both = lambda x, y: F.when(plain(x) & plain(y), F.size(F.array_intersect(x, y))).otherwise(least(x, y))
+    share = lambda x, y: let(both(x, y), lambda n: n / (F.size(x) + F.size(y) - n))
+    return let(F.col(a), lambda x: let(F.col(b), lambda y: share(x, y)))
 
 
-def spans() -> Column:
-    """From the sorted words `at` that start a shared shingle: (lo, hi) of the starts whose windows hold `need` of them in a row.
-
-    lo is where the last of them enters the window, hi where the first is about to leave. A similar window holds need at least.
-    """
+def starts() -> Column:
+    """From the sorted words `at` that begin a shared shingle: where windows with `need` of them begin, the last just entered."""
     last = F.sequence(F.col("need") - 1, F.size("at") - 1)
     both = F.transform(last, lambda e: F.struct(F.greatest(F.get("at", e) - F.col("width") + 1, F.lit(0)).alias("lo"), F.get("at", e - F.col("need") + 1).alias("hi")))
-    return F.filter(both, lambda x: x.lo <= x.hi)
+    return F.array_distinct(F.transform(F.filter(both, lambda x: x.lo <= x.hi), lambda x: x.lo))
 
 
-def starts() -> Column:
-    """Starts to be verified, from spans: each lo, and each of `lines` (where an item would begin by one shingle) inside a span.
-
-    The similarity rises only where a shared shingle enters, so the first best of all windows starts at some lo.
-    """
-    lo = F.array_distinct(F.col("spans.lo"))
-    lines = F.filter("lines", lambda a: F.exists("spans", lambda x: (x.lo <= a) & (a <= x.hi)))
-    return F.transform(F.array_union(lo, lines), lambda a: F.struct(a.alias("start"), F.array_contains("lines", a).alias("line")))
+def item_windows(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
+    """(wid, doc_id, size, start, h, fp): the windows of docs (doc_id, text) that an item of that size could be similar to."""
+    d = docs.withColumn("k", F.xxhash64("text"))
+    index = written(items.select("item", "size", F.explode(F.array_distinct("item_h")).alias("s")), "item_shingles")
+    index = F.broadcast(index) if index.count() <= SENT else index
+    # outer, as else a filter on h is put before the explosion, which computes it twice; its one null row meets nothing
+    hits = shingled(d).select("doc_id", "k", F.size("h").alias("n"), F.posexplode_outer("h").alias("i", "s")).join(index, "s")
+    pairs = hits.groupBy("doc_id", "k", "item", "n", "size").agg(F.array_sort(F.collect_set("i")).alias("at"))
+    width = F.least("n", "size")
+    need = F.greatest(F.ceil((width + F.col("size")) * (least / (1 + least)) - 1e-9), F.lit(1)).cast("int")
+    pairs = pairs.withColumns({"width": width, "need": need}).where(F.size("at") >= F.col("need"))
+    places = pairs.select("doc_id", "k", F.explode_outer(starts()).alias("start"), "size").where("start is not null").groupBy("doc_id", "k").agg(F.collect_set(F.struct("size", "start")).alias("places"))
+    places = written(places, "window_places")  # its size is known from now on, so that few are sent to where the texts are
+    found = d.join(places.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "places"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("k").eqNullSafe(F.col("_k")))
+    w = shingled(found.select("doc_id", "text", "places")).select("doc_id", "h", F.explode_outer("places").alias("p"))
+    w = w.select("doc_id", "p.size", "p.start", F.slice("h", F.col("p.start") + 1, F.col("p.size")).alias("h"))
+    return written(w.withColumns({"fp": simhash(F.col("h")), "wid": F.monotonically_increasing_id()}), "windows")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): for each document and item the best window of at least `least`.
 
-    Of equal windows one that begins at some i - j counts, else the first. Items and documents of fewer than five words are never matched; null texts are empty;
-    rows that repeat an id and a text count once; a null id stays null. Other columns are ignored; empty tables give none.
+    Of equal windows the first counts. Items and documents of fewer than five words are never matched; null texts are empty; rows
+    that repeat an id and a text count once; a null id stays null; items that repeat id and text count once. Texts and items may be
+    of any length. Other columns are ignored, whatever their names; empty tables give none.
     """
-    items = shingled(benchmark.select("item_id", "text")).where("size(h) > 0").select("item_id", F.size("h").alias("size"), F.col("h").alias("item_h"))
-    items = items.dropDuplicates(["item_id", "item_h"])
-    items = written(items, "items")
-    index = items.select("item_id", "size", F.xxhash64("item_h").alias("item_key"), F.posexplode("item_h").alias("j", "s"))
-    found = index.select("s").limit(IN_ROW + 1).collect()  # bounded; beyond it shingles are joined
-
-    d = docs.select("doc_id", "text").withColumn("k", F.xxhash64("text"))
-    d = shingled(d).drop("text")  # keeps the row number, which must outlive the filter
-    if len(found) <= IN_ROW:
-        wanted = sorted({r.s for r in found})
-        inside = (lambda x: x.isin(wanted)) if wanted else (lambda x: F.lit(False))
-        d = written(d.where(F.exists("h", inside)), "hit_documents")
-        index = F.broadcast(index)  # IN_ROW rows at most
-    else:
-        d = written(d, "shingled_documents")
-    hits = d.select("doc_id", "k", F.size("h").alias("n"), F.posexplode("h").alias("i", "s"))
-    width = F.least("n", "size")
-    start = F.greatest(F.least(F.col("i") - F.col("j"), F.col("n") - F.col("size")), F.lit(0))
-    pairs = hits.join(index, "s").groupBy("doc_id", "k", "item_id", "item_key", "n", "size").agg(F.array_sort(F.collect_set("i")).alias("at"), F.collect_set(start).alias("lines"))
-    need = F.greatest(F.ceil((width + F.col("size")) * (least / (1 + least)) - 1e-9), F.lit(1)).cast("int")
-    pairs = fixed(pairs.withColumns({"width": width, "need": need}).where(F.size("at") >= F.col("need")), spans=spans()).where("size(spans) > 0")
-    per_doc = fixed(pairs, found=starts()).select("doc_id", "k", F.explode("found").alias("f"), "item_id", "item_key").groupBy("doc_id", "k").agg(F.collect_list(F.struct("item_id", "item_key", "f.start", "f.line")).alias("windows"))
-    d = d.drop("_fixed").dropDuplicates(["doc_id", "k"]).alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.k").eqNullSafe(F.col("p.k")))
-    w = d.select("d.doc_id", "d.h", F.explode("p.windows").alias("w")).select("doc_id", "h", "w.*")
-    w = w.join(items.withColumn("item_key", F.xxhash64("item_h")), ["item_id", "item_key"])
-    w = w.withColumn("h", F.slice("h", F.col("start") + 1, F.col("size")))
-    w = fixed(w, similarity=weighted_jaccard("h", "item_h")).where(F.col("similarity") >= least)
-    best = F.max_by(F.struct("start", "h", "item_h", "similarity"), F.struct("similarity", "line", (-F.col("start")).alias("s")))
+    items = shingled(benchmark.select("item_id", "text")).select("item_id", F.size("h").alias("size"), F.col("h").alias("item_h"))
+    items = items.where("size > 0").dropDuplicates(["item_id", "item_h"])
+    items = written(items.withColumns({"fp": simhash(F.col("item_h")), "item": F.monotonically_increasing_id()}), "items")
+    windows = item_windows(docs.select("doc_id", F.col("text").cast("string").alias("text")), items, least)
+    w = windows.join(block_pairs(windows.select("wid", "size", "fp"), items.select("item", "size", "fp")), "wid")
+    w = w.drop("size").join(items.select("item", "item_id", "item_h", F.col("fp").alias("item_fp")), "item")
+    w = w.withColumns({"similarity": weighted_jaccard("h", "item_h"), "hamming": hamming("fp", "item_fp")}).where(F.col("similarity") >= least)
+    best = F.max_by(F.struct("start", F.size("h").alias("n"), "hamming", "similarity"), F.struct("similarity", (-F.col("start")).alias("s")))
     w = w.groupBy("doc_id", "item_id").agg(best.alias("b"))
-    hamming = F.bit_count(simhash(F.col("b.h")).bitwiseXOR(simhash(F.col("b.item_h"))))
-    return w.select("doc_id", "item_id", F.col("b.start").cast("long").alias("start_word"), (F.size("b.h") + SHINGLE - 1).cast("long").alias("n_words"), hamming.cast("long").alias("hamming"), F.col("b.similarity").alias("similarity"))
+    return w.select("doc_id", "item_id", F.col("b.start").cast("long").alias("start_word"), (F.col("b.n") + SHINGLE - 1).cast("long").alias("n_words"), F.col("b.hamming").cast("long").alias("hamming"), F.col("b.similarity").alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
@@ -139,7 +149,8 @@ ds AS (SELECT row_number() OVER () AS r, doc_id, len(w) - 4 AS n, list_transform
 bs AS (SELECT row_number() OVER () AS q, item_id, len(w) - 4 AS size, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) AS g FROM b WHERE len(w) > 4),
 de AS (SELECT r, n, unnest(h) AS s, unnest(range(0, n)) AS i FROM ds),
 be AS (SELECT q, size, unnest(g) AS s, unnest(range(0, size)) AS j FROM bs),
-w AS (SELECT DISTINCT r, q, greatest(least(i - j, n - size), 0) AS start FROM de JOIN be USING (s)),
+m AS (SELECT r, q, n, size FROM (SELECT r, q, n, size, count(DISTINCT i) AS c FROM de JOIN be USING (s) GROUP BY ALL) WHERE c >= (least(n, size) + size) * 3 / 7 - 1e-9),
+w AS (SELECT r, q, unnest(range(0, greatest(n - size, 0) + 1)) AS start FROM m),
 x AS (SELECT doc_id, item_id, start, h[start + 1 : start + size] AS h, g FROM w JOIN ds USING (r) JOIN bs USING (q)),
 y AS (SELECT *, list_sum(list_transform(list_distinct(h), lambda s: least(len(list_filter(h, lambda t: t = s)), len(list_filter(g, lambda t: t = s))))) AS inter FROM x),
 z AS (SELECT doc_id, item_id, start, len(h) AS n, inter / (len(h) + len(g) - inter) AS similarity FROM y)

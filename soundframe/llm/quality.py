@@ -1,8 +1,10 @@
 """Quality rules with verdicts on hosts, all in built-in functions.
 
 Each document gets counts and a base verdict. Hosts are judged by the share of their documents that fail: a beta prior is
-fitted to the rates of all hosts by moments, each host's rate is shrunk towards it (small hosts most), and hosts whose shrunk
-rate is above a limit are rejected whole. Verdicts are joined back to the documents.
+fitted to the rates of all hosts by moments (weighted by documents), each host's rate is shrunk towards it (small hosts most), and a
+host is rejected whole where its shrunk rate stands out from that prior: over SPREAD deviations of the prior above its mean,
+with over ODDS times the mean's odds. Hosts that fail alike, however often, are all left to the base verdicts. Verdicts are
+joined back to the documents.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 
 from soundframe.llm.common import SPACE_RE, WORD_RE, read, written
 
-#: A host is rejected when its shrunk failure rate is above this.
-HOST_LIMIT = 0.5
+#: What rejects a host: deviations above the prior's mean, and its odds of failure over the mean's.
+SPREAD, ODDS = 2.0, 3.0
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -53,23 +55,31 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return d.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", steps.alias("n_repeat_words"))
 
 
-def host_verdicts(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """(host, n_docs, n_failed, rate, host_rejected) from documents with host and base_failed; a null host is one host."""
+def host_verdicts(docs: DataFrame, spread: float = SPREAD, odds: float = ODDS) -> DataFrame:
+    """(host, n_docs, n_failed, rate, host_rejected) from documents with host and base_failed; a null host is one host.
+
+    Hosts with equal rates (or one host alone) give a prior without width that rejects none.
+    """
     hosts = docs.groupBy("host").agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()  # one row of two numbers
-    m, v = m or 0.0, v or 0.0
-    strength = min(max(m * (1 - m) / v - 1, 0.01), 1e6) if v > 0 else 1e6
+    n, failed, square = hosts.agg(F.sum("n_docs"), F.sum("n_failed"), F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs"))).first()  # three numbers
+    m = failed / n if n else 0.0
+    v = square / n - m * m if n else 0.0
+    strength = min(max(m * (1 - m) / v - 1, 0.01), 1e6) if v > 1e-12 else 1e6
+    limit = m + spread * (m * (1 - m) / (strength + 1)) ** 0.5
     shrunk = (F.col("n_failed") + F.lit(m * strength)) / (F.col("n_docs") + F.lit(strength))
-    return hosts.withColumn("rate", shrunk).withColumn("host_rejected", F.col("rate") > limit)
+    stands_out = (F.col("rate") > limit) & (F.col("rate") * (1 - m) > odds * m * (1 - F.col("rate")))
+    return hosts.withColumn("rate", shrunk).withColumn("host_rejected", stands_out)
 
 
-def quality(docs: DataFrame, limit: float = HOST_LIMIT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """features, base_failed, kept and the host's shrunk rate, one row per row of docs. An empty table gives an empty result."""
+def quality(docs: DataFrame, spread: float = SPREAD, odds: float = ODDS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """features, base_failed, kept and the host's shrunk rate, one row per row of docs.
+
+    Rows that repeat are judged alike and all count for their host; texts may be of any length; an empty table gives an empty result.
+    """
     f = features(docs, id_col, text_col, host_col)
     f = f.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     f = written(f, "quality")  # a few numbers per document, read twice
-    verdicts = host_verdicts(f, limit).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), "host_rejected")
+    verdicts = host_verdicts(f, spread, odds).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), "host_rejected")
     out = f.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("_host")
 
@@ -91,9 +101,9 @@ f AS (SELECT doc_id, host, CAST(n_words AS BIGINT) AS n_words, CAST(length(array
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c, 0) AS BIGINT) AS n_repeat_words FROM n LEFT JOIN cov USING (r)),
 g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 hosts AS (SELECT host, count(*) AS nd, count(*) FILTER (base_failed) AS nf FROM g GROUP BY host),
-prior AS (SELECT avg(nf / nd) AS m, var_pop(nf / nd) AS v FROM hosts),
-strength AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 0.01), 1e6) ELSE 1e6 END AS s FROM prior),
-rates AS (SELECT host, (nf + m * s) / (nd + s) AS rate FROM hosts, strength)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (rate > 0.5) AS kept, round(rate, 6) AS host_rate
+prior AS (SELECT sum(nf) / sum(nd) AS m, sum(nf * nf / nd) / sum(nd) - power(sum(nf) / sum(nd), 2) AS v FROM hosts),
+strength AS (SELECT m, CASE WHEN v > 1e-12 THEN least(greatest(m * (1 - m) / v - 1, 0.01), 1e6) ELSE 1e6 END AS s FROM prior),
+rates AS (SELECT host, m, m + 2 * sqrt(m * (1 - m) / (s + 1)) AS high, (nf + m * s) / (nd + s) AS rate FROM hosts, strength)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (rate > high AND rate * (1 - m) > 3 * m * (1 - rate)) AS kept, round(rate, 6) AS host_rate
 FROM g JOIN rates ON g.host IS NOT DISTINCT FROM rates.host
 """

@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash": minhash.SQL, "op5_decontaminate": decontaminate.SQL, "op6_quality": quality.SQL, "op9_chat": chat.SQL}
+    return {"op3_minhash": minhash.SQL, "op4_warc": warc.SQL, "op5_decontaminate": decontaminate.SQL, "op6_quality": quality.SQL, "op9_chat": chat.SQL}

@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios (NB-SVM style, logistic loss).
 
-Fitting takes at most max_rows labelled rows (those with the smallest hashes of doc_id), in one task: presence counts of
-hashed n-grams by class, their log-count ratios, the max_features n-grams that separate most, and a regularised logistic
-regression on the scaled features. The model (max_features weights) goes to every task; scoring is one pass without a shuffle.
+Fitting takes at most max_rows labelled rows (those with the smallest hashes of doc_id). Tasks count by class in how many of them each
+hashed n-gram occurs; of these counts' log ratios the max_features that separate most are kept, and a regularised logistic regression
+on the scaled features is fitted in one task, which gets no texts. The model (max_features weights) goes to every task; scoring is
+one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from soundframe.llm.common import pieces, read, text_buffer
+from soundframe.llm.common import pieces, read, text_buffer, written
 
 #: At most so many labelled rows are used for fitting.
 MAX_ROWS = 8000
@@ -52,60 +53,89 @@ def grams(texts: list[str], keep: np.ndarray | None = None) -> tuple[np.ndarray,
     return keys >> BITS, keys & ((1 << BITS) - 1)
 
 
-def fit(texts: list[str], labels: np.ndarray, max_features: int = MAX_FEATURES, smooth: float = 1.0, l2: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
-    """Buckets, weights (ratio times coefficient) and intercept. Without both classes: no features, the score is the class seen."""
-    y = np.asarray(labels, np.float64)
-    if not len(y) or y.min() == y.max():
-        return np.zeros(0, np.int64), np.zeros(0), (20.0 if len(y) and y[0] else -20.0)
-    count = np.zeros((2, 1 << BITS))
-    for i in range(0, len(texts), 200):
-        row, bucket = grams(texts[i : i + 200])
-        for k in (0, 1):
-            count[k] += np.bincount(bucket[y[i + row] == k], minlength=1 << BITS)
-    totals = np.array([(y == 0).sum(), (y == 1).sum()], np.float64)
-    ratio = np.log((count[1] + smooth) / (totals[1] + 2 * smooth)) - np.log((count[0] + smooth) / (totals[0] + 2 * smooth))
-    share = np.abs((count[1] + smooth) / (totals[1] + 2 * smooth) - (count[0] + smooth) / (totals[0] + 2 * smooth))
-    worth = np.where(count.sum(0) >= 2, np.abs(ratio) * share, 0)
-    chosen = np.sort(np.argsort(-worth, kind="stable")[: min(max_features, int((worth > 0).sum()))])
-    keep = np.zeros(1 << BITS, bool)
-    keep[chosen] = True
-    place = np.zeros(1 << BITS, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    parts = [(row + i, place[bucket]) for i in range(0, len(texts), 200) for row, bucket in [grams(texts[i : i + 200], keep)]]
-    row, col = (np.concatenate(x) for x in zip(*parts, strict=True))
-    x, n, m = ratio[chosen][col], len(y), len(chosen)
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(bucket, zeros, ones): of the rows (text, toxic) with label 0 and 1, how many hold a hashed n-gram; summed in tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            data, off = text_buffer(batch.column(0))
+            y = np.asarray(batch.column(1))
+            for i, j in pieces(off):
+                row, bucket = grams([data[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace") for k in range(i, j)])
+                for k in (0, 1):
+                    count[k] += np.bincount(bucket[y[i + row] == k], minlength=1 << BITS)
+        at = np.flatnonzero(count.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[0, at]), pa.array(count[1, at])], names=["bucket", "zeros", "ones"])
+
+    return rows.select("text", "toxic").mapInArrow(run, "bucket long, zeros long, ones long").groupBy("bucket").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+
+
+def held_grams(rows: DataFrame, buckets: np.ndarray) -> DataFrame:
+    """(doc_id, toxic, held): places in buckets (sorted) of the n-grams that each row holds."""
+    shared = rows.sparkSession.sparkContext.broadcast(buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.zeros(1 << BITS, bool)
+        keep[shared.value] = True
+        for batch in batches:
+            data, off = text_buffer(batch.column(2))
+            for i, j in pieces(off):
+                row, bucket = grams([data[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace") for k in range(i, j)], keep)
+                ends = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
+                held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.searchsorted(shared.value, bucket).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), held], names=["doc_id", "toxic", "held"])
+
+    return rows.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, held array<int>")
+
+
+def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray, l2: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Weights (ratio times coefficient) and intercept of a logistic regression; row holds n-gram col, whose value is its ratio."""
+    n, m, ones = len(y), len(ratio), float(y.sum())
+    x = ratio[col]
     scale = 1 / np.sqrt(np.bincount(col, x**2, m) / n + 1e-9)
     scale /= np.sqrt(max(1, len(row) / n))
     x = x * scale[col]
-    w, b, vw, vb, step = np.zeros(m), np.log(totals[1] / totals[0]), np.zeros(m), 0.0, 1.0
+    w, b, vw, vb, step = np.zeros(m), np.log(ones / (n - ones)), np.zeros(m), 0.0, 1.0
     for _ in range(rounds):  # momentum on the mean loss
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, x * w[col], n) + b, -30, 30)))
         g = np.bincount(col, x * (p - y)[row], m) / n + l2 * w / n
         vw, vb = 0.9 * vw - step * g, 0.9 * vb - step * (p - y).mean()
         w, b = w + vw, b + vb
-    return chosen, w * scale * ratio[chosen], float(b)
+    return w * scale * ratio, float(b)
+
 
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int = FOLDS, max_features: int = MAX_FEATURES, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """Learns toxic from labelled documents of the folds other than 0 (crc32 of the id as text): buckets, weights and intercept.
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int = FOLDS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Learns toxic from labelled documents of the folds other than 0 (crc32 of the id as text). Of several labels the largest counts."""
+    Of several labels of an id the largest counts, of several texts the smallest; null ids and labels teach nothing; null texts are empty.
+    Without rows the score is that of label 0, with one class that of the class seen. Texts are counted where they lie; only the
+    max_features numbers of each of at most max_rows rows meet in the task that fits.
+    """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     labelled = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold != 0)
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # max_rows rows of two numbers
-    rows = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").limit(max_rows).coalesce(1)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows rows of two numbers
+    rows = written(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
+    total = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n0, n1 = total.get(0, 0), total.get(1, 0)
+    if not n0 or not n1:
+        return np.zeros(0, np.int64), np.zeros(0), 20.0 if n1 else -20.0
+    share = lambda c, n: (F.col(c) + smooth) / (n + 2 * smooth)
+    ratio = F.ln(share("ones", n1)) - F.ln(share("zeros", n0))
+    worth = F.abs(ratio) * F.abs(share("ones", n1) - share("zeros", n0))
+    best = gram_counts(rows).where("zeros + ones >= 2").select("bucket", ratio.alias("ratio"), worth.alias("worth")).where("worth > 0").orderBy(F.desc("worth"), "bucket").limit(max_features).toPandas().sort_values("bucket")
+    buckets, ratios = best["bucket"].to_numpy(np.int64), best["ratio"].to_numpy(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, y = [], []
-        for batch in batches:
-            texts += [t or "" for t in batch.column(1).to_pylist()]
-            y += batch.column(2).to_pylist()
-        buckets, weights, intercept = fit(texts, np.array(y))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *buckets.tolist()], pa.int64()), pa.array([intercept, *weights.tolist()], pa.float64())], names=["bucket", "weight"])
-
-    model = {r.bucket: r.weight for r in rows.mapInArrow(run, "bucket long, weight double").collect()}  # MAX_FEATURES + 1 rows at most
-    intercept = model.pop(-1, -20.0)
-    buckets = np.array(sorted(model), np.int64)
-    return buckets, np.array([model[b] for b in buckets.tolist()]), intercept
+        t = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("held", pa.list_(pa.int32()))])).sort_by("doc_id").combine_chunks()
+        held = t["held"].combine_chunks()
+        row = np.repeat(np.arange(len(held)), np.diff(np.asarray(held.offsets)))
+        weights, intercept = fit(row, np.asarray(held.flatten()), t["toxic"].to_numpy().astype(float), ratios)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(weights))), pa.array(np.r_[intercept, weights])], names=["place", "weight"])
+
+    model = held_grams(rows, buckets).coalesce(1).mapInArrow(run, "place long, weight double").toPandas().sort_values("place")["weight"].to_numpy()  # max_features + 1 rows
+    return buckets, model[1:], float(model[0])
 
 
 def score_toxicity(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", out_col: str = "toxicity") -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from soundframe.llm import decontaminate
 
 
@@ -45,7 +47,48 @@ def test_near_copies_that_repeat_a_word(spark, docs_of):
 
 def test_fingerprints_of_long_texts(spark):
     df = spark.range(1).selectExpr("sequence(1L, 70000L) as h")
-    h = df.select(decontaminate.F.transform("h", lambda x: decontaminate.F.xxhash64(x)).alias("h"))
-    plain = [sum(x >> b & 1 for x in h.first().h) for b in range(64)]
-    got = h.select(decontaminate.majority(decontaminate.F.col("h")).alias("x")).first().x
-    assert [got >> b & 1 for b in range(64)] == [int(2 * n > 70000) for n in plain]
+    h = df.select(F.transform("h", lambda x: F.xxhash64(x)).alias("h"))
+    plain = [sum(x >> b & 1 for x in h.first().h) for b in range(60)]
+    got = h.select(decontaminate.majority(F.col("h"), 6).alias("x")).first().x
+    assert [got[b // 10] >> b % 10 & 1 for b in range(60)] == [int(2 * n > 70000) for n in plain]
+
+
+def test_blocks_find_all_within_the_radius(spark):
+    rng = random.Random(8)
+    blocks = lambda: [rng.randrange(1 << decontaminate.WIDTH) for _ in range(decontaminate.BLOCKS)]
+    items = [(i, 7 + i % 2, blocks()) for i in range(20)]
+    windows = []
+    for w in range(300):
+        fp = list(items[w % 20][2])
+        for b in rng.sample(range(120), rng.randrange(50)):
+            fp[b // 10] ^= 1 << b % 10
+        windows.append((w, 7 + rng.randrange(2), fp))
+    got = {tuple(r) for r in decontaminate.block_pairs(spark.createDataFrame(windows, "wid long, size int, fp array<int>"), spark.createDataFrame(items, "item long, size int, fp array<int>")).collect()}
+    far = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b))
+    want = {(w, i) for w, s, a in windows for i, t, b in items if s == t and far(a, b) <= decontaminate.RADIUS}
+    assert got == want and len(want) > 80
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of item-sized windows at a similarity of 0.75 to 0.8: at least 0.99 lie within the radius."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(400):
+        size = rng.randrange(30, 80)
+        lost = size // 7 - rng.randrange(2)
+        a = [rng.randrange(1 << 60) for _ in range(size)]
+        rows.append((a, a[lost:] + [rng.randrange(1 << 60) for _ in range(lost)]))
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").select(decontaminate.simhash(F.col("a")).alias("x"), decontaminate.simhash(F.col("b")).alias("y"))
+    near = df.where(decontaminate.hamming("x", "y") <= decontaminate.RADIUS).count()
+    assert near >= 0.99 * len(rows)
+
+
+def test_rows_that_repeat_and_clash(spark, docs_of):
+    item = " ".join(f"b{i}" for i in range(30))
+    docs = docs_of([item, item, None, "", "x " * 4], ", size int, start int, h int, wid int, fp int, k int, item int, text2 string", (1, 2, 3, 4, 5, 6, 7, "t"))
+    docs = docs.unionByName(docs.where("doc_id = 1")).unionByName(docs.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item), (2, "b1 b2 b3")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.similarity) for r in decontaminate.contaminated(docs, bench).collect() if r.doc_id is not None and r.item_id is not None)
+    assert got == [(0, 1, 1.0), (1, 1, 1.0)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [2, 3, 4]
+    assert decontaminate.contaminated(docs.limit(0), bench).count() == 0

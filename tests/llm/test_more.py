@@ -71,10 +71,10 @@ def test_leaks(spark, docs_of):
     assert set(got) == {(2, 1), (3, 1), (6, 2)} and got[2, 1] == (2, 1.0) and got[6, 2] == (0, 1.0)
     joined = None
     try:
-        limit, decontaminate.IN_ROW = decontaminate.IN_ROW, 3
+        limit, decontaminate.SENT = decontaminate.SENT, 3
         joined = {(r.doc_id, r.item_id): (r.start_word, round(r.similarity, 4)) for r in decontaminate.contaminated(docs_of(texts), bench).collect()}
     finally:
-        decontaminate.IN_ROW = limit
+        decontaminate.SENT = limit
     assert joined == got
     assert {r.doc_id for r in decontaminate.decontaminate(docs_of(texts), bench).collect()} == {0, 1, 4, 5}
     assert decontaminate.contaminated(docs_of(texts), bench.limit(0)).count() == 0
@@ -94,6 +94,26 @@ def test_quality_counts(spark, docs_of):
         assert r.base_failed == (len(w) < 50 or 100 * repeat > 50 * len(w)) and (not r.kept or not r.base_failed)
 
 
+def test_hosts_against_the_prior(spark):
+    good, bad = " ".join(f"w{i}" for i in range(60)), "short"
+    rows = [(h * 100 + i, bad if i == 0 else good, f"good{h}") for h in range(30) for i in range(20)]
+    rows += [(9000 + i, good if i < 3 else bad, "broken") for i in range(20)] + [(9500, bad, "tiny"), (9501, good, "one"), (9502, good, None), (9503, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    hosts = {r.host: r for r in quality.host_verdicts(docs.selectExpr("source as host", "coalesce(length(text), 0) < 50 as base_failed")).collect()}
+    assert [h for h, r in hosts.items() if r.host_rejected] == ["broken"] and hosts["tiny"].n_failed == hosts["tiny"].n_docs and hosts["tiny"].rate < 0.9
+    assert not got[9000].base_failed and not got[9000].kept and got[9501].kept and got[9502].kept and got[1].kept and not got[0].kept
+    twice = quality.quality(docs.unionByName(docs)).where("doc_id = 9000").collect()
+    assert len(twice) == 2 and not any(r.kept for r in twice)
+    assert quality.quality(docs.limit(0)).count() == 0
+
+
+def test_quality_of_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g " * 40_000, "x")], "doc_id long, text string, source string")
+    r = quality.quality(docs).first()
+    assert (r.n_words, r.n_repeat_words, r.base_failed) == (280_000, 280_000, True)
+
+
 def test_language_model(spark, docs_of):
     texts = [None, "", *corpus(3, 30), "neverseen " * 5]
     rows = {r.doc_id: r for r in lm.scores(docs_of(texts, ", k int", (1,))).collect()}
@@ -126,16 +146,34 @@ def test_model_is_normalised():
 
 
 def test_preferences(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (1, 3, "assistant", "b"), (2, 0, "user", None), (2, 1, "assistant", "c"), (3, 0, "user", "alone"), (None, 0, "assistant", "n")]
-    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.format_preferences(chat.worse_replies(chat.conversations(c))).collect()}
-    assert set(got) == {1, 2, None}
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (1, 3, "assistant", "b"), (2, 0, "user", None), (2, 1, "assistant", "cdef"), (3, 0, "user", "alone"), (None, 0, "assistant", "n")]
+    c = chat.conversations(spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, opening string"))
+    got = {r.conv_id: r for r in chat.format_preferences(chat.preference_pairs(c)).collect()}
+    assert set(got) == {1, 2, 3, None}
     r = got[1]
     assert r.n_prompt_turns == 3 and r.prompt.endswith("more<|im_end|>\n") and r.chosen == "<|im_start|>assistant\nb<|im_end|>\n"
     a, b = map(int, r.chosen_mask.split(":"))
-    assert r.chosen[a:b] == "b<|im_end|>" and "\na<|im_end|>" in r.rejected and got[2].rejected == "<|im_start|>assistant\n<|im_end|>\n"
-    same = chat.conversations(c).selectExpr("conv_id", "turns as chosen", "turns as rejected")
+    assert r.chosen[a:b] == "b<|im_end|>" and "\na<|im_end|>" in r.rejected and got[2].rejected == "<|im_start|>assistant\ncd<|im_end|>\n"
+    assert got[3].n_prompt_turns == 1 and got[3].chosen == "" == got[3].rejected
+    same = c.selectExpr("conv_id", "turns as chosen", "turns as rejected")
     assert all(x.chosen == "" == x.rejected_mask for x in chat.format_preferences(same).collect())
+    assert chat.format_preferences(chat.preference_pairs(c.limit(0))).count() == 0
+
+
+def test_conversations_with_a_common_opening(spark):
+    rng = random.Random(6)
+    convs = {i: [("user", f"q{i % 4}" if i < 40 else f"own{i}")] + [(("assistant", "user")[k % 2], rng.choice("ab") * rng.choice((1, 1, 1, 4000))) for k in range(rng.randrange(6))] for i in range(50)}
+    rows = [(i, k, role, text) for i, turns in convs.items() for k, (role, text) in enumerate(turns)]
+    c = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))
+    got = {r.conv_id: r for r in chat.format_preferences(chat.preference_pairs(c)).collect()}
+    assert set(got) == set(convs)
+    show = lambda turns: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
+    for i in range(40):
+        mine, other = convs[i], convs[i + 4 if i + 4 < 40 else i - 4]
+        n = 0
+        while n < min(len(mine), len(other)) and mine[n] == other[n]:
+            n += 1
+        assert (got[i].n_prompt_turns, got[i].prompt, got[i].chosen, got[i].rejected) == (n, show(mine[:n]), show(mine[n:]), show(other[n:]))
 
 
 def test_toxicity_on_held_out_rows(spark, sf):
@@ -146,10 +184,35 @@ def test_toxicity_on_held_out_rows(spark, sf):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
     none = toxicity.train(docs, labels.limit(0))
     assert toxicity.score_toxicity(docs.limit(5), none).where("toxicity >= 0.5").count() == 0
+    one = toxicity.train(docs, labels.where("toxic = 1"))
+    assert toxicity.score_toxicity(docs.limit(5), one).where("toxicity < 0.5").count() == 0
     clash = toxicity.score_toxicity(docs.limit(3).selectExpr("*", "'x' as toxicity"), none)
     assert clash.columns.count("toxicity") == 1
 
 
+def test_toxicity_against_plain_counts(spark, docs_of):
+    """The log-count ratios behind the model, and odd texts."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(("nasty", "vile", "word") if i % 2 else ("kind", "calm", "word")) for _ in range(12)) for i in range(60)]
+    texts += [None, "", "x", "nasty " * 60_000]
+    docs = docs_of(texts, ", toxic int, held string", (5, "x"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    twice = docs.unionByName(docs)
+    model = toxicity.train(twice, labels)
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    counts = Counter()
+    for i in train:
+        row, bucket = toxicity.grams([texts[i]])
+        counts.update((int(b), i % 2) for b in bucket)
+    rows = spark.createDataFrame([(texts[i], i % 2) for i in train], "text string, toxic int").repartition(3)
+    assert {(r.bucket, k): n for r in toxicity.gram_counts(rows).collect() for k, n in ((0, r.zeros), (1, r.ones)) if n} == dict(counts)
+    got = toxicity.score_toxicity(twice, model).orderBy("doc_id").collect()
+    assert all(a.toxicity == b.toxicity for a, b in zip(got[::2], got[1::2]))
+    score = [r.toxicity for r in got[::2]]
+    assert all((score[i] >= 0.5) == bool(i % 2) for i in range(60)) and score[63] > 0.5 and score[60] == score[61]
+    assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
 def test_archives(spark, tmp_path):
     htmls = ["<p>a</p>", None, "<p>a</p>", "", "x\r\n\r\nWARC/1.1\r\ny", "é" * 50_000, "<p>a</p>", "x\r\n\r\nWARC/1.1\r\ny"]
     rows = [(i, f"http://www.b{i % 2}.org/p?q={i % 3}" if i else None, h) for i, h in enumerate(htmls)]
@@ -164,10 +227,35 @@ def test_archives(spark, tmp_path):
         at = first.setdefault(digest, r.page_id)
         assert (r.payload_bytes, r.payload_digest) == (len(raw), digest)
         assert (r.record_type, r.refers_to) == (("response", None) if at == r.page_id else ("revisit", at))
-    order = sorted(got, key=lambda r: (r.index_partition, r.index_position))
+    order = sorted(got, key=lambda r: r.place)
     assert [r.urlkey for r in order] == sorted(r.urlkey for r in got) and "org,b1)/p?q=1" in {r.urlkey for r in got}
 
 
+def test_archives_of_odd_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 3)
+    monkeypatch.setattr(warc, "MIN_FILE", 400)
+    rng = random.Random(5)
+    rows = [(i, f"http://h{rng.randrange(4)}.org/{rng.randrange(5)}", f"p{rng.randrange(30)}" * rng.randrange(4), 1, "x") for i in range(80)]
+    rows += [(3, None, rows[3][2], 1, "x"), (None, "http://a.org", rows[3][2], 1, "x"), (None, None, "only null", 1, "x"), (90, "", "tiny", 1, "x"), (91, "", "tiny", 1, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha int, name string").repartition(7)
+    warc.write_archives(pages, str(tmp_path / "a"), least=5)
+    runs = warc.read_archives(spark, str(tmp_path / "a"))
+    assert runs.select("run").distinct().count() > 2
+    for ranges in (1, 5):
+        got = warc.numbered(warc.capture_history(runs, ranges)).orderBy("place").collect()
+        assert [r.place for r in got] == list(range(len(rows)))
+        assert [warc.capture_order(r)[:4] for r in got] == sorted(warc.capture_order(r)[:4] for r in got)
+        first = {}
+        for i, _, h, *_ in rows:
+            if i is not None:
+                first[h] = min(i, first.get(h, i))
+        want = sorted((str(i), len(h), "revisit" if len(h) >= 5 and first.get(h, i) != i else "response", str(first[h] if len(h) >= 5 and first.get(h, i) != i else None)) for i, _, h, *_ in rows)
+        assert sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in got) == want
+    warc.write_archives(pages.limit(0), str(tmp_path / "b"))
+    none = warc.read_archives(spark, str(tmp_path / "b"))
+    assert none.count() == 0 and warc.numbered(warc.capture_history(none)).count() == 0
+
+
 def test_loser_tree():
     rng = random.Random(3)
     for k in range(9):

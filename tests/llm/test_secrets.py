@@ -63,3 +63,14 @@ def test_redact_and_empty(spark, docs_of):
     assert out[0] is None and out[3].startswith("[SECRET] AKIASHORT") and "hunter22" not in out[2] and out[5] == "[SECRET]"
     assert S.redact(docs).columns == docs.columns
     assert S.scan_secrets(docs.limit(0)).count() == 0 and S.redact(docs.limit(0)).count() == 0
+
+
+def test_token_runs_take_linear_time():
+    import time
+
+    from soundframe.llm.secrets import RULES, find
+
+    jwt = next(r for r in RULES if r.kind == "jwt")
+    began = time.time()
+    assert find(jwt, "eyJ" * 400_000) == [] and find(jwt, "eyJ-" * 300_000) == [] and find(jwt, ("eyJ" + "a" * 12 + ".") * 50_000)
+    assert time.time() - began < 5
