@@ -10,7 +10,7 @@ FIFTHS = ["C", "G", "D", "A", "E", "B", "F#", "Db", "Ab", "Eb", "Bb", "F"]
 RELATIVE = ["Am", "Em", "Bm", "F#m", "C#m", "G#m", "D#m", "Bbm", "Fm", "Cm", "Gm", "Dm"]
 SEMITONES = {"C": 0, "C#": 1, "Db": 1, "D": 2, "D#": 3, "Eb": 3, "E": 4, "F": 5, "F#": 6, "Gb": 6, "G": 7, "G#": 8, "Ab": 8, "A": 9, "A#": 10, "Bb": 10, "B": 11}
 MAJOR, MINOR = [0, 2, 4, 5, 7, 9, 11], [0, 2, 3, 5, 7, 8, 10]
-#: Tempo ratios that still fit, and the shares for each degree of relation between keys.
+#: Tempo ratios that still fit.
 RATIOS = [0.5, 2.0, 0.25, 4.0, 0.75, 1.5]
 PATTERN = r"(?i)^([A-G][#b]?)\s*(m|min|minor)?$"
 
@@ -79,3 +79,12 @@ def frequency_part(ca: Column, wa: Column, cb: Column, wb: Column) -> Column:
 def dynamics_part(a: Column, b: Column) -> Column:
     d = F.abs(a - b)
     return F.when(a.isNull() | b.isNull(), 0.5).when(d > 6, 0.9).when((d < 3) & ((a + b) / 2 > 12), 0.5).otherwise(0.7)
+
+
+def parse_key(key: Column) -> Column:
+    """Struct (root, mode) of A, Am, a minor, C# maj and the like; NULL for a root that is no note. A lone M counts as minor."""
+    t = F.trim(key)
+    pattern = r"(?i)^([A-G][#b]?)\s*(m|min|minor|maj|major)?$"
+    root = F.concat(F.upper(F.substring(F.regexp_extract(t, pattern, 1), 1, 1)), F.substring(F.regexp_extract(t, pattern, 1), 2, 9))
+    mode = F.when(F.lower(F.regexp_extract(t, pattern, 2)).isin("m", "min", "minor"), "minor").otherwise("major")
+    return F.when(F.try_element_at(lookup(SEMITONES), root).isNotNull(), F.struct(root.alias("root"), mode.alias("mode")))

@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The thresholds and weights in this module must match other tools that read the scores. Corners for clips by type:
+CORNERS = {
+    "kick": (-3, -2, 0), "snare": (-1, -1, 2), "hihat": (1, -1, -1), "hat": (1, -1, -1), "clap": (-2, 0, 1), "perc": (0, -0.5, -2), "bass": (-3, 1, -1), "synth": (2, 2, 1), "lead": (2, 2, 1),
+    "pad": (3, 3, 0), "vocal": (1, 2, -2), "ambient": (3, 3, -3), "fx": (0, 1, 3), "loop": (-1, 3, 2), "noise": (2, 0, -3), "texture": (3, 1, -2),
+}
+
+
 def clamp(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
@@ -143,3 +150,17 @@ def heuristic_tag(rms: Column, hz: Column, zcr: Column, dur: Column, tempo: Colu
 
 def speech_like(rms: Column, hz: Column, zcr: Column, dur: Column) -> Column:
     return (dur >= 0.5) & (rms >= 0.005) & hz.between(300, 4500) & zcr.between(0.03, 0.25)
+
+
+def layout(index: Column, share: Column, c=F.col) -> dict[str, Column]:
+    """x, y and z in +-5 from brightness, energy and percussiveness (unknown: the middle) where share of the attributes is half or more.
+
+    Other clips lie around the corner of their type, spread by index (from 0) along golden angles.
+    """
+    known = perceptual(c)
+    at = [(F.coalesce(known[a], F.lit(0.5)) * 2 - 1) * 5 for a in ("brightness", "energy", "percussiveness")]
+    corner = F.try_element_at(F.create_map(*[x for k, v in CORNERS.items() for x in (F.lit(k), F.array(*[F.lit(float(p)) for p in v]))]), F.regexp_replace(F.lower(c("sample_type")), "[^a-z]", ""))
+    angle = F.radians(F.pmod(index * 137.508, F.lit(360.0)))
+    reach = 1.8 * (0.3 + F.pmod(index * 0.618, F.lit(1.0)) * 0.7)
+    swing = [F.cos(angle) * reach, F.sin(angle) * reach * 0.6, F.sin(angle * 0.7) * reach]
+    return {n: F.when(share >= 0.5, at[k]).otherwise(F.coalesce(F.get(corner, F.lit(k)), F.lit(0.0)) + swing[k]) for k, n in enumerate("xyz")}

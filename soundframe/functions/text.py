@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 #: Word lists of our own for generated names.
 ADJECTIVES = ["amber", "brisk", "calm", "dusty", "early", "faint", "gentle", "hollow", "icy", "jolly", "keen", "lucid"]
 NOUNS = ["anchor", "beacon", "canyon", "delta", "ember", "fjord", "grove", "harbor", "island", "jetty", "knoll", "lagoon"]
+MOODS = {
+    "bright": ["sunny", "vivid", "shiny"], "dark": ["gloomy", "inky", "shaded"], "dense": ["massive", "packed", "solid"], "thin": ["airy", "sparse", "slight"], "sharp": ["edgy", "pointed", "raspy"],
+    "smooth": ["silken", "sleek", "soft"], "short": ["brief", "quick", "snappy"], "long": ["endless", "slow", "stretched"], "neutral": ["plain", "even", "middling", "mild"],
+}
 STOP_WORDS = ["the", "and", "for", "are", "was", "this", "that", "with", "you", "they", "from", "have"]
 
 
@@ -21,6 +25,35 @@ def stem_from_seed(seed: Column) -> Column:
     return F.concat_ws("-", pick(ADJECTIVES, byte(0)), pick(NOUNS, byte(1)))
 
 
+def stem_fnv(seed: Column) -> Column:
+    """adjective-noun from the 64-bit FNV-1a hash of the seed's bytes, kept as two halves of 32 bits."""
+    code = F.hex(seed.cast("binary"))
+    half = (1 << 32) - 1
+    number = lambda x: F.lit(x).cast("long")
+
+    def step(a: Column, i: Column) -> Column:
+        low = a.low.bitwiseXOR(F.conv(F.substr(code, 2 * i + 1, F.lit(2)), 16, 10).cast("long"))
+        high = a.high * 435 + F.shiftright(low * 435, 32) + F.shiftleft(low.bitwiseAND((1 << 24) - 1), 8)  # times 2^40 + 435
+        return F.struct(high.bitwiseAND(half).alias("high"), (low * 435).bitwiseAND(half).alias("low"))
+
+    start = F.struct(number(0xCBF29CE4).alias("high"), number(0x84222325).alias("low"))
+    places = F.filter(F.sequence(F.lit(0), F.octet_length(seed)), lambda i: i < F.octet_length(seed))
+    n = len(ADJECTIVES)
+    stem = lambda h: F.concat_ws("-", pick(ADJECTIVES, (h.high % n) * ((1 << 32) % n) + h.low % n), pick(NOUNS, F.shiftleft(h.high, 16) + F.shiftright(h.low, 16)))
+    return F.get(F.transform(F.array(F.aggregate(places, start, step)), stem), F.lit(0))
+
+
+def mood_adjective(seed: Column, rms: Column, hz: Column, zcr: Column, dur: Column) -> Column:
+    """A word from the pools of all buckets that the features fall into (else the neutral one), by byte 2 of the seed's md5."""
+    pool = lambda name: F.array(*map(F.lit, MOODS[name]))
+    none = F.array().cast("array<string>")
+    pair = lambda x, low, high, below, above: F.when(x > high, pool(above)).when(x < low, pool(below)).otherwise(none)
+    words = F.concat(pair(hz, 800, 3000, "dark", "bright"), pair(rms, 0.03, 0.15, "thin", "dense"), pair(zcr, 0.05, 0.2, "smooth", "sharp"), pair(dur, 0.6, 3.0, "short", "long"))
+    words = F.when(F.size(words) > 0, words).otherwise(pool("neutral"))
+    byte = F.conv(F.substring(F.md5(seed.cast("binary")), 5, 2), 16, 10).cast("int")
+    return F.get(words, byte % F.size(words))
+
+
 def transcript_stem(text: Column) -> Column:
     """First three words of letters only, three letters or more, no stop words; NULL if none is left."""
     words = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, r"[^a-z]", ""))
@@ -45,9 +78,18 @@ def timestamp_suffix(name: Column) -> Column:
     return F.nullif(F.regexp_extract(name, r"_(\d{8}_\d{6})$", 1), F.lit(""))
 
 
+def renamed(path: Column, stem: Column) -> Column:
+    """The path with another stem; folder, extension (wav if none) and a timestamp suffix stay."""
+    folder = F.regexp_extract(path, r"^(.*/)?[^/]*$", 1)
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    extension, old = F.regexp_extract(name, r"\.([^.]+)$", 1), F.regexp_replace(name, r"\.[^.]+$", "")
+    stamp = timestamp_suffix(old)
+    return F.concat(folder, stem, F.coalesce(F.concat(F.lit("_"), stamp), F.lit("")), F.lit("."), F.when(extension != "", extension).otherwise("wav"))
+
+
 def detect_pack(path: Column, root: str) -> Column:
     """First directory under root, or root's own name for files that lie in it."""
-    rest = F.split(F.substring(path, len(root.rstrip("/")) + 2, 10_000), "/")
+    rest = F.split(F.substr(path, F.lit(len(root.rstrip("/")) + 2)), "/")
     return F.when(F.size(rest) > 1, rest[0]).otherwise(root.rstrip("/").rpartition("/")[2])
 
 
@@ -66,3 +108,28 @@ def hz_to_mel(hz: Column) -> Column:
 
 def pitch_class(hz: Column) -> Column:
     return F.when(hz > 0, F.pmod(F.round(69 + 12 * F.log2(F.when(hz > 0, hz) / 440)), F.lit(12)).cast("int"))
+
+
+def from_db(db: Column) -> Column:
+    return F.pow(F.lit(10.0), db / 20)
+
+
+def mel_to_hz(mel: Column) -> Column:
+    return 700 * (F.pow(F.lit(10.0), mel / 2595) - 1)
+
+
+def frame_seconds(frame: Column, rate: float, hop: int) -> Column:
+    return frame * hop / rate
+
+
+def seconds_frame(seconds: Column, rate: float, hop: int) -> Column:
+    return F.floor(seconds * rate / hop)
+
+
+def lag_bpm(lag: Column, rate: float, hop: int) -> Column:
+    """0 for a lag of 0."""
+    return F.when(lag > 0, 60 * rate / hop / F.nullif(lag, F.lit(0))).otherwise(0.0)
+
+
+def bpm_lag(bpm: Column, rate: float, hop: int) -> Column:
+    return F.round(60 / F.nullif(bpm, F.lit(0.0)) * rate / hop).cast("long")

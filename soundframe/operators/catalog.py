@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soundframe.functions import music
+from soundframe.operators.stored import stored
 
-#: Columns that a search may sort by.
-SORTABLE = {"id", "path", "bpm", "key", "duration", "created_at", "sample_type", "quality_score", "applicability_score", "rms_db", "peak_db", "crest_factor", "spectral_centroid", "loop_quality"}
+#: Columns that a search may sort by.
+SORTABLE = ("path", "sample_type", "bpm", "key", "duration", "quality_score", "applicability_score", "created_at", "updated_at", "rms_db", "spectral_centroid", "spectral_flatness", "crest_factor", "dynamic_range")
 SYSTEM_TAGS = ("session:", "parent:", "stem:", "stems-")
 #: Groups of a fixed, small size may be broadcast; larger ones are left to the planner.
 BROADCAST_ROWS = 100_000
@@ -52,9 +53,43 @@ def page(df: DataFrame, sort_field: str = "applicability_score", direction: str
     return df.orderBy(first, "id").offset(offset).limit(limit)
 
 
+def search_page(samples, sample_tag, sort_field="applicability_score", direction="desc", limit=100, offset=0, **filters) -> tuple[DataFrame, int]:
+    """One page of a search and how many clips it finds in all."""
+    found = search(samples, sample_tag, **filters)
+    return page(found, sort_field, direction, limit, offset), found.count()
+
+
+def browse(samples, sample_type=None, min_bpm=None, max_bpm=None, limit=100, offset=0) -> DataFrame:
+    """Newest clips first."""
+    return search(samples, None, sample_type=sample_type, min_bpm=min_bpm, max_bpm=max_bpm).orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
+
+
+FILTERS = "tags array<string>, query string, sample_type string, pack_id bigint, min_bpm double, max_bpm double, min_score double, max_score double, is_loopable boolean, max_duration double"
+
+
+def apply_preset(samples, sample_tag, presets: DataFrame, name: str) -> DataFrame:
+    """The search that a saved preset (name, filters as JSON) describes; an unknown name is an error."""
+    row = presets.where(F.col("name") == name).select(F.from_json("filters", FILTERS).alias("f")).select("f.*").first()  # one row
+    if row is None:
+        raise ValueError(f"no preset {name}")
+    return search(samples, sample_tag, **{k: v for k, v in row.asDict().items() if v is not None})
+
+
+def ordered_presets(presets: DataFrame) -> DataFrame:
+    return presets.orderBy("sort_order", "name")
+
+
+def import_summary(files: DataFrame, samples: DataFrame) -> DataFrame:
+    """One row: imported and skipped (known path, or a path given before) files, and those with an error (column error)."""
+    known = samples.select("path").distinct().withColumn("_known", F.lit(True))
+    f = files.groupBy("path").agg(F.count("*").alias("n"), F.max("error").alias("error")).join(known, "path", "left")
+    new = F.col("_known").isNull()
+    return f.agg(F.count_if(new & F.col("error").isNull()).alias("imported"), F.coalesce(F.sum(F.when(new, F.col("n") - 1).otherwise(F.col("n"))), F.lit(0)).alias("skipped"), F.count_if(new & F.col("error").isNotNull()).alias("failed"))
+
+
 def enrich(samples: DataFrame, sample_tag: DataFrame, packs: DataFrame) -> DataFrame:
-    """Adds the sorted tags of each clip and its pack's name in one join each."""
-    tags = sample_tag.groupBy(F.col("sample_id").alias("id")).agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+    """Adds the sorted tags of each clip and its pack's name in one join each; only the bridge rows of these clips are grouped."""
+    tags = sample_tag.join(samples.select(F.col("id").alias("sample_id")), "sample_id", "left_semi").groupBy(F.col("sample_id").alias("id")).agg(F.array_sort(F.collect_list("tag")).alias("tags"))
     names = packs.select(F.col("id").alias("pack_id"), F.col("name").alias("pack_name"))
     return samples.join(tags, "id", "left").join(names, "pack_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
@@ -84,7 +119,7 @@ def extension(path: Column) -> Column:
 def list_directory(files: DataFrame, samples: DataFrame, directory: str) -> DataFrame:
     """Children of a directory: hidden ones dropped, directories first, then by name; files get the clip's id."""
     root = directory.rstrip("/") + "/"
-    rest = F.substring("path", len(root) + 1, 10_000)
+    rest = F.substr("path", F.lit(len(root) + 1))
     inside = files.where(F.col("path").startswith(root)).select("path", F.split(rest, "/").alias("p"))
     children = inside.select(F.col("p")[0].alias("name"), (F.size("p") > 1).alias("is_directory"), F.when(F.size("p") == 1, F.col("path")).alias("path")).where("name <> '' and not startswith(name, '.')").distinct()
     ids = samples.select("path", F.col("id").alias("sample_id"))
@@ -148,6 +183,12 @@ def duplicate_savings(items: DataFrame) -> DataFrame:
     return g.where("members > 1")
 
 
+def duplicate_details(items: DataFrame) -> DataFrame:
+    """duplicate_savings with paths, the members' sorted paths: one row of text a group, as a report shows it."""
+    paths = duplicate_groups(items).groupBy("fingerprint_hash").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return duplicate_savings(items).join(paths, "fingerprint_hash")
+
+
 def keep_best(items: DataFrame) -> DataFrame:
     """Of each duplicate group the best: quality (unknown last), then size, then id. An aggregate, not a window over a group."""
     order = F.struct(F.col("quality_score").isNotNull().alias("known"), F.coalesce("quality_score", F.lit(0.0)).alias("q"), F.coalesce("size_bytes", F.lit(0)).alias("size"), (-F.col("id")).alias("neg"))
@@ -155,7 +196,9 @@ def keep_best(items: DataFrame) -> DataFrame:
     return g.select("fingerprint_hash", (-F.col("b.neg")).alias("keep_id"))
 
 
-def recent_jobs(jobs: DataFrame, limit: int = 50) -> DataFrame:
+def recent_jobs(jobs: DataFrame, limit: int = 50, status: str | None = None) -> DataFrame:
+    """Running, pending, failed, then finished jobs, newest first; or those of one status."""
+    jobs = jobs if status is None else jobs.where(F.col("status") == status)
     rank = F.when(F.col("status") == "running", 0).when(F.col("status") == "pending", 1).when(F.col("status") == "failed", 2).otherwise(3)
     return jobs.orderBy(rank, F.desc("created_at"), "id").limit(limit)
 
@@ -168,7 +211,7 @@ def export_manifest(projects: DataFrame, members: DataFrame, samples: DataFrame,
     """Output names of a project's clips; index counts per role, newest first. Clips that are missing are skipped."""
     j = members.join(samples.select(F.col("id").alias("sample_id"), "path", "sample_type"), "sample_id").join(projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id")
     role = F.coalesce("role", F.lit("sample"))
-    j = j.withColumn("idx", F.row_number().over(Window.partitionBy("project_id", role).orderBy(F.desc("added_at"), "sample_id")))
+    j = places(j.withColumn("_role", role), ["project_id", "_role"], [F.desc("added_at"), F.col("sample_id")], "idx")
     name, ext = basename(F.col("path")), F.regexp_extract("path", r"\.([^./]+)$", 1)
     out = F.lit(pattern)
     for key, value in (("project", F.col("project")), ("category", F.coalesce("sample_type", F.lit("uncategorized"))), ("role", role), ("index", F.lpad(F.col("idx").cast("string"), 3, "0")), ("original", F.regexp_replace(name, r"\.[^.]+$", ""))):
@@ -176,6 +219,19 @@ def export_manifest(projects: DataFrame, members: DataFrame, samples: DataFrame,
     return j.select("project_id", "sample_id", F.concat(out, F.lit("."), F.when(ext != "", ext).otherwise("wav")).alias("output_name"))
 
 
+def places(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with the place from 1 of each row in its group. Range partitions cut large groups; each adds the rows that ranges before have."""
+    keys = [F.col(g) for g in group]
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id())
+    inner = Window.partitionBy("_p", *keys).orderBy(*order)
+    ranged = stored(ranged.withColumn("_i", F.row_number().over(inner)))
+    counts = ranged.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))  # a row per group and range
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(g).alias(f"_{g}_") for g in group], F.col("_p").alias("_q"), before.alias("_o"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_{g}_")) for g in group]) & (F.col("_p") == F.col("_q"))
+    return ranged.join(counts, same).withColumn(name, F.col("_i") + F.col("_o")).drop("_p", "_q", "_i", "_o", *[f"_{g}_" for g in group])
+
+
 PAIRED = ("id", "bpm", "spectral_centroid", "spectral_bandwidth", "crest_factor")
 
 
@@ -184,13 +240,37 @@ def side(clips: DataFrame, prefix: str = "", *keep: str) -> DataFrame:
     return clips.select(*keep, *[F.col(c).alias(prefix + c) for c in PAIRED], *[v.alias(k) for k, v in music.key_facts(F.col("key"), prefix).items()])
 
 
-def compatible(source: DataFrame, candidates: DataFrame, k: int = 20, floor: float = 0.3, parts=("key", "bpm", "frequency", "dynamics")) -> DataFrame:
-    """Top k candidates for each clip of a source set by the mean of the enabled parts; a small set (it is counted) is broadcast."""
+#: Parts of the score for common purposes.
+PURPOSES = {"all": ("key", "bpm", "frequency", "dynamics"), "layering": ("frequency", "dynamics"), "melodic": ("key", "bpm"), "pack": ("bpm", "frequency")}
+
+
+def compatible(source: DataFrame, candidates: DataFrame, k: int = 20, floor: float = 0.3, parts=PURPOSES["all"], notes: bool = False) -> DataFrame:
+    """Top k candidates for each clip of a source set by the mean of the enabled parts; a small set (it is counted) is broadcast.
+
+    Candidates are dealt over all tasks first, and the floor comes after the top k, so that no pair is scored twice. notes adds
+    what is worth saying about each pair.
+    """
     a, b, other = side(source, "a_"), side(candidates), F.col("id") != F.col("a_id")
     few = source.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    j = b.join(F.broadcast(a), other) if few else meet(a, b, "a_id", "id", other)
-    scored = compatibility(j, parts).withColumn("score", F.round("score", 9)).where(F.col("score") >= floor)
-    return top_k(scored, "a_id", "score", "id", k)
+    tasks = candidates.sparkSession.sparkContext.defaultParallelism
+    j = b.repartition(4 * tasks, "id").join(F.broadcast(a), other) if few else meet(a, b, "a_id", "id", other)
+    scored = compatibility(j, parts).withColumn("score", F.round("score", 9))
+    best = top_k(scored, "a_id", "score", "id", k).where(F.col("score") >= floor)
+    return best.withColumn("notes", pair_notes()) if notes else best
+
+
+def pair_notes() -> Column:
+    """Remarks on a pair of sides, in the order key, tempo, frequency, dynamics; only what is known is remarked on."""
+    c = F.col
+    key, low, high = c("key_score"), F.least("a_spectral_centroid", "spectral_centroid"), F.greatest("a_spectral_centroid", "spectral_centroid")
+    both = c("a_norm").isNotNull() & c("norm").isNotNull()
+    gap, mean = F.abs(c("a_crest_factor") - c("crest_factor")), (c("a_crest_factor") + c("crest_factor")) / 2
+    return F.array_compact(F.array(
+        F.when(both & (key >= 1), "same key").when(both & (key >= 0.95), "relative key").when(both & (key >= 0.7), "neighbouring key"),
+        F.when(c("a_bpm").isNotNull() & c("bpm").isNotNull(), F.when(c("bpm_score") >= 1, "same tempo").when(c("bpm_score") >= 0.9, "related tempo")),
+        F.when((low < 500) & (high > 4000), "well apart in frequency").when((low < 500) & (high > 1000), "apart in frequency"),
+        F.when(gap > 6, "one punchy, one sustained").when((gap < 3) & (mean > 12), "both punchy").when((gap < 3) & (mean < 6), "both sustained"),
+    ))
 
 
 def compatibility(pairs: DataFrame, parts=("key", "bpm", "frequency", "dynamics")) -> DataFrame:
@@ -258,3 +338,24 @@ def radius_neighbours(points: DataFrame, radius: float = 3.0, k: int = 50) -> Da
     d = F.sqrt((F.col("x") - F.col("ax")) ** 2 + (F.col("y") - F.col("ay")) ** 2 + (F.col("z") - F.col("az")) ** 2)
     j = p.join(a, ["cx", "cy", "cz"]).where("id <> a_id").withColumn("distance", d).where(F.col("distance") <= radius)
     return top_k(j.withColumn("near", -F.col("distance")), "a_id", "near", "id", k)
+
+
+def first_of_bursts(events: DataFrame, key: str, idle_s: float) -> DataFrame:
+    """The first event of each burst of a key (ts, event_id): a burst ends when nothing comes for idle_s seconds."""
+    before = F.lag("ts").over(Window.partitionBy(key).orderBy("ts", "event_id"))
+    gap = (F.unix_micros("ts") - F.unix_micros("_p")) / 1e6
+    return events.withColumn("_p", before).where(F.col("_p").isNull() | (gap >= idle_s)).drop("_p")
+
+
+def armed_clips(clips: DataFrame, arms: DataFrame) -> DataFrame:
+    """clips (id, device_id, stopped_at) with session_tag, that of the cycle in arms (device_id, session, on_at, off_at) in which each stopped.
+
+    off_at may be NULL for a cycle that goes on. Cycles of a device don't overlap, so the last one begun before is the only candidate: one
+    pass in order of time, no range join.
+    """
+    c = clips.select("id", "device_id", F.col("stopped_at").alias("at"), F.lit(1).alias("o"), F.lit(None).cast("struct<session:string,off_at:timestamp>").alias("arm"))
+    a = arms.select(F.lit(None).cast("long").alias("id"), "device_id", F.col("on_at").alias("at"), F.lit(0).alias("o"), F.struct(F.col("session").cast("string").alias("session"), "off_at").alias("arm"))
+    last = F.last("arm", True).over(Window.partitionBy("device_id").orderBy("at", "o"))
+    both = c.unionByName(a).withColumn("arm", last).where("o = 1")
+    inside = F.col("arm.off_at").isNull() | (F.col("at") <= F.col("arm.off_at"))
+    return both.select("id", "device_id", F.col("at").alias("stopped_at"), F.when(F.col("arm").isNotNull() & inside, F.concat(F.lit("session:"), "arm.session")).alias("session_tag"))

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-N_FFT, HOP, RATE = 64, 32, 640.0
+#: Samples of a frame and between frames, and samples of a block, unless said otherwise.
+N_FFT, HOP, BLOCK = 2048, 512, 65536
 
 
 def window(kind: str, n: int) -> np.ndarray:
@@ -24,53 +25,96 @@ def blocks(signal: DataFrame) -> DataFrame:
     return signal.select("clip_id", (F.row_number().over(Window.partitionBy("clip_id").orderBy("vec_id")) - 1).alias("block"), "pcm")
 
 
-def samples_long(blocks: DataFrame, size: int = 64) -> DataFrame:
-    return blocks.select("clip_id", "block", F.posexplode("pcm").alias("pos", "x")).select("clip_id", (F.col("block") * size + F.col("pos")).alias("n"), "x")
+def clip_blocks(decoded: DataFrame) -> DataFrame:
+    """(clip_id, block, pcm, rate) of decoded WAV blocks; clip_id is the path."""
+    return decoded.select(F.col("path").alias("clip_id"), F.col("block_idx").alias("block"), F.col("pcm").cast("array<double>").alias("pcm"), F.col("sample_rate").alias("rate"))
 
 
-def frames(blocks: DataFrame, size: int = 64) -> DataFrame:
-    """(clip_id, frame, pcm): centred frames of N_FFT samples every HOP, zeros beyond both ends. Grouped by clip and frame."""
-    per = size // HOP
-    hops = blocks.select("clip_id", "block", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda k: F.slice("pcm", k * HOP + 1, F.lit(HOP)))).alias("k", "hop"))
-    hop = F.col("block") * per + F.col("k")
-    halves = hops.select("clip_id", F.explode(F.array(F.struct((hop + 1).alias("frame"), F.lit(0).alias("side"), "hop"), F.struct(hop.alias("frame"), F.lit(1).alias("side"), "hop"))).alias("h")).select("clip_id", "h.*")
-    zero = F.array_repeat(F.lit(0.0), HOP)
-    side = lambda s: F.coalesce(F.max(F.when(F.col("side") == s, F.col("hop"))), zero)
-    return halves.groupBy("clip_id", "frame").agg(F.concat(side(0), side(1)).alias("pcm"))
+def lengths(blocks: DataFrame) -> DataFrame:
+    """(clip_id, len): samples of each clip."""
+    return blocks.groupBy("clip_id").agg(F.sum(F.size("pcm")).alias("len"))
 
 
-def power(frames: DataFrame, kind: str = "hann") -> DataFrame:
-    """(clip_id, frame, power): power spectrum of each frame, a batch of frames at a time."""
-    w = window(kind, N_FFT)
+def with_halo(blocks: DataFrame, extra: int, size: int, *keep: str) -> DataFrame:
+    """blocks with pcm reaching extra samples into the blocks behind (fewer at a clip's end), and own, the block's own samples.
+
+    Every block sends its head to the blocks before; what belongs together meets by (clip, block), so long clips are many groups.
+    """
+    reach = -(-extra // size)
+    head = lambda d: F.struct((F.col("block") - d).alias("block"), F.lit(d).alias("d"), (F.slice("pcm", 1, min(extra - (d - 1) * size, size)) if d else F.col("pcm")).alias("piece"))
+    sent = blocks.select("clip_id", *keep, F.explode(F.array(*[head(d) for d in range(reach + 1)])).alias("h")).select("clip_id", *keep, "h.*").where("block >= 0")
+    own = F.max(F.when(F.col("d") == 0, F.size("piece"))).alias("own")
+    g = sent.groupBy("clip_id", "block").agg(F.array_sort(F.collect_list(F.struct("d", "piece"))).alias("p"), own, *[F.max(k).alias(k) for k in keep])
+    return g.select("clip_id", "block", F.flatten(F.transform("p", lambda x: x.piece)).alias("pcm"), "own", *keep)
+
+
+def frames(blocks: DataFrame, n_fft: int = N_FFT, hop=HOP, size: int = BLOCK, center: bool = True) -> DataFrame:
+    """(clip_id, frame, pcm): frames of n_fft samples every hop (a number or a column's name), zeros beyond both ends.
+
+    All blocks of a clip but the last have size samples. A frame is cut in the block where it begins; with center, frame 0 is
+    centred on the first sample. A clip has 1 + (len + padding - n_fft) // hop frames; one that is too short has none.
+    """
+    pad = n_fft // 2 if center else 0
+    step = F.col(hop) if isinstance(hop, str) else F.lit(hop)
+    b = with_halo(blocks, n_fft - 1, size, *[hop] * isinstance(hop, str)).withColumn("at", F.col("block") * size)
+    first = F.when(F.col("block") == 0, F.lit(0).cast("long")).otherwise(F.ceil((F.col("at") + pad) / step))
+    ends = F.size("pcm") < F.col("own") + n_fft - 1  # the clip's end is in sight
+    last = F.floor((F.col("at") + F.col("own") - 1 + pad) / step)
+    room = F.col("at") + F.size("pcm") + 2 * pad - n_fft
+    last = F.when(ends, F.when(room < 0, F.lit(-1).cast("long")).otherwise(F.least(last, F.floor(room / step)))).otherwise(last)
+    b = b.withColumns({"first": first, "last": last}).where("first <= last")
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+
+    def cut(f: Column) -> Column:
+        begin = f * step - pad - F.col("at")
+        left = F.greatest(-begin, F.lit(0))
+        body = F.slice("pcm", F.greatest(begin, F.lit(0)).cast("int") + 1, (F.lit(n_fft) - left).cast("int"))
+        right = F.lit(n_fft) - left - F.greatest(F.lit(0), F.least(F.lit(n_fft) - left, F.size("pcm") - F.greatest(begin, F.lit(0))))
+        return F.struct(f.alias("frame"), F.concat(zeros(left), body, zeros(right)).alias("pcm"))
+
+    return b.select("clip_id", F.explode(F.transform(F.sequence("first", "last"), cut)).alias("f")).select("clip_id", "f.*")
+
+
+def kernel(rows: DataFrame, column: str, f, out: str) -> DataFrame:
+    """rows with column, arrays of one length, replaced by out: f turns a matrix with a row per array into another."""
+    at, names = rows.columns.index(column), [out if c == column else c for c in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, N_FFT)
-                p = np.abs(np.fft.rfft(x * w)) ** 2
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))], names=["clip_id", "frame", "power"])
+                x = b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                y = np.ascontiguousarray(f(x), np.float64)
+                made = pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), y.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([made if k == at else c for k, c in enumerate(b.columns)], names=names)
 
-    kinds = dict(frames.dtypes)
-    return frames.select("clip_id", "frame", "pcm").mapInArrow(run, f"clip_id {kinds['clip_id']}, frame {kinds['frame']}, power array<double>")
+    kinds = [(out, "array<double>") if c == column else (c, k) for c, k in rows.dtypes]
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds))
 
 
-def total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+def power(frames: DataFrame, kind: str = "hann") -> DataFrame:
+    """(clip_id, frame, power): power spectrum of each frame, a batch of frames at a time."""
+    return kernel(frames.select("clip_id", "frame", "pcm"), "pcm", lambda x: np.abs(np.fft.rfft(x * window(kind, x.shape[1]))) ** 2, "power")
+
+
+def power_db(p: Column, ref: float | Column = 1.0, top_db: float = 80.0) -> Column:
+    """Decibels of a power over ref squared, -top_db at least; both are at least 1e-10."""
+    ref = F.lit(ref) if isinstance(ref, float) else ref
+    return F.greatest(10 * F.log10(F.greatest(p, F.lit(1e-10)) / F.greatest(ref * ref, F.lit(1e-10))), F.lit(-top_db))
 
 
-def hz(i: Column) -> Column:
-    return i * (RATE / N_FFT)
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
-def centroid(p: Column) -> Column:
-    """Power-weighted mean frequency; 0 for a silent frame."""
-    return F.when(total(p) > 0, total(F.transform(p, lambda x, i: x * hz(i))) / F.nullif(total(p), F.lit(0.0))).otherwise(0.0)
+def centroid(p: Column, step: float) -> Column:
+    """Power-weighted mean frequency (step: Hz between bins); 0 for a silent frame."""
+    return F.when(total(p) > 0, total(F.transform(p, lambda x, i: x * (i * step))) / F.nullif(total(p), F.lit(0.0))).otherwise(0.0)
 
 
-def rolloff(p: Column, share: float = 0.85) -> Column:
+def rolloff(p: Column, step: float, share: float = 0.85) -> Column:
     """Frequency of the first bin up to which the share of the power lies."""
-    run = F.aggregate(p, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct((a.s + x).alias("s"), (a.n + F.when(a.s + x < share * total(p), 1).otherwise(0)).alias("n")), lambda a: a.n)
-    return F.when(total(p) > 0, hz(F.least(run, F.size(p) - 1))).otherwise(0.0)
+    some = lambda t: F.aggregate(p, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct((a.s + x).alias("s"), (a.n + F.when(a.s + x < share * t, 1).otherwise(0)).alias("n")), lambda a: a.n)
+    return F.get(F.transform(F.array(total(p)), lambda t: F.when(t > 0, F.least(some(t), F.size(p) - 1) * step).otherwise(0.0)), F.lit(0))
 
 
 def flatness(p: Column) -> Column:
@@ -78,11 +122,11 @@ def flatness(p: Column) -> Column:
     return F.least(F.lit(1.0), F.exp(total(F.transform(q, lambda x: F.ln(x))) / F.size(q)) / (total(q) / F.size(q)))
 
 
-def spectral(power: DataFrame) -> DataFrame:
-    """Clip means of centroid, rolloff, flatness, and bandwidth around the clip's centroid."""
-    f = power.select("clip_id", "power", centroid(F.col("power")).alias("c"), rolloff(F.col("power")).alias("r"), flatness(F.col("power")).alias("f"))
+def spectral(power: DataFrame, step: float) -> DataFrame:
+    """Clip means of centroid, rolloff, flatness, and bandwidth around the clip's centroid (step: Hz between bins)."""
+    f = power.select("clip_id", "power", centroid(F.col("power"), step).alias("c"), rolloff(F.col("power"), step).alias("r"), flatness(F.col("power")).alias("f"))
     means = f.groupBy("clip_id").agg(F.avg("c").alias("centroid"), F.avg("r").alias("rolloff"), F.avg("f").alias("flatness"))
-    spread = total(F.transform("power", lambda x, i: x * (hz(i) - F.col("centroid")) * (hz(i) - F.col("centroid"))))
+    spread = total(F.transform("power", lambda x, i: x * (i * step - F.col("centroid")) * (i * step - F.col("centroid"))))
     w = f.select("clip_id", "power").join(means.select("clip_id", "centroid"), "clip_id").select("clip_id", F.when(total(F.col("power")) > 0, F.sqrt(spread / F.nullif(total(F.col("power")), F.lit(0.0)))).otherwise(0.0).alias("b"))
     return means.join(w.groupBy("clip_id").agg(F.avg("b").alias("bandwidth")), "clip_id")
 
@@ -132,12 +176,23 @@ def onset_envelope(power: DataFrame) -> DataFrame:
     return f.join(top, "clip_id").select("clip_id", "frame", F.when(F.col("top") > 0, F.col("flux") / F.nullif("top", F.lit(0.0))).otherwise(0.0).alias("env"))
 
 
-def onsets(env: DataFrame, threshold: float = 0.1, gap: int = 1) -> DataFrame:
-    """Local maxima over the threshold at least gap frames after the last kept one (a fold over the few candidates)."""
+def onsets(env: DataFrame, threshold: float = 0.1, gap: int = 1, backtrack: bool = False) -> DataFrame:
+    """Local maxima over the threshold at least gap frames after the last kept one (a fold over the few candidates).
+
+    backtrack: each is moved back to the local minimum before it, ten frames at most, while the envelope does not rise.
+    """
     w = Window.partitionBy("clip_id").orderBy("frame")
-    peaks = env.withColumns({"p": F.lag("env").over(w), "q": F.lead("env").over(w)}).where((F.col("env") > threshold) & (F.col("env") > F.col("p")) & (F.col("env") >= F.col("q")))
-    kept = F.aggregate(F.array_sort(F.collect_list("frame")), F.array().cast("array<bigint>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= gap), F.array_append(a, x.cast("bigint"))).otherwise(a))
-    return peaks.groupBy("clip_id").agg(kept.alias("frames")).select("clip_id", F.explode("frames").alias("frame"))
+    before = F.reverse(F.collect_list("env").over(w.rowsBetween(-11, -1)))
+    peaks = env.withColumns({"p": F.lag("env").over(w), "q": F.lead("env").over(w)} | ({"before": before} if backtrack else {})).where((F.col("env") > threshold) & (F.col("env") > F.col("p")) & (F.col("env") >= F.col("q")))
+    back = F.lit(0)
+    if backtrack:  # steps back to the lowest of the frames that are reached before the envelope rises again
+        state = F.struct(F.col("env").alias("low"), F.lit(0).alias("at"), F.lit(False).alias("stop"))
+        step = lambda a, i: F.struct(F.when(~a.stop & (F.get("before", i) <= a.low), F.get("before", i)).otherwise(a.low).alias("low"), F.when(~a.stop & (F.get("before", i) <= a.low), i + 1).otherwise(a["at"]).alias("at"), (a.stop | F.coalesce(F.get("before", i + 1) > F.get("before", i), F.lit(False))).alias("stop"))
+        count = F.least(F.lit(10), F.size("before"))
+        back = F.when(count > 0, F.aggregate(F.sequence(F.lit(0), count - 1), state, step, lambda a: a["at"])).otherwise(0)
+    candidates = F.array_sort(F.collect_list(F.struct(F.col("frame").cast("bigint").alias("frame"), (F.col("frame") - back).cast("bigint").alias("onset"))))
+    kept = F.aggregate(candidates, F.array().cast("array<struct<frame:bigint,onset:bigint>>"), lambda a, x: F.when((F.size(a) == 0) | (x.frame - F.element_at(a, -1).frame >= gap), F.array_append(a, x)).otherwise(a))
+    return peaks.groupBy("clip_id").agg(kept.alias("k")).select("clip_id", F.explode("k.onset").alias("frame"))
 
 
 def tempo_lags(env: DataFrame, first: int, last: int) -> DataFrame:
@@ -149,11 +204,21 @@ def tempo_lags(env: DataFrame, first: int, last: int) -> DataFrame:
     return s.select("clip_id", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"s{k}") / F.nullif("s0", F.lit(0.0))).alias("r")) for k in range(first, last + 1)])).alias("x")).select("clip_id", "x.*")
 
 
-def waveform(samples: DataFrame, width: int) -> DataFrame:
-    """Absolute peaks of width equal stretches (0 where there is nothing)."""
-    n = samples.groupBy("clip_id").agg(F.count("*").alias("len"))
-    step = F.ceil(F.col("len") / width)
-    peaks = samples.join(n, "clip_id").groupBy("clip_id", F.floor(F.col("n") / step).cast("int").alias("bar")).agg(F.max(F.abs("x")).alias("peak"))
+def peaks_by(blocks: DataFrame, step: str, size: int, last: Column | None = None) -> DataFrame:
+    """(clip_id, bar, peak): the largest absolute sample of stretches of `step` samples (a column); bars after last join it."""
+    at = F.col("block") * size
+    b = blocks.select("clip_id", "pcm", at.alias("at"), F.col(step).alias("step"), F.floor(at / F.col(step)).alias("lo"), F.floor((at + F.size("pcm") - 1) / F.col(step)).alias("hi"))
+    top = lambda k: F.array_max(F.transform(F.slice("pcm", F.greatest(k * F.col("step") - F.col("at"), F.lit(0)).cast("int") + 1, ((k + 1) * F.col("step") - F.greatest(k * F.col("step"), F.col("at"))).cast("int")), lambda x: F.abs(x)))
+    bars = b.where("hi >= lo").select("clip_id", F.explode(F.transform(F.sequence("lo", "hi"), lambda k: F.struct(k.alias("bar"), top(k).alias("peak")))).alias("x")).select("clip_id", "x.*")
+    if last is not None:
+        bars = bars.withColumn("bar", F.least("bar", last))
+    return bars.groupBy("clip_id", F.col("bar").cast("int").alias("bar")).agg(F.max("peak").alias("peak"))
+
+
+def waveform(blocks: DataFrame, width: int, size: int = BLOCK) -> DataFrame:
+    """Absolute peaks of width equal stretches (0 where there is nothing), reduced inside the blocks."""
+    n = lengths(blocks).withColumn("step", F.ceil(F.col("len") / width))
+    peaks = peaks_by(blocks.join(n, "clip_id"), "step", size)
     bars = n.select("clip_id", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("bar"))
     return bars.join(peaks, ["clip_id", "bar"], "left").select("clip_id", "bar", F.coalesce("peak", F.lit(0.0)).alias("peak"))
 
@@ -170,9 +235,14 @@ def silence_segments(levels: DataFrame, threshold_db: float, silence: int, least
     return runs.where(~F.col("cut")).groupBy("clip_id", "part").agg(F.min("a").alias("start"), F.max("b").alias("end")).where(F.col("end") - F.col("start") >= least).select("clip_id", "start", "end")
 
 
-def channel_levels(samples: DataFrame, channels: int = 2) -> DataFrame:
+def channel_levels(blocks: DataFrame, channels: int = 2, size: int = BLOCK) -> DataFrame:
+    """RMS and peak in dB (-96 at least) of each channel of interleaved samples, summed inside the blocks."""
     db = lambda x: F.when(x > 0, F.greatest(F.lit(-96.0), 20 * F.log10(F.when(x > 0, x)))).otherwise(-96.0)
-    return samples.groupBy("clip_id", F.pmod("n", F.lit(channels)).cast("int").alias("channel")).agg(db(F.sqrt(F.avg(F.col("x") * F.col("x")))).alias("rms_db"), db(F.max(F.abs("x"))).alias("peak_db"))
+    own = lambda c: F.filter("pcm", lambda x, i: F.pmod(F.col("block") * size + i, F.lit(channels)) == c)
+    one = lambda c: F.struct(F.lit(c).alias("channel"), F.size(own(c)).alias("n"), total(F.transform(own(c), lambda x: x * x)).alias("ss"), F.array_max(F.transform(own(c), lambda x: F.abs(x))).alias("top"))
+    per = blocks.select("clip_id", F.explode(F.array(*[one(c) for c in range(channels)])).alias("x")).select("clip_id", "x.*")
+    g = per.groupBy("clip_id", "channel").agg(F.sum("n").alias("n"), F.sum("ss").alias("ss"), F.max("top").alias("top"))
+    return g.where("n > 0").select("clip_id", "channel", db(F.sqrt(F.col("ss") / F.col("n"))).alias("rms_db"), db(F.col("top")).alias("peak_db"))
 
 
 def takes(levels: DataFrame, threshold: float, silence_s: float) -> DataFrame:
@@ -188,7 +258,14 @@ def takes(levels: DataFrame, threshold: float, silence_s: float) -> DataFrame:
 
 
 def smooth(levels: DataFrame, attack: float = 0.5, decay: float = 0.1, start: float = -96.0) -> DataFrame:
-    """Last smoothed peak of each device: a fold over its readings in order, faster upwards than downwards."""
-    xs = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "peak_db"))), lambda r: r.peak_db)
+    """Last smoothed peak of each device: a fold over its readings in order, faster upwards than downwards.
+
+    Each reading leaves at most 1 - decay of what was before, so what lies further back than `reach` readings is below the last
+    bit of a double: only that many of a device meet, and tasks keep no more of theirs.
+    """
+    reach = int(np.ceil(np.log(1e-17) / np.log(1 - min(attack, decay))))
+    w = Window.partitionBy("device_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    last = levels.withColumn("back", F.row_number().over(w)).where(F.col("back") <= reach)
+    xs = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "peak_db"))), lambda r: r.peak_db)
     fold = F.aggregate(xs, F.lit(start), lambda a, x: a + (x - a) * F.when(x > a, attack).otherwise(decay))
-    return levels.groupBy("device_id").agg(fold.alias("smoothed_db"), F.count("*").alias("readings"))
+    return last.groupBy("device_id").agg(fold.alias("smoothed_db")).join(levels.groupBy("device_id").agg(F.count("*").alias("readings")), "device_id")

@@ -51,9 +51,9 @@ def search_basic(spark, sf):
     return C.search(V.samples(spark, sf), V.sample_tag(spark, sf), sample_type="kick", min_bpm=90, max_score=80).select(*COLS)
 
 
-@query("search_text", SAMPLES, select="SELECT id, path FROM samples WHERE path ILIKE '%BRAND#1_/%a_m%'")
+@query("search_text", SAMPLES, select="SELECT id, path FROM samples WHERE path ILIKE '%BRAND#1_/%c_ld%'")
 def search_text(spark, sf):
-    return C.search(V.samples(spark, sf), V.sample_tag(spark, sf), query="BRAND#1_/%a_m").select("id", "path")
+    return C.search(V.samples(spark, sf), V.sample_tag(spark, sf), query="BRAND#1_/%c_ld").select("id", "path")
 
 
 @query("search_type", SAMPLES, select="SELECT id, sample_type, pack_id FROM samples WHERE sample_type = 'bass' AND pack_id = 12")
@@ -78,7 +78,7 @@ def search_page(spark, sf):
 
 @query("browse_recent", SAMPLES, select="SELECT id, created_at FROM samples WHERE sample_type = 'snare' AND bpm >= 100 ORDER BY created_at DESC, id LIMIT 40 OFFSET 5")
 def browse_recent(spark, sf):
-    return V.samples(spark, sf).where("sample_type = 'snare' and bpm >= 100").orderBy(F.desc("created_at"), "id").offset(5).limit(40).select("id", "created_at")
+    return C.browse(V.samples(spark, sf), "snare", 100, limit=40, offset=5).select("id", "created_at")
 
 
 @query("lookup_ids", SAMPLES, select="SELECT id, path FROM samples WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
@@ -97,9 +97,22 @@ def path_exclude(spark, sf):
     return V.files(spark, sf).where(~C.excluded(C.basename(F.col("path")), [".*", "1*", "*5", "*77*"])).select("path")
 
 
-@query("list_directory", V.FILES, SAMPLES, select=r"""SELECT DISTINCT split_part(path, '/', 2) AS name, len(string_split(path, '/')) > 2 AS is_directory, CAST(NULL AS BIGINT) AS sample_id FROM files WHERE split_part(path, '/', 2) <> ''""")
+@query("list_directory", V.FILES, SAMPLES, "tree AS (SELECT path FROM samples UNION ALL SELECT '/lib' || path FROM files UNION ALL SELECT '/lib/new_' || page_id || '.wav' FROM files WHERE page_id < 5 UNION ALL SELECT '/lib/Brand#2/blue_rod_4.wav')", select=r"""SELECT DISTINCT split_part(path, '/', 3) AS name, len(string_split(path, '/')) > 3 AS is_directory, CAST(NULL AS BIGINT) AS sample_id FROM tree""")
 def list_directory(spark, sf):
-    return C.list_directory(V.files(spark, sf), V.samples(spark, sf), "/")
+    s, f = V.samples(spark, sf), V.files(spark, sf)
+    return C.list_directory(_tree(s, f), s, "/lib/")
+
+
+@query("list_files", SAMPLES, select="SELECT DISTINCT regexp_extract(path, '[^/]*$') AS name, false AS is_directory, id AS sample_id FROM samples WHERE starts_with(path, '/lib/Brand#2/') UNION ALL SELECT 'unknown.wav', false, NULL")
+def list_files(spark, sf):
+    """The files of one pack's folder, with the ids of those that are known."""
+    s = V.samples(spark, sf)
+    return C.list_directory(s.select("path").unionByName(s.limit(1).select(F.lit("/lib/Brand#2/unknown.wav").alias("path"))), s, "/lib/Brand#2")
+
+
+def _tree(s, f):
+    loose = f.where("page_id < 5").select(F.concat(F.lit("/lib/new_"), F.col("page_id").cast("string"), F.lit(".wav")).alias("path"))
+    return s.select("path").unionByName(f.select(F.concat(F.lit("/lib"), "path").alias("path"))).unionByName(loose)
 
 
 @query("tree_search", V.FILES, select=r"""SELECT DISTINCT '/' || array_to_string(p[1:n], '/') AS directory FROM (SELECT p, unnest(range(1, len(p))) AS n FROM (SELECT list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM files WHERE contains(lower(regexp_extract(path, '[^/]*$')), '12')))""")
@@ -127,18 +140,17 @@ def tag_suggest(spark, sf):
     return C.suggest_tags(V.sample_tag(spark, sf), "St", ["stems-done"])
 
 
-@query("preset_apply", SAMPLES, select="SELECT id FROM samples WHERE is_loopable AND duration <= 4 AND bpm >= 90")
+@query("preset_apply", SAMPLES, TAGS, select="SELECT id FROM samples WHERE is_loopable AND duration <= 8 AND bpm >= 90 AND id IN (SELECT sample_id FROM sample_tag WHERE tag = 'cold')")
 def preset_apply(spark, sf):
     """A saved filter: JSON decoded by Spark (one row), then the same predicates as a search."""
-    presets = spark.createDataFrame([("loops", '{"is_loopable": true, "max_duration": 4, "min_bpm": 90}')], "name string, filters string")
-    p = presets.where("name = 'loops'").select(F.from_json("filters", "is_loopable boolean, max_duration double, min_bpm double").alias("f")).select("f.*").first().asDict()
-    return C.search(V.samples(spark, sf), None, **p).select("id")
+    presets = spark.createDataFrame([("loops", '{"is_loopable": true, "max_duration": 8, "min_bpm": 90, "tags": ["cold"]}')], "name string, filters string")
+    return C.apply_preset(V.samples(spark, sf), V.sample_tag(spark, sf), presets, "loops").select("id")
 
 
-@query("basename_filter", SAMPLES, select="SELECT id, regexp_extract(path, '[^/]*$') AS name FROM samples WHERE contains(regexp_extract(path, '[^/]*$'), 'green') AND sample_type IN ('kick', 'pad')")
+@query("basename_filter", SAMPLES, select="SELECT id, regexp_extract(path, '[^/]*$') AS name FROM samples WHERE contains(regexp_extract(path, '[^/]*$'), 'cold') AND sample_type IN ('kick', 'pad')")
 def basename_filter(spark, sf):
     n = C.basename(F.col("path"))
-    return V.samples(spark, sf).where(n.contains("green") & F.col("sample_type").isin("kick", "pad")).select("id", n.alias("name"))
+    return V.samples(spark, sf).where(n.contains("cold") & F.col("sample_type").isin("kick", "pad")).select("id", n.alias("name"))
 
 
 @query("key_in_scale", SAMPLES, select="SELECT id, key FROM samples WHERE regexp_extract(key, '^[A-G][#b]?') IN ('A', 'B', 'C', 'D', 'E', 'F', 'G')")
@@ -172,9 +184,14 @@ def session_timeline(spark, sf):
     return six(C.session_timeline(V.samples(spark, sf), V.sample_tag(spark, sf)), "percent")
 
 
-@query("session_name", SAMPLES, select="SELECT id, 'session at ' || strftime(created_at, '%Y-%m-%d %H:%M') AS name FROM samples")
+@query("session_name", SAMPLES, select="SELECT id, 'session at ' || CASE WHEN id % 6 = 5 THEN 'garbage-' || id ELSE strftime(created_at, '%Y-%m-%d %H:%M') END AS name FROM samples")
 def session_name(spark, sf):
-    return V.samples(spark, sf).select("id", C.session_name(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")).alias("name"))
+    """Time stamps in the four known formats, one with a Z, and one that is none."""
+    forms = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss'Z'"]
+    at = F.concat(F.lit("garbage-"), F.col("id").cast("string"))
+    for k, f in enumerate(forms):
+        at = F.when(F.col("id") % 6 == k, F.date_format("created_at", f)).otherwise(at)
+    return V.samples(spark, sf).select("id", C.session_name(at).alias("name"))
 
 
 @query("project_counts", V.PROJECTS, V.MEMBERS, select="SELECT id, name, (SELECT count(*) FROM project_samples WHERE project_id = p.id) AS clips FROM projects p")
@@ -350,7 +367,7 @@ def coverage(spark, sf):
     return V.samples(spark, sf).select("id", rules.coverage([F.col(a) for a in ATTRS]).alias("n"))
 
 
-@query("attr_sort", SAMPLES, select="SELECT id, round(coalesce(least(1, greatest(0, (crest_factor - 3) / 17)), -1), 6) AS v FROM samples ORDER BY v DESC, id LIMIT 60".replace("coalesce(least(1, greatest(0, (crest_factor - 3) / 17)), -1)", "CASE WHEN crest_factor IS NULL THEN -1 ELSE least(1, greatest(0, (crest_factor - 3) / 17)) END"))
+@query("attr_sort", SAMPLES, select="SELECT id, round(CASE WHEN crest_factor IS NULL THEN -1 ELSE least(1, greatest(0, (crest_factor - 3) / 17)) END, 6) AS v FROM samples ORDER BY v DESC, id")
 def attr_sort(spark, sf):
     v = F.round(F.coalesce(rules.perceptual()["percussiveness"], F.lit(-1.0)), 6)
     return V.samples(spark, sf).select("id", v.alias("v")).orderBy(F.desc("v"), "id")
@@ -394,7 +411,7 @@ def compatible_to(spark, sf):
     return C.compatible(s.where("id % 50 = 0"), s, 10).select("a_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("compat_pairs", SAMPLES, COMPAT.replace("{where}", "a.id < b.id AND a.key = b.key AND a.pack_id = b.pack_id AND coalesce(a.sample_type, '') = coalesce(b.sample_type, '') AND floor(log2(a.bpm) * 8) = floor(log2(b.bpm) * 8)"), select="SELECT a_id, id, round((key_score + bpm_score + frequency_score + dynamics_score) / 4, 6) AS score FROM pairs WHERE (key_score + bpm_score + frequency_score + dynamics_score) / 4 >= 0.6")
+@query("compat_pairs", SAMPLES, COMPAT.replace("{where}", "a.id < b.id"), select="SELECT a_id, id, round((key_score + bpm_score + frequency_score + dynamics_score) / 4, 6) AS score FROM pairs WHERE (key_score + bpm_score + frequency_score + dynamics_score) / 4 >= 0.6")
 def compat_pairs(spark, sf):
     return C.compatible_pairs(V.samples(spark, sf), 0.6).select("a_id", "id", F.round("score", 6).alias("score"))
 
@@ -487,6 +504,32 @@ def knn_exact(spark, sf):
     return X.knn(v.where("id % 50 = 0"), v, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("knn_weighted", select="""WITH w AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x, i: x * CASE WHEN i <= 34 THEN 2.0 WHEN i <= 40 THEN 1.0 WHEN i <= 50 THEN 0.5 ELSE 1.0 END::DOUBLE) AS v FROM embeddings)
+SELECT query_id, id, round(s, 6) AS similarity, round(1 - s, 6) AS distance FROM (SELECT a.id AS query_id, b.id, list_cosine_similarity(a.v, b.v) AS s FROM w a, w b WHERE a.id % 50 = 0 AND a.id <> b.id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 5""")
+def knn_weighted(spark, sf):
+    v = V.vectors(spark, sf)
+    w = lambda c: X.weight_vector(c, V.SEGMENTS, {"timbre": 2.0, "amplitude": 0.5})
+    return six(X.knn(v.where("id % 50 = 0"), v, 5, weights=w), "similarity", "distance").select("query_id", "id", "similarity", "distance")
+
+
+@query("find_similar", select="""WITH w AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, list_transform(embedding::DOUBLE[], lambda x, i: x * CASE WHEN i <= 34 THEN 2.0 WHEN i <= 40 THEN 1.0 WHEN i <= 50 THEN 0.5 ELSE 1.0 END::DOUBLE) AS q FROM embeddings)
+SELECT query_id, id, round(s, 6) AS similarity FROM (SELECT a.id AS query_id, b.id, list_cosine_similarity(a.q, b.v) AS s FROM w a, w b WHERE a.id % 50 = 0 AND a.id <> b.id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 7""")
+def find_similar(spark, sf):
+    v = V.vectors(spark, sf)
+    w = lambda c: X.weight_vector(c, V.SEGMENTS, {"timbre": 2.0, "amplitude": 0.5})
+    return six(X.find_similar(v, v.where("id % 50 = 0").select("id"), 7, w), "similarity").select("query_id", "id", "similarity")
+
+
+@query("label_tags", select="""WITH e AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(range(1, 65)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL), l AS (SELECT label, list(x ORDER BY pos) AS v FROM e GROUP BY label),
+t AS (SELECT vec_id AS id, l.label, list_cosine_similarity(embedding::DOUBLE[], v) AS c, row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, l.label) AS r FROM embeddings, l)
+SELECT id, max(label) FILTER (r = 1) AS label, round(max(c) FILTER (r = 1), 6) AS confidence, coalesce(string_agg(label::VARCHAR, ',' ORDER BY r) FILTER (r <= 3 AND c >= 0.2), '') AS tags FROM t GROUP BY id HAVING max(c) FILTER (r = 1) >= 0.3""")
+def label_tags(spark, sf):
+    v = V.vectors(spark, sf)
+    mean = v.select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("x"))
+    labels = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s.x).alias("v"))
+    return X.label_tags(v, labels).select("id", "label", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("tags", lambda t: t.cast("string")), ",").alias("tags"))
+
+
 @query("knn_lsh")
 def knn_lsh(spark, sf):
     v = V.vectors(spark, sf)
@@ -519,8 +562,16 @@ def _blocks(spark, sf):
     return S.blocks(V.signal(spark, sf))
 
 
+#: The view's blocks have SIZE samples at RATE Hz; frames are as long as a block, so that the SQL can do the transform.
+SIZE, RATE, N_FFT, HOP = 64, 640.0, 64, 32
+
+
+def _frames(spark, sf):
+    return S.frames(_blocks(spark, sf), N_FFT, HOP, SIZE)
+
+
 def _power(spark, sf):
-    return S.power(S.frames(_blocks(spark, sf)))
+    return S.power(_frames(spark, sf))
 
 
 @query("power_spectrum", SIG, FR, PW, select="SELECT clip_id, CAST(k AS INT) AS bin, round(avg(p), 6) AS power FROM pw GROUP BY ALL")
@@ -534,13 +585,13 @@ m AS (SELECT clip_id, avg(coalesce(c, 0)) AS centroid, avg(least(1, fl)) AS flat
 
 @query("spectral", SIG, FR, PW, SPEC, select="SELECT clip_id, round(centroid, 4) AS centroid, round(flatness, 4) AS flatness, (SELECT round(avg(b), 4) FROM b WHERE b.clip_id = m.clip_id) AS bandwidth FROM m")
 def spectral(spark, sf):
-    s = S.spectral(_power(spark, sf))
+    s = S.spectral(_power(spark, sf), RATE / N_FFT)
     return s.select("clip_id", *[F.round(c, 4).alias(c) for c in ("centroid", "flatness", "bandwidth")])
 
 
 @query("rolloff", SIG, FR, PW, select="SELECT clip_id, round(avg(r), 6) AS rolloff FROM (SELECT clip_id, frame, CASE WHEN max(t) > 0 THEN min(k) FILTER (s >= 0.85 * t) * 10 ELSE 0 END AS r FROM (SELECT *, sum(p) OVER (PARTITION BY clip_id, frame ORDER BY k) AS s, sum(p) OVER (PARTITION BY clip_id, frame) AS t FROM pw) GROUP BY ALL) GROUP BY ALL")
 def rolloff(spark, sf):
-    return S.spectral(_power(spark, sf)).select("clip_id", F.round("rolloff", 6).alias("rolloff"))
+    return S.spectral(_power(spark, sf), RATE / N_FFT).select("clip_id", F.round("rolloff", 6).alias("rolloff"))
 
 
 @query("zcr", SIG, select="SELECT clip_id, round(avg(CASE WHEN (x >= 0) <> (prev >= 0) THEN 1.0 ELSE 0 END), 6) AS zcr FROM (SELECT clip_id, x, lag(x) OVER (PARTITION BY clip_id ORDER BY n) AS prev FROM signal) WHERE prev IS NOT NULL GROUP BY clip_id")
@@ -556,7 +607,7 @@ def quality(spark, sf):
 
 @query("dynamic_range", SIG, FR, LV, "r AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY rms) AS i, count(*) OVER (PARTITION BY clip_id) AS n FROM lv WHERE rms > 0)", select="SELECT clip_id, round(20 * log10(max(rms) FILTER (i = least(floor(n * 0.9::DOUBLE) + 1, n)) / max(rms) FILTER (i = least(floor(n * 0.1::DOUBLE) + 1, n))), 6) AS dynamic_range FROM r GROUP BY clip_id")
 def dynamic_range(spark, sf):
-    return six(S.dynamic_range(S.frame_levels(S.frames(_blocks(spark, sf)))), "dynamic_range")
+    return six(S.dynamic_range(S.frame_levels(_frames(spark, sf))), "dynamic_range")
 
 
 ENV = """fx AS (SELECT clip_id, frame, sum(greatest(0, coalesce(p - q, 0))) AS flux FROM (SELECT *, lag(p) OVER (PARTITION BY clip_id, k ORDER BY frame) AS q FROM pw) GROUP BY ALL), env AS (SELECT clip_id, frame, flux / max(flux) OVER (PARTITION BY clip_id) AS env FROM fx)"""
@@ -579,18 +630,18 @@ def tempo(spark, sf):
 
 @query("waveform", SIG, "l AS (SELECT clip_id, count(*) AS len FROM signal GROUP BY ALL)", select="SELECT b.clip_id, CAST(b.bar AS INT) AS bar, round(coalesce(max(abs(x)), 0), 6) AS peak FROM (SELECT clip_id, len, unnest(range(0, 50)) AS bar FROM l) b LEFT JOIN signal s ON s.clip_id = b.clip_id AND CAST(floor(s.n / ceil(len / 50)) AS INT) = bar GROUP BY ALL")
 def waveform(spark, sf):
-    return six(S.waveform(S.samples_long(_blocks(spark, sf)), 50), "peak")
+    return six(S.waveform(_blocks(spark, sf), 50, SIZE), "peak")
 
 
 @query("channel_levels", SIG, select="SELECT clip_id, CAST(n % 2 AS INT) AS channel, round(greatest(-96, 20 * log10(sqrt(avg(x * x)))), 6) AS rms_db, round(greatest(-96, 20 * log10(max(abs(x)))), 6) AS peak_db FROM signal GROUP BY ALL")
 def channel_levels(spark, sf):
-    return six(S.channel_levels(S.samples_long(_blocks(spark, sf))), "rms_db", "peak_db")
+    return six(S.channel_levels(_blocks(spark, sf), 2, SIZE), "rms_db", "peak_db")
 
 
 @query("silence_segments", SIG, FR, LV, """q AS (SELECT clip_id, frame, 20 * log10(rms) < -18.0 AS quiet FROM lv), i AS (SELECT *, sum(CASE WHEN quiet IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY frame) AS isl FROM (SELECT *, lag(quiet) OVER (PARTITION BY clip_id ORDER BY frame) AS p FROM q)),
 r AS (SELECT clip_id, isl, quiet, min(frame) AS a, max(frame) + 1 AS b FROM i GROUP BY ALL), c AS (SELECT *, quiet AND b - a >= 2 AS cut FROM r), s AS (SELECT *, sum(cut::INT) OVER (PARTITION BY clip_id ORDER BY a) AS part FROM c)""", select="SELECT clip_id, min(a) AS start, max(b) AS \"end\" FROM s WHERE NOT cut GROUP BY clip_id, part HAVING max(b) - min(a) >= 3")
 def silence_segments(spark, sf):
-    return S.silence_segments(S.frame_levels(S.frames(_blocks(spark, sf))), -18.0, 2, 3)
+    return S.silence_segments(S.frame_levels(_frames(spark, sf)), -18.0, 2, 3)
 
 
 @query("takes", V.LEVELS, """q AS (SELECT *, peak_db > -21.0 AS loud FROM levels), i AS (SELECT *, sum(CASE WHEN loud IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS isl FROM (SELECT *, lag(loud) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS p FROM q)),
@@ -612,7 +663,4 @@ def chunk_peaks(spark, sf):
 
 @query("debounce", V.LEVELS, select="SELECT device_id, ts, event_id FROM (SELECT *, lag(ts) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS p FROM levels) WHERE p IS NULL OR ts - p >= INTERVAL 6 HOUR")
 def debounce(spark, sf):
-    from pyspark.sql import Window
-
-    p = F.lag("ts").over(Window.partitionBy("device_id").orderBy("ts", "event_id"))
-    return V.levels(spark, sf).withColumn("p", p).where("p is null or ts - p >= interval 6 hours").select("device_id", "ts", "event_id")
+    return C.first_of_bursts(V.levels(spark, sf), "device_id", 6 * 3600).select("device_id", "ts", "event_id")

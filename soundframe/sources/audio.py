@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from soundframe.operators.catalog import extension
 
+#: File name endings that count as audio.
 EXTENSIONS = ["wav", "aif", "aiff", "flac", "mp3", "ogg", "m4a"]
 
 
@@ -76,16 +77,21 @@ def decode_wav_blocks(files: DataFrame, block: int = 65536) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, block_idx long, start_sample long, sample_rate int, pcm array<float>")
 
 
-def number(content: Column, at: int, size: int) -> Column:
-    return F.conv(F.concat(*[F.hex(F.substring(content, at + k, 1)) for k in reversed(range(size))]), 16, 10).cast("long")
+def wav_info(files: DataFrame) -> DataFrame:
+    """(path, channels, sample_rate, bit_depth, duration) of files (path, content), from the format and data chunks; NULLs for what is no WAV."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for raw in b.column(1):
+                head = parse(memoryview(raw.as_buffer())) if raw.is_valid else None
+                _, channels, rate, bits, _, size = head or (None,) * 6
+                frame = channels * rate * bits // 8 if head else 0
+                rows.append((channels, rate, bits, size / frame if frame else None))
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["path", "channels", "sample_rate", "bit_depth", "duration"])
 
-def wav_info(files: DataFrame) -> DataFrame:
-    """Header fields by built-in functions where the fmt chunk comes first; other files have NULLs."""
-    ok = (F.octet_length("content") >= 44) & (F.hex(F.substring("content", 1, 4)) == "52494646") & (F.hex(F.substring("content", 13, 4)) == "666D7420")
-    field = lambda at, size: F.when(ok, number(F.col("content"), at, size))
-    f = files.select("path", field(23, 2).alias("channels"), field(25, 4).alias("sample_rate"), field(35, 2).alias("bit_depth"), (F.octet_length("content") - 44).alias("bytes"))
-    return f.withColumn("duration", F.col("bytes") / F.nullif(F.col("channels") * F.col("sample_rate") * F.col("bit_depth") / 8, F.lit(0.0))).drop("bytes")
+    return files.select("path", "content").mapInArrow(run, "path string, channels long, sample_rate long, bit_depth long, duration double")
 
 
 def orphans(files: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -96,11 +102,20 @@ def orphans(files: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def embeddings_from_blob(df: DataFrame, column: str = "blob") -> DataFrame:
-    """Little-endian 32-bit floats of a binary column as an array."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vectors = [None if x is None else np.frombuffer(x, "<f4") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["sample_id", "embedding"])
-
-    return df.select("sample_id", column).mapInArrow(run, "sample_id long, embedding array<float>")
+    """Little-endian 32-bit floats of a binary column as an array, by built-in functions; bytes that fill no float are left out.
+
+    Infinite values and those that are no number become NULL.
+    """
+    code = F.hex(column)
+
+    def value(i: Column) -> Column:
+        byte = lambda k: F.substr(code, 8 * i + 2 * k + 1, F.lit(2))
+        bits = F.conv(F.concat(byte(3), byte(2), byte(1), byte(0)), 16, 10).cast("long")
+        sign = F.when(bits >= 1 << 31, -1.0).otherwise(1.0)
+        power, rest = F.shiftright(bits, 23).bitwiseAND(255), bits.bitwiseAND((1 << 23) - 1)
+        normal = (1 + rest / float(1 << 23)) * F.pow(F.lit(2.0), power - 127)
+        return (sign * F.when(power == 0, rest * 2.0**-149).when(power < 255, normal)).cast("float")
+
+    n = F.floor(F.octet_length(column) / 4).cast("int")
+    places = F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+    return df.select("sample_id", F.when(F.col(column).isNotNull(), F.transform(places, value)).alias("embedding"))

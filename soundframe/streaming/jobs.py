@@ -1,18 +1,32 @@
-"""Structured Streaming jobs; each has a batch twin with the same result on closed data."""
+"""Structured Streaming jobs. Each has a batch twin: `session_takes`, `catalog.first_of_bursts` and `signal.smooth`, or the same function
+on a static table; on input in order both give the same rows (open sessions are only given out when a later row closes them)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from soundframe.operators import catalog, maintain
+from soundframe.sources.audio import EXTENSIONS
+
+
+def session_takes(levels: DataFrame, threshold: float, silence: str) -> DataFrame:
+    """Takes per device: loud readings less than `silence` apart are one session, from its first to its last.
+
+    signal.takes measures silence by the quiet readings and may so end a take earlier or later by the time between two readings.
+    """
+    loud = levels.where(F.col("peak_db") > threshold)
+    s = loud.groupBy("device_id", F.session_window("ts", silence).alias("w")).agg(F.max("ts").alias("ended_at"), F.count("*").alias("loud_readings"))
+    return s.select("device_id", F.col("w.start").alias("started_at"), "ended_at", "loud_readings")
 
 
 def level_takes(levels: DataFrame, threshold: float, silence: str, late: str = "10 minutes") -> DataFrame:
-    """Takes per device from a stream of levels: loud readings less than `silence` apart are one session."""
-    loud = levels.where(F.col("peak_db") > threshold).withWatermark("ts", late)
-    s = loud.groupBy("device_id", F.session_window("ts", silence).alias("w")).agg(F.count("*").alias("loud_readings"))
-    return s.select("device_id", F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"), "loud_readings")
+    """session_takes of a stream."""
+    return session_takes(levels.withWatermark("ts", late), threshold, silence)
 
 
 def chunk_peaks(levels: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -26,11 +40,42 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
 
 
+def debounce(events: DataFrame, key: str, idle_s: float) -> DataFrame:
+    """(key, event_id, ts): first events of bursts of a stream (key, event_id, ts); the state of a key is when it was last seen."""
+    kind = dict(events.dtypes)[key]
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        rows = pd.concat(batches).sort_values(["ts", "event_id"])
+        before = rows["ts"].shift(1)
+        if last is not None and len(rows):
+            before.iloc[0] = last
+        state.update((int(max(rows["ts"].max(), last or rows["ts"].max()).value // 1000),))
+        first = before.isna() | ((rows["ts"] - before).dt.total_seconds() >= idle_s)
+        yield pd.DataFrame({key: k[0], "event_id": rows["event_id"][first], "ts": rows["ts"][first]})
+
+    return events.select(key, "event_id", "ts").groupBy(key).applyInPandasWithState(run, f"{key} {kind}, event_id long, ts timestamp", "seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def smooth_levels(levels: DataFrame, attack: float = 0.5, decay: float = 0.1, start: float = -96.0) -> DataFrame:
+    """(device_id, smoothed_db, readings) after each batch of a stream of levels (device_id, event_id, ts, peak_db), in update mode."""
+    kind = dict(levels.dtypes)["device_id"]
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        value, n = state.get if state.exists else (start, 0)
+        for x in pd.concat(batches).sort_values(["ts", "event_id"])["peak_db"]:
+            value, n = value + (x - value) * (attack if x > value else decay), n + 1
+        state.update((float(value), int(n)))
+        yield pd.DataFrame({"device_id": [k[0]], "smoothed_db": [value], "readings": [n]})
+
+    return levels.select("device_id", "event_id", "ts", "peak_db").groupBy("device_id").applyInPandasWithState(run, f"device_id {kind}, smoothed_db double, readings long", "value double, n long", "update", GroupStateTimeout.NoTimeout)
+
+
 def watch_folder(spark: SparkSession, path: str, catalogue: str, checkpoint: str, trigger: dict | None = None):
     """Appends new audio files under path to the Parquet catalogue; paths that it has are skipped."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").load(path)
     name = catalog.basename(F.col("path"))
-    audio = files.where(catalog.extension(F.col("path")).isin("wav", "aif", "aiff", "flac", "mp3", "ogg", "m4a") & ~catalog.excluded(name, catalog.DEFAULT_EXCLUDES)).select("path", "length")
+    audio = files.where(catalog.extension(F.col("path")).isin(EXTENSIONS) & ~catalog.excluded(name, catalog.DEFAULT_EXCLUDES)).select("path", "length")
 
     def append(batch: DataFrame, _: int) -> None:
         known = batch.sparkSession.read.schema("id bigint, path string, length bigint, source_type string").parquet(catalogue)

@@ -94,25 +94,103 @@ def test_sine_and_silence(spark):
     x = np.concatenate([tone[:1280], np.zeros(640), tone[:1280]])
     rows = [(0, i, x[i * 64 : i * 64 + 64].tolist()) for i in range(len(x) // 64)]
     b = signal.blocks(spark.createDataFrame(rows, "clip_id long, vec_id long, pcm array<double>"))
-    p = signal.power(signal.frames(b))
+    f = signal.frames(b, 64, 32, 64)
+    p = signal.power(f)
     top = p.where("frame = 5").select(F.array_position("power", F.array_max("power"))).first()[0]
     assert top == 9  # bin 8 is 80 Hz
     q = signal.quality(b).first()
     assert abs(q.peak_db + 6.02) < 0.1 and not q.clipping_detected
-    segments = signal.silence_segments(signal.frame_levels(signal.frames(b)), -40.0, 5, 5).collect()
+    segments = signal.silence_segments(signal.frame_levels(f), -40.0, 5, 5).collect()
     assert len(segments) == 2
 
 
-def test_stream_of_takes(spark, tmp_path):
-    rows = [(1, 1, 0, -10.0), (2, 1, 1, -10.0), (3, 1, 2, -90.0), (4, 1, 60, -5.0), (5, 1, 600, -5.0)]
-    df = spark.createDataFrame(rows, "event_id long, device_id long, s long, peak_db double").select("event_id", "device_id", F.timestamp_seconds("s").alias("ts"), "peak_db")
-    batch = signal.takes(df.unionByName(df.where("event_id = 3").withColumn("ts", F.timestamp_seconds(F.lit(30)))), -40.0, 5).collect()
-    assert sorted(r.loud_readings for r in batch) == [2, 2]
-    df.write.parquet(str(tmp_path / "in"))
-    stream = jobs.level_takes(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), -40.0, "5 seconds", "1 second")
-    q = stream.writeStream.format("memory").queryName("takes_out").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert sorted(r.loud_readings for r in spark.sql("select * from takes_out").collect()) == [1, 2]
+def played(spark, df, f, path, mode="append"):
+    """The rows that a stream gives for df, which comes as one file per minute of ts, in order."""
+    for k, part in enumerate(sorted(r.m for r in df.select(F.date_trunc("minute", "ts").alias("m")).distinct().collect())):
+        df.where(F.date_trunc("minute", "ts") == F.lit(part)).coalesce(1).write.mode("append").parquet(f"{path}/{k:03d}")
+    stream = f(spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path))
+    name = "out_" + str(abs(hash(path)))
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination(120)
+    return [tuple(r) for r in spark.sql(f"select * from {name}").collect()]
+
+
+def readings(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(0, 3)), 4.0 * i + float(rng.uniform(0, 3)), float(rng.uniform(-60, 0))) for i in range(80)]
+    return spark.createDataFrame(rows, "event_id long, device_id long, s double, peak_db double").select("event_id", "device_id", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")).alias("ts"), "peak_db")
+
+
+def test_streams_give_what_their_batch_twins_give(spark, tmp_path):
+    df = readings(spark)
+    plain = lambda d: sorted(tuple(r) for r in d.collect())
+    got = played(spark, df, lambda s: jobs.level_takes(s, -20.0, "9 seconds", "1 second"), str(tmp_path / "takes"))
+    want = plain(jobs.session_takes(df, -20.0, "9 seconds"))
+    assert set(got) <= set(want) and len(got) > len(want) / 2  # sessions that are still open are not given out
+    got = played(spark, df, lambda s: jobs.chunk_peaks(s, "20 seconds", "1 second"), str(tmp_path / "peaks"))
+    assert got and set(got) <= set(plain(jobs.chunk_peaks(df, "20 seconds")))
+    first = catalog.first_of_bursts(df, "device_id", 12).select("device_id", "event_id", "ts")
+    assert sorted(played(spark, df, lambda s: jobs.debounce(s, "device_id", 12), str(tmp_path / "bursts"))) == plain(first)
+    states = df.select(F.col("device_id").alias("job_id"), F.col("event_id").cast("string").alias("status"), "ts")
+    last = {}
+    for job, status, ts in played(spark, states, jobs.latest_status, str(tmp_path / "jobs"), "update"):
+        last[job] = (job, status, ts)
+    assert sorted(last.values()) == plain(jobs.latest_status(states))
+    levels = {}
+    for device, value, n in played(spark, df, jobs.smooth_levels, str(tmp_path / "levels"), "update"):
+        levels[device] = max(levels.get(device, (0, 0)), (n, value))
+    assert {k: (n, round(v, 9)) for k, (n, v) in levels.items()} == {r.device_id: (r.readings, round(r.smoothed_db, 9)) for r in signal.smooth(df).collect()}
+
+
+def test_names_of_recordings(spark):
+    from soundframe.operators import naming
+
+    label = "array<struct<label:string,confidence:double>>"
+    rows = [
+        (1, "/r/a.wav", [("kick", 0.9), ("loop", 0.3), ("x", 0.1)], None, None, 0.2, 300.0, 0.1, 0.4, 0.0, 119.6, "Am"),
+        (2, "/r/b.wav", None, "the quick brown fox jumps", None, 0.1, 1000.0, 0.1, 2.0, 0.0, None, None),
+        (3, "/r/c.wav", [("speech", 0.8)], "hello world again", "world-anthem", 0.1, 1000.0, 0.1, 2.0, 0.0, None, "F# m"),
+        (4, "/r/d.wav", [("kick", 0.1)], None, None, 0.1, 400.0, 0.01, 2.0, 0.0, 0.0, None),
+        (5, "/r/e.wav", None, "unheard words here", None, None, None, None, None, None, None, "?"),
+    ]
+    df = spark.createDataFrame(rows, f"id long, path string, labels {label}, transcript string, refined string, rms double, centroid double, zcr double, dur_s double, tempo double, bpm double, key string")
+    got = {r.id: r for r in naming.name_recordings(df).collect()}
+    assert got[1].method == "labels" and got[1].stem.endswith("-kick_120bpm_Am") and got[1].tags == ["kick", "loop"]
+    assert (got[2].method, got[2].stem, got[2].tags) == ("transcription", "quick-brown-fox", ["vocal"])
+    assert (got[3].method, got[3].stem, got[3].tags, got[3].alternative) == ("llm", "world-anthem_Fm", ["speech"], "hello-world-again")
+    assert got[4].method == "heuristic" and got[4].stem.endswith("-bass") and got[5].method == "seed" and got[5].tags == []
+
+
+def test_notes_and_purposes_of_pairs(spark):
+    clip = "id long, key string, bpm double, spectral_centroid double, spectral_bandwidth double, crest_factor double"
+    df = spark.createDataFrame([(1, "Am", 120.0, 300.0, 100.0, 14.0), (2, "C", 60.0, 5000.0, 100.0, 5.0), (3, None, None, None, None, None)], clip)
+    got = {r.id: r for r in catalog.compatible(df.where("id = 1"), df, notes=True).collect()}
+    assert got[2].notes == ["relative key", "related tempo", "well apart in frequency", "one punchy, one sustained"] and got[3].notes == [] and abs(got[3].score - 0.5) < 1e-9
+    melodic = catalog.compatible(df.where("id = 1"), df, parts=catalog.PURPOSES["melodic"]).where("id = 2").first()
+    assert abs(melodic.score - (0.95 + 0.9) / 2) < 1e-9
+
+
+def test_places_in_large_groups(spark):
+    df = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, 1).alias("g"), (F.col("id") * 37 % 101).alias("v")).repartition(7)
+    got = sorted((r.g or 0, r.place, r.id) for r in catalog.places(df, ["g"], [F.col("v"), F.col("id")], "place").collect())
+    want = sorted((g, p + 1, i) for g in (0, 1) for p, (_, i) in enumerate(sorted((i * 37 % 101, i) for i in range(500) if (i % 3 > 0) == bool(g))))
+    assert got == want
+
+
+def test_presets_and_upkeep(spark):
+    p = spark.createDataFrame([(1, "b", 2, True), (2, "a", 2, False), (3, "c", 1, False)], "id long, name string, sort_order int, is_system boolean")
+    assert [r.id for r in catalog.ordered_presets(p).collect()] == [3, 2, 1]
+    assert sorted(r.id for r in maintain.remove_presets(p, p.where("id < 3").select("id")).collect()) == [1, 3]
+    s = spark.createDataFrame([(1, "x"), (2, None)], "id long, sample_type string")
+    assert maintain.touched(s, s.where("id = 2").select("id"), sample_type="y") == 1 and maintain.touched(s, s.select("id")) == 0
+    with pytest.raises(ValueError):
+        catalog.apply_preset(s, None, spark.createDataFrame([("a", "{}")], "name string, filters string"), "b")
+
+
+def test_embeddings_from_blobs(spark):
+    x = np.array([0.0, -1.5, 3.25e-40, 1e30, 1 / 3], "<f4")
+    df = spark.createDataFrame([(1, bytearray(x.tobytes() + b"ab")), (2, None), (3, bytearray(b""))], "sample_id long, blob binary")
+    got = {r.sample_id: r.embedding for r in audio.embeddings_from_blob(df).collect()}
+    assert np.allclose(np.array(got[1], "f4"), x, rtol=1e-6) and got[2] is None and got[3] == []
 
 
 def test_neighbours_within_radius(spark):
