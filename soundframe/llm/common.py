@@ -160,8 +160,8 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return (prefix[end] - prefix[start]) * down[start]
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (A-Z lower-cased) of consecutive texts, and len + 1 word offsets of the texts."""
+def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(bytes with A-Z lower-cased, starts, ends, len + 1 word offsets of the texts) of the words of consecutive texts."""
     lo, hi = int(off[0]), int(off[-1])
     low = LOWER[data[lo:hi]]
     inside = ~SPACE[low]
@@ -173,8 +173,17 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     start[edges] = inside[edges]
     end[edges - 1] = inside[edges - 1]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    h = mix(range_hash(prefix_hash(low), s, e) + (e - s).astype(np.uint64))
-    return h, np.searchsorted(s, off - lo)
+    return low, s, e, np.searchsorted(s, off - lo)
+
+
+def span_hashes(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return mix(range_hash(prefix_hash(low), s, e) + (e - s).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (A-Z lower-cased) of consecutive texts, and len + 1 word offsets of the texts."""
+    low, s, e, woff = word_spans(data, off)
+    return span_hashes(low, s, e), woff
 
 
 def shingle_hashes(words: np.ndarray, woff: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
