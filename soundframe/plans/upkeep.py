@@ -12,7 +12,9 @@ from soundframe.plans import views as V
 from soundframe.plans.queries import ATTRS, query, six
 
 SAMPLES, TAGS, PACKS = V.SAMPLES, V.TAGS, V.PACKS
-NOW = F.lit("2024-06-01 00:00:00").cast("timestamp")
+def _now():
+    return F.lit("2024-06-01 00:00:00").cast("timestamp")
+
 HEAVY = "SELECT l_partkey AS id FROM lineitem WHERE l_quantity >= 49"
 
 
@@ -84,7 +86,7 @@ def delete_cascade(spark, sf):
 def merge_stamped(spark, sf):
     """Overwriting merge (NULLs win) that stamps the rows it touches."""
     s = V.samples(spark, sf).select("id", "bpm", F.lit(None).cast("timestamp").alias("analyzed_at"))
-    return M.merge(s, s.where("id % 2 = 0").select("id", F.when(F.col("id") % 3 != 0, 111.0).alias("bpm")), "id", False, NOW)
+    return M.merge(s, s.where("id % 2 = 0").select("id", F.when(F.col("id") % 3 != 0, 111.0).alias("bpm")), "id", False, _now())
 
 
 @query("upsert_packs", PACKS, V.FILES, "n AS (SELECT DISTINCT split_part(path, '/', 2) AS name FROM files EXCEPT SELECT name FROM packs)", select="SELECT id, name FROM packs UNION ALL SELECT (SELECT max(id) FROM packs) + row_number() OVER (ORDER BY name), name FROM n")
@@ -113,20 +115,20 @@ def project_merge(spark, sf):
 @query("project_bump", V.PROJECTS, V.MEMBERS, select="SELECT id, CASE WHEN id IN (SELECT project_id FROM project_samples WHERE sample_id % 5 IN (1, 2)) THEN TIMESTAMP '2024-06-01' ELSE TIMESTAMP '2020-01-01' END AS updated_at FROM projects")
 def project_bump(spark, sf):
     p = V.projects(spark, sf).withColumn("updated_at", F.lit("2020-01-01").cast("timestamp"))
-    return M.bump(p, V.project_samples(spark, sf).where("sample_id % 5 in (1, 2)"), NOW).select("id", "updated_at")
+    return M.bump(p, V.project_samples(spark, sf).where("sample_id % 5 in (1, 2)"), _now()).select("id", "updated_at")
 
 
 @query("job_enqueue", SAMPLES, V.JOBS, "n AS (SELECT id FROM samples WHERE id NOT IN (SELECT sample_id FROM jobs WHERE job_type = 'embedding' AND status IN ('pending', 'running')))", select="SELECT (SELECT max(id) FROM jobs) + row_number() OVER (ORDER BY id) AS id, id AS sample_id, 'pending' AS status, TIMESTAMP '2024-06-01' AS created_at FROM n")
 def job_enqueue(spark, sf):
-    j = M.enqueue(V.jobs(spark, sf), V.samples(spark, sf), "embedding", 3, NOW)
-    return j.where(F.col("created_at") == NOW).select("id", "sample_id", "status", "created_at")
+    j = M.enqueue(V.jobs(spark, sf), V.samples(spark, sf), "embedding", 3, _now())
+    return j.where(F.col("created_at") == _now()).select("id", "sample_id", "status", "created_at")
 
 
 @query("job_finish", V.JOBS, select="SELECT id, CASE WHEN id % 10 = 0 THEN 'failed' WHEN id % 5 = 0 THEN 'complete' ELSE status END AS status, CASE WHEN id % 5 = 0 THEN TIMESTAMP '2024-06-01' ELSE completed_at END AS completed_at FROM jobs")
 def job_finish(spark, sf):
     j = V.jobs(spark, sf)
     done = j.where("id % 5 = 0").select("id", F.when(F.col("id") % 10 == 0, "broken").alias("error"))
-    return M.finish_jobs(j, done, NOW).select("id", "status", "completed_at")
+    return M.finish_jobs(j, done, _now()).select("id", "status", "completed_at")
 
 
 STEMS = "st AS (SELECT id AS parent_id, role, '/stems/' || id || '_' || role || '.wav' AS path FROM samples, (VALUES ('bass'), ('drums')) AS r(role) WHERE id % 10 = 1)"
@@ -146,7 +148,7 @@ def save_recordings(spark, sf):
     s = V.samples(spark, sf)
     rec = s.where("id % 8 = 0").select(F.concat(F.lit("/rec/"), F.col("id").cast("string"), F.lit(".wav")).alias("path"), "duration", F.array(F.lit("a")).alias("tags"), F.array("sample_type").alias("model_tags"), F.lit("session:1").alias("session_tag"), F.when(F.col("id") % 16 == 0, True).alias("stems"))
     none = V.jobs(spark, sf).where("false")
-    return M.save_recordings(s.select("id", "path", "pack_id", "source_type", "duration"), V.sample_tag(spark, sf), none, rec, 99, NOW)[2].select("sample_id", "job_type")
+    return M.save_recordings(s.select("id", "path", "pack_id", "source_type", "duration"), V.sample_tag(spark, sf), none, rec, 99, _now())[2].select("sample_id", "job_type")
 
 
 @query("orphan_ingest", SAMPLES, TAGS, V.FILES, "n AS (SELECT DISTINCT path FROM files WHERE length % 2 = 0), i AS (SELECT path, (SELECT max(id) FROM samples) + row_number() OVER (ORDER BY path) AS id FROM n)", select="SELECT sample_id, tag FROM sample_tag UNION ALL SELECT id, 'recorded' FROM i")
