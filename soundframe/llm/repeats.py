@@ -7,9 +7,9 @@ its context.
 
 * Anchors that occur once are dropped. Contexts that are equal as a whole are repeated as a whole (counted, never gathered).
 * Other contexts that share an anchor are indexed together, in units of about UNIT bytes: a run-length compressed
-  Burrows-Wheeler transform with the suffixes sampled at run ends. Only where a run begins is a match measured; streaming over the text in
-  order gives every other position's length from the one before (it falls by one), the matching statistics of the unit within
-  itself. Starts whose match reaches LENGTH are marked.
+  Burrows-Wheeler transform with the suffixes sampled at run ends. Matches are measured at the borders between runs only; streaming
+  over the text in order gives every other position's length from the one before (it falls by one): the matching statistics of the
+  unit within itself. Starts whose match reaches LENGTH are marked.
 * An anchor with over CROWD different contexts is split before that: windows that begin nearer and farther from the anchor
   part, each half keyed by all bytes that its windows share, again and again while a group is too large. Equal halves are
   counted as before, so each round leaves few contexts, and no group of any size meets in one task.
@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from soundframe.llm.common import Powers, mix, pieces, prefix_hash, range_hash, read, text_buffer, written
+from soundframe.llm.common import Powers, marked, maybe_in, mix, pieces, prefix_hash, range_hash, read, text_buffer, written
 
 LENGTH, GRAM = 400, 64
-CROWD, UNIT = 1000, 1 << 20
+CROWD, UNIT = 1000, 1 << 19
 LONG = 1 << 21
 PLACE = np.uint64((1 << 26) - 1)
 MARK = 255  # no byte of UTF-8
@@ -102,7 +102,8 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
 def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The context bytes of wanted anchors (k1, k2, at, near, far, anchor, known, m)."""
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "near", "far", "anchor", "known", "m")).alias("list"))
-    joined = docs.dropDuplicates(["k1", "k2"]).join(lists, ["k1", "k2"])
+    asked = maybe_in(docs, marked(wanted, ["k1", "k2"]), ["k1", "k2"]).where("maybe").drop("maybe")
+    joined = asked.dropDuplicates(["k1", "k2"]).join(lists, ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,22 +149,21 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """A run-length compressed Burrows-Wheeler transform of a text with the suffixes at the ends of its runs.
+    """A run-length compressed Burrows-Wheeler transform of a text with the suffixes sampled at the ends of its runs.
 
-    heads: rows where a run begins; letters: the runs' bytes; sample: the text positions at run heads; before: those one row
-    above, that is at the ends of the runs before.
+    letters and lengths: the runs; heads and tails: where in the text the suffixes of each run's first and last row begin. The suffix
+    array that it is built from is not kept: all that follows costs as much as there are runs, but for one pass over the text.
     """
 
     def __init__(self, text: np.ndarray):
-        self.order = suffix_array(text)
-        last = text[self.order - 1]
+        order = suffix_array(text)
+        last = text[order - 1]
         change = np.r_[True, last[1:] != last[:-1]]
-        whole = int(np.flatnonzero(self.order == 0)[0])  # nothing stands before the whole text: a run of its own
+        whole = int(np.flatnonzero(order == 0)[0])  # nothing stands before the whole text: a run of its own
         change[whole : whole + 2] = True
-        self.heads = np.flatnonzero(change)
-        self.letters = last[self.heads]
-        self.sample = self.order[self.heads]
-        self.before = np.r_[-1, self.order[self.heads[1:] - 1]]
+        first = np.flatnonzero(change)
+        self.letters, self.lengths = last[first], np.diff(np.r_[first, len(text)])
+        self.heads, self.tails = order[first], order[np.r_[first[1:], len(text)] - 1]
         self.prefix, self.n = prefix_hash(text), len(text)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -176,18 +176,20 @@ class RunIndex:
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
+    def stream(self, at: np.ndarray, measured: np.ndarray) -> np.ndarray:
+        """All positions' lengths from those measured at some: elsewhere a length is that of the position before less one."""
+        reach, known = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        reach[at], known[at] = at + measured, at
+        return np.maximum(reach[np.maximum.accumulate(known)] - np.arange(self.n), 0)
+
     def statistics(self) -> np.ndarray:
-        """For each text position: the length of the match with the suffix one row above.
+        """Matching statistics of the text within itself: for each position the longest match with a suffix that begins elsewhere.
 
-        Measured only where a run begins. Elsewhere the letter before both suffixes is the same, so the match is that of the
-        position before less one.
+        That is with the suffix one row above or below. The first is measured where a run begins, the second where one ends, which is
+        one comparison for each border between runs; within a run the letter before both suffixes is the same, so lengths follow.
         """
-        reach, known = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
-        has = self.before >= 0
-        reach[self.sample] = self.sample
-        reach[self.sample[has]] += self.common(self.sample[has], self.before[has])
-        known[self.sample] = self.sample
-        return np.maximum(reach[np.maximum.accumulate(known)] - np.arange(self.n), 0)
+        border = self.common(self.heads[1:], self.tails[:-1])
+        return np.maximum(self.stream(self.heads, np.r_[0, border]), self.stream(self.tails, np.r_[border, 0]))
 
 
 def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -195,16 +197,7 @@ def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray
     data = np.frombuffer(bytes([MARK]).join(texts) + bytes([MARK]), np.uint8)
     sizes = np.array([len(t) for t in texts])
     begin = np.r_[0, np.cumsum(sizes + 1)[:-1]]
-    index = RunIndex(data)
-    match = index.statistics()[index.order]
-    valid = np.zeros(len(data), bool)
-    for b, n in zip(begin.tolist(), sizes.tolist(), strict=True):
-        valid[b : b + max(n - length + 1, 0)] = True
-    rows = valid[index.order]
-    group = np.cumsum(match < length)
-    several = np.bincount(group[rows], minlength=group[-1] + 1)[group] > 1
-    found = np.zeros(len(data), bool)
-    found[index.order[rows & several]] = True
+    found = RunIndex(data).statistics() >= length  # a string that lies within a text holds no mark, and neither do those equal to it
     return [found[b : b + max(n - length + 1, 0)] for b, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
 
 
@@ -307,8 +300,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     ids like others; other columns are ignored; an empty table gives an empty result. kept is bytes, as a cut may split a letter.
     """
     docs = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    spans = repeated_spans(docs, length).groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end")).alias("starts"))
-    joined = docs.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "starts")
+    spans = written(repeated_spans(docs, length), "spans")
+    split = maybe_in(docs, marked(spans, ["k1", "k2"]), ["k1", "k2"])
+    lists = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end")).alias("starts"))
+    joined = split.where("maybe").join(lists, ["k1", "k2"], "left").select("doc_id", "text", "starts")
+    joined = joined.unionByName(split.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<struct<begin:int,end:int>>").alias("starts")))  # not shuffled
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

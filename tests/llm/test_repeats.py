@@ -81,11 +81,13 @@ def test_index_by_hand():
     index = R.RunIndex(text)
     raw = text.tobytes()
     order = sorted(range(len(raw)), key=lambda i: raw[i:])
-    assert index.order.tolist() == order
-    lcp = [0] * len(raw)
-    for a, b in zip(order, order[1:]):
-        while lcp[b] < len(raw) - max(a, b) and raw[a + lcp[b]] == raw[b + lcp[b]]:
-            lcp[b] += 1
+    assert R.suffix_array(text).tolist() == order
+    rows = np.repeat(index.letters, index.lengths)
+    assert rows.tolist() == [raw[i - 1] for i in order] and len(index.letters) < len(raw)
+    firsts = np.r_[0, np.cumsum(index.lengths)[:-1]]
+    assert index.heads.tolist() == [order[k] for k in firsts] and index.tails.tolist() == [order[k - 1] for k in np.cumsum(index.lengths)]
+    same = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    lcp = [max(same(raw[i:], raw[j:]) for j in range(len(raw)) if j != i) for i in range(len(raw))]
     assert index.statistics().tolist() == lcp
     assert len(index.heads) < len(raw)
 
@@ -101,3 +103,14 @@ def test_small_table(spark, sf):
 
 def test_empty(spark, docs_of):
     assert R.remove_repeats(docs_of(["x"]).limit(0)).count() == 0
+
+
+def test_rows_that_repeat_and_null_ids(spark, docs_of):
+    import random
+
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    docs = docs_of([long, "x" + long[:500] + "y", "short", None], ", k1 int, k2 int, maybe string", (1, 2, "m"))
+    docs = docs.unionByName(docs.where("doc_id = 0")).unionByName(docs.where("doc_id = 1").withColumn("doc_id", docs.doc_id.cast("string").substr(5, 1).cast("long")))
+    rows = [(r.doc_id, r.n_bytes, len(r.kept)) for r in R.remove_repeats(docs).collect()]
+    assert sorted(rows, key=str) == sorted([(0, 900, 0), (0, 900, 0), (1, 502, 0), (None, 502, 0), (2, 5, 5), (3, 0, 0)], key=str)
