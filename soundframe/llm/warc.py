@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from soundframe.llm.common import read, scratch, written
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Bytes that a file holds about, and those below which a table isn't cut for the sake of more tasks.
-FILE_BYTES, MIN_FILE = 64 << 20, 1 << 20
+#: Bytes that a file holds about, at most.
+FILE_BYTES = 64 << 20
 #: Captures in a range, and rows that a run keeps in memory while it is merged.
 RANGE, CHUNK = 200_000, 256
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -67,7 +67,8 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, file_bytes: int
     facts = written(p.select("id", "name", "sha", F.octet_length("payload").alias("n")), "payload_facts")
     bytes_, rows = facts.agg(F.sum("n"), F.count("*")).first()
     size = (bytes_ or 0) + 500 * rows
-    parts = max(-(-size // file_bytes), min(-(-size // MIN_FILE), 2 * p.sparkSession.sparkContext.defaultParallelism), 1)
+    # as many as a shuffle has at least: with fewer, the planner would shuffle the payloads again for the join
+    parts = max(-(-size // file_bytes), int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     first = written(facts.where(F.col("n") >= least).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null").select("sha", "first"), "first_of")
     again = facts.join(first, "sha").where(~F.col("id").eqNullSafe(F.col("first"))).select("name", "sha", "first").distinct()
     p = p.repartition(parts, "name", "sha").join(again.repartition(parts, "name", "sha"), ["name", "sha"], "left")
