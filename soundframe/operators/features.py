@@ -352,6 +352,24 @@ def clip_vectors(blocks: DataFrame, rate: float, size: int = S.BLOCK, n_fft: int
     return v.withColumn("norm", norm).select("clip_id", F.when(F.col("norm") > 1e-6, F.transform("v", lambda x: x / F.nullif("norm", F.lit(0.0)))).otherwise(F.col("v")).alias("v"))
 
 
+def spectral_bundle(blocks: DataFrame, rate: float, size: int = S.BLOCK, n_fft: int = 2048, hop: int = 512, n_mels: int = 128, n: int = 13) -> DataFrame:
+    """(clip_id, centroid, rolloff, flatness, bandwidth, zcr, mfcc): all spectral means of each clip."""
+    p = S.power(S.frames(blocks, n_fft, hop, size))
+    m = array_stats(mfcc(mel(p, n_fft, rate, n_mels), n), "mfcc", n).select("clip_id", F.col("mean").alias("mfcc"))
+    return S.spectral(p, rate / n_fft).join(S.zero_crossing_rate(blocks), "clip_id").join(m, "clip_id")
+
+
+def embed_missing(samples: DataFrame, embeddings: DataFrame, blocks: DataFrame, rate: float, version: int, size: int = S.BLOCK, n_fft: int = 2048, hop: int = 512, n_mels: int = 128) -> tuple[DataFrame, DataFrame]:
+    """(embeddings, failed): embeddings (id, v, version) with vectors of the samples that have none, and the ids of those without sound.
+
+    blocks: clip_id is the sample's id.
+    """
+    todo = samples.select("id").join(embeddings.select("id"), "id", "left_anti")
+    wanted = blocks.join(todo.select(F.col("id").alias("clip_id")), "clip_id", "left_semi")
+    new = clip_vectors(wanted, rate, size, n_fft, hop, n_mels).select(F.col("clip_id").alias("id"), "v", F.lit(version).alias("version"))
+    return embeddings.unionByName(new.select(embeddings.columns)), todo.join(new.select("id"), "id", "left_anti")
+
+
 def analyze(blocks: DataFrame, rate: float, size: int = S.BLOCK, n_fft: int = 2048, hop: int = 512, key_fft: int = 4096) -> DataFrame:
     """One row per clip: bpm, key (tonic), mode, quality and spectral columns, and errors, the steps that gave nothing."""
     p = S.power(S.frames(blocks, n_fft, hop, size))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from soundframe.functions import text
+from soundframe.operators import catalog
+
 
 def new_ids(df: DataFrame, start: int, order: list[str]) -> DataFrame:
     """Ids from start on without gathering rows: partitions are counted first, then each row adds its place."""
@@ -151,6 +154,25 @@ def save_recordings(samples: DataFrame, sample_tag: DataFrame, jobs: DataFrame,
     return out, bridge, enqueue(ledger, new.where(wanted), "stems", 0, now)
 
 
+def split_clips(samples: DataFrame, sample_tag: DataFrame, parts: DataFrame, rate: float, extra: tuple[str, ...] = ("split",)) -> tuple[DataFrame, DataFrame]:
+    """(samples, sample_tag) with a recorded clip for each of parts (clip_id, part, start, end in samples) in the parent's folder and pack.
+
+    Names are the parent path's words (by FNV) and the part's number; tags are the parent, its session and extra ones. Clips without
+    parts, and paths that are known, are left alone.
+    """
+    p = samples.select(F.col("id").alias("clip_id"), F.col("path").alias("from"), "pack_id")
+    c = parts.join(p, "clip_id")
+    folder = F.regexp_extract("from", r"^(.*/)?[^/]*$", 1)
+    name = F.concat(folder, text.stem_fnv(F.col("from")), F.lit("_"), F.lpad((F.col("part") + 1).cast("string"), 3, "0"), F.lit(".wav"))
+    c = c.select("clip_id", "pack_id", name.alias("path"), ((F.col("end") - F.col("start")) / rate).alias("duration"), F.lit("recorded").alias("source_type"), F.lit(1).alias("channels"))
+    start = samples.agg(F.max("id")).first()[0] or 0
+    new = new_ids(c.join(samples.select("path"), "path", "left_anti"), start + 1, ["path"])
+    out = samples.unionByName(new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(k).alias(c) for c, k in samples.dtypes]))
+    born = new.select(F.col("id").alias("child_id"), F.col("clip_id").alias("parent_id"))
+    more = born.select(F.col("child_id").alias("sample_id"), F.explode(F.array(*map(F.lit, extra))).alias("tag"))
+    return out, sample_tag.unionByName(catalog.inherit_tags(born, sample_tag).select(F.col("child_id").alias("sample_id"), "tag")).unionByName(more).distinct()
+
+
 def orphan_ingest(samples: DataFrame, sample_tag: DataFrame, files: DataFrame, pack_id: int) -> tuple[DataFrame, DataFrame]:
     """(samples, sample_tag) with valid orphaned files (path, status, ...) as recorded clips of the pack, tagged recorded."""
     fresh = files.where("status = 'valid'").dropDuplicates(["path"]).join(samples.select("path"), "path", "left_anti")

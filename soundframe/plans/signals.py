@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from soundframe.functions import text
 from soundframe.operators import features as T
+from soundframe.operators import maintain as M
 from soundframe.operators import signal as S
 from soundframe.plans import views as V
-from soundframe.plans.queries import ENV, FR, HOP, N_FFT, PW, RATE, SIZE, _blocks, _power, query, six
+from soundframe.plans.queries import ENV, FR, HOP, N_FFT, PW, RATE, SIZE, SPEC, _blocks, _power, query, six
 
 SIG = V.SIGNAL
 BANDS, COEFFICIENTS, PER_SECOND = 8, 5, RATE / HOP
@@ -18,6 +20,9 @@ ml AS (SELECT clip_id, frame, band, sum(p * w) AS v FROM pw JOIN mw USING (k) GR
 MFCC = f"""mc AS (SELECT clip_id, frame, c, sum(ln(v + 1e-10) * cos(pi() / {BANDS} * (band + 0.5) * c)) * CASE WHEN c = 0 THEN sqrt(1.0 / {BANDS}) ELSE sqrt(2.0 / {BANDS}) END AS x FROM ml, (SELECT unnest(range(0, {COEFFICIENTS})) AS c) GROUP BY clip_id, frame, c)"""
 
 
+FNV_OF = "h AS (SELECT id, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(path, ''), lambda c: ascii(c)::HUGEINT)), lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616::HUGEINT) AS h FROM {})"
+
+
 def _mel(spark, sf):
     return T.mel(_power(spark, sf), N_FFT, RATE, BANDS)
 
@@ -153,6 +158,32 @@ def analyze_standard(spark, sf):
     return six(a, "bpm", "key_confidence", "rms_db", "centroid", "flatness").select("clip_id", "bpm", "key", "mode", "key_confidence", "rms_db", "clipping_detected", "centroid", "flatness", F.array_join("errors", ",").alias("errors"))
 
 
+@query("spectral_bundle", SIG, FR, PW, SPEC, MELW, MFCC, "z AS (SELECT clip_id, avg(CASE WHEN (x >= 0) <> (prev >= 0) THEN 1.0 ELSE 0 END) AS zcr FROM (SELECT clip_id, x, lag(x) OVER (PARTITION BY clip_id ORDER BY n) AS prev FROM signal) WHERE prev IS NOT NULL GROUP BY clip_id)", select="SELECT clip_id, round(centroid, 4) AS centroid, round(flatness, 4) AS flatness, round(zcr, 6) AS zcr, (SELECT round(avg(x), 6) FROM mc WHERE mc.clip_id = m.clip_id AND c = 2) AS third FROM m JOIN z USING (clip_id)")
+def spectral_bundle(spark, sf):
+    b = T.spectral_bundle(_blocks(spark, sf), RATE, SIZE, N_FFT, HOP, BANDS, COEFFICIENTS)
+    return b.select("clip_id", F.round("centroid", 4).alias("centroid"), F.round("flatness", 4).alias("flatness"), F.round("zcr", 6).alias("zcr"), F.round(F.col("mfcc")[2], 6).alias("third"))
+
+
+@query("embed_missing", SIG, LEN, V.SAMPLES, select="SELECT id, CAST(CASE WHEN id % 3 = 0 THEN 1 WHEN id IN (SELECT clip_id FROM len) THEN 2 END AS INT) AS version FROM samples WHERE id < 30")
+def embed_missing(spark, sf):
+    """Versions after missing vectors are made: every third clip has one, clips with sound get one, NULL where there is none."""
+    s = V.samples(spark, sf).where("id < 30")  # the sounds of the view have ids from 0 to 9
+    have = s.where("id % 3 = 0").select("id", F.array().cast("array<double>").alias("v"), F.lit(1).alias("version"))
+    e, failed = T.embed_missing(s, have, _blocks(spark, sf), RATE, 2, SIZE, N_FFT, HOP, 32)
+    return e.select("id", "version").unionByName(failed.select("id", F.lit(None).cast("int").alias("version")))
+
+
+@query("split_job", SIG, LEN, V.SAMPLES, V.TAGS, FNV_OF.format("samples"), "g AS (SELECT clip_id, len, CAST(ceil(len / 349) AS BIGINT) AS n, unnest(range(0, CAST(ceil(len / 349) AS BIGINT), 6)) AS i FROM len)",
+    f"c AS (SELECT g.clip_id, regexp_extract(path, '^(.*/)') || {text.ADJECTIVES}[CAST(h % 12 AS INT) + 1] || '-' || {text.NOUNS}[CAST((h // 65536) % 12 AS INT) + 1] || '_' || lpad(CAST(i // 6 + 1 AS VARCHAR), 3, '0') || '.wav' AS path FROM g JOIN samples s ON s.id = g.clip_id JOIN h ON h.id = s.id)",
+    "n AS (SELECT *, (SELECT max(id) FROM samples) + row_number() OVER (ORDER BY path) AS id FROM c)", select="SELECT id AS sample_id, 'parent:' || clip_id AS tag FROM n UNION SELECT id, 'split' FROM n UNION SELECT n.id, min(t.tag) FROM n JOIN sample_tag t ON t.sample_id = n.clip_id AND t.tag LIKE 'session:%' GROUP BY n.id")
+def split_job(spark, sf):
+    """Tags of the clips that a split of the first ten clips on a beat grid makes."""
+    parts = T.beat_chunks(S.lengths(_blocks(spark, sf)), F.lit(110.0), RATE, 2, 3)
+    s, t = V.samples(spark, sf).select("id", "path", "pack_id", "source_type", "duration"), V.sample_tag(spark, sf)
+    new, tags = M.split_clips(s, t, parts, RATE)
+    return tags.join(new.join(s.select("id"), "id", "left_anti").select(F.col("id").alias("sample_id")), "sample_id", "left_semi")
+
+
 @query("naming_features")
 def naming_features(spark, sf):
     return six(T.naming_features(_blocks(spark, sf), RATE, SIZE, 3.0, N_FFT, HOP), "rms", "centroid", "zcr", "dur_s", "tempo")

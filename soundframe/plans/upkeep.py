@@ -10,6 +10,7 @@ from soundframe.operators import maintain as M
 from soundframe.operators import naming as N
 from soundframe.plans import views as V
 from soundframe.plans.queries import ATTRS, query, six
+from soundframe.plans.signals import FNV_OF
 
 SAMPLES, TAGS, PACKS = V.SAMPLES, V.TAGS, V.PACKS
 def _now():
@@ -165,7 +166,7 @@ def key_parse(spark, sf):
     return V.samples(spark, sf).select("id", p["root"].alias("root"), p["mode"].alias("mode"))
 
 
-FNV = f"""h AS (SELECT id, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(path, ''), lambda c: ascii(c)::HUGEINT)), lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616::HUGEINT) AS h FROM samples)"""
+FNV = FNV_OF.format("samples")
 
 
 @query("stem_fnv", SAMPLES, FNV, select=f"SELECT id, {text.ADJECTIVES}[CAST(h % 12 AS INT) + 1] || '-' || {text.NOUNS}[CAST((h // 65536) % 12 AS INT) + 1] AS stem FROM h")
@@ -221,6 +222,19 @@ def layout_3d(spark, sf):
     return six(V.samples(spark, sf).select("id", *[v.alias(k) for k, v in rules.layout(F.col("id"), share).items()]), "x", "y", "z")
 
 
+@query("radius_neighbours", SAMPLES, LAYOUT, "q AS (SELECT id, CASE WHEN share >= 0.5 THEN (bx * 2 - 1) * 5 ELSE c[1] + cos(ang) * r END AS x, CASE WHEN share >= 0.5 THEN (ey * 2 - 1) * 5 ELSE c[2] + sin(ang) * r * 0.6 END AS y, CASE WHEN share >= 0.5 THEN (pz * 2 - 1) * 5 ELSE c[3] + sin(ang * 0.7) * r END AS z FROM p),\nd AS (SELECT a.id AS a_id, b.id, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS distance FROM q a JOIN q b ON a.id <> b.id)", select="SELECT a_id, id, round(distance, 6) AS distance FROM d WHERE distance <= 1 QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY distance, id) <= 5")
+def radius_neighbours(spark, sf):
+    """The five nearest clips within 1 of each clip of the layout."""
+    share = rules.coverage([F.col(a) for a in ATTRS]) / 8.0 - F.col("id") % 2
+    p = V.samples(spark, sf).select("id", *[v.alias(k) for k, v in rules.layout(F.col("id"), share).items()])
+    return C.radius_neighbours(p, 1.0, 5).select("a_id", "id", F.round("distance", 6).alias("distance"))
+
+
+@query("sanitize_text", select="SELECT conv_id, turn, CASE WHEN length(n) BETWEEN 3 AND 60 THEN n END AS name FROM (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(split_part(trim(text), chr(10), 1))), '[\"''`*_]', '', 'g'), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-{2,}', '-', 'g'), '-') AS n FROM conversations)")
+def sanitize_text(spark, sf):
+    return V.read(spark, sf, "conversations").select("conv_id", "turn", text.sanitize_text(F.col("text")).alias("name"))
+
+
 @query("arm_sessions", V.LEVELS, "ar AS (SELECT device_id, event_id AS session, ts AS on_at, lead(ts) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS nxt FROM levels WHERE event_id % 5 = 0)", select="SELECT l.event_id AS id, max(CASE WHEN ar.on_at + (ar.nxt - ar.on_at) / 2 >= l.ts OR ar.nxt IS NULL THEN 'session:' || session END) AS session_tag FROM levels l LEFT JOIN ar ON ar.device_id = l.device_id AND ar.on_at <= l.ts AND (l.ts < ar.nxt OR ar.nxt IS NULL) WHERE l.event_id % 5 <> 0 GROUP BY l.event_id")
 def arm_sessions(spark, sf):
     """Every fifth event of a device arms it until half way to the next such event (the last one for good); other events are finished clips."""

@@ -200,3 +200,13 @@ def test_neighbours_within_radius(spark):
     got = {(r.a_id, r.id) for r in catalog.radius_neighbours(df).collect()}
     want = {(a[0], b[0]) for a in pts for b in pts if a[0] != b[0] and sum((p - q) ** 2 for p, q in zip(a[1:], b[1:])) <= 9}
     assert got == want
+
+
+def test_tables_are_replaced_by_folder(spark, tmp_path):
+    from soundframe.sources import tables
+
+    df = spark.range(10).select("id", (F.col("id") % 3).alias("k"))
+    tables.save(df, str(tmp_path), "t", ("k",))
+    tables.save(df.where("k = 1").select((F.col("id") + 100).alias("id"), "k"), str(tmp_path), "t", ("k",))
+    got = sorted((r.id, r.k) for r in tables.load(spark, str(tmp_path), "t").collect())
+    assert got == sorted([(i, i % 3) for i in range(10) if i % 3 != 1] + [(i + 100, 1) for i in range(10) if i % 3 == 1])
