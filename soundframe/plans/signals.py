@@ -71,6 +71,10 @@ LAGS = """e0 AS (SELECT clip_id, sum(env * env) AS s0, count(*) AS n FROM env GR
 tw AS (SELECT clip_id, lag, r, r * exp(-power(1200.0 / lag - 120, 2) / 3200) AS w, 1 AS o FROM ac UNION ALL SELECT clip_id, lag, r, r, 0 FROM ac WHERE lag = 6)"""
 
 
+TEMPO = "tb AS (SELECT clip_id, round(1200.0 / lag, 6) AS bpm, round(least(1, greatest(0, r)), 6) AS confidence FROM tw QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY w DESC, o, lag) = 1)"
+QUALITY = "qm AS (SELECT clip_id, avg(x) AS mean FROM signal GROUP BY ALL), ql AS (SELECT clip_id, 20 * log10(sqrt(avg(power(x - mean, 2)))) AS rms_db, 20 * log10(max(abs(x - mean))) AS peak_db, avg(CASE WHEN abs(x) >= 0.99 THEN 1.0 ELSE 0 END) > 0.0001 AS clipping_detected FROM signal JOIN qm USING (clip_id) GROUP BY clip_id)"
+
+
 @query("tempo_bpm", SIG, FR, PW, ENV, LAGS, select="SELECT clip_id, round(1200.0 / lag, 6) AS bpm, round(least(1, greatest(0, r)), 6) AS confidence FROM tw QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY w DESC, o, lag) = 1")
 def tempo_bpm(spark, sf):
     return six(T.tempo(S.onset_envelope(_power(spark, sf)), PER_SECOND), "bpm", "confidence")
@@ -130,31 +134,58 @@ def loop_quality(spark, sf):
     return six(T.loop_quality(_blocks(spark, sf), RATE, SIZE, 0.1, 32, N_FFT), "amplitude", "spectrum", "quality")
 
 
-@query("freq_waveform")
+FREQ = """fh AS (SELECT clip_id, len, len // 40 AS hop, unnest(range(0, 1 + len // (len // 40))) AS frame FROM len), fs AS (SELECT fh.clip_id, frame, t, x FROM fh, (SELECT unnest(range(0, 128)) AS t) tt, signal s WHERE s.clip_id = fh.clip_id AND s.n = frame * hop - 64 + t),
+fm AS (SELECT clip_id, frame, k, sqrt(power(sum(x * (0.5 - 0.5 * cos(2 * pi() * t / 127)) * cos(2 * pi() * k * t / 128)), 2) + power(sum(x * (0.5 - 0.5 * cos(2 * pi() * t / 127)) * sin(2 * pi() * k * t / 128)), 2)) AS a FROM fs, (SELECT unnest(range(0, 65)) AS k) GROUP BY ALL),
+fc AS (SELECT clip_id, frame, CASE WHEN sum(a) > 1e-10 THEN sum(a * k * 5) / sum(a) ELSE 0 END AS c FROM fm GROUP BY ALL), fn AS (SELECT clip_id, count(*) AS frames FROM fc GROUP BY ALL), fb AS (SELECT clip_id, bar, bar * ((frames - 1) / 39) AS p FROM fn, (SELECT unnest(range(0, 40)) AS bar)),
+fp AS (SELECT b.clip_id, b.bar, coalesce(max(abs(x)), 0) AS peak FROM (SELECT clip_id, len, unnest(range(0, 40)) AS bar FROM len) b LEFT JOIN signal s ON s.clip_id = b.clip_id AND CAST(floor(s.n / ceil(len / 40)) AS INT) = bar GROUP BY ALL)"""
+
+
+@query("freq_waveform", SIG, LEN, FREQ, select="SELECT fb.clip_id, CAST(fb.bar AS INT) AS bar, round(peak, 6) AS peak, round(a.c + coalesce(b.c - a.c, 0) * (p - floor(p)), 6) AS centroid FROM fb JOIN fp USING (clip_id, bar) JOIN fc a ON a.clip_id = fb.clip_id AND a.frame = CAST(floor(p) AS BIGINT) LEFT JOIN fc b ON b.clip_id = fb.clip_id AND b.frame = CAST(floor(p) AS BIGINT) + 1")
 def freq_waveform(spark, sf):
     return six(T.frequency_waveform(_blocks(spark, sf), RATE, 40, SIZE, 128), "peak", "centroid")
 
 
-@query("spectrogram")
+GRAM = """gh AS (SELECT clip_id, len // 20 AS hop, unnest(range(0, 1 + len // (len // 20))) AS frame FROM len), gs AS (SELECT gh.clip_id, frame, t, x FROM gh, (SELECT unnest(range(0, 64)) AS t) tt, signal s WHERE s.clip_id = gh.clip_id AND s.n = frame * hop - 32 + t),
+gp AS (SELECT clip_id, frame, k, power(sum(x * (0.5 - 0.5 * cos(2 * pi() * t / 63)) * cos(2 * pi() * k * t / 64)), 2) + power(sum(x * (0.5 - 0.5 * cos(2 * pi() * t / 63)) * sin(2 * pi() * k * t / 64)), 2) AS p FROM gs, (SELECT unnest(range(0, 33)) AS k) GROUP BY ALL),
+gv AS (SELECT clip_id, frame, k, least(1, greatest(0, (greatest(10 * log10(greatest(p, 1e-10) / greatest(max(p) OVER (PARTITION BY clip_id), 1e-10)), -80) + 80) / 80)) AS v FROM gp), gn AS (SELECT clip_id, max(frame) AS last FROM gv GROUP BY ALL), gc AS (SELECT clip_id, col, col * (last / 19) AS p FROM gn, (SELECT unnest(range(0, 20)) AS col)),
+gw AS (SELECT gc.clip_id, col, a.k, a.v + coalesce(b.v - a.v, 0) * (p - floor(p)) AS v FROM gc JOIN gv a ON a.clip_id = gc.clip_id AND a.frame = CAST(floor(p) AS BIGINT) LEFT JOIN gv b ON b.clip_id = gc.clip_id AND b.frame = CAST(floor(p) AS BIGINT) + 1 AND b.k = a.k),
+gr AS (SELECT r AS row, r * (32 / 11) AS p FROM (SELECT unnest(range(0, 12)) AS r))"""
+
+
+@query("spectrogram", SIG, LEN, GRAM, select="SELECT a.clip_id, CAST(a.col AS INT) AS col, CAST(row AS INT) AS row, round(a.v + coalesce(b.v - a.v, 0) * (p - floor(p)), 6) AS x FROM gr JOIN gw a ON a.k = CAST(floor(p) AS BIGINT) LEFT JOIN gw b ON b.clip_id = a.clip_id AND b.col = a.col AND b.k = a.k + 1")
 def spectrogram(spark, sf):
     v = T.spectrogram(_blocks(spark, sf), RATE, 20, 12, SIZE, N_FFT, "linear")
     return v.select("clip_id", "col", F.posexplode("v").alias("row", "x")).select("clip_id", "col", "row", F.round("x", 6).alias("x"))
 
 
-@query("bars")
+BARS = """bb AS (SELECT clip_id, least(n // (len // 30), 29) AS bar, n - least(n // (len // 30), 29) * (len // 30) AS i, x FROM signal JOIN len USING (clip_id)), bm AS (SELECT clip_id, bar, count(*) AS m, CAST(power(2, ceil(log2(count(*)))) AS BIGINT) AS size, max(abs(x)) AS peak FROM bb GROUP BY ALL),
+bd AS (SELECT clip_id, bar, k, size, sqrt(power(sum(x * (0.5 - 0.5 * cos(2 * pi() * i / (m - 1))) * cos(2 * pi() * k * i / size)), 2) + power(sum(x * (0.5 - 0.5 * cos(2 * pi() * i / (m - 1))) * sin(2 * pi() * k * i / size)), 2)) AS a FROM bb JOIN (SELECT *, unnest(range(1, size // 2)) AS k FROM bm) USING (clip_id, bar) GROUP BY ALL)"""
+
+
+@query("bars", SIG, LEN, BARS, select="SELECT clip_id, CAST(bar AS INT) AS bar, round(max(peak), 6) AS peak, round(sum(a * k * 640 / bd.size) / sum(a), 6) AS centroid FROM bd JOIN bm USING (clip_id, bar) GROUP BY clip_id, bar")
 def bars(spark, sf):
     return six(T.bars(_blocks(spark, sf), 30, RATE, SIZE), "peak", "centroid")
 
 
-@query("clip_vector")
+EIGHTHS = "sub AS (SELECT clip_id * 8 + n // (len // 8) AS clip_id, n % (len // 8) AS n, x FROM signal JOIN len USING (clip_id) WHERE n // (len // 8) < 8)"
+FR8, PW8 = FR.replace("fr AS", "fr8 AS").replace("FROM signal", "FROM sub"), PW.replace("pw AS", "pw8 AS").replace("FROM fr,", "FROM fr8,")
+VECTOR = f"""mm AS (SELECT clip_id, c, avg(x) AS mean, stddev_pop(x) AS std FROM mc GROUP BY ALL), ro AS (SELECT clip_id, avg(r) AS rolloff FROM (SELECT clip_id, frame, CASE WHEN max(t) > 0 THEN min(k) FILTER (s >= 0.85 * t) * 10 ELSE 0 END AS r FROM (SELECT *, sum(p) OVER (PARTITION BY clip_id, frame ORDER BY k) AS s, sum(p) OVER (PARTITION BY clip_id, frame) AS t FROM pw) GROUP BY ALL) GROUP BY ALL),
+lv AS (SELECT clip_id // 8 AS clip_id, clip_id % 8 AS part, least(1, 2 * sqrt(avg(x * x))) AS v FROM sub GROUP BY sub.clip_id), tn AS (SELECT clip_id // 8 AS clip_id, clip_id % 8 AS part, avg(coalesce(c, 0)) / 10000 AS v FROM (SELECT pw8.clip_id, frame, sum(p * k * 10) / nullif(sum(p), 0) AS c FROM pw8 JOIN len ON len.clip_id = pw8.clip_id // 8 WHERE frame <= len // 8 // 32 GROUP BY ALL) t8 GROUP BY t8.clip_id),
+zz AS (SELECT clip_id, avg(CASE WHEN (x >= 0) <> (prev >= 0) THEN 1.0 ELSE 0 END) AS v FROM (SELECT clip_id, x, lag(x) OVER (PARTITION BY clip_id ORDER BY n) AS prev FROM signal) WHERE prev IS NOT NULL GROUP BY clip_id),
+va AS (SELECT clip_id, c AS i, mean AS v FROM mm UNION ALL SELECT clip_id, 13 + c, std FROM mm UNION ALL SELECT clip_id, 26, centroid / 10000 FROM m UNION ALL SELECT clip_id, 27, rolloff / 20000 FROM ro UNION ALL SELECT clip_id, 28, avg(b) / 5000 FROM b GROUP BY clip_id UNION ALL SELECT clip_id, 29, flatness FROM m
+UNION ALL SELECT clip_id, 30 + part, v FROM lv UNION ALL SELECT clip_id, 38 + part, v FROM tn UNION ALL SELECT clip_id, 46, v FROM zz UNION ALL SELECT clip_id, 47, least(1, greatest(0, (peak_db - rms_db + 20) / 40)) FROM ql)"""
+WIDE = MELW.replace(f"/ {BANDS + 1}) - 1)", "/ 33) - 1)").replace(f"range(0, {BANDS + 2})", "range(0, 34)"), MFCC.replace(f"pi() / {BANDS} ", "pi() / 32 ").replace(f"1.0 / {BANDS}", "1.0 / 32").replace(f"2.0 / {BANDS}", "2.0 / 32").replace(f"range(0, {COEFFICIENTS})", "range(0, 13)")
+
+
+@query("clip_vector", SIG, LEN, FR, PW, SPEC, *WIDE, EIGHTHS, FR8, PW8, QUALITY, VECTOR, select="SELECT clip_id, CAST(i AS INT) AS i, round(v / sqrt(sum(v * v) OVER (PARTITION BY clip_id)), 6) AS x FROM va")
 def clip_vector(spark, sf):
     v = T.clip_vectors(_blocks(spark, sf), RATE, SIZE, N_FFT, HOP, 32)
     return v.select("clip_id", F.posexplode("v").alias("i", "x")).select("clip_id", "i", F.round("x", 6).alias("x"))
 
 
-@query("analyze_standard")
+@query("analyze_standard", SIG, FR, PW, SPEC, ENV, LAGS, TEMPO, CHROMA, PROFILES, QUALITY, select="SELECT clip_id, bpm, key, mode, round((r + 1) / 2, 6) AS key_confidence, round(rms_db, 6) AS rms_db, clipping_detected, round(centroid, 6) AS centroid, round(flatness, 6) AS flatness, '' AS errors FROM m JOIN tb USING (clip_id) JOIN ql USING (clip_id) JOIN ko USING (clip_id) WHERE place = 1")
 def analyze_standard(spark, sf):
-    a = T.analyze(_blocks(spark, sf), RATE, SIZE, N_FFT, HOP, 128)
+    a = T.analyze(_blocks(spark, sf), RATE, SIZE, N_FFT, HOP, N_FFT)
     return six(a, "bpm", "key_confidence", "rms_db", "centroid", "flatness").select("clip_id", "bpm", "key", "mode", "key_confidence", "rms_db", "clipping_detected", "centroid", "flatness", F.array_join("errors", ",").alias("errors"))
 
 
@@ -184,12 +215,20 @@ def split_job(spark, sf):
     return tags.join(new.join(s.select("id"), "id", "left_anti").select(F.col("id").alias("sample_id")), "sample_id", "left_semi")
 
 
-@query("naming_features")
+WHOLE = SIG.replace("signal AS", "whole AS", 1)
+
+
+@query("naming_features", WHOLE, "signal AS (SELECT * FROM whole WHERE n < 1920)", FR, PW, SPEC, ENV, LAGS, TEMPO, "lv AS (SELECT clip_id, sqrt(avg(x * x)) AS rms FROM signal GROUP BY ALL), zc AS (SELECT clip_id, avg(CASE WHEN (x >= 0) <> (prev >= 0) THEN 1.0 ELSE 0 END) AS zcr FROM (SELECT clip_id, x, lag(x) OVER (PARTITION BY clip_id ORDER BY n) AS prev FROM signal) WHERE prev IS NOT NULL GROUP BY clip_id)",
+    select="SELECT clip_id, round(rms, 6) AS rms, round(centroid, 6) AS centroid, round(zcr, 6) AS zcr, round((SELECT count(*) FROM whole WHERE whole.clip_id = m.clip_id) / 640, 6) AS dur_s, bpm AS tempo FROM m JOIN tb USING (clip_id) JOIN lv USING (clip_id) JOIN zc USING (clip_id)")
 def naming_features(spark, sf):
     return six(T.naming_features(_blocks(spark, sf), RATE, SIZE, 3.0, N_FFT, HOP), "rms", "centroid", "zcr", "dur_s", "tempo")
 
 
-@query("ring_spectrum")
+RING = """rg AS (SELECT clip_id, n - (len - 256) AS i, x FROM signal JOIN len USING (clip_id) WHERE n >= len - 256), rd AS (SELECT clip_id, k, sqrt(power(sum(x * (0.5 - 0.5 * cos(2 * pi() * i / 255)) * cos(2 * pi() * k * i / 256)), 2) + power(sum(x * (0.5 - 0.5 * cos(2 * pi() * i / 255)) * sin(2 * pi() * k * i / 256)), 2)) / 256 AS a FROM rg, (SELECT unnest(range(0, 128)) AS k) GROUP BY ALL),
+rb AS (SELECT b AS bin, CAST(floor(power(b / 16, 2) * 128) AS BIGINT) AS lo, greatest(CAST(floor(power((b + 1) / 16, 2) * 128) AS BIGINT), CAST(floor(power(b / 16, 2) * 128) AS BIGINT) + 1) AS hi FROM (SELECT unnest(range(0, 16)) AS b))"""
+
+
+@query("ring_spectrum", SIG, LEN, RING, select="SELECT clip_id, CAST(bin AS INT) AS bin, round(max(a), 6) AS x FROM rd JOIN rb ON k >= lo AND k < hi GROUP BY ALL")
 def ring_spectrum(spark, sf):
     """The latest 256 samples of each clip and their display spectrum."""
     last = T.edges(_blocks(spark, sf), F.least(F.lit(256).cast("long"), F.col("len")), SIZE).select("clip_id", "tail")
