@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from soundframe.llm.common import SPACE_RE, read, written
 
 SHINGLE, LEAST = 5, 0.75
-#: Up to so many benchmark shingles (16 bytes each) are broadcast; the planner chooses beyond.
+#: Up to so many benchmark shingles (16 bytes each) and keys of fingerprints (some 200 bytes) are broadcast; more are joined by shuffle.
 SENT = 1_000_000
 BLOCKS, WIDTH, NEAR = 12, 10, 2
 RADIUS = BLOCKS * (NEAR + 1) - 1
@@ -72,6 +72,8 @@ def block_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
     """(wid, item) of all windows (wid, size, fp) and items (item, size, fp) of one size within RADIUS, once each."""
     keys = items.select("item", "size", F.col("fp").alias("item_fp"), F.posexplode("fp").alias("block", "bits"))
     keys = keys.select("item", "size", "item_fp", "block", F.explode(F.transform(F.array(*map(F.lit, MASKS)), lambda m: F.col("bits").bitwiseXOR(m))).alias("bits"))
+    # the planner knows the items' size only, not how many keys they have
+    keys = F.broadcast(keys) if items.count() * BLOCKS * len(MASKS) <= SENT else keys.hint("merge")
     met = windows.select("wid", "size", "fp", F.posexplode("fp").alias("block", "bits")).join(keys, ["size", "block", "bits"])
     return met.where(hamming("fp", "item_fp") <= RADIUS).select("wid", "item").distinct()
 
