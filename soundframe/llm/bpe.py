@@ -130,7 +130,8 @@ def tokenizer(path: str) -> Bpe:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """doc_id and ids (binary: little-endian unsigned 32-bit) of every row; with decoded also the text that decoding them gives.
 
-    Null and empty texts have no ids; repeated rows stay; texts and words may be of any length; other columns are ignored.
+    Null and empty texts have no ids; null ids and repeated rows stay; texts and words may be of any length; other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id, kept) per row of docs: its group of near-duplicates, named by the smallest id.
 
     Empty and null texts have no shingles and stand alone. A null id is never linked (component null, kept). Rows that repeat an
-    id share its group and are all kept if it is. Other columns are ignored; an empty table gives an empty result.
+    id share its group and are all kept if it is (of texts that differ under one id, each counts for itself at first, and one of them in
+    the exact step). Texts may be of any length. Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = written(signatures(docs, size), "signatures")

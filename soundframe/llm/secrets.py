@@ -187,7 +187,8 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     """One row per row of docs: the id as doc_id and secrets, an array of (kind, start, end) by start, then rule order.
 
     Positions are code points, end exclusive. Null and empty texts have no secrets; null ids and repeated rows stay; other
-    columns are ignored, whatever their names; an empty table gives an empty result.
+    columns are ignored, whatever their names; an empty table gives an empty result. Texts may be of any length: a text is scanned
+    whole, and no rule looks at a character more than a few times.
     """
     queries = [trigram_query(r.pattern, r.flags) for r in rules]
     wanted = sorted(set().union(*map(trigrams, queries)))

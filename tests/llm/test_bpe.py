@@ -44,3 +44,10 @@ def test_decode_and_empty(spark, docs_of):
     encoded = bpe.encode(docs, bpe.vocabulary())
     assert [r.decoded for r in bpe.decode(encoded, bpe.vocabulary()).orderBy("doc_id").collect()] == ["one</w> two</w>", ""]
     assert bpe.encode(docs.limit(0), bpe.vocabulary()).count() == 0
+
+
+def test_null_ids_and_repeated_rows(spark, docs_of):
+    docs = docs_of(["one two", "three"])
+    docs = docs.unionByName(docs).unionByName(docs.selectExpr("cast(null as bigint) as doc_id", "text", "lang", "source", "n_chars"))
+    rows = bpe.encode(docs, bpe.vocabulary()).collect()
+    assert len(rows) == 6 and len({bytes(r.ids) for r in rows}) == 2 and sum(r.doc_id is None for r in rows) == 2

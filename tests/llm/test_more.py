@@ -60,6 +60,15 @@ def test_near_duplicates(spark, docs_of, monkeypatch, block):
     assert minhash.near_duplicates(docs_of(["x"]).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_odd_rows(spark, docs_of):
+    long = " ".join(f"w{i % 5000}x{i // 5000}" for i in range(60_000))
+    docs = docs_of([long, long + " end", "one two three four five six", "ONE two three four five six", "", None])
+    docs = docs.unionByName(docs.where("doc_id = 3")).unionByName(docs.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long")))
+    got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()]
+    want = [(0, 0, True), (1, 0, False), (2, 2, True), (3, 2, False), (3, 2, False), (4, 4, True), (5, 5, True), (None, None, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_leaks(spark, docs_of):
     rng = random.Random(2)
     item = " ".join(f"b{rng.randrange(60)}" for _ in range(30))

@@ -74,3 +74,12 @@ def test_token_runs_take_linear_time():
     began = time.time()
     assert find(jwt, "eyJ" * 400_000) == [] and find(jwt, "eyJ-" * 300_000) == [] and find(jwt, ("eyJ" + "a" * 12 + ".") * 50_000)
     assert time.time() - began < 5
+
+
+def test_null_ids_and_repeated_rows(spark, docs_of):
+    from soundframe.llm.secrets import scan_secrets
+
+    docs = docs_of(["token=abcdef1", None])
+    docs = docs.unionByName(docs).unionByName(docs.selectExpr("cast(null as bigint) as doc_id", "text", "lang", "source", "n_chars"))
+    rows = scan_secrets(docs).collect()
+    assert len(rows) == 6 and sum(len(r.secrets) for r in rows) == 3 and sum(r.doc_id is None for r in rows) == 2
