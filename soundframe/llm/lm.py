@@ -10,7 +10,8 @@
   tokens. In each round every shard goes through its sequences, in order of the hash, in minibatches of noise contrast (numpy,
   one matrix product a batch), from the parameters of the round before; Spark averages the shards' results by their tokens. Shards,
   order and noise follow from the rows alone, so the model is the same however the input lies.
-* Scoring normalises exactly: one matrix product gives all classes' scores of a batch of tokens, and the log of the sum of their exponentials.
+* Scoring normalises exactly: matrix products give all classes' scores after each two classes, once per process, and the log of the
+  sum of their exponentials, which a token then looks up.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from soundframe.llm.common import mix, pieces, read, span_hashes, text_buffer, word_spans, written
 
 FREQUENT = 500_000
-TOP, SPELLED, SIZE, ORDER = 383, 256, 16, 3
+TOP, SPELLED, SIZE, ORDER = 383, 256, 16, 2
 NOISE, BATCH, RATE, SMALL = 64, 4096, 0.03, 1e-4
 #: Tokens of a shard, and how many rounds go through all of them.
 SHARD, ROUNDS = 1 << 20, 2
@@ -71,59 +72,73 @@ class Model:
     """Classes: 0 end, then the most frequent words (their hashes, sorted), then the spelling classes."""
 
     def __init__(self, frequent: np.ndarray, share: np.ndarray, seed: int = 3):
-        self.frequent, self.c = frequent, len(share)
+        self.frequent, self.c, self.share = frequent, len(share), share / share.sum()
         rng = np.random.default_rng(seed)
-        self.noise = np.log(share)
-        self.context = rng.normal(0, 0.05, (ORDER, self.c, SIZE))
-        self.out = rng.normal(0, 0.05, (self.c, SIZE))
+        self.noise = np.log(self.share).astype(np.float32)
+        self.context = rng.normal(0, 0.05, (ORDER, self.c, SIZE)).astype(np.float32)
+        self.out = rng.normal(0, 0.05, (self.c, SIZE)).astype(np.float32)
         self.bias = self.noise.copy()
+        self.sums: np.ndarray | None = None
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.context.ravel(), self.out.ravel(), self.bias])
+        return np.concatenate([self.context.ravel(), self.out.ravel(), self.bias]).astype(np.float64)
 
     def load(self, flat: np.ndarray) -> None:
-        a, b = self.context.size, self.context.size + self.out.size
-        self.context, self.out, self.bias = flat[:a].reshape(self.context.shape), flat[a:b].reshape(self.out.shape), flat[b:]
+        a, b, flat = self.context.size, self.context.size + self.out.size, flat.astype(np.float32)
+        self.context, self.out, self.bias, self.sums = flat[:a].reshape(self.context.shape), flat[a:b].reshape(self.out.shape), flat[b:], None
 
     def learn(self, before: np.ndarray, target: np.ndarray, rng: np.random.Generator, seen: dict[str, np.ndarray]) -> None:
-        """One minibatch of noise contrast with adaptive steps; seen holds the sums of squared gradients."""
-        width, n = np.arange(SIZE), rng.choice(self.c, NOISE, p=np.exp(self.noise) / np.exp(self.noise).sum())
-        total = lambda index, x: np.bincount((index[:, None] * SIZE + width).ravel(), x.ravel(), self.c * SIZE).reshape(self.c, SIZE)
-        r, chance = sum(self.context[k][before[:, k]] for k in range(ORDER)), np.log(NOISE)
+        """One minibatch of noise contrast with adaptive steps, in 32 bits; seen holds the sums of squared gradients."""
+        n = rng.choice(self.c, NOISE, p=self.share)
+        base, few = np.float32(np.log(NOISE)), np.float32(1 / len(target))
+        r = self.context[0][before[:, 0]]
+        for k in range(1, ORDER):
+            r = r + self.context[k][before[:, k]]
         out, noise = self.out[target], self.out[n]
-        good = 1 / (1 + np.exp(-((r * out).sum(1) + self.bias[target] - self.noise[target] - chance)))
-        bad = 1 / (1 + np.exp(-(r @ noise.T + (self.bias[n] - self.noise[n] - chance))))
-        up = (1 - good)[:, None]
-        to_r = up * out - bad @ noise
-        to_out = total(target, up * r)
+        good = 1 / (1 + np.exp(self.noise[target] + base - self.bias[target] - np.einsum("ij,ij->i", r, out)))
+        bad = r @ noise.T
+        bad += self.bias[n] - self.noise[n] - base
+        np.negative(bad, out=bad)
+        np.exp(bad, out=bad)
+        bad += 1
+        np.reciprocal(bad, out=bad)
+        up = (1 - good) * few
+        bad *= few
+        to_r = up[:, None] * out - bad @ noise
+
+        def total(index: np.ndarray, x: np.ndarray) -> np.ndarray:
+            """Sums of the rows of x with equal index, by sorting: rows that belong together are added in one go."""
+            order = np.argsort(index, kind="stable")
+            at = index[order]
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            sums = np.zeros((self.c, x.shape[1]), np.float32)
+            sums[at[first]] = np.add.reduceat(x[order], first)
+            return sums
+
+        to_out = total(target, up[:, None] * r)
         np.add.at(to_out, n, -(bad.T @ r))
-        to_bias = np.bincount(target, 1 - good, self.c)
+        to_bias = np.bincount(target, up, self.c).astype(np.float32)
         np.add.at(to_bias, n, -bad.sum(0))
-        steps = {"out": (self.out, to_out), "bias": (self.bias, to_bias)} | {k: (self.context[k], total(before[:, k], to_r)) for k in range(ORDER)}
-        for k, (p, g) in steps.items():
-            g = g / len(target)
-            seen[k] = seen.get(k, SMALL**2) + g * g
-            p += RATE * g / np.sqrt(seen[k])
+        for k, p, g in (("out", self.out, to_out), ("bias", self.bias, to_bias), *((k, self.context[k], total(before[:, k], to_r)) for k in range(ORDER))):
+            seen[k] = seen.get(k, np.float32(SMALL**2)) + g * g
+            p += np.float32(RATE) * g / np.sqrt(seen[k])
+
+    def log_sums(self) -> np.ndarray:
+        """The logarithm of the sum of all classes' exponentials after each two classes, by matrix products over blocks of pairs."""
+        if self.sums is None:
+            out = np.ascontiguousarray(self.out.T)
+            self.sums = np.empty((self.c, self.c), np.float32)
+            for a in range(self.c):
+                s = (self.context[0][a] + self.context[1]) @ out + self.bias
+                top = s.max(1, keepdims=True)
+                self.sums[a] = top[:, 0] + np.log(np.exp(s - top).sum(1))
+        return self.sums
 
     def log_probs(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms of the classes' probabilities after the classes before, normalised over all classes."""
-        context, out, bias = self.context.astype(np.float32), np.ascontiguousarray(self.out.T.astype(np.float32)), self.bias.astype(np.float32)
-        found = np.empty(len(target))
-        reach = float(np.sqrt((out * out).sum(0)).max())
-        for i in range(0, len(target), 4096):
-            b, t = before[i : i + 4096], target[i : i + 4096]
-            r = context[0][b[:, 0]]
-            for k in range(1, ORDER):
-                r = r + context[k][b[:, k]]
-            s = r @ out
-            s += bias
-            own = s[np.arange(len(t)), t].astype(np.float64)
-            if reach * float(np.sqrt((r * r).sum(1)).max()) + float(np.abs(bias).max()) < 60:  # no exponential leaves the range of its type
-                found[i : i + 4096] = own - np.log(np.exp(s, out=s).sum(1))
-            else:
-                top = s.max(1, keepdims=True)
-                found[i : i + 4096] = own - top[:, 0] - np.log(np.exp(s - top).sum(1))
-        return found
+        r = self.context[0][before[:, 0]] + self.context[1][before[:, 1]]
+        own = np.einsum("ij,ij->i", r, self.out[target]) + self.bias[target]
+        return own.astype(np.float64) - self.log_sums()[before[:, 0], before[:, 1]]
 
 
 def classes(model: Model, words: np.ndarray, spelled: np.ndarray, woff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +182,7 @@ def sequences(docs: DataFrame, model: Model, shards: int) -> DataFrame:
 
 def train(rows: DataFrame, model: Model, round_no: int) -> None:
     """One round over sequences; model gets the averaged parameters."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)  # some 40,000 numbers
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # some 30,000 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
