@@ -105,16 +105,19 @@ class Bpe(dict):
                     heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
         return [i for i in ids if i >= 0]
 
-    def plain(self, text: str) -> bytes:
+    def split(self, text: str) -> list[str]:
+        """The words of a text without special tokens."""
         if not text.isascii():
             # each letter is lower-cased by itself: a final capital sigma has no form of its own
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return b"".join([self[w] for w in self.words(text.lower())])
+        return self.words(text.lower())
+
+    def parts(self, text: str) -> list[str]:
+        """The text cut at special tokens, which are parts of their own."""
+        return [text] if self.cut is None or "<|" not in text else self.cut(text)
 
     def encode(self, text: str) -> bytes:
-        if self.cut is None or "<|" not in text:
-            return self.plain(text)
-        return b"".join(struct.pack("<I", self.special[x]) if x in self.special else self.plain(x) for x in self.cut(text))
+        return b"".join([struct.pack("<I", self.special[x]) if x in self.special else b"".join([self[w] for w in self.split(x)]) for x in self.parts(text)])
 
     def decode(self, packed: bytes) -> str:
         names = self.names

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from soundframe.llm import bpe, chat, decontaminate, lm, minhash, quality, repeats, secrets, toxicity, warc
+from soundframe.llm import bpe, chat, decontaminate, importance, lm, minhash, periodic, quality, repeats, secrets, tokens, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm": lm.query_lm,
         "op9_chat": chat.query_chat,
         "op10_toxicity": toxicity.query_toxicity,
+        "op11_importance": importance.query_importance,
+        "op12_periodic": periodic.query_periodic,
+        "op13_tokens": tokens.query_tokens,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash": minhash.SQL, "op4_warc": warc.SQL, "op5_decontaminate": decontaminate.SQL, "op6_quality": quality.SQL, "op9_chat": chat.SQL}
+    return {"op3_minhash": minhash.SQL, "op4_warc": warc.SQL, "op5_decontaminate": decontaminate.SQL, "op6_quality": quality.SQL, "op9_chat": chat.SQL, "op11_importance": importance.SQL}
