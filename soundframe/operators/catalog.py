@@ -33,10 +33,10 @@ def with_all_tags(samples: DataFrame, sample_tag: DataFrame, tags: list[str]) ->
 
 
 def search(samples, sample_tag, *, query=None, tags=(), pack_id=None, min_score=None, max_score=None, sample_type=None, min_bpm=None, max_bpm=None, is_loopable=None, max_duration=None) -> DataFrame:
-    """All predicates that are given, joined by AND; NULL never matches. % and _ in query are wildcards, case is ignored."""
+    """All predicates that are given, joined by AND; NULL never matches. % and _ in query are wildcards, a backslash is a plain character, case is ignored."""
     tests = []
     if query:
-        tests.append(F.col("path").ilike(f"%{query}%"))
+        tests.append(F.col("path").ilike("%" + query.replace("\\", "\\\\") + "%"))
     for column, value, op in (("sample_type", sample_type, "=="), ("pack_id", pack_id, "=="), ("bpm", min_bpm, ">="), ("bpm", max_bpm, "<="), ("applicability_score", min_score, ">="), ("applicability_score", max_score, "<="), ("is_loopable", is_loopable, "=="), ("duration", max_duration, "<=")):
         if value is not None and value != "":
             c = F.col(column)
@@ -240,8 +240,8 @@ def side(clips: DataFrame, prefix: str = "", *keep: str) -> DataFrame:
     return clips.select(*keep, *[F.col(c).alias(prefix + c) for c in PAIRED], *[v.alias(k) for k, v in music.key_facts(F.col("key"), prefix).items()])
 
 
-#: Parts of the score for common purposes.
-PURPOSES = {"all": ("key", "bpm", "frequency", "dynamics"), "layering": ("frequency", "dynamics"), "melodic": ("key", "bpm"), "pack": ("bpm", "frequency")}
+#: Parts of the score for common purposes.
+PURPOSES = {"all": ("key", "bpm", "frequency", "dynamics"), "layering": ("frequency", "dynamics"), "melodic": ("key", "bpm"), "pack": ("key", "bpm", "frequency", "dynamics")}
 
 
 def compatible(source: DataFrame, candidates: DataFrame, k: int = 20, floor: float = 0.3, parts=PURPOSES["all"], notes: bool = False) -> DataFrame:

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from soundframe.functions import text
 from soundframe.operators import catalog
+from soundframe.operators.stored import stored
 
 
 def new_ids(df: DataFrame, start: int, order: list[str]) -> DataFrame:
-    """Ids from start on without gathering rows: partitions are counted first, then each row adds its place."""
-    df = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    """Ids from start on in that order, dense and without gathering rows: each range partition adds the rows that those before it have.
+
+    The partitioned rows are stored before they are counted: planned twice, the ranges would be sampled twice and differ.
+    """
+    df = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33)
     counts = df.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
     offsets = counts.withColumn("_o", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_o", F.lit(0)).alias("_o"))  # a row per partition
@@ -104,6 +108,23 @@ def bump(projects: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     return batch_update(projects, ids.select(F.col("project_id").alias("id")), updated_at=now)
 
 
+def merge_presets(presets: DataFrame, changes: DataFrame) -> DataFrame:
+    """presets (id, name, filters, is_system, sort_order, ...) with those of changes (name, filters, sort_order) made or, by name, renewed.
+
+    A new name gets the next ids in order of names, and place 0 where changes give none; of a known one, filters and place change where
+    changes have a value. Presets of the system stay as they are. Of changes to one name any one counts.
+    """
+    new = changes.where("name is not null").dropDuplicates(["name"]).select(F.col("name").alias("_name"), F.col("filters").alias("_filters"), F.col("sort_order").alias("_order"))
+    j = presets.join(new, F.col("name") == F.col("_name"), "left")
+    value = lambda c, v: F.when(F.col("is_system"), F.col(c)).otherwise(F.coalesce(v, c)).alias(c)
+    kept = j.select(*[value("filters", "_filters") if c == "filters" else value(c, "_order") if c == "sort_order" else F.col(c) for c in presets.columns])
+    fresh = new.join(presets.select(F.col("name").alias("_name")), "_name", "left_anti")
+    fresh = fresh.select(F.col("_name").alias("name"), F.col("_filters").alias("filters"), F.lit(False).alias("is_system"), F.coalesce("_order", F.lit(0)).alias("sort_order"))
+    start = presets.agg(F.max("id")).first()[0] or 0
+    new_rows = new_ids(fresh, start + 1, ["name"])
+    return kept.unionByName(new_rows.select(*[F.col(c).cast(k).alias(c) if c in new_rows.columns else F.lit(None).cast(k).alias(c) for c, k in presets.dtypes]))
+
+
 def remove_presets(presets: DataFrame, ids: DataFrame) -> DataFrame:
     """presets without some; those of the system stay."""
     return presets.where("is_system").unionByName(delete(presets.where("not is_system"), ids))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from soundframe.operators.catalog import places
+
 #: Samples of a frame and between frames, and samples of a block, unless said otherwise.
 N_FFT, HOP, BLOCK = 2048, 512, 65536
 
@@ -21,8 +23,8 @@ def window(kind: str, n: int) -> np.ndarray:
 
 
 def blocks(signal: DataFrame) -> DataFrame:
-    """(clip_id, block, pcm): blocks numbered in order within each clip; one row per block is sorted, never samples."""
-    return signal.select("clip_id", (F.row_number().over(Window.partitionBy("clip_id").orderBy("vec_id")) - 1).alias("block"), "pcm")
+    """(clip_id, block, pcm): blocks numbered in order within each clip, by range partitions, so that a long clip is many tasks."""
+    return places(signal, ["clip_id"], [F.col("vec_id")], "place").select("clip_id", (F.col("place") - 1).alias("block"), "pcm")
 
 
 def clip_blocks(decoded: DataFrame) -> DataFrame:
@@ -223,16 +225,23 @@ def waveform(blocks: DataFrame, width: int, size: int = BLOCK) -> DataFrame:
     return bars.join(peaks, ["clip_id", "bar"], "left").select("clip_id", "bar", F.coalesce("peak", F.lit(0.0)).alias("peak"))
 
 
-def silence_segments(levels: DataFrame, threshold_db: float, silence: int, least: int) -> DataFrame:
-    """(clip_id, start, end) in frames: stretches between silences of at least `silence` frames; shorter than `least` go."""
+def silence_segments(levels: DataFrame, lengths: DataFrame, hop: int, threshold_db: float, silence: int, least: int) -> DataFrame:
+    """(clip_id, part, start, end) in samples: clips cut at silences of `silence` frames or more that sound follows.
+
+    levels: frames that are not centred, hop samples apart; lengths: (clip_id, len). What stands before the first such silence, between
+    two, and behind the last to the clip's end is a part, if it has `least` samples; a clip without parts is one part if it is as long.
+    """
     w = Window.partitionBy("clip_id").orderBy("frame")
-    db = F.when(F.col("rms") > 0, 20 * F.log10(F.when(F.col("rms") > 0, F.col("rms")))).otherwise(-120.0)
-    f = levels.select("clip_id", "frame", (db < threshold_db).alias("quiet"))
-    f = f.withColumn("island", F.sum(F.when(F.col("quiet") != F.coalesce(F.lag("quiet").over(w), ~F.col("quiet")), 1).otherwise(0)).over(w))
-    runs = f.groupBy("clip_id", "island", "quiet").agg(F.min("frame").alias("a"), (F.max("frame") + 1).alias("b"))
-    runs = runs.withColumn("cut", F.col("quiet") & (F.col("b") - F.col("a") >= silence))
-    runs = runs.withColumn("part", F.sum(F.col("cut").cast("int")).over(Window.partitionBy("clip_id").orderBy("a")))
-    return runs.where(~F.col("cut")).groupBy("clip_id", "part").agg(F.min("a").alias("start"), F.max("b").alias("end")).where(F.col("end") - F.col("start") >= least).select("clip_id", "start", "end")
+    f = levels.select("clip_id", "frame", (F.col("rms") < 10 ** (threshold_db / 20)).alias("quiet"))
+    turns = f.withColumn("p", F.lag("quiet").over(w)).where(F.col("p").isNull() | (F.col("p") != F.col("quiet")))
+    runs = turns.select("clip_id", "quiet", F.col("frame").alias("a"), F.lead("frame").over(w).alias("b"))
+    cuts = runs.where(F.col("quiet") & (F.col("b") - F.col("a") >= silence)).select("clip_id", (F.col("a") * hop).alias("a"), (F.col("b") * hop).alias("b"))
+    inner = cuts.select("clip_id", F.coalesce(F.lag("b").over(Window.partitionBy("clip_id").orderBy("a")), F.lit(0).cast("long")).alias("start"), F.col("a").alias("end"))
+    last = lengths.join(cuts.groupBy("clip_id").agg(F.max("b").alias("b")), "clip_id", "left").select("clip_id", F.coalesce("b", F.lit(0).cast("long")).alias("start"), F.col("len").alias("end"))
+    found = inner.unionByName(last).where((F.col("end") > F.col("start")) & (F.col("end") - F.col("start") >= least))
+    whole = lengths.where(F.col("len") >= F.greatest(F.lit(least), F.lit(1))).join(found.select("clip_id"), "clip_id", "left_anti").select("clip_id", F.lit(0).cast("long").alias("start"), F.col("len").alias("end"))
+    place = F.row_number().over(Window.partitionBy("clip_id").orderBy("start")) - 1
+    return found.unionByName(whole).select("clip_id", place.alias("part"), "start", "end")
 
 
 def channel_levels(blocks: DataFrame, channels: int = 2, size: int = BLOCK) -> DataFrame:

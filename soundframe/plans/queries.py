@@ -411,6 +411,13 @@ def compatible_to(spark, sf):
     return C.compatible(s.where("id % 50 = 0"), s, 10).select("a_id", "id", F.round("score", 6).alias("score"))
 
 
+@query("compatible_pack", SAMPLES, COMPAT.replace("{where}", "a.id % 50 = 1"), select="SELECT a_id, id, round((key_score + bpm_score + frequency_score + dynamics_score) / 4, 6) AS score FROM pairs QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY round((key_score + bpm_score + frequency_score + dynamics_score) / 4, 9) DESC, id) <= 5")
+def compatible_pack(spark, sf):
+    """What fits into a pack with each of some clips: all parts of the score."""
+    s = V.samples(spark, sf)
+    return C.compatible(s.where("id % 50 = 1"), s, 5, parts=C.PURPOSES["pack"]).select("a_id", "id", F.round("score", 6).alias("score"))
+
+
 @query("compat_pairs", SAMPLES, COMPAT.replace("{where}", "a.id < b.id"), select="SELECT a_id, id, round((key_score + bpm_score + frequency_score + dynamics_score) / 4, 6) AS score FROM pairs WHERE (key_score + bpm_score + frequency_score + dynamics_score) / 4 >= 0.6")
 def compat_pairs(spark, sf):
     return C.compatible_pairs(V.samples(spark, sf), 0.6).select("a_id", "id", F.round("score", 6).alias("score"))
@@ -450,9 +457,10 @@ def heuristic_tag(spark, sf):
     return V.samples(spark, sf).select("id", rules.heuristic_tag(*a, F.col("bpm")).alias("tag"), rules.speech_like(*a).alias("speech"))
 
 
-@query("ingest_new", V.FILES, "n AS (SELECT DISTINCT path FROM files)", select="SELECT path, (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY path) AS id FROM n")
+@query("ingest_new", V.FILES, "n AS (SELECT path, min(length) AS length FROM files GROUP BY path)", select="SELECT path, length, (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY path) AS id FROM n")
 def ingest_new(spark, sf):
-    return M.ingest(V.samples(spark, sf).select("id", "path"), V.files(spark, sf).select("path")).select("path", "id")
+    f = V.files(spark, sf).groupBy("path").agg(F.min("length").alias("length"))
+    return M.ingest(V.samples(spark, sf).select("id", "path"), f).select("path", "length", "id")
 
 
 @query("merge_analysis", SAMPLES, select="SELECT id, coalesce(CASE WHEN id % 2 = 0 AND id % 3 <> 0 THEN 111.0::DOUBLE END, bpm) AS bpm, key FROM samples")
@@ -638,10 +646,18 @@ def channel_levels(spark, sf):
     return six(S.channel_levels(_blocks(spark, sf), 2, SIZE), "rms_db", "peak_db")
 
 
-@query("silence_segments", SIG, FR, LV, """q AS (SELECT clip_id, frame, 20 * log10(rms) < -18.0 AS quiet FROM lv), i AS (SELECT *, sum(CASE WHEN quiet IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY frame) AS isl FROM (SELECT *, lag(quiet) OVER (PARTITION BY clip_id ORDER BY frame) AS p FROM q)),
-r AS (SELECT clip_id, isl, quiet, min(frame) AS a, max(frame) + 1 AS b FROM i GROUP BY ALL), c AS (SELECT *, quiet AND b - a >= 2 AS cut FROM r), s AS (SELECT *, sum(cut::INT) OVER (PARTITION BY clip_id ORDER BY a) AS part FROM c)""", select="SELECT clip_id, min(a) AS start, max(b) AS \"end\" FROM s WHERE NOT cut GROUP BY clip_id, part HAVING max(b) - min(a) >= 3")
+FLAT = FR.replace("fr AS", "ff AS").replace("n // 32 + d AS frame, n - 32 * (n // 32 + d) + 32 AS t", "n // 32 - d AS frame, n - 32 * (n // 32 - d) AS t")
+CUTS = """ln AS (SELECT clip_id, count(*) AS len FROM signal GROUP BY ALL), q AS (SELECT clip_id, frame, sqrt(sum(x * x) / 64) < power(10, -0.9::DOUBLE) AS quiet FROM ff JOIN ln USING (clip_id) WHERE frame >= 0 AND 32 * frame + 64 <= len GROUP BY clip_id, frame),
+i AS (SELECT *, sum((quiet IS DISTINCT FROM p)::INT) OVER (PARTITION BY clip_id ORDER BY frame) AS isl FROM (SELECT *, lag(quiet) OVER (PARTITION BY clip_id ORDER BY frame) AS p FROM q)), r AS (SELECT clip_id, isl, quiet, min(frame) AS a, max(frame) + 1 AS b FROM i GROUP BY ALL),
+k AS (SELECT *, 32 * a AS s, 32 * b AS e FROM r SEMI JOIN (SELECT clip_id, isl - 1 AS isl FROM r WHERE NOT quiet) n USING (clip_id, isl) WHERE quiet AND b - a >= 2),
+t AS (SELECT clip_id, coalesce(lag(e) OVER (PARTITION BY clip_id ORDER BY s), 0) AS start, s AS "end" FROM k UNION ALL SELECT ln.clip_id, coalesce(max(e), 0), max(len) FROM ln LEFT JOIN k ON k.clip_id = ln.clip_id GROUP BY ln.clip_id),
+u AS (SELECT * FROM t WHERE "end" > start AND "end" - start >= 200), v AS (SELECT * FROM u UNION ALL SELECT clip_id, 0, len FROM ln WHERE len >= 200 AND clip_id NOT IN (SELECT clip_id FROM u))"""
+
+
+@query("silence_segments", SIG, FLAT, CUTS, select='SELECT clip_id, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY start) - 1 AS INT) AS part, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM v')
 def silence_segments(spark, sf):
-    return S.silence_segments(S.frame_levels(_frames(spark, sf)), -18.0, 2, 3)
+    b = _blocks(spark, sf)
+    return S.silence_segments(S.frame_levels(S.frames(b, N_FFT, HOP, SIZE, False)), S.lengths(b), HOP, -18.0, 2, 200)
 
 
 @query("takes", V.LEVELS, """q AS (SELECT *, peak_db > -21.0 AS loud FROM levels), i AS (SELECT *, sum(CASE WHEN loud IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS isl FROM (SELECT *, lag(loud) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS p FROM q)),

@@ -119,6 +119,20 @@ def project_bump(spark, sf):
     return M.bump(p, V.project_samples(spark, sf).where("sample_id % 5 in (1, 2)"), _now()).select("id", "updated_at")
 
 
+PRESETS = "ps AS (SELECT id, name, 'f' || id AS filters, id % 3 = 0 AS is_system, id AS sort_order FROM (SELECT DISTINCT CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) AS id, p_brand AS name FROM part)), ch AS (SELECT name, CASE WHEN id % 2 = 0 THEN 'new' END AS filters, CASE WHEN id % 5 < 3 THEN 100 + id END AS sort_order FROM ps UNION ALL SELECT n_name, 'n', CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END FROM nation)"
+
+
+@query("preset_merge", PRESETS, select="SELECT id, name, CASE WHEN is_system THEN ps.filters ELSE coalesce(ch.filters, ps.filters) END AS filters, is_system, CASE WHEN is_system THEN ps.sort_order ELSE coalesce(ch.sort_order, ps.sort_order) END AS sort_order FROM ps JOIN ch USING (name) WHERE is_system OR id % 4 <> 1 UNION ALL SELECT (SELECT max(id) FROM ps) + row_number() OVER (ORDER BY name), name, filters, false, coalesce(sort_order, 0) FROM ch WHERE name NOT IN (SELECT name FROM ps)")
+def preset_merge(spark, sf):
+    """Presets named after the brands (every third is the system's) are renewed, one per nation is made, and some are removed."""
+    k = F.col("id")
+    p = V.packs(spark, sf).select("id", "name", F.concat(F.lit("f"), k.cast("string")).alias("filters"), (k % 3 == 0).alias("is_system"), k.alias("sort_order"))
+    n = V.read(spark, sf, "nation").select(F.col("n_name").alias("name"), F.lit("n").alias("filters"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey").cast("long")).alias("sort_order"))
+    changes = p.select("name", F.when(k % 2 == 0, "new").alias("filters"), F.when(k % 5 < 3, 100 + k).alias("sort_order")).unionByName(n)
+    gone = p.where("id % 4 = 1").select("id")
+    return M.remove_presets(M.merge_presets(p, changes), gone)
+
+
 @query("job_enqueue", SAMPLES, V.JOBS, "n AS (SELECT id FROM samples WHERE id NOT IN (SELECT sample_id FROM jobs WHERE job_type = 'embedding' AND status IN ('pending', 'running')))", select="SELECT (SELECT max(id) FROM jobs) + row_number() OVER (ORDER BY id) AS id, id AS sample_id, 'pending' AS status, TIMESTAMP '2024-06-01' AS created_at FROM n")
 def job_enqueue(spark, sf):
     j = M.enqueue(V.jobs(spark, sf), V.samples(spark, sf), "embedding", 3, _now())

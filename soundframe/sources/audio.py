@@ -1,12 +1,7 @@
-"""Audio files: scans of folders, WAV headers and WAV samples as blocks. Bytes are read by Spark, never by local paths."""
+"""Audio files: scans of folders and old embedding blobs. WAV files themselves are read by `sources.wav`."""
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,84 +18,6 @@ def scan_audio(spark: SparkSession, root: str, recursive: bool = True, content:
     return df if content else df.drop("content")
 
 
-def parse(raw: bytes) -> tuple[int, int, int, int, int, int] | None:
-    """(format, channels, rate, bits, data offset, data size) by walking the chunks; None if it is no WAV."""
-    if len(raw) < 44 or raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
-        return None
-    at, fmt = 12, None
-    while at + 8 <= len(raw):
-        name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
-        if name == b"fmt " and size >= 16:
-            kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", raw, at + 8)
-            fmt = (struct.unpack_from("<H", raw, at + 32)[0] if kind == 0xFFFE and size >= 40 else kind, channels, rate, bits)
-        elif name == b"data" and fmt:
-            return *fmt, at + 8, min(size, len(raw) - at - 8)
-        at += 8 + size + size % 2
-    return None
-
-
-def samples(raw: bytes) -> tuple[np.ndarray, int] | None:
-    """Mono samples in [-1, 1] and the rate: channels averaged, 8-bit recentred, integers scaled by 2^(bits - 1)."""
-    head = parse(raw)
-    if head is None or head[1] == 0:
-        return None
-    kind, channels, rate, bits, at, size = head
-    width = bits // 8
-    body = np.frombuffer(raw, np.uint8, size - size % (width * channels) if width else 0, at)
-    if kind == 3 and bits in (32, 64):
-        x = body.view(f"<f{width}").astype(np.float64)
-    elif kind == 1 and bits == 8:
-        x = (body.astype(np.float64) - 128) / 128
-    elif kind == 1 and bits == 24:
-        b = body.reshape(-1, 3).astype(np.int32)
-        x = (((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8) >> 8) / 2.0**23
-    elif kind == 1 and bits in (16, 32):
-        x = body.view(f"<i{width}") / 2.0 ** (bits - 1)
-    else:
-        return None
-    return x.reshape(-1, channels).mean(1), rate
-
-
-def decode_wav_blocks(files: DataFrame, block: int = 65536) -> DataFrame:
-    """(path, block_idx, start_sample, sample_rate, pcm) of files (path, content); what is no WAV gives no rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, raw in zip(b.column(0), b.column(1), strict=True):
-                found = samples(raw.as_py() or b"")
-                if found is None:
-                    continue
-                x, rate = found
-                for k in range(0, len(x), block):
-                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([k // block], pa.int64()), pa.array([k], pa.int64()), pa.array([rate], pa.int32()), pa.array([x[k : k + block].astype(np.float32)], pa.list_(pa.float32()))], names=["path", "block_idx", "start_sample", "sample_rate", "pcm"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, block_idx long, start_sample long, sample_rate int, pcm array<float>")
-
-
-def wav_info(files: DataFrame) -> DataFrame:
-    """(path, channels, sample_rate, bit_depth, duration) of files (path, content), from the format and data chunks; NULLs for what is no WAV."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for raw in b.column(1):
-                head = parse(memoryview(raw.as_buffer())) if raw.is_valid else None
-                _, channels, rate, bits, _, size = head or (None,) * 6
-                frame = channels * rate * bits // 8 if head else 0
-                rows.append((channels, rate, bits, size / frame if frame else None))
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["path", "channels", "sample_rate", "bit_depth", "duration"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, channels long, sample_rate long, bit_depth long, duration double")
-
-
-def orphans(files: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """WAV files whose path the catalogue lacks, each valid or invalid by length and header."""
-    f = files.where(extension(F.col("path")) == "wav").join(catalogue.select("path"), "path", "left_anti")
-    ok = (F.col("length") >= 44) & (F.hex(F.substring("content", 1, 4)) == "52494646") & (F.hex(F.substring("content", 9, 4)) == "57415645")
-    return f.select("path", F.when(ok, "valid").otherwise("invalid").alias("status"))
-
-
 def embeddings_from_blob(df: DataFrame, column: str = "blob") -> DataFrame:
     """Little-endian 32-bit floats of a binary column as an array, by built-in functions; bytes that fill no float are left out.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from soundframe.operators import features as T
 from soundframe.operators import signal as S
 from soundframe.sources import audio
+from soundframe.sources import wav as files_of
 
 
 def clips(spark, signals, size):
@@ -50,16 +51,16 @@ def test_from_files_to_features(spark, tmp_path):
     t = np.arange(rate * 2) / rate
     (tmp_path / "a.wav").write_bytes(wav(0.5 * np.sin(2 * np.pi * 440 * t), rate, b"LIST" + struct.pack("<I", 200) + b"x" * 200))
     (tmp_path / "b.wav").write_bytes(wav(0.5 * np.sign(np.sin(2 * np.pi * 2000 * t[:30001])), rate))
-    files = audio.scan_audio(spark, str(tmp_path), content=True)
-    info = {r.path[-5:]: r for r in audio.wav_info(files).collect()}
+    files = audio.scan_audio(spark, str(tmp_path))
+    info = {r.path[-5:]: r for r in files_of.wav_info(files).collect()}
     assert abs(info["a.wav"].duration - 2) < 1e-9 and (info["a.wav"].sample_rate, info["a.wav"].channels, info["a.wav"].bit_depth) == (rate, 1, 16)
-    b = S.clip_blocks(audio.decode_wav_blocks(files, 5000)).select(F.substring("clip_id", -5, 5).alias("clip_id"), "block", "pcm")
+    b = S.clip_blocks(files_of.decode_wav_blocks(files, 5000)).select(F.substring("clip_id", -5, 5).alias("clip_id"), "block", "pcm")
     got = {r.clip_id: r for r in T.analyze(b, rate, 5000).collect()}
     assert abs(got["a.wav"].peak_db + 6.02) < 0.1 and abs(got["a.wav"].crest_factor - 3.01) < 0.1 and 400 < got["a.wav"].centroid < 600 and got["a.wav"].key == "A"
     assert got["b.wav"].errors == [] and 2000 < got["b.wav"].centroid < 6000
     v = {r.clip_id: np.array(r.v) for r in T.clip_vectors(b, rate, 5000).collect()}
     assert all(len(x) == 48 and abs(np.linalg.norm(x) - 1) < 1e-9 for x in v.values())
-    again = {r.clip_id: np.array(r.v) for r in T.clip_vectors(S.clip_blocks(audio.decode_wav_blocks(files, 7001)).select(F.substring("clip_id", -5, 5).alias("clip_id"), "block", "pcm"), rate, 7001).collect()}
+    again = {r.clip_id: np.array(r.v) for r in T.clip_vectors(S.clip_blocks(files_of.decode_wav_blocks(files, 7001)).select(F.substring("clip_id", -5, 5).alias("clip_id"), "block", "pcm"), rate, 7001).collect()}
     assert all(np.allclose(v[k], again[k], atol=1e-6) for k in v)
     names = {r.clip_id: r for r in T.naming_features(b, rate, 5000).collect()}
     assert abs(names["a.wav"].rms - 0.5 / np.sqrt(2)) < 0.01 and abs(names["a.wav"].dur_s - 2) < 1e-6 and 0.03 < names["a.wav"].zcr < 0.05
