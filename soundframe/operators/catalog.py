@@ -232,6 +232,13 @@ def places(df: DataFrame, group: list[str], order: list[Column], name: str) -> D
     return ranged.join(counts, same).withColumn(name, F.col("_i") + F.col("_o")).drop("_p", "_q", "_i", "_o", *[f"_{g}_" for g in group])
 
 
+def pack(df: DataFrame, group: str, columns: list[str], size: int) -> DataFrame:
+    """(group, piece, rows, n, first_id): rows of each group as arrays of structs of columns (id first), at most size each, in order of id."""
+    p = places(df, [group], [F.col(columns[0])], "_place").withColumn("piece", F.floor((F.col("_place") - 1) / size))
+    rows = F.array_sort(F.collect_list(F.struct(*columns)))
+    return p.groupBy(group, "piece").agg(rows.alias("rows"), F.count("*").alias("n"), F.min(columns[0]).alias("first_id"))
+
+
 PAIRED = ("id", "bpm", "spectral_centroid", "spectral_bandwidth", "crest_factor")
 
 
@@ -307,15 +314,6 @@ def meet(a: DataFrame, b: DataFrame, a_id: str, b_id: str, match: Column) -> Dat
     return x.join(y.hint("shuffle_hash"), cell & match).drop("_row", "_column", "_row_b", "_column_b")
 
 
-def compatible_pairs(samples: DataFrame, floor: float = 0.8) -> DataFrame:
-    """Edges between all clips, each pair once and scored from the smaller id; unknown keys and tempos count as in the parts.
-
-    No part rules a pair out, so every two clips meet.
-    """
-    pairs = meet(side(samples, "a_"), side(samples), "a_id", "id", F.col("a_id") < F.col("id"))
-    return compatibility(pairs).where(F.col("score") >= floor)
-
-
 def lineage(sample_tag: DataFrame) -> DataFrame:
     p = sample_tag.where(F.col("tag").startswith("parent:"))
     return p.select(F.col("sample_id").alias("child_id"), F.substring_index("tag", ":", -1).cast("long").alias("parent_id"))

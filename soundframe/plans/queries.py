@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from soundframe.functions import music, rules, text
 from soundframe.operators import catalog as C
+from soundframe.operators import edges as E
 from soundframe.operators import maintain as M
 from soundframe.operators import signal as S
 from soundframe.operators import vectors as X
@@ -420,7 +421,13 @@ def compatible_pack(spark, sf):
 
 @query("compat_pairs", SAMPLES, COMPAT.replace("{where}", "a.id < b.id"), select="SELECT a_id, id, round((key_score + bpm_score + frequency_score + dynamics_score) / 4, 6) AS score FROM pairs WHERE (key_score + bpm_score + frequency_score + dynamics_score) / 4 >= 0.6")
 def compat_pairs(spark, sf):
-    return C.compatible_pairs(V.samples(spark, sf), 0.6).select("a_id", "id", F.round("score", 6).alias("score"))
+    return E.edges_above(V.samples(spark, sf), 0.6).select("a_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("compat_edges", SAMPLES, COMPAT.replace("{where}", "true"), select="SELECT a_id, id, round((key_score + bpm_score + frequency_score + dynamics_score) / 4, 6) AS score, CAST(row_number() OVER (PARTITION BY a_id ORDER BY round((key_score + bpm_score + frequency_score + dynamics_score) / 4, 9) DESC, id) AS INT) AS rank FROM pairs WHERE (key_score + bpm_score + frequency_score + dynamics_score) / 4 >= 0.3 QUALIFY rank <= 5")
+def compat_edges(spark, sf):
+    """The five best partners of every clip of the library."""
+    return E.top_edges(V.samples(spark, sf), 5).select("a_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("stem_from_seed", SAMPLES, select=f"SELECT id, {text.ADJECTIVES}[('0x' || substr(md5(path), 1, 2))::INT % 12 + 1] || '-' || {text.NOUNS}[('0x' || substr(md5(path), 3, 2))::INT % 12 + 1] AS stem FROM samples")
@@ -544,6 +551,20 @@ def knn_lsh(spark, sf):
     return X.knn_lsh(v.where("id % 50 = 0"), v, 10, 64).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("knn_cells")
+def knn_cells(spark, sf):
+    v = V.vectors(spark, sf)
+    return X.knn_cells(v.where("id % 50 = 0"), v, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("knn_cells_recall", select="SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def knn_cells_recall(spark, sf):
+    """Whether the search by cells finds nine in ten of the exact neighbours of the query set."""
+    exact, found = QUERIES["knn_exact"](spark, sf), QUERIES["knn_cells"](spark, sf).withColumn("hit", F.lit(1))
+    j = exact.join(found.select("query_id", "id", "hit"), ["query_id", "id"], "left")
+    return j.agg(F.count_distinct("query_id").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))
+
+
 @query("aspect_weight", select="""WITH w AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x, i: x * CASE WHEN i <= 34 THEN 2.0 WHEN i <= 40 THEN 1.0 WHEN i <= 50 THEN 0.5 WHEN i <= 61 THEN 1.0 ELSE 1.0 END::DOUBLE) AS v FROM embeddings)
 SELECT id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS head, round(v[45] / sqrt(list_inner_product(v, v)), 6) AS middle FROM w""")
 def aspect_weight(spark, sf):
