@@ -302,7 +302,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     docs = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     spans = written(repeated_spans(docs, length), "spans")
     split = maybe_in(docs, marked(spans, ["k1", "k2"]), ["k1", "k2"])
-    lists = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end")).alias("starts"))
+    lists = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("starts"))  # rows that repeat have the same spans, once
     joined = split.where("maybe").join(lists, ["k1", "k2"], "left").select("doc_id", "text", "starts")
     joined = joined.unionByName(split.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<struct<begin:int,end:int>>").alias("starts")))  # not shuffled
 

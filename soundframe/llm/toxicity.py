@@ -134,7 +134,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, fol
         weights, intercept = fit(row, np.asarray(held.flatten()), t["toxic"].to_numpy().astype(float), ratios)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(weights))), pa.array(np.r_[intercept, weights])], names=["place", "weight"])
 
-    model = held_grams(rows, buckets).coalesce(1).mapInArrow(run, "place long, weight double").toPandas().sort_values("place")["weight"].to_numpy()  # max_features + 1 rows
+    model = held_grams(rows, buckets).repartition(1).mapInArrow(run, "place long, weight double").toPandas().sort_values("place")["weight"].to_numpy()  # max_features + 1 rows
     return buckets, model[1:], float(model[0])
 
 

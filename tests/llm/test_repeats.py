@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -116,3 +117,16 @@ def test_rows_that_repeat_and_null_ids(spark, docs_of):
     docs = docs.unionByName(docs.where("doc_id = 0")).unionByName(docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
     rows = [(r.doc_id, r.n_bytes, len(r.kept)) for r in R.remove_repeats(docs).collect()]
     assert sorted(rows, key=str) == sorted([(0, 900, 0), (0, 900, 0), (1, 502, 0), (None, 502, 0), (2, 5, 5), (3, 0, 0)], key=str)
+
+
+def test_many_repeated_rows(spark, docs_of):
+    """Ten thousand rows of one id and text, and of one text under null ids, lose what they share, each row's spans held once."""
+    rng = random.Random(11)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    one = docs_of([text]).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(10_000)))).drop("n")
+    null = one.withColumn("doc_id", F.lit(None).cast("long"))
+    clean = docs_of(["", "".join(rng.choice("abcdefgh ") for _ in range(3000))]).withColumn("doc_id", F.col("doc_id") + 7)
+    began = time.time()
+    got = R.remove_repeats(one.unionByName(null.limit(500)).unionByName(clean)).groupBy("doc_id", F.octet_length("kept").alias("kept"), F.size("removed").alias("spans")).count().collect()
+    assert sorted((str(r.doc_id), r.kept, r.spans, r["count"]) for r in got) == [("0", 0, 1, 10_000), ("7", 0, 0, 1), ("8", 3000, 0, 1), ("None", 0, 1, 500)]
+    assert time.time() - began < 60
