@@ -35,15 +35,30 @@ def mel(power: DataFrame, n_fft: int, rate: float, n_mels: int = 128, low: float
     return S.kernel(power, "power", lambda p: p @ w, "mel")
 
 
-def mfcc(mel: DataFrame, n: int = 13) -> DataFrame:
+def cosines(x: np.ndarray, n: int) -> np.ndarray:
     """Orthonormal cosine transform (type II) of the log bands, its first n coefficients."""
+    m = x.shape[1]
+    basis = np.cos(np.pi / m * (np.arange(m)[:, None] + 0.5) * np.arange(n)[None, :]) * np.where(np.arange(n) == 0, np.sqrt(1 / m), np.sqrt(2 / m))
+    return np.log(x + 1e-10) @ basis
+
+
+def mfcc(mel: DataFrame, n: int = 13) -> DataFrame:
+    return S.kernel(mel, "mel", lambda x: cosines(x, n), "mfcc")
+
+
+def mel_column(n_fft: int, rate: float, n_mels: int = 128) -> S.Columns:
+    w = mel_weights(n_mels, n_fft, rate).T
+    return {"mel": ("array<double>", lambda _, p: p @ w)}
+
 
-    def run(x: np.ndarray) -> np.ndarray:
-        m = x.shape[1]
-        basis = np.cos(np.pi / m * (np.arange(m)[:, None] + 0.5) * np.arange(n)[None, :]) * np.where(np.arange(n) == 0, np.sqrt(1 / m), np.sqrt(2 / m))
-        return np.log(x + 1e-10) @ basis
+def mfcc_column(n_fft: int, rate: float, n_mels: int = 128, n: int = 13) -> S.Columns:
+    w = mel_weights(n_mels, n_fft, rate).T
+    return {"mfcc": ("array<double>", lambda _, p: cosines(p @ w, n))}
 
-    return S.kernel(mel, "mel", run, "mfcc")
+
+def chroma_column(n_fft: int, rate: float) -> S.Columns:
+    to = pitch_classes(n_fft, rate)
+    return {"chroma": ("array<double>", lambda _, p: p @ to)}
 
 
 def array_stats(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -51,15 +66,20 @@ def array_stats(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.groupBy("clip_id").agg(F.array(*[F.avg(F.col(column)[k]) for k in range(n)]).alias("mean"), F.array(*[F.stddev_pop(F.col(column)[k]) for k in range(n)]).alias("std"))
 
 
-def chroma(power: DataFrame, n_fft: int, rate: float) -> DataFrame:
-    """(clip_id, chroma): mean power of the twelve pitch classes, as shares of their sum."""
+def pitch_classes(n_fft: int, rate: float) -> np.ndarray:
+    """A column per pitch class: 1 for the bins that belong to it."""
     freq = np.arange(n_fft // 2 + 1) * rate / n_fft
     with np.errstate(divide="ignore"):
         midi = 12 * np.log2(freq / 440) + 69
     used = (midi >= 0) & (midi <= 127)
     to = np.zeros((len(freq), 12))
     to[np.flatnonzero(used), np.floor(midi[used] + 0.5).astype(int) % 12] = 1
-    means = array_stats(S.kernel(power, "power", lambda p: p @ to, "chroma"), "chroma", 12)
+    return to
+
+
+def chroma(frames: DataFrame) -> DataFrame:
+    """(clip_id, chroma): mean power of the twelve pitch classes of analysed frames, as shares of their sum."""
+    means = array_stats(frames, "chroma", 12)
     sum_ = S.total(F.col("mean"))
     return means.select("clip_id", F.when(sum_ > 0, F.transform("mean", lambda x: x / F.nullif(sum_, F.lit(0.0)))).otherwise(F.col("mean")).alias("chroma"))
 
@@ -301,9 +321,13 @@ def clip_hop(blocks: DataFrame, hop: Column) -> DataFrame:
 def frequency_waveform(blocks: DataFrame, rate: float, width: int, size: int = S.BLOCK, n_fft: int = 1024) -> DataFrame:
     """(clip_id, bar, peak, centroid): the waveform with the magnitude centroid, taken every len / width samples, at each bar."""
     b = clip_hop(blocks, F.greatest(F.floor(F.col("len") / width), F.lit(1)))
-    p = S.power(S.frames(b, n_fft, "hop", size))
-    m, step = F.transform("power", lambda x: F.sqrt(x)), rate / n_fft
-    p = p.select("clip_id", "frame", m.alias("m")).select("clip_id", "frame", F.when(S.total(F.col("m")) > 1e-10, S.total(F.transform("m", lambda x, i: x * i * step)) / F.nullif(S.total(F.col("m")), F.lit(0.0))).otherwise(0.0).alias("centroid"))
+
+    def centre(_, p: np.ndarray) -> np.ndarray:
+        m = np.sqrt(p)
+        t = m.sum(1)
+        return np.where(t > 1e-10, m @ (np.arange(m.shape[1]) * rate / n_fft) / np.where(t > 1e-10, t, 1), 0.0)
+
+    p = S.analysed(b, {"centroid": ("double", centre)}, n_fft, "hop", size)
     c = between(p, width, "centroid").withColumnRenamed("col", "bar")
     return S.waveform(blocks, width, size).join(c, ["clip_id", "bar"], "left").select("clip_id", "bar", "peak", F.coalesce("centroid", F.lit(0.0)).alias("centroid"))
 
@@ -311,11 +335,13 @@ def frequency_waveform(blocks: DataFrame, rate: float, width: int, size: int = S
 def spectrogram(blocks: DataFrame, rate: float, width: int, height: int, size: int = S.BLOCK, n_fft: int = 2048, scale: str = "mel", top_db: float = 80.0) -> DataFrame:
     """(clip_id, col, v): a picture of width columns, each an array of height values in [0, 1] from the lowest band or bin up."""
     b = clip_hop(blocks, F.when(F.col("len") > width, F.greatest(F.floor(F.col("len") / width), F.lit(1))).otherwise(512))
-    p = S.power(S.frames(b, n_fft, "hop", size))
-    p = mel(p, n_fft, rate, height).withColumnRenamed("mel", "power") if scale == "mel" else p
-    top = p.groupBy("clip_id").agg(F.max(F.array_max("power")).alias("top"))
-    ref = F.greatest(F.sqrt(F.col("top")), F.lit(1e-10))
-    db = p.join(top, "clip_id").withColumn("ref", ref).select("clip_id", "frame", F.transform("power", lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (S.power_db(x, F.col("ref"), top_db) + top_db) / top_db))).alias("v"))
+    # decibels are taken where the spectra are made; what the clip's largest adds to all of them is subtracted afterwards
+    bands = mel_weights(height, n_fft, rate).T if scale == "mel" else None
+    db = lambda x: 10 * np.log10(np.maximum(x, 1e-10))
+    p = S.analysed(b, {"v": ("array<double>", lambda _, p: db(p if bands is None else p @ bands))}, n_fft, "hop", size)
+    top = p.groupBy("clip_id").agg(F.max(F.array_max("v")).alias("top"))
+    ref = F.greatest(F.col("top"), F.lit(-100.0))
+    db = p.join(top, "clip_id").select("clip_id", "frame", F.transform("v", lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - ref + top_db) / top_db))).alias("v"))
     out = between(db, width, "v")
     if scale == "mel" or height == n_fft // 2 + 1:
         return out
@@ -335,13 +361,13 @@ def clip_vectors(blocks: DataFrame, rate: float, size: int = S.BLOCK, n_fft: int
     """(clip_id, v): 48 numbers of unit length: 13 MFCC means, 13 deviations, 4 spectral means, 8 levels and 8 centroids of eighths,
     zero crossings and crest, each brought to about [0, 1]."""
     step = rate / n_fft
-    p = S.power(S.frames(blocks, n_fft, hop, size))
-    m = array_stats(mfcc(mel(p, n_fft, rate, n_mels)), "mfcc", 13)
+    p = S.analysed(blocks, S.tones(step) | mfcc_column(n_fft, rate, n_mels), n_fft, hop, size)
+    m = array_stats(p, "mfcc", 13)
     unit = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-    s = S.spectral(p, step).select("clip_id", F.array(unit(F.col("centroid") / 10000), unit(F.col("rolloff") / 20000), unit(F.col("bandwidth") / 5000), unit(F.col("flatness"))).alias("s"))
+    s = S.spectral(p).select("clip_id", F.array(unit(F.col("centroid") / 10000), unit(F.col("rolloff") / 20000), unit(F.col("bandwidth") / 5000), unit(F.col("flatness"))).alias("s"))
     part = cut(blocks, eighths(blocks), size)
     level = part.groupBy("clip_id").agg(unit(2 * F.sqrt(F.sum(S.total(F.transform("pcm", lambda x: x * x))) / F.sum(F.size("pcm")))).alias("level"), F.sum(F.size("pcm")).alias("n"))
-    tone = S.power(S.frames(part, n_fft, hop, size)).groupBy("clip_id").agg(unit(F.avg(S.centroid(F.col("power"), step)) / 10000).alias("tone"))
+    tone = S.analysed(part, {"centroid": S.tones(step)["centroid"]}, n_fft, hop, size).groupBy("clip_id").agg(unit(F.avg("centroid") / 10000).alias("tone"))
     e = level.join(tone, "clip_id", "left").select("clip_id.clip_id", "clip_id.part", "level", F.when(F.col("n") < n_fft, 0.5).otherwise(F.coalesce("tone", F.lit(0.5))).alias("tone"))
     e = e.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("part", "level", "tone"))).alias("e"))
     z = S.zero_crossing_rate(blocks).join(S.quality(blocks).select("clip_id", "crest_factor"), "clip_id").select("clip_id", F.array(unit(F.coalesce("zcr", F.lit(0.0))), unit((F.col("crest_factor") + 20) / 40)).alias("z"))
@@ -354,9 +380,9 @@ def clip_vectors(blocks: DataFrame, rate: float, size: int = S.BLOCK, n_fft: int
 
 def spectral_bundle(blocks: DataFrame, rate: float, size: int = S.BLOCK, n_fft: int = 2048, hop: int = 512, n_mels: int = 128, n: int = 13) -> DataFrame:
     """(clip_id, centroid, rolloff, flatness, bandwidth, zcr, mfcc): all spectral means of each clip."""
-    p = S.power(S.frames(blocks, n_fft, hop, size))
-    m = array_stats(mfcc(mel(p, n_fft, rate, n_mels), n), "mfcc", n).select("clip_id", F.col("mean").alias("mfcc"))
-    return S.spectral(p, rate / n_fft).join(S.zero_crossing_rate(blocks), "clip_id").join(m, "clip_id")
+    p = S.analysed(blocks, S.tones(rate / n_fft) | mfcc_column(n_fft, rate, n_mels, n), n_fft, hop, size)
+    m = array_stats(p, "mfcc", n).select("clip_id", F.col("mean").alias("mfcc"))
+    return S.spectral(p).join(S.zero_crossing_rate(blocks), "clip_id").join(m, "clip_id")
 
 
 def embed_missing(samples: DataFrame, embeddings: DataFrame, blocks: DataFrame, rate: float, version: int, size: int = S.BLOCK, n_fft: int = 2048, hop: int = 512, n_mels: int = 128) -> tuple[DataFrame, DataFrame]:
@@ -371,13 +397,18 @@ def embed_missing(samples: DataFrame, embeddings: DataFrame, blocks: DataFrame,
 
 
 def analyze(blocks: DataFrame, rate: float, size: int = S.BLOCK, n_fft: int = 2048, hop: int = 512, key_fft: int = 4096) -> DataFrame:
-    """One row per clip: bpm, key (tonic), mode, quality and spectral columns, and errors, the steps that gave nothing."""
-    p = S.power(S.frames(blocks, n_fft, hop, size))
+    """One row per clip: bpm, key (tonic), mode, quality and spectral columns, and errors, the steps that gave nothing.
+
+    Frames are cut and transformed once (twice where the key takes a longer transform), and everything is made from their numbers.
+    """
+    one = key_fft == n_fft
+    p = S.analysed(blocks, S.tones(rate / n_fft) | (chroma_column(n_fft, rate) if one else {}), n_fft, hop, size, rise=True)
+    k = p if one else S.analysed(blocks, chroma_column(key_fft, rate), key_fft, hop, size)
     parts = {
         "bpm": tempo(S.onset_envelope(p), rate / hop).select("clip_id", "bpm", F.col("confidence").alias("bpm_confidence")),
-        "key": keys(chroma(S.power(S.frames(blocks, key_fft, hop, size)), key_fft, rate)).select("clip_id", "key", "mode", F.col("confidence").alias("key_confidence")),
+        "key": keys(chroma(k)).select("clip_id", "key", "mode", F.col("confidence").alias("key_confidence")),
         "quality": S.quality(blocks),
-        "spectral": S.spectral(p, rate / n_fft),
+        "spectral": S.spectral(p),
     }
     out = blocks.select("clip_id").distinct()
     for name, part in parts.items():
@@ -393,18 +424,17 @@ def naming_features(blocks: DataFrame, rate: float, size: int = S.BLOCK, seconds
     head = head.select("clip_id.clip_id", "block", "pcm")
     level = head.groupBy("clip_id").agg(F.sqrt(F.sum(S.total(F.transform("pcm", lambda x: x * x))) / F.sum(F.size("pcm"))).alias("rms"), F.sum(F.size("pcm")).alias("n"))
     level = level.where((F.col("n") >= 0.25 * rate) & (F.col("rms") >= 1e-4))
-    p = S.power(S.frames(head, n_fft, hop, size))
-    tone = p.groupBy("clip_id").agg(F.avg(S.centroid(F.col("power"), rate / n_fft)).alias("centroid"))
+    p = S.analysed(head, {"centroid": S.tones(rate / n_fft)["centroid"]}, n_fft, hop, size, rise=True)
+    tone = p.groupBy("clip_id").agg(F.avg("centroid").alias("centroid"))
     t = tempo(S.onset_envelope(p), rate / hop).select("clip_id", F.col("bpm").alias("tempo"))
     j = level.join(tone, "clip_id", "left").join(S.zero_crossing_rate(head), "clip_id", "left").join(t, "clip_id", "left").join(n, "clip_id")
     return j.select("clip_id", "rms", "centroid", "zcr", (F.col("len") / rate).alias("dur_s"), "tempo")
 
 
-def step_features(power: DataFrame, n_fft: int, rate: float, n_mels: int = 128) -> DataFrame:
-    """(clip_id, frame, f): 13 MFCC and the centroid over 10000 Hz of each frame."""
-    m = mfcc(mel(power, n_fft, rate, n_mels))
-    c = power.select("clip_id", "frame", (S.centroid(F.col("power"), rate / n_fft) / 10000).alias("c"))
-    return m.join(c, ["clip_id", "frame"]).select("clip_id", "frame", F.array_append("mfcc", F.col("c")).alias("f"))
+def step_features(blocks: DataFrame, rate: float, n_fft: int = 2048, hop: int = 512, size: int = S.BLOCK, n_mels: int = 128, n: int = 13) -> DataFrame:
+    """(clip_id, frame, f): n MFCC and the centroid over 10000 Hz of each frame."""
+    both = mfcc_column(n_fft, rate, n_mels, n)["mfcc"][1], S.tones(rate / n_fft)["centroid"][1]
+    return S.analysed(blocks, {"f": ("array<double>", lambda x, p: np.column_stack([both[0](x, p), both[1](x, p) / 10000]))}, n_fft, hop, size)
 
 
 def change_points(features: DataFrame, least: int) -> DataFrame:

@@ -603,6 +603,14 @@ def _power(spark, sf):
     return S.power(_frames(spark, sf))
 
 
+def _analysed(spark, sf, columns, rise=False):
+    return S.analysed(_blocks(spark, sf), columns, N_FFT, HOP, SIZE, rise=rise)
+
+
+def _env(spark, sf):
+    return S.onset_envelope(_analysed(spark, sf, {}, True))
+
+
 @query("power_spectrum", SIG, FR, PW, select="SELECT clip_id, CAST(k AS INT) AS bin, round(avg(p), 6) AS power FROM pw GROUP BY ALL")
 def power_spectrum(spark, sf):
     return _power(spark, sf).select("clip_id", F.posexplode("power").alias("bin", "p")).groupBy("clip_id", "bin").agg(F.round(F.avg("p"), 6).alias("power"))
@@ -614,13 +622,13 @@ m AS (SELECT clip_id, avg(coalesce(c, 0)) AS centroid, avg(least(1, fl)) AS flat
 
 @query("spectral", SIG, FR, PW, SPEC, select="SELECT clip_id, round(centroid, 4) AS centroid, round(flatness, 4) AS flatness, (SELECT round(avg(b), 4) FROM b WHERE b.clip_id = m.clip_id) AS bandwidth FROM m")
 def spectral(spark, sf):
-    s = S.spectral(_power(spark, sf), RATE / N_FFT)
+    s = S.spectral(_analysed(spark, sf, S.tones(RATE / N_FFT)))
     return s.select("clip_id", *[F.round(c, 4).alias(c) for c in ("centroid", "flatness", "bandwidth")])
 
 
 @query("rolloff", SIG, FR, PW, select="SELECT clip_id, round(avg(r), 6) AS rolloff FROM (SELECT clip_id, frame, CASE WHEN max(t) > 0 THEN min(k) FILTER (s >= 0.85 * t) * 10 ELSE 0 END AS r FROM (SELECT *, sum(p) OVER (PARTITION BY clip_id, frame ORDER BY k) AS s, sum(p) OVER (PARTITION BY clip_id, frame) AS t FROM pw) GROUP BY ALL) GROUP BY ALL")
 def rolloff(spark, sf):
-    return S.spectral(_power(spark, sf), RATE / N_FFT).select("clip_id", F.round("rolloff", 6).alias("rolloff"))
+    return S.spectral(_analysed(spark, sf, S.tones(RATE / N_FFT))).select("clip_id", F.round("rolloff", 6).alias("rolloff"))
 
 
 @query("zcr", SIG, select="SELECT clip_id, round(avg(CASE WHEN (x >= 0) <> (prev >= 0) THEN 1.0 ELSE 0 END), 6) AS zcr FROM (SELECT clip_id, x, lag(x) OVER (PARTITION BY clip_id ORDER BY n) AS prev FROM signal) WHERE prev IS NOT NULL GROUP BY clip_id")
@@ -636,7 +644,7 @@ def quality(spark, sf):
 
 @query("dynamic_range", SIG, FR, LV, "r AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY rms) AS i, count(*) OVER (PARTITION BY clip_id) AS n FROM lv WHERE rms > 0)", select="SELECT clip_id, round(20 * log10(max(rms) FILTER (i = least(floor(n * 0.9::DOUBLE) + 1, n)) / max(rms) FILTER (i = least(floor(n * 0.1::DOUBLE) + 1, n))), 6) AS dynamic_range FROM r GROUP BY clip_id")
 def dynamic_range(spark, sf):
-    return six(S.dynamic_range(S.frame_levels(_frames(spark, sf))), "dynamic_range")
+    return six(S.dynamic_range(_analysed(spark, sf, S.LEVEL)), "dynamic_range")
 
 
 ENV = """fx AS (SELECT clip_id, frame, sum(greatest(0, coalesce(p - q, 0))) AS flux FROM (SELECT *, lag(p) OVER (PARTITION BY clip_id, k ORDER BY frame) AS q FROM pw) GROUP BY ALL), env AS (SELECT clip_id, frame, flux / max(flux) OVER (PARTITION BY clip_id) AS env FROM fx)"""
@@ -644,17 +652,17 @@ ENV = """fx AS (SELECT clip_id, frame, sum(greatest(0, coalesce(p - q, 0))) AS f
 
 @query("onset_env", SIG, FR, PW, ENV, select="SELECT clip_id, frame, round(env, 6) AS env FROM env")
 def onset_env(spark, sf):
-    return six(S.onset_envelope(_power(spark, sf)), "env")
+    return six(_env(spark, sf), "env")
 
 
 @query("onsets", SIG, FR, PW, ENV, select="SELECT clip_id, frame FROM (SELECT *, lag(env) OVER w AS p, lead(env) OVER w AS q FROM env WINDOW w AS (PARTITION BY clip_id ORDER BY frame)) WHERE env > 0.1 AND env > p AND env >= q")
 def onsets(spark, sf):
-    return S.onsets(S.onset_envelope(_power(spark, sf)))
+    return S.onsets(_env(spark, sf))
 
 
 @query("tempo", SIG, FR, PW, ENV, "e0 AS (SELECT clip_id, sum(env * env) AS s0 FROM env GROUP BY ALL)", select="SELECT a.clip_id, CAST(b.frame - a.frame AS INT) AS lag, round(sum(a.env * b.env) / max(s0), 6) AS r FROM env a JOIN env b ON a.clip_id = b.clip_id AND b.frame - a.frame BETWEEN 6 AND 20 JOIN e0 ON e0.clip_id = a.clip_id GROUP BY 1, 2")
 def tempo(spark, sf):
-    return six(S.tempo_lags(S.onset_envelope(_power(spark, sf)), 6, 20), "r")
+    return six(S.tempo_lags(_env(spark, sf), 6, 20), "r")
 
 
 @query("waveform", SIG, "l AS (SELECT clip_id, count(*) AS len FROM signal GROUP BY ALL)", select="SELECT b.clip_id, CAST(b.bar AS INT) AS bar, round(coalesce(max(abs(x)), 0), 6) AS peak FROM (SELECT clip_id, len, unnest(range(0, 50)) AS bar FROM l) b LEFT JOIN signal s ON s.clip_id = b.clip_id AND CAST(floor(s.n / ceil(len / 50)) AS INT) = bar GROUP BY ALL")
@@ -678,7 +686,7 @@ u AS (SELECT * FROM t WHERE "end" > start AND "end" - start >= 200), v AS (SELEC
 @query("silence_segments", SIG, FLAT, CUTS, select='SELECT clip_id, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY start) - 1 AS INT) AS part, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM v')
 def silence_segments(spark, sf):
     b = _blocks(spark, sf)
-    return S.silence_segments(S.frame_levels(S.frames(b, N_FFT, HOP, SIZE, False)), S.lengths(b), HOP, -18.0, 2, 200)
+    return S.silence_segments(S.analysed(b, S.LEVEL, N_FFT, HOP, SIZE, False), S.lengths(b), HOP, -18.0, 2, 200)
 
 
 @query("takes", V.LEVELS, """q AS (SELECT *, peak_db > -21.0 AS loud FROM levels), i AS (SELECT *, sum(CASE WHEN loud IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS isl FROM (SELECT *, lag(loud) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS p FROM q)),

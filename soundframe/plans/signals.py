@@ -9,7 +9,7 @@ from soundframe.operators import features as T
 from soundframe.operators import maintain as M
 from soundframe.operators import signal as S
 from soundframe.plans import views as V
-from soundframe.plans.queries import ENV, FR, HOP, N_FFT, PW, RATE, SIZE, SPEC, _blocks, _power, query, six
+from soundframe.plans.queries import ENV, FR, HOP, N_FFT, PW, RATE, SIZE, SPEC, _analysed, _blocks, _env, _power, query, six
 
 SIG = V.SIGNAL
 BANDS, COEFFICIENTS, PER_SECOND = 8, 5, RATE / HOP
@@ -24,7 +24,7 @@ FNV_OF = "h AS (SELECT id, list_reduce(list_prepend(14695981039346656037::HUGEIN
 
 
 def _mel(spark, sf):
-    return T.mel(_power(spark, sf), N_FFT, RATE, BANDS)
+    return _analysed(spark, sf, T.mel_column(N_FFT, RATE, BANDS))
 
 
 @query("power_db", SIG, FR, PW, select="SELECT clip_id, frame, round(sum(greatest(10 * log10(greatest(p, 1e-10) / 4), -30.0)), 6) AS db FROM pw GROUP BY ALL")
@@ -39,7 +39,7 @@ def mel(spark, sf):
 
 @query("mfcc", SIG, FR, PW, MELW, MFCC, select="SELECT clip_id, CAST(c AS INT) AS c, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM mc GROUP BY ALL")
 def mfcc(spark, sf):
-    m = T.array_stats(T.mfcc(_mel(spark, sf), COEFFICIENTS), "mfcc", COEFFICIENTS)
+    m = T.array_stats(_analysed(spark, sf, T.mfcc_column(N_FFT, RATE, BANDS, COEFFICIENTS)), "mfcc", COEFFICIENTS)
     return m.select("clip_id", F.posexplode(F.arrays_zip("mean", "std")).alias("c", "x")).select("clip_id", "c", F.round("x.mean", 6).alias("mean"), F.round("x.std", 6).alias("std"))
 
 
@@ -49,7 +49,7 @@ ch AS (SELECT clip_id, pc, v / nullif(sum(v) OVER (PARTITION BY clip_id), 0) AS
 
 
 def _chroma(spark, sf):
-    return T.chroma(_power(spark, sf), N_FFT, RATE)
+    return T.chroma(_analysed(spark, sf, T.chroma_column(N_FFT, RATE)))
 
 
 @query("chroma", SIG, FR, PW, CHROMA, select="SELECT clip_id, CAST(pc AS INT) AS pitch_class, round(v, 6) AS share FROM ch")
@@ -77,17 +77,17 @@ QUALITY = "qm AS (SELECT clip_id, avg(x) AS mean FROM signal GROUP BY ALL), ql A
 
 @query("tempo_bpm", SIG, FR, PW, ENV, LAGS, select="SELECT clip_id, round(1200.0 / lag, 6) AS bpm, round(least(1, greatest(0, r)), 6) AS confidence FROM tw QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY w DESC, o, lag) = 1")
 def tempo_bpm(spark, sf):
-    return six(T.tempo(S.onset_envelope(_power(spark, sf)), PER_SECOND), "bpm", "confidence")
+    return six(T.tempo(_env(spark, sf), PER_SECOND), "bpm", "confidence")
 
 
 @query("onsets_spaced", SIG, FR, PW, ENV, "pk AS (SELECT clip_id, frame FROM (SELECT *, lag(env) OVER w AS p, lead(env) OVER w AS q FROM env WINDOW w AS (PARTITION BY clip_id ORDER BY frame)) WHERE env > 0.1 AND env > p AND env >= q)", select="SELECT clip_id, unnest(list_reduce(list([frame] ORDER BY frame), lambda a, x: CASE WHEN x[1] - a[-1] >= 4 THEN list_concat(a, x) ELSE a END)) AS frame FROM pk GROUP BY clip_id")
 def onsets_spaced(spark, sf):
-    return S.onsets(S.onset_envelope(_power(spark, sf)), gap=4)
+    return S.onsets(_env(spark, sf), gap=4)
 
 
 @query("beats")
 def beats(spark, sf):
-    env = S.onset_envelope(_power(spark, sf))
+    env = _env(spark, sf)
     return T.beats(env, T.tempo(env, PER_SECOND), PER_SECOND)
 
 
@@ -113,9 +113,7 @@ cp AS (SELECT clip_id, frame FROM (SELECT *, lag(d) OVER w AS p, lead(d) OVER w
 
 
 def _features(spark, sf):
-    m = T.mfcc(_mel(spark, sf), COEFFICIENTS)
-    c = _power(spark, sf).select("clip_id", "frame", (S.centroid(F.col("power"), RATE / N_FFT) / 10000).alias("c"))
-    return m.join(c, ["clip_id", "frame"]).select("clip_id", "frame", F.array_append("mfcc", F.col("c")).alias("f"))
+    return T.step_features(_blocks(spark, sf), RATE, N_FFT, HOP, SIZE, BANDS, COEFFICIENTS)
 
 
 @query("changepoints", SIG, FR, PW, MELW, MFCC, STEPS, select="SELECT clip_id, unnest(list_reduce(list_prepend([0], list([frame] ORDER BY frame)), lambda a, x: CASE WHEN x[1] - a[-1] >= 4 THEN list_concat(a, x) ELSE a END)[2:]) AS frame FROM cp GROUP BY clip_id")

@@ -76,7 +76,7 @@ def clicks(rate, seconds, every, start=0.25):
 def test_tempo_beats_and_onsets(spark):
     rate = 22050
     b = clips(spark, {"fast": clicks(rate, 8, 0.5), "slow": clicks(rate, 8, 0.8), "tiny": np.zeros(900)}, 4096)
-    env = S.onset_envelope(S.power(S.frames(b, 2048, 512, 4096)))
+    env = S.onset_envelope(S.analysed(b, {}, 2048, 512, 4096, rise=True))
     bpm = {r.clip_id: r for r in T.tempo(env, rate / 512).collect()}
     assert set(bpm) == {"fast", "slow"} and abs(bpm["fast"].bpm - 120) < 6 and abs(bpm["slow"].bpm - 75) < 4 and 0 < bpm["fast"].confidence <= 1
     at = sorted(r.frame for r in T.beats(env, T.tempo(env, rate / 512), rate / 512).where("clip_id = 'fast'").collect())
@@ -98,7 +98,7 @@ def test_key_of_a_chord(spark):
     t = np.arange(rate * 2) / rate
     chord = lambda *fs: sum(np.sin(2 * np.pi * f * t) for f in fs) / len(fs)
     b = clips(spark, {"c": chord(261.63, 329.63, 392.0, 523.25), "am": chord(220, 261.63, 329.63, 440), "none": np.zeros(20000)}, 8000)
-    c = T.chroma(S.power(S.frames(b, 4096, 512, 8000)), 4096, rate)
+    c = T.chroma(S.analysed(b, T.chroma_column(4096, rate), 4096, 512, 8000))
     got = {r.clip_id: r for r in T.keys(c).collect()}
     assert (got["c"].key, got["c"].mode) == ("C", "major") and (got["am"].key, got["am"].mode) == ("A", "minor")
     assert got["c"].confidence > 0.3 and len(got["c"].alternates) == 3 and got["none"].confidence == 0.5
@@ -140,7 +140,7 @@ def test_splits(spark):
     t = np.arange(rate) / rate
     low, high = np.sin(2 * np.pi * 200 * t), np.sign(np.sin(2 * np.pi * 1500 * t)) * 0.6
     b = clips(spark, {"two": np.r_[low, high], "three": np.r_[low, high, low], "short": low[:100]}, 4000)
-    f = T.step_features(S.power(S.frames(b, 512, 256, 4000)), 512, rate, 40)
+    f = T.step_features(b, rate, 512, 256, 4000, 40)
     n = S.lengths(b)
     parts = lambda points: {c: sorted((r.start, r.end) for r in T.chunks(points, n, 256).where(f"clip_id = '{c}'").collect()) for c in ("two", "three", "short")}
     got = parts(T.n_segments(f, 3, 5))
@@ -166,3 +166,46 @@ def test_smoothing_looks_back_far_enough(spark):
         a += (x - a) * (0.5 if x > a else 0.1)
     r = S.smooth(df).first()
     assert abs(r.smoothed_db - a) < 1e-9 and r.readings == 3000
+
+
+@pytest.mark.parametrize("size,n_fft,hop,center", [(64, 64, 32, True), (50, 128, 32, True), (1000, 128, 100, True), (37, 64, 48, False), (64, 256, 16, False), (4000, 64, 7, True), (40, 32, 90, False)])
+def test_frames_analysed_in_blocks(spark, size, n_fft, hop, center):
+    """Levels, tones, bands and flux are those of plain frames, wherever blocks are cut."""
+    rng, rate = np.random.default_rng(6), 8000
+    signals = {f"c{n}": rng.normal(size=n) * (rng.random(n) < 0.7) for n in (1, 5, 63, 64, 65, 200, 1000, 1037)} | {"still": np.zeros(300)}
+    columns = S.LEVEL | S.tones(rate / n_fft) | T.mel_column(n_fft, rate, 6) | T.chroma_column(n_fft, rate)
+    got = {(r.clip_id, r.frame): r for r in S.analysed(clips(spark, signals, size), columns, n_fft, hop, size, center, rise=True).collect()}
+    count = 0
+    for c, x in signals.items():
+        frames = plain_frames(x, n_fft, hop, center)
+        power = [np.abs(np.fft.rfft(f * S.window("hann", n_fft))) ** 2 for f in frames]
+        count += len(frames)
+        for i, (f, p) in enumerate(zip(frames, power)):
+            r, k = got[c, i], np.arange(len(p)) * rate / n_fft
+            assert abs(r.rms - np.sqrt(np.mean(f * f))) < 1e-12 and abs(r.m0 - p.sum()) < 1e-9 and np.allclose(r.mel, T.mel_weights(6, n_fft, rate) @ p) and np.allclose(r.chroma, p @ T.pitch_classes(n_fft, rate))
+            assert abs(r.centroid - ((p * k).sum() / p.sum() if p.sum() > 0 else 0)) < 1e-6
+            assert r.rise is None if i == len(frames) - 1 else abs(r.rise - np.maximum(power[i + 1] - p, 0).sum()) < 1e-9 * max(1, p.sum())
+    assert len(got) == count
+
+
+def test_autocorrelation_in_blocks(spark):
+    rng = np.random.default_rng(7)
+    clips_of = {"a": rng.random(1000), "b": rng.random(30), "c": np.zeros(50), "d": np.r_[np.zeros(90), 1.0]}
+    env = spark.createDataFrame([(c, i, float(v)) for c, x in clips_of.items() for i, v in enumerate(x)], "clip_id string, frame long, env double").repartition(4)
+    for size in (16, 97, 4096):
+        got = {(r.clip_id, r.lag): r.r for r in S.tempo_lags(env, 3, 40, size).collect()}
+        assert len(got) == 4 * 38
+        for (c, lag), r in got.items():
+            x = clips_of[c]
+            assert r is None if not x.any() else abs(r - (x[:-lag] * x[lag:]).sum() / (x * x).sum()) < 1e-9 if lag < len(x) else abs(r) < 1e-9
+
+
+def test_places_by_counting(spark):
+    """Values by their place, with ties, tiny and huge numbers, one value and none."""
+    rng = np.random.default_rng(8)
+    clips_of = {"a": rng.random(500), "ties": rng.choice([0.25, 0.5, 0.75], 90), "one": np.array([3.5]), "far": np.array([5e-324, 1e-300, 1e300, 1.7e308, 2.0]), "none": np.zeros(4), "same": np.full(40, 0.1)}
+    df = spark.createDataFrame([(c, float(v)) for c, x in clips_of.items() for v in x], "clip_id string, rms double").repartition(5)
+    ask = {"first": lambda n: F.lit(1), "mid": lambda n: F.floor(n / 2) + 1, "last": lambda n: n}
+    got, few = ({r.clip_id: (r["first"], r["mid"], r["last"]) for r in S.ranked(df, "rms", ask, bins).collect()} for bins in (1 << 16, 1 << 10))
+    want = {c: (np.sort(x)[0], np.sort(x)[len(x) // 2], np.sort(x)[-1]) for c, x in clips_of.items() if x.any()}
+    assert got == want == few
