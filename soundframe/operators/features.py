@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,25 +124,77 @@ def tempo(env: DataFrame, per_second: float, slowest: float = 60.0, fastest: flo
     return n.select("clip_id").join(found, "clip_id", "left").select("clip_id", F.coalesce("bpm", F.lit(prior)).alias("bpm"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
-def beats(env: DataFrame, tempos: DataFrame, per_second: float, strong: float = 0.3) -> DataFrame:
-    """(clip_id, frame): from the first strong frame on, the strongest frame within a quarter period of where the next beat is due.
+def due_beats(x: np.ndarray, block: int, own: int, period: int, size: int) -> tuple[int, int, np.ndarray]:
+    """(lo, hi, found): the beat for each frame from lo to hi - 1 that one may be due at.
 
-    Each beat depends on the one before, so the envelope of a clip (one number a frame) is walked in one group.
+    A block (own frames of x, which reaches half a period further) takes the dues whose neighbourhood begins in it, that is those a quarter
+    period behind its own frames; the first block also those before.
     """
-    kind = dict(env.dtypes)["clip_id"]
-
-    def walk(t: pd.DataFrame) -> pd.DataFrame:
-        e = t.sort_values("frame")["env"].to_numpy()
-        period = lag_of(t["bpm"].iloc[0], per_second)
-        found, due = [], int(np.argmax(e > strong))  # 0 if none is strong
-        while period > 0 and due < len(e):
-            lo, hi = max(due - period // 4, 0), min(due + period // 4, len(e) - 1)
-            near = lo + int(np.argmax(e[lo : hi + 1]))
-            found.append(near if e[near] > e[due] else due)
-            due = found[-1] + period
-        return pd.DataFrame({"clip_id": t["clip_id"].iloc[: len(found)].tolist() if len(found) <= len(t) else [t["clip_id"].iloc[0]] * len(found), "frame": found})
-
-    return env.join(tempos.where("bpm > 0").select("clip_id", "bpm"), "clip_id").groupBy("clip_id").applyInPandas(walk, f"clip_id {kind}, frame long")
+    near, at = period // 4, block * size
+    lo, hi = 0 if block == 0 else at + near, min(at + own + near, at + len(x))
+    due = np.arange(lo, hi)
+    if not len(due):
+        return lo, lo, due
+    wide = np.concatenate([np.full(near, -np.inf), x, np.full(2 * near + 1, -np.inf)])
+    best = due - near + np.lib.stride_tricks.sliding_window_view(wide, 2 * near + 1)[due - at].argmax(1)
+    return lo, hi, np.where(x[best - at] > x[due - at], best, due)
+
+
+def beats(env: DataFrame, tempos: DataFrame, per_second: float, strong: float = 0.3, size: int = 4096) -> DataFrame:
+    """(clip_id, frame): from the first strong frame on (else frame 0), the strongest frame within a quarter period of where a beat is due.
+
+    Each beat depends on the one before, but all that a stretch of frames needs of those before it is where its first beat is due. So for each
+    block a table says, for every place where that may be, where the next one is due behind the block; the tables (a number for each frame
+    of a period and a quarter) are followed from block to block, and then all blocks are walked at once.
+    """
+    t = tempos.where("bpm > 0").select("clip_id", F.floor(60 / F.col("bpm") * per_second + 0.5).cast("int").alias("period")).where("period > 0")
+    reach = (t.agg(F.max("period")).first()[0] or 0) // 4
+    b = S.with_halo(S.env_blocks(env, size), 2 * reach, size).join(t, "clip_id")
+    b = stored(b.select("clip_id", "block", "pcm", "own", "period"))
+    kind = dict(b.dtypes)["clip_id"]
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, (block, own, period) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)), strict=True)):
+                x = batch.column(2)[i].values.to_numpy(zero_copy_only=False)
+                lo, hi, found = due_beats(x, block, own, period, size)
+                leave = np.append(found + period, 0)  # where the next beat is due after one due at each frame
+                while (inside := leave[:-1] < hi).any():
+                    leave[:-1][inside] = leave[leave[:-1][inside] - lo]
+                loud = np.flatnonzero(x[lo - block * size : hi - block * size] > strong)
+                start = int(loud[0]) if len(loud) else 0 if block == 0 and len(found) else None
+                rows.append((block, lo, hi, bool(len(loud)), None if start is None else lo + start, None if start is None else int(leave[start]), leave[: min(period + period // 4 + 1, hi - lo)].tolist()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names=["clip_id", "block", "lo", "hi", "loud", "start", "out", "leave"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, blocks in enumerate(batch.column(1).to_pylist()):
+                entries, due = [], None
+                begin = next((k for k, r in enumerate(blocks) if r["loud"]), 0)
+                for k in range(begin, len(blocks)):
+                    r = blocks[k]
+                    here = r["start"] if k == begin else due
+                    if here is not None and here < r["hi"]:
+                        entries.append((r["block"], here))
+                        due = r["out"] if k == begin else r["leave"][here - r["lo"]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).take(pa.array([0] * len(entries), pa.int64())), pa.array([e[0] for e in entries], pa.int64()), pa.array([e[1] for e in entries], pa.int64())], names=["clip_id", "block", "due"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (block, own, period, due) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 3, 4, 5)), strict=True)):
+                lo, hi, found = due_beats(batch.column(2)[i].values.to_numpy(zero_copy_only=False), block, own, period, size)
+                at = []
+                while due < hi:
+                    at.append(int(found[due - lo]))
+                    due = at[-1] + period
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).take(pa.array([0] * len(at), pa.int64())), pa.array(at, pa.int64())], names=["clip_id", "frame"])
+
+    made = b.mapInArrow(tables, f"clip_id {kind}, block long, lo long, hi long, loud boolean, start long, out long, leave array<long>")
+    ordered = made.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("block", "lo", "hi", "loud", "start", "out", "leave"))).alias("t"))
+    entries = ordered.mapInArrow(follow, f"clip_id {kind}, block long, due long")
+    return b.join(entries, ["clip_id", "block"]).select("clip_id", "block", "pcm", "own", "period", "due").mapInArrow(walk, f"clip_id {kind}, frame long")
 
 
 def edges(blocks: DataFrame, reach: Column, size: int) -> DataFrame:

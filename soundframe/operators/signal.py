@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from soundframe.operators.catalog import places
+from soundframe.operators.catalog import pack, places
 from soundframe.operators.stored import stored
 
 #: Samples of a frame and between frames, and samples of a block, unless said otherwise.
@@ -434,15 +435,80 @@ def takes(levels: DataFrame, threshold: float, silence_s: float) -> DataFrame:
     return runs.where("loud").groupBy("device_id", "take").agg(F.min("a").alias("started_at"), F.max("b").alias("ended_at"), F.sum("n").alias("loud_readings"))
 
 
-def smooth(levels: DataFrame, attack: float = 0.5, decay: float = 0.1, start: float = -96.0) -> DataFrame:
-    """Last smoothed peak of each device: a fold over its readings in order, faster upwards than downwards.
+def smoothing_map(xs: np.ndarray, attack: float, decay: float, lo: float, hi: float) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): what smoothing over xs makes of any value before them between lo and hi; linear between the points.
 
-    Each reading leaves at most 1 - decay of what was before, so what lies further back than `reach` readings is below the last
-    bit of a double: only that many of a device meet, and tasks keep no more of theirs.
+    Each reading maps the value before it by a broken line that rises everywhere (its bend is the reading); so do several in a row. The values
+    draw together with each reading, so few bends lie between lo and hi, and after some hundred readings the line is flat.
+    """
+    u, v = [lo, hi], [lo, hi]
+    for x in xs:
+        if v[0] < x < v[-1]:
+            k = bisect_left(v, x)
+            if v[k] != x:
+                u.insert(k, u[k - 1] + (u[k] - u[k - 1]) * (x - v[k - 1]) / (v[k] - v[k - 1]))
+                v.insert(k, x)
+        v = [y + (x - y) * (attack if x > y else decay) for y in v]
+        if v[0] == v[-1]:
+            u, v = [lo, hi], [v[0], v[0]]
+    return np.array(u), np.array(v)
+
+
+def smoothed(levels: DataFrame, rates: dict[str, tuple[float, float]], start: float = -96.0, size: int = 4096) -> DataFrame:
+    """levels (device_id, ts, event_id, ...) with smoothed_<column> after each reading, for columns with a rate upwards and one downwards.
+
+    A device's readings are cut into chunks in order of ts and event_id. Each chunk's effect on any value before it is worked out by
+    itself (`smoothing_map`); these are applied one after the other, a few numbers a chunk; then each chunk is smoothed from its own first
+    value. A device of any length is many tasks. NULL readings leave the value as it is.
     """
-    reach = int(np.ceil(np.log(1e-17) / np.log(1 - min(attack, decay))))
-    w = Window.partitionBy("device_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    last = levels.withColumn("back", F.row_number().over(w)).where(F.col("back") <= reach)
-    xs = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "peak_db"))), lambda r: r.peak_db)
-    fold = F.aggregate(xs, F.lit(start), lambda a, x: a + (x - a) * F.when(x > a, attack).otherwise(decay))
-    return last.groupBy("device_id").agg(fold.alias("smoothed_db")).join(levels.groupBy("device_id").agg(F.count("*").alias("readings")), "device_id")
+    kinds = dict(levels.dtypes)
+    names, device = list(rates), kinds["device_id"]
+    p = stored(pack(levels.select("device_id", F.struct("ts", "event_id").alias("at"), *names), "device_id", ["at", *names], size).select("device_id", "piece", "rows"))
+    ends = levels.groupBy("device_id").agg(*[f(c).alias(f"{n}_{c}") for c in names for n, f in (("lo", F.min), ("hi", F.max))])
+    ends = ends.select("device_id", *[F.coalesce(f(f"{n}_{c}", F.lit(start)), F.lit(start)).cast("double").alias(f"{n}_{c}") for c in names for n, f in (("lo", F.least), ("hi", F.greatest))])
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = [[] for _ in names]
+            for i in range(b.num_rows):
+                for k, c in enumerate(names):
+                    x = b.column(2)[i].values.field(c).to_numpy(zero_copy_only=False).astype(float)
+                    u, v = smoothing_map(x[~np.isnan(x)].tolist(), *rates[c], b.column(3 + 2 * k)[i].as_py(), b.column(4 + 2 * k)[i].as_py())
+                    lines[k].append(np.concatenate([u, v]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, pa.list_(pa.float64())) for x in lines]], names=["device_id", "piece", *names])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, chunks in enumerate(b.column(1).to_pylist()):
+                state, out = [start] * len(names), []
+                for chunk in chunks:
+                    out.append((chunk["piece"], *state))
+                    state = [float(np.interp(y, *np.split(np.array(chunk[c]), 2))) for y, c in zip(state, names, strict=True)]
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1).take(pa.array([0] * len(out), pa.int64())), pa.array(columns[0], pa.int64()), *[pa.array(c, pa.float64()) for c in columns[1:]]], names=["device_id", "piece", *names])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                rows, out = b.column(2)[i].values, []
+                for k, c in enumerate(names):
+                    (attack, decay), y, line = rates[c], b.column(3 + k)[i].as_py(), []
+                    for x in rows.field(c).to_pylist():
+                        if x is not None:
+                            y += (x - y) * (attack if x > y else decay)
+                        line.append(y)
+                    out.append(pa.array(line, pa.float64()))
+                at = rows.field("at")
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1).take(pa.array([0] * len(rows), pa.int64())), at.field("ts"), at.field("event_id"), *out], names=["device_id", "ts", "event_id", *[f"smoothed_{c}" for c in names]])
+
+    each = p.join(ends, "device_id").mapInArrow(maps, f"device_id {device}, piece long, " + ", ".join(f"{c} array<double>" for c in names))
+    order = each.groupBy("device_id").agg(F.array_sort(F.collect_list(F.struct("piece", *names))).alias("chunks"))
+    first = order.mapInArrow(follow, f"device_id {device}, piece long, " + ", ".join(f"{c} double" for c in names))
+    shape = f"device_id {device}, ts {kinds['ts']}, event_id {kinds['event_id']}, " + ", ".join(f"smoothed_{c} double" for c in names)
+    return p.join(first, ["device_id", "piece"]).select("device_id", "piece", "rows", *names).mapInArrow(walk, shape)
+
+
+def smooth(levels: DataFrame, attack: float = 0.5, decay: float = 0.1, start: float = -96.0) -> DataFrame:
+    """(device_id, smoothed_db, readings): the last smoothed peak of each device, and how many readings it has."""
+    s = smoothed(levels, {"peak_db": (attack, decay)}, start)
+    return s.groupBy("device_id").agg(F.max_by("smoothed_peak_db", F.struct("ts", "event_id")).alias("smoothed_db"), F.count("*").alias("readings"))

@@ -700,6 +700,13 @@ def level_smoothing(spark, sf):
     return six(S.smooth(V.levels(spark, sf)), "smoothed_db")
 
 
+@query("level_series", V.LEVELS, "h AS (SELECT *, list(peak_db) OVER w AS p, list(peak_db - 3 - event_id % 7) OVER w AS r FROM levels WINDOW w AS (PARTITION BY device_id ORDER BY ts, event_id))", select="SELECT device_id, ts, event_id, round(list_reduce(list_prepend(-96.0::DOUBLE, p), lambda a, x: a + (x - a) * CASE WHEN x > a THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END), 6) AS smoothed_peak_db, round(list_reduce(list_prepend(-96.0::DOUBLE, r), lambda a, x: a + (x - a) * CASE WHEN x > a THEN 0.4::DOUBLE ELSE 0.15::DOUBLE END), 6) AS smoothed_rms_db FROM h")
+def level_series(spark, sf):
+    """Peak and level of each reading as a meter shows them (the view has no level: it is made from the peak)."""
+    l = V.levels(spark, sf).withColumn("rms_db", F.col("peak_db") - 3 - F.col("event_id") % 7)
+    return six(S.smoothed(l, {"peak_db": (0.5, 0.1), "rms_db": (0.4, 0.15)}), "smoothed_peak_db", "smoothed_rms_db")
+
+
 @query("chunk_peaks", V.LEVELS, select="SELECT device_id, time_bucket(INTERVAL 1 DAY, ts) AS chunk_start, round(max(peak_db), 6) AS peak_db, count(*) AS readings FROM levels GROUP BY ALL")
 def chunk_peaks(spark, sf):
     w = V.levels(spark, sf).groupBy("device_id", F.window("ts", "1 day").alias("w")).agg(F.round(F.max("peak_db"), 6).alias("peak_db"), F.count("*").alias("readings"))

@@ -85,7 +85,11 @@ def onsets_spaced(spark, sf):
     return S.onsets(_env(spark, sf), gap=4)
 
 
-@query("beats")
+WALK = """bp AS (SELECT clip_id, CAST(floor(60 / bpm * 20 + 0.5) AS BIGINT) AS period FROM tb), nb AS (SELECT a.clip_id, a.frame AS due, a.env, period, arg_max(b.frame, (b.env, -b.frame)) AS near, max(b.env) AS top FROM env a JOIN bp USING (clip_id) JOIN env b ON b.clip_id = a.clip_id AND b.frame BETWEEN a.frame - period // 4 AND a.frame + period // 4 GROUP BY ALL),
+nx AS (SELECT clip_id, due, CASE WHEN top > env THEN near ELSE due END AS frame, period FROM nb), fs AS (SELECT clip_id, coalesce(min(frame) FILTER (env > 0.3), 0) AS due FROM env GROUP BY ALL), wk AS (SELECT nx.clip_id, nx.frame, nx.period FROM fs JOIN nx USING (clip_id, due) UNION ALL SELECT nx.clip_id, nx.frame, nx.period FROM wk JOIN nx ON nx.clip_id = wk.clip_id AND nx.due = wk.frame + wk.period)"""
+
+
+@query("beats", "RECURSIVE " + SIG, FR, PW, ENV, LAGS, TEMPO, WALK, select="SELECT clip_id, frame FROM wk")
 def beats(spark, sf):
     env = _env(spark, sf)
     return T.beats(env, T.tempo(env, PER_SECOND), PER_SECOND)

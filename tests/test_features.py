@@ -168,6 +168,55 @@ def test_smoothing_looks_back_far_enough(spark):
     assert abs(r.smoothed_db - a) < 1e-9 and r.readings == 3000
 
 
+@pytest.mark.parametrize("attack,decay", [(0.5, 0.1), (0.4, 0.15), (0.01, 0.9), (1.0, 0.001)])
+def test_smoothing_of_each_reading(spark, attack, decay):
+    """Every reading's value is that of a walk over all before it, however the readings are cut, with ties, gaps and slow rates."""
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for device, n in ((1, 1), (2, 700), (3, 64), (4, 65)):
+        y = -96.0
+        for i in range(n):
+            x = None if rng.random() < 0.05 else float(rng.choice([-60.0, -20.0, -96.0, rng.uniform(-90, 0)]))
+            y += (x - y) * (attack if x > y else decay) if x is not None else 0
+            rows.append((device, i, i // 3, x))
+            want[device, i] = y
+    df = spark.createDataFrame(rows, "device_id long, event_id long, s long, x double").withColumn("ts", F.timestamp_seconds("s")).repartition(5)
+    got = {(r.device_id, r.event_id): r.smoothed_x for r in S.smoothed(df, {"x": (attack, decay)}, size=64).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    lo, hi = -96.0, 0.0
+    xs = [x for *_, x in rows[:40] if x is not None]
+    u, v = S.smoothing_map(xs, attack, decay, lo, hi)
+    for y in np.linspace(lo, hi, 50):
+        z = y
+        for x in xs:
+            z += (x - z) * (attack if x > z else decay)
+        assert abs(np.interp(y, u, v) - z) < 1e-9
+
+
+def beats_by_walking(e, period, strong=0.3):
+    found, due = [], int(np.argmax(e > strong))
+    while due < len(e):
+        lo, hi = max(due - period // 4, 0), min(due + period // 4, len(e) - 1)
+        near = lo + int(np.argmax(e[lo : hi + 1]))
+        found.append(near if e[near] > e[due] else due)
+        due = found[-1] + period
+    return found
+
+
+@pytest.mark.parametrize("size", [8, 40, 4096])
+def test_beats_in_blocks(spark, size):
+    rng = np.random.default_rng(size)
+    envs = {f"c{k}": np.round(rng.random(n) ** 3, 1 + k % 3) for k, n in enumerate((1, 3, 8, 9, 17, 40, 41, 200, 333, 500, 77, 1000))}
+    envs |= {"still": np.zeros(300), "late": np.r_[np.zeros(170), 1.0, rng.random(60)], "end": np.r_[np.zeros(99), 1.0]}
+    bpm = {c: float(rng.choice([60, 75, 120, 200, 33])) for c in envs}
+    env = spark.createDataFrame([(c, i, float(v)) for c, x in envs.items() for i, v in enumerate(x)], "clip_id string, frame long, env double").repartition(4)
+    tempos = spark.createDataFrame(list(bpm.items()), "clip_id string, bpm double")
+    got = {}
+    for r in T.beats(env, tempos, 20.0, size=size).collect():
+        got.setdefault(r.clip_id, []).append(r.frame)
+    assert {c: sorted(x) for c, x in got.items()} == {c: beats_by_walking(x, T.lag_of(bpm[c], 20.0)) for c, x in envs.items()}
+
+
 @pytest.mark.parametrize("size,n_fft,hop,center", [(64, 64, 32, True), (50, 128, 32, True), (1000, 128, 100, True), (37, 64, 48, False), (64, 256, 16, False), (4000, 64, 7, True), (40, 32, 90, False)])
 def test_frames_analysed_in_blocks(spark, size, n_fft, hop, center):
     """Levels, tones, bands and flux are those of plain frames, wherever blocks are cut."""
