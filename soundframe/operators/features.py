@@ -344,6 +344,35 @@ def cut_heads(blocks: DataFrame, parts: DataFrame, size: int) -> DataFrame:
     return g.select("clip_id", F.flatten(F.transform("p", lambda x: x.pcm)).alias("pcm"))
 
 
+def recut(blocks: DataFrame, to: int, size: int = S.BLOCK) -> DataFrame:
+    """Blocks of `to` samples in place of blocks of size; a clip's last one may be shorter. A row meets only those that it overlaps."""
+    b = blocks.where(F.size("pcm") > 0).select("clip_id", "pcm", (F.col("block") * size).alias("at"), F.explode(F.sequence(F.expr(f"block * {size} div {to}"), F.expr(f"(block * {size} + size(pcm) - 1) div {to}"))).alias("block"))
+    end = F.col("at") + F.size("pcm")
+    first = F.greatest("at", F.col("block") * to)
+    piece = F.slice("pcm", (first - F.col("at")).cast("int") + 1, (F.least(end, (F.col("block") + 1) * to) - first).cast("int"))
+    g = b.groupBy("clip_id", "block").agg(F.array_sort(F.collect_list(F.struct(first.alias("first"), piece.alias("piece")))).alias("p"))
+    return g.select("clip_id", "block", F.flatten(F.transform("p", lambda x: x.piece)).alias("pcm"))
+
+
+def recording_chunks(blocks: DataFrame, rate: float, chunk: int = 2048, size: int = S.BLOCK) -> DataFrame:
+    """(clip_id, chunk, peak, centroid): the largest absolute sample and the centroid of every full chunk of a recording."""
+    c = S.reduced(recut(blocks, chunk, size), {"peak": lambda x: np.abs(x).max(), "centroid": lambda x: magnitude_centroid(x, rate)})
+    return c.where(F.col("n") == chunk).select("clip_id", F.col("block").alias("chunk"), "peak", "centroid")
+
+
+def chunk_bars(chunks: DataFrame, bars: int) -> DataFrame:
+    """(clip_id, bar, peak, centroid) from chunks (clip_id, chunk, peak, centroid): as they are if there are no more than bars of them, else
+    the largest peak and the mean centroid of bars that share them evenly."""
+    n = chunks.groupBy("clip_id").agg((F.max("chunk") + 1).alias("n"))
+    per = F.col("n") / F.lit(float(bars))
+    edge = lambda b: F.floor(b * per)
+    guess = F.floor(F.col("chunk") / per)
+    inside = lambda b: (b >= 0) & (b < bars) & (edge(b) <= F.col("chunk")) & (F.col("chunk") < edge(b + 1))
+    bar = F.when(F.col("n") <= bars, F.col("chunk")).otherwise(F.get(F.filter(F.array(guess - 1, guess, guess + 1), inside), F.lit(0)))
+    b = chunks.join(n, "clip_id").withColumn("bar", bar).where("bar is not null")
+    return b.groupBy("clip_id", F.col("bar").cast("int").alias("bar")).agg(F.max("peak").alias("peak"), F.avg("centroid").alias("centroid"))
+
+
 def between(frames: DataFrame, width: int, value: str) -> DataFrame:
     """(clip_id, col, value): arrays or numbers of a clip's frames, linear between neighbours, at width evenly spaced places.
 

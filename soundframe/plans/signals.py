@@ -169,6 +169,16 @@ def bars(spark, sf):
     return six(T.bars(_blocks(spark, sf), 30, RATE, SIZE), "peak", "centroid")
 
 
+CHUNKS = """ck AS (SELECT clip_id, n // 96 AS chunk, n % 96 AS i, x FROM signal JOIN len USING (clip_id) WHERE n // 96 < len // 96), cd AS (SELECT clip_id, chunk, k, sqrt(power(sum(x * (0.5 - 0.5 * cos(2 * pi() * i / 95)) * cos(2 * pi() * k * i / 128)), 2) + power(sum(x * (0.5 - 0.5 * cos(2 * pi() * i / 95)) * sin(2 * pi() * k * i / 128)), 2)) AS a FROM ck, (SELECT unnest(range(1, 64)) AS k) GROUP BY ALL),
+cc AS (SELECT clip_id, chunk, sum(a * k * 5) / sum(a) AS c FROM cd GROUP BY ALL), cp AS (SELECT clip_id, chunk, max(abs(x)) AS p FROM ck GROUP BY ALL), ct AS (SELECT clip_id, len // 96 AS t FROM len), cb AS (SELECT clip_id, bar, CAST(floor(bar * (t / 20)) AS BIGINT) AS a, CAST(floor((bar + 1) * (t / 20)) AS BIGINT) AS b FROM ct, (SELECT unnest(range(0, 20)) AS bar))"""
+
+
+@query("chunk_bars", SIG, LEN, CHUNKS, select="SELECT clip_id, CAST(bar AS INT) AS bar, round(max(p), 6) AS peak, round(avg(c), 6) AS centroid FROM cb JOIN cp USING (clip_id) JOIN cc USING (clip_id, chunk) WHERE chunk >= a AND chunk < b GROUP BY ALL")
+def chunk_bars(spark, sf):
+    """The growing waveform of each clip in chunks of 96 samples, shown in twenty bars."""
+    return six(T.chunk_bars(T.recording_chunks(_blocks(spark, sf), RATE, 96, SIZE), 20), "peak", "centroid")
+
+
 EIGHTHS = "sub AS (SELECT clip_id * 8 + n // (len // 8) AS clip_id, n % (len // 8) AS n, x FROM signal JOIN len USING (clip_id) WHERE n // (len // 8) < 8)"
 FR8, PW8 = FR.replace("fr AS", "fr8 AS").replace("FROM signal", "FROM sub"), PW.replace("pw AS", "pw8 AS").replace("FROM fr,", "FROM fr8,")
 VECTOR = f"""mm AS (SELECT clip_id, c, avg(x) AS mean, stddev_pop(x) AS std FROM mc GROUP BY ALL), ro AS (SELECT clip_id, avg(r) AS rolloff FROM (SELECT clip_id, frame, CASE WHEN max(t) > 0 THEN min(k) FILTER (s >= 0.85 * t) * 10 ELSE 0 END AS r FROM (SELECT *, sum(p) OVER (PARTITION BY clip_id, frame ORDER BY k) AS s, sum(p) OVER (PARTITION BY clip_id, frame) AS t FROM pw) GROUP BY ALL) GROUP BY ALL),
