@@ -1,5 +1,8 @@
 """The corpus pipeline: toxic documents go, one document of each near-duplicate group stays, benchmark leaks go, secrets are
-masked, and what is left is tokenised. Each stage works on all that the one before kept."""
+masked, and what is left is tokenised. Each stage works on all that the one before kept.
+
+In every stage null texts count as empty, texts may be of any length, other columns are kept as they are whatever their names, and an
+empty table gives an empty one. What a stage does with null ids, ties and repeated rows stands with it."""
 
 from __future__ import annotations
 
@@ -7,34 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soundframe.llm import bpe, decontaminate, minhash, secrets, toxicity
-from soundframe.llm.common import read, written
+from soundframe.llm.common import free, read, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below one half, learned from the labels of the whole documents table."""
-    model = toxicity.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model, out_col="_toxicity").where("_toxicity < 0.5").select(docs.columns)
+    """Documents whose toxicity is below one half, learned from the labels of the whole documents table.
+
+    A score of exactly one half goes. Rows are judged one by one: null ids and repeated rows by their texts, repeated ones alike.
+    """
+    model, score = toxicity.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")), free(docs, "_toxicity")
+    return toxicity.score_toxicity(docs, model, out_col=score).where(F.col(score) < 0.5).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """The document with the smallest id of each group of near-duplicates; rows that repeat its id stay, rows without an id do too."""
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. All rows of an id go if one of its texts has one; null ids count as one id."""
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts masked; n_chars follows the text."""
+    """All documents and rows, secrets in their texts masked; n_chars follows the text (null for a null text)."""
     masked = secrets.redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: its id, number of tokens, and digests of the ids and of the text they decode to."""
+    """Per row: its id (or null), number of tokens, and digests of the ids and of the text they decode to."""
     return bpe.digests(bpe.encode(docs, bpe.vocabulary(), decoded=True))
 
 

@@ -71,6 +71,14 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     return df.withColumn("number", F.col("_o") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_o")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it where df has a column of that name (columns are told apart without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slot(columns: list[str], slots: int) -> Column:
     """A place from 1 to 32,768 * slots for the values of columns."""
     return F.pmod(F.xxhash64(*columns), F.lit(slots * 32768)) + 1

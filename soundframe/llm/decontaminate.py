@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soundframe.llm.common import SPACE_RE, read, written
+from soundframe.llm.common import SPACE_RE, free, read, written
 
 SHINGLE, LEAST = 5, 0.75
 #: Up to so many benchmark shingles (16 bytes each) and keys of fingerprints (some 200 bytes) are broadcast; more are joined by shuffle.
@@ -135,8 +135,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """docs without the rows whose id has a contaminated text; rows with a null id go if any null id is contaminated."""
-    bad = contaminated(docs, benchmark, least).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    key = free(docs, "_bad")
+    bad = contaminated(docs, benchmark, least).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
 
 
 def query_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -340,7 +340,7 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     kind, bad = ["kind", "calm", "word", "soft", "green"], ["nasty", "vile", "word", "awful", "foul"]
     rows = [(i, plain(bad if i % 4 == 1 else kind)) for i in range(48)]
     rows += [(50, rows[0][1]), (51, f"kind calm {item} soft"), (52, "calm green password = abcdef123 soft kind"), (53, None), (54, ""), (None, plain(kind)), (2, rows[2][1])]
-    docs = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, h string")
+    docs = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, h string").withColumns({"_toxicity": F.lit(0.9), "_bad": F.col("doc_id")})
     sf = str(tmp_path)
     docs.write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([(i, int(i % 4 == 1)) for i in range(48)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
