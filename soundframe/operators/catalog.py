@@ -326,18 +326,6 @@ def inherit_tags(children: DataFrame, sample_tag: DataFrame) -> DataFrame:
     return c.select("child_id", F.explode(F.array_compact(F.array(F.concat(F.lit("parent:"), F.col("parent_id").cast("string")), "session"))).alias("tag"))
 
 
-def radius_neighbours(points: DataFrame, radius: float = 3.0, k: int = 50) -> DataFrame:
-    """Neighbours within a radius in three dimensions: a range join over grid cells, then the exact distance."""
-    cell = lambda x: F.floor(F.col(x) / radius).cast("int")
-    p = points.withColumns({"cx": cell("x"), "cy": cell("y"), "cz": cell("z")})
-    step = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c)
-    a = p.select(F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"), step("cx"), "cy", "cz")
-    a = a.select("a_id", "ax", "ay", "az", "cx", step("cy"), "cz").select("a_id", "ax", "ay", "az", "cx", "cy", step("cz"))
-    d = F.sqrt((F.col("x") - F.col("ax")) ** 2 + (F.col("y") - F.col("ay")) ** 2 + (F.col("z") - F.col("az")) ** 2)
-    j = p.join(a, ["cx", "cy", "cz"]).where("id <> a_id").withColumn("distance", d).where(F.col("distance") <= radius)
-    return top_k(j.withColumn("near", -F.col("distance")), "a_id", "near", "id", k)
-
-
 def first_of_bursts(events: DataFrame, key: str, idle_s: float) -> DataFrame:
     """The first event of each burst of a key (ts, event_id): a burst ends when nothing comes for idle_s seconds."""
     before = F.lag("ts").over(Window.partitionBy(key).orderBy("ts", "event_id"))

@@ -531,31 +531,85 @@ def change_points(features: DataFrame, least: int) -> DataFrame:
     return peaks.groupBy("clip_id").agg(fold.alias("k")).select("clip_id", F.explode("k").alias("frame"))
 
 
-def n_segments(features: DataFrame, n: int, least: int) -> DataFrame:
+def running_blocks(features: DataFrame, size: int) -> DataFrame:
+    """(clip_id, block, sums): for each block of frames the sums of the centred features of all frames before each of its frames.
+
+    Blocks are summed first; only these sums, one row a block, are added up along a clip, and frames get what stands before their block.
+    """
+    kind = dict(features.dtypes)["clip_id"]
+    g = features.groupBy("clip_id", F.floor(F.col("frame") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("frame", "f"))).alias("r"))
+    g = stored(g.select("clip_id", "block", F.size("r").alias("count"), F.flatten(F.transform("r", lambda x: x.f)).alias("x")))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [x.values.to_numpy(zero_copy_only=False).reshape(n, -1).sum(0) for x, n in zip(b.column(3), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(s, pa.list_(pa.float64()))], names=["clip_id", "block", "count", "s"])
+
+    sums = g.mapInArrow(add, f"clip_id {kind}, block long, count int, s array<double>")
+    before = Window.partitionBy("clip_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    plus = lambda a: F.aggregate(a, F.array().cast("array<double>"), lambda t, v: F.when(F.size(t) == 0, v).otherwise(F.zip_with(t, v, lambda p, q: p + q)))
+    whole = sums.groupBy("clip_id").agg(F.sum("count").alias("n")).join(sums.groupBy("clip_id").agg(plus(F.collect_list("s")).alias("total")), "clip_id")
+    ahead = sums.select("clip_id", "block", plus(F.collect_list("s").over(before)).alias("ahead"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, (block, count, n) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 4)), strict=True)):
+                x = b.column(3)[i].values.to_numpy(zero_copy_only=False).reshape(count, -1)
+                mean = b.column(5)[i].values.to_numpy(zero_copy_only=False) / n
+                ahead = b.column(6)[i].values.to_numpy(zero_copy_only=False)
+                start = ahead - mean * (block * size) if len(ahead) else np.zeros(x.shape[1])
+                out.append((start + np.vstack([np.zeros(x.shape[1]), np.cumsum(x - mean, 0)[:-1]])).ravel())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array(out, pa.list_(pa.float64()))], names=["clip_id", "block", "count", "n", "sums"])
+
+    j = g.join(whole, "clip_id").join(ahead, ["clip_id", "block"])
+    return stored(j.select("clip_id", "block", "count", "x", "n", "total", "ahead").mapInArrow(run, f"clip_id {kind}, block long, count int, n long, sums array<double>"))
+
+
+def n_segments(features: DataFrame, n: int, least: int, size: int = 4096) -> DataFrame:
     """(clip_id, frame): the n - 1 splits that lower the summed variance most, one a round, each in the part where it helps most.
 
-    Costs come from running sums of the centred features, so a round is one window and one aggregate; splits stay in a small table.
+    Sums before every frame are made once (`running_blocks`), and a part's cost follows from those at its ends. So a round is one pass in
+    which each block scores all its frames and gives its best, and an aggregate of these; parts stay in a small table.
     """
-    size = len(features.select("f").first()["f"]) if features.take(1) else 0
-    mean = features.groupBy("clip_id").agg(F.array(*[F.avg(F.col("f")[k]) for k in range(size)]).alias("m"), F.count("*").alias("n"))
-    c = features.join(mean, "clip_id").where(F.col("n") >= 2 * least).select("clip_id", "frame", "n", F.zip_with("f", "m", lambda a, b: a - b).alias("f"))
-    parts = c.select("clip_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end")).distinct()
+    kind = dict(features.dtypes)["clip_id"]
+    c = running_blocks(features, size)
+    parts = c.where(F.col("n") >= 2 * least).groupBy("clip_id").agg(F.max("n").alias("end")).select("clip_id", F.lit(0).cast("long").alias("start"), "end", F.lit(None).cast("array<double>").alias("at_start"), F.lit(None).cast("array<double>").alias("at_end"))
+    shape = f"clip_id {kind}, start long, end long, frame long, gain double, sums array<double>"
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, (block, count, parts) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 4)), strict=True)):
+                sums = b.column(3)[i].values.to_numpy(zero_copy_only=False).reshape(count, -1)
+                frame = block * size + np.arange(count)
+                zero, best = np.zeros(sums.shape[1]), None
+                for p in parts:
+                    fits = np.flatnonzero((frame - p["start"] >= least) & (p["end"] - frame >= least))
+                    if not len(fits):
+                        continue
+                    a, z = (zero if p[k] is None else np.array(p[k]) for k in ("at_start", "at_end"))
+                    left, right = sums[fits] - a, z - sums[fits]
+                    gain = (left**2).sum(1) / (frame[fits] - p["start"]) + (right**2).sum(1) / (p["end"] - frame[fits]) - ((z - a) ** 2).sum() / (p["end"] - p["start"])
+                    k = int(np.argmax(np.round(gain, 9)))
+                    found = (round(float(gain[k]), 9), -int(frame[fits[k]]), p["start"], p["end"], sums[fits[k]].tolist())
+                    best = found if best is None or found[:2] > best[:2] else best
+                rows.append(best)
+            keep = [i for i, r in enumerate(rows) if r is not None]
+            take = [rows[i] for i in keep]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([r[2] for r in take], pa.int64()), pa.array([r[3] for r in take], pa.int64()), pa.array([-r[1] for r in take], pa.int64()), pa.array([r[0] for r in take], pa.float64()), pa.array([r[4] for r in take], pa.list_(pa.float64()))], names=["clip_id", "start", "end", "frame", "gain", "sums"])
+
     found = None
     for _ in range(n - 1):
-        r = c.join(parts, "clip_id").where((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("end")) & (F.col("end") - F.col("start") >= 2 * least))
-        w = Window.partitionBy("clip_id", "start").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
-        sums = [F.coalesce(F.sum(F.col("f")[k]).over(w), F.lit(0.0)) for k in range(size)]
-        r = r.select("clip_id", "frame", "start", "end", F.array(*sums).alias("left"), "f")
-        whole = r.groupBy("clip_id", "start", "end").agg(F.array(*[F.sum(F.col("f")[k]) for k in range(size)]).alias("all")).select("clip_id", "start", "all")
-        r = r.join(whole, ["clip_id", "start"]).where((F.col("frame") - F.col("start") >= least) & (F.col("end") - F.col("frame") >= least))
-        square = lambda a: S.total(F.transform(a, lambda x: x * x))
-        right = F.zip_with("all", "left", lambda a, b: a - b)
-        gain = square(F.col("left")) / (F.col("frame") - F.col("start")) + square(right) / (F.col("end") - F.col("frame")) - square(F.col("all")) / (F.col("end") - F.col("start"))
-        best = r.select("clip_id", "start", "end", "frame", F.round(gain, 9).alias("gain")).groupBy("clip_id").agg(F.max_by(F.struct("start", "end", "frame"), F.struct("gain", (-F.col("frame")).alias("early"))).alias("b"))
-        split = stored(best.select("clip_id", F.col("b.start").alias("s"), F.col("b.end").alias("e"), F.col("b.frame").cast("long").alias("frame")))
-        kept = parts.join(split, "clip_id", "left").select("clip_id", F.explode(F.when(F.col("s") == F.col("start"), F.array(F.struct("start", F.col("frame").alias("end")), F.struct(F.col("frame").alias("start"), "end"))).otherwise(F.array(F.struct("start", "end")))).alias("p")).select("clip_id", "p.*")
+        listed = parts.groupBy("clip_id").agg(F.collect_list(F.struct("start", "end", "at_start", "at_end")).alias("parts"))  # at most n
+        each = c.select("clip_id", "block", "count", "sums").join(listed, "clip_id").mapInArrow(score, shape)
+        best = each.groupBy("clip_id").agg(F.max_by(F.struct("start", "end", "frame", "sums"), F.struct("gain", (-F.col("frame")).alias("early"))).alias("b"))
+        split = stored(best.select("clip_id", F.col("b.start").alias("s"), F.col("b.frame").alias("frame"), F.col("b.sums").alias("sums")))
+        here = F.col("s") == F.col("start")
+        two = F.array(F.struct("start", F.col("frame").alias("end"), "at_start", F.col("sums").alias("at_end")), F.struct(F.col("frame").alias("start"), "end", F.col("sums").alias("at_start"), "at_end"))
+        one = F.array(F.struct("start", "end", "at_start", "at_end"))
+        parts = stored(parts.join(split, "clip_id", "left").select("clip_id", F.explode(F.when(here, two).otherwise(one)).alias("p")).select("clip_id", "p.*"))
         found = split.select("clip_id", "frame") if found is None else found.unionByName(split.select("clip_id", "frame"))
-        parts = stored(kept)
     return found if found is not None else parts.select("clip_id", F.col("start").alias("frame")).limit(0)
 
 

@@ -125,7 +125,19 @@ def changepoints(spark, sf):
     return T.change_points(_features(spark, sf), 4)
 
 
-@query("n_segments")
+def _rounds(count: int, least: int) -> str:
+    """SQL of count rounds that split the part of each clip where it lowers the summed variance most."""
+    out = ["cf AS (SELECT clip_id, frame, c, x - avg(x) OVER (PARTITION BY clip_id, c) AS x FROM ft)", f"p0 AS (SELECT clip_id, 0 AS a, count(*) AS b FROM (SELECT DISTINCT clip_id, frame FROM ft) GROUP BY clip_id HAVING count(*) >= {2 * least})"]
+    for i in range(1, count + 1):
+        out += [
+            f"s{i} AS (SELECT f.clip_id, a, b, frame, coalesce(sum(x) OVER (PARTITION BY f.clip_id, a, c ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l, sum(x) OVER (PARTITION BY f.clip_id, a, c) AS t FROM cf f JOIN p{i - 1} p ON p.clip_id = f.clip_id AND frame >= a AND frame < b)",
+            f"w{i} AS (SELECT clip_id, a, b, frame FROM s{i} WHERE frame - a >= {least} AND b - frame >= {least} GROUP BY clip_id, a, b, frame QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY round(sum(l * l / (frame - a) + (t - l) * (t - l) / (b - frame) - t * t / (b - a)), 9) DESC, frame) = 1)",
+            f"p{i} AS (SELECT p.clip_id, p.a, coalesce(frame, p.b) AS b FROM p{i - 1} p LEFT JOIN w{i} w ON w.clip_id = p.clip_id AND w.a = p.a UNION ALL SELECT clip_id, frame, b FROM w{i})",
+        ]
+    return ",\n".join(out)
+
+
+@query("n_segments", SIG, LEN, FR, PW, MELW, MFCC, STEPS, _rounds(3, 4), select='SELECT clip_id, CAST(row_number() OVER w - 1 AS INT) AS part, CAST(32 * a AS BIGINT) AS start, CAST(coalesce(lead(32 * a) OVER w, len) AS BIGINT) AS "end" FROM p3 JOIN len USING (clip_id) WINDOW w AS (PARTITION BY clip_id ORDER BY a)')
 def n_segments(spark, sf):
     b = _blocks(spark, sf)
     return T.chunks(T.n_segments(_features(spark, sf), 4, 4), S.lengths(b), HOP)

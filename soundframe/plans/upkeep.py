@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from soundframe.functions import music, rules, text
 from soundframe.operators import catalog as C
+from soundframe.operators import edges as E
 from soundframe.operators import maintain as M
 from soundframe.operators import naming as N
 from soundframe.plans import views as V
@@ -241,7 +242,7 @@ def radius_neighbours(spark, sf):
     """The five nearest clips within 1 of each clip of the layout."""
     share = rules.coverage([F.col(a) for a in ATTRS]) / 8.0 - F.col("id") % 2
     p = V.samples(spark, sf).select("id", *[v.alias(k) for k, v in rules.layout(F.col("id"), share).items()])
-    return C.radius_neighbours(p, 1.0, 5).select("a_id", "id", F.round("distance", 6).alias("distance"))
+    return E.radius_neighbours(p, 1.0, 5).select("a_id", "id", F.round("distance", 6).alias("distance"))
 
 
 @query("sanitize_text", select="SELECT conv_id, turn, CASE WHEN length(n) BETWEEN 3 AND 60 THEN n END AS name FROM (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(split_part(trim(text), chr(10), 1))), '[\"''`*_]', '', 'g'), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-{2,}', '-', 'g'), '-') AS n FROM conversations)")

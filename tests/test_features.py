@@ -258,3 +258,25 @@ def test_places_by_counting(spark):
     got, few = ({r.clip_id: (r["first"], r["mid"], r["last"]) for r in S.ranked(df, "rms", ask, bins).collect()} for bins in (1 << 16, 1 << 10))
     want = {c: (np.sort(x)[0], np.sort(x)[len(x) // 2], np.sort(x)[-1]) for c, x in clips_of.items() if x.any()}
     assert got == want == few
+
+
+@pytest.mark.parametrize("size", [7, 64, 4096])
+def test_segments_by_sums_of_blocks(spark, size):
+    """Splits are those that a search over all places finds, however frames are cut into blocks."""
+    rng = np.random.default_rng(12)
+    clips_of = {f"c{n}": np.cumsum(rng.normal(size=(n, 2)) * (rng.random((n, 1)) < 0.1), 0) + rng.normal(size=(n, 2)) * 0.1 + 50 for n in (5, 8, 30, 99, 200)}
+    f = spark.createDataFrame([(c, i, v.tolist()) for c, x in clips_of.items() for i, v in enumerate(x)], "clip_id string, frame long, f array<double>").repartition(3)
+    got = {}
+    for r in T.n_segments(f, 4, 4, size).collect():
+        got.setdefault(r.clip_id, set()).add(r.frame)
+    cost = lambda x: ((x - x.mean(0)) ** 2).sum()
+    want = {}
+    for c, x in clips_of.items():
+        parts = [(0, len(x))] if len(x) >= 8 else []
+        for _ in range(3):
+            options = [(cost(x[a:b]) - cost(x[a:k]) - cost(x[k:b]), -k, a, b) for a, b in parts for k in range(a + 4, b - 3)]
+            if options:
+                _, k, a, b = max(options)
+                parts = [p for p in parts if p != (a, b)] + [(a, -k), (-k, b)]
+                want.setdefault(c, set()).add(-k)
+    assert got == want

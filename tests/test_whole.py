@@ -110,3 +110,24 @@ def test_neighbours_by_cells(spark):
     looked = [(cell[None] == np.argsort(-(u[i] @ c.T))[:probes, None]).sum() for i in small]
     assert sum(looked) < 0.1 * len(small) * len(x)
     assert vectors.knn_cells(q, v.limit(0), 3).count() == 0 and vectors.knn_cells(q.limit(0), v, 3).count() == 0
+
+
+@pytest.mark.parametrize("k,piece", [(4, 8), (50, 40), (3, 500)])
+def test_neighbours_within_a_radius(spark, k, piece):
+    """The nearest points are those of all pairs, with a dense corner, ties, points on borders and beyond the origin, and odd rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(k)
+    x = np.concatenate([rng.normal(size=(150, 3)) * 0.05 + 1, rng.uniform(-4, 4, (150, 3)), np.repeat([[0.0, 0.0, 0.0], [1.0, -1.0, 2.0]], 12, 0), np.round(rng.uniform(-2, 2, (60, 3)))])
+    rows = [(i * 7 % 1009, *map(float, p)) for i, p in enumerate(x)]
+    ids = np.array([r[0] for r in rows])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = set()
+    for i, a in enumerate(ids):
+        near = sorted((d[i, j], b) for j, b in enumerate(ids) if b != a and d[i, j] <= 1)
+        want |= {(a, b, n + 1, round(v, 9)) for n, (v, b) in enumerate(near[:k])}
+    p = spark.createDataFrame([*rows, (rows[0][0], *rows[0][1:]), (None, 0.0, 0.0, 0.0), (5000, None, 0.0, 0.0)], "id long, x double, y double, z double").repartition(4)
+    got = edges.radius_neighbours(p, 1.0, k, piece)
+    assert {(r.a_id, r.id, r["rank"], round(r.distance, 9)) for r in got.collect()} == want and len(want) > 700
+    assert edges.near_pieces(p, 1.0, piece).agg(F.max(F.size("rows"))).first()[0] <= piece
+    assert edges.radius_neighbours(p.limit(0), 1.0, k).count() == 0
