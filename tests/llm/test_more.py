@@ -194,35 +194,69 @@ def test_language_model_of_odd_tables(spark, docs_of):
     assert sorted(x.n_tokens for x in lm.scores(odd).collect()) == [1, 2, 2, 50_001]
 
 
+def show(turns):
+    return "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
+
+
 def test_preferences(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (1, 3, "assistant", "b"), (2, 0, "user", None), (2, 1, "assistant", "cdef"), (3, 0, "user", "alone"), (None, 0, "assistant", "n")]
     c = chat.conversations(spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, opening string"))
     got = {r.conv_id: r for r in chat.format_preferences(chat.preference_pairs(c)).collect()}
     assert set(got) == {1, 2, 3, None}
-    r = got[1]
-    assert r.n_prompt_turns == 3 and r.prompt.endswith("more<|im_end|>\n") and r.chosen == "<|im_start|>assistant\nb<|im_end|>\n"
+    r = got[1]  # contexts in order: none and an empty one, then more
+    assert r.n_prompt_turns == 3 and r.prompt.endswith("more<|im_end|>\n") and r.chosen == "<|im_start|>assistant\nb<|im_end|>\n" and r.source == "context"
     a, b = map(int, r.chosen_mask.split(":"))
-    assert r.chosen[a:b] == "b<|im_end|>" and "\na<|im_end|>" in r.rejected and got[2].rejected == "<|im_start|>assistant\ncd<|im_end|>\n"
-    assert got[3].n_prompt_turns == 1 and got[3].chosen == "" == got[3].rejected
-    same = c.selectExpr("conv_id", "turns as chosen", "turns as rejected")
-    assert all(x.chosen == "" == x.rejected_mask for x in chat.format_preferences(same).collect())
+    assert r.chosen[a:b] == "b<|im_end|>" and r.rejected in (show([("assistant", "n")]), show([("assistant", "cdef")]))
+    assert got[3].n_prompt_turns == 1 and got[3].chosen == "" == got[3].rejected and got[3].source == "own"
+    lone = {r.conv_id: r for r in chat.format_preferences(chat.preference_pairs(c.where("conv_id = 2"))).collect()}
+    assert lone[2].rejected == show([("assistant", "cd")]) and lone[2].source == "own"
+    same = c.selectExpr("conv_id", "turns as chosen", "turns as rejected", "1 as _turns", "2 as prompt")
+    out = chat.format_preferences(same)
+    assert all(x.chosen == "" == x.rejected_mask and x._turns == 1 for x in out.collect()) and out.columns.count("prompt") == 1
     assert chat.format_preferences(chat.preference_pairs(c.limit(0))).count() == 0
 
 
-def test_conversations_with_a_common_opening(spark):
+def test_conversations_that_share_turns(spark):
+    """The partner shares as many first turns as any other conversation does; copies are never each other's partners."""
     rng = random.Random(6)
-    convs = {i: [("user", f"q{i % 4}" if i < 40 else f"own{i}")] + [(("assistant", "user")[k % 2], rng.choice("ab") * rng.choice((1, 1, 1, 4000))) for k in range(rng.randrange(6))] for i in range(50)}
+    convs = {i: [("user", f"q{rng.randrange(5)}" if i < 70 else f"own{i}")] + [(("assistant", "user")[k % 2], rng.choice("abc") * rng.choice((1, 1, 1, 4000))) for k in range(rng.randrange(6))] for i in range(80)}
+    convs |= {100 + i: convs[0] for i in range(30)}
+    convs[200] = [("user", "long")] + [(("assistant", "user")[k % 2], f"turn {k}") for k in range(3000)]
     rows = [(i, k, role, text) for i, turns in convs.items() for k, (role, text) in enumerate(turns)]
     c = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))
     got = {r.conv_id: r for r in chat.format_preferences(chat.preference_pairs(c)).collect()}
     assert set(got) == set(convs)
-    show = lambda turns: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
-    for i in range(40):
-        mine, other = convs[i], convs[i + 4 if i + 4 < 40 else i - 4]
+
+    def common(x, y):
         n = 0
-        while n < min(len(mine), len(other)) and mine[n] == other[n]:
+        while n < min(len(x), len(y)) and x[n] == y[n]:
             n += 1
-        assert (got[i].n_prompt_turns, got[i].prompt, got[i].chosen, got[i].rejected) == (n, show(mine[:n]), show(mine[n:]), show(other[n:]))
+        return n
+
+    for i, mine in convs.items():
+        most = max(common(mine, o) for o in convs.values() if o != mine)
+        if most:
+            assert got[i].source == "prefix" and got[i].n_prompt_turns == most and got[i].prompt == show(mine[:most]) and got[i].chosen == show(mine[most:])
+            assert any(common(mine, o) == most and got[i].rejected == show(o[most:]) for o in convs.values() if o != mine)
+        else:
+            last = max((k for k, t in enumerate(mine) if t[0] == "assistant"), default=None)
+            assert got[i].source in (("own",) if last is None else ("own", "context")) and (last is None or got[i].prompt == show(mine[:last]) and got[i].rejected.startswith("<|im_start|>assistant") and (got[i].source == "own" or got[i].rejected != got[i].chosen))
+    assert any(r.source == "context" for r in got.values())
+
+
+def test_conversations_against_sql(spark, tmp_path):
+    """Shared turns, copies, ties, nulls and lone conversations, query against its SQL."""
+    import duckdb
+
+    rng = random.Random(9)
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, *range(4)]), rng.choice(["user", "assistant", None]), rng.choice(["a", "b", "", None, "é long text"])) for _ in range(160)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(chat.SQL)
+    names = [d[0] for d in want.description]
+    got = Counter(tuple(r[n] for n in names) for r in chat.query_chat(spark, str(tmp_path)).collect())
+    assert got == Counter(want.fetchall()) and len({r[names.index("source")] for r in got}) >= 2
 
 
 def test_toxicity_on_held_out_rows(spark, sf):
