@@ -389,3 +389,63 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         assert stage(spark, docs.limit(0), sf).count() == 0, name
     masked = {r.doc_id: (r.text, r.n_chars) for r in kept.collect()}
     assert "abcdef123" not in masked[52][0] and masked[52][1] == len(masked[52][0]) and masked[53][0] is None
+
+
+def test_language_model_scores_by_brute_force(spark, docs_of, monkeypatch):
+    """Each text's score from the trained parameters alone: a softmax over all classes after each two, and a word's share in its class."""
+    texts = [None, "", "the cat, the dog.", *corpus(5, 25), "neverseen words. The the the"]
+    models, real = [], lm.train
+    monkeypatch.setattr(lm, "TOP", 7)
+    monkeypatch.setattr(lm, "train", lambda rows, model, k: (real(rows, model, k), models.append(model)))
+    got = {r.doc_id: r.score for r in lm.scores(docs_of(texts)).collect()}
+    m, held = models[-1], [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+
+    def facts(word):
+        hashes, spelled, _ = lm.words_of(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+        return int(hashes[0]), int(spelled[0])
+
+    counts = Counter(w for i, t in enumerate(texts) if not held[i] for w in words(t))
+    top = sorted(counts, key=lambda w: (-counts[w], facts(w)[0]))[:7]
+    assert sorted(facts(w)[0] for w in top) == [int(x) for x in m.frequent]
+    size = Counter()
+    for w, n in counts.items():
+        if w not in top:
+            size[facts(w)[1]] += n + 1
+    for i, text in enumerate(texts):
+        w, score = words(text), 0.0
+        cls = [1 + [int(x) for x in m.frequent].index(facts(x)[0]) if x in top else 1 + 7 + facts(x)[1] for x in w] + [lm.END]
+        for k, c in enumerate(cls):
+            before = [cls[k - j - 1] if k - j - 1 >= 0 else lm.END for j in range(lm.ORDER)]
+            r = sum(m.context[j][b].astype(float) for j, b in enumerate(before))
+            logits = m.out.astype(float) @ r + m.bias
+            score += (logits[c] - logits.max() - math.log(np.exp(logits - logits.max()).sum())) / math.log(10)
+            if c > 7:
+                score += math.log10(counts[w[k]] + 1) - math.log10(size[c - 8] + 1)
+        assert abs(got[i] - score) < 1e-3 * len(cls), (i, got[i], score)
+
+
+def test_toxicity_scores_by_brute_force(spark, docs_of):
+    """Scores from the model's weights by plain sums, and the fitted weights from a dense matrix by the same descent."""
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(("nasty", "vile", "word", "thing") if i % 3 == 0 else ("kind", "calm", "word", "thing")) for _ in range(rng.randrange(1, 9))) for i in range(40)] + ["", None, "É word"]
+    docs, labels = docs_of(texts), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)], "doc_id long, toxic int")
+    buckets, weights, intercept = toxicity.train(docs, labels)
+    held = [{int(b) for b in toxicity.grams([t or ""])[1]} for t in texts]
+    got = {r.doc_id: r.toxicity for r in toxicity.score_toxicity(docs, (buckets, weights, intercept)).collect()}
+    for i, h in enumerate(held):
+        z = intercept + sum(w for b, w in zip(buckets.tolist(), weights.tolist()) if b in h)
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-9
+    rows = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    y = np.array([float(i % 3 == 0) for i in rows])
+    x = np.array([[b in held[i] for b in buckets.tolist()] for i in rows], float)
+    share = lambda k: (x[y == k].sum(0) + 1) / ((y == k).sum() + 2)
+    ratio = np.log(share(1)) - np.log(share(0))
+    x *= ratio
+    scale = 1 / np.sqrt((x**2).mean(0) + 1e-9) / math.sqrt(max(1, np.count_nonzero(x) / len(y)))
+    x *= scale
+    w, b, vw, vb = np.zeros(len(ratio)), math.log(y.sum() / (len(y) - y.sum())), 0.0, 0.0
+    for _ in range(300):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        vw, vb = 0.9 * vw - (x.T @ (p - y) / len(y) + w / len(y)), 0.9 * vb - (p - y).mean()
+        w, b = w + vw, b + vb
+    assert np.allclose(weights, w * scale * ratio, atol=1e-6) and abs(intercept - b) < 1e-6
