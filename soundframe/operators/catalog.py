@@ -189,6 +189,18 @@ def duplicate_details(items: DataFrame) -> DataFrame:
     return duplicate_savings(items).join(paths, "fingerprint_hash")
 
 
+def duplicate_pages(items: DataFrame, size: int = 1000) -> DataFrame:
+    """(fingerprint_hash, page, paths): the members' paths of each duplicate group in order, in pages of at most size, however large a group is."""
+    members = duplicate_groups(items).select("fingerprint_hash", F.coalesce("path", F.lit("")).alias("path"))
+    p = pack(members, "fingerprint_hash", ["path"], size)
+    return p.select("fingerprint_hash", F.col("piece").alias("page"), F.transform("rows", lambda r: r.path).alias("paths"))
+
+
+def lookup(samples: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Clips whose id or path (column) is among keys, once each."""
+    return samples.join(keys.select(column), column, "left_semi")
+
+
 def keep_best(items: DataFrame) -> DataFrame:
     """Of each duplicate group the best: quality (unknown last), then size, then id. An aggregate, not a window over a group."""
     order = F.struct(F.col("quality_score").isNotNull().alias("known"), F.coalesce("quality_score", F.lit(0.0)).alias("q"), F.coalesce("size_bytes", F.lit(0)).alias("size"), (-F.col("id")).alias("neg"))

@@ -527,8 +527,7 @@ def change_points(features: DataFrame, least: int) -> DataFrame:
     s = features.select("clip_id", "frame", F.coalesce(d, F.lit(0.0)).alias("d"))
     g = s.groupBy("clip_id").agg((F.avg("d") + 1.5 * F.stddev_pop("d")).alias("limit"), F.count("*").alias("n")).where(F.col("n") >= 2 * least)
     peaks = s.withColumns({"p": F.lag("d").over(w), "q": F.lead("d").over(w)}).join(g, "clip_id").where((F.col("d") > F.col("p")) & (F.col("d") > F.col("q")) & (F.col("d") > F.col("limit")))
-    fold = F.aggregate(F.array_sort(F.collect_list(F.col("frame").cast("bigint"))), F.array().cast("array<bigint>"), lambda a, x: F.when(x - F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) >= least, F.array_append(a, x)).otherwise(a))
-    return peaks.groupBy("clip_id").agg(fold.alias("k")).select("clip_id", F.explode("k").alias("frame"))
+    return S.spaced(peaks.select("clip_id", F.col("frame").cast("long").alias("frame"), F.col("frame").cast("long").alias("out")), least, 0)
 
 
 def running_blocks(features: DataFrame, size: int) -> DataFrame:

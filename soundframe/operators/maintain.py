@@ -76,6 +76,11 @@ def types_to_tags(samples: DataFrame, sample_tag: DataFrame) -> DataFrame:
     return sample_tag.unionByName(typed).distinct()
 
 
+def typed_clips(samples: DataFrame) -> DataFrame:
+    """One row, typed: how many clips have a type, that is how many types_to_tags reads."""
+    return samples.agg(F.count_if(F.col("sample_type") != "").alias("typed"))
+
+
 def tag_union(clips: DataFrame, *columns: str, always: str = "recorded") -> DataFrame:
     """clips with tags: the union of array or text columns and one tag that all get, sorted."""
     kinds = dict(clips.dtypes)

@@ -327,7 +327,7 @@ def onset_envelope(frames: DataFrame) -> DataFrame:
 
 
 def onsets(env: DataFrame, threshold: float = 0.1, gap: int = 1, backtrack: bool = False) -> DataFrame:
-    """Local maxima over the threshold at least gap frames after the last kept one (a fold over the few candidates).
+    """Local maxima over the threshold at least gap frames after the last kept one.
 
     backtrack: each is moved back to the local minimum before it, ten frames at most, while the envelope does not rise.
     """
@@ -340,9 +340,29 @@ def onsets(env: DataFrame, threshold: float = 0.1, gap: int = 1, backtrack: bool
         step = lambda a, i: F.struct(F.when(~a.stop & (F.get("before", i) <= a.low), F.get("before", i)).otherwise(a.low).alias("low"), F.when(~a.stop & (F.get("before", i) <= a.low), i + 1).otherwise(a["at"]).alias("at"), (a.stop | F.coalesce(F.get("before", i + 1) > F.get("before", i), F.lit(False))).alias("stop"))
         count = F.least(F.lit(10), F.size("before"))
         back = F.when(count > 0, F.aggregate(F.sequence(F.lit(0), count - 1), state, step, lambda a: a["at"])).otherwise(0)
-    candidates = F.array_sort(F.collect_list(F.struct(F.col("frame").cast("bigint").alias("frame"), (F.col("frame") - back).cast("bigint").alias("onset"))))
-    kept = F.aggregate(candidates, F.array().cast("array<struct<frame:bigint,onset:bigint>>"), lambda a, x: F.when((F.size(a) == 0) | (x.frame - F.element_at(a, -1).frame >= gap), F.array_append(a, x)).otherwise(a))
-    return peaks.groupBy("clip_id").agg(kept.alias("k")).select("clip_id", F.explode("k.onset").alias("frame"))
+    return spaced(peaks.select("clip_id", F.col("frame").cast("long").alias("frame"), (F.col("frame") - back).cast("long").alias("out")), gap)
+
+
+def spaced(peaks: DataFrame, gap: int, first: int | None = None) -> DataFrame:
+    """(clip_id, frame): out of the peaks (clip_id, frame, out) that are at least gap frames behind the last kept one (at first: behind frame `first`).
+
+    Only peaks meet by clip, in order, and are walked once.
+    """
+    kind = dict(peaks.dtypes)["clip_id"]
+    g = peaks.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("frame", "out"))).alias("p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                rows = b.column(1)[i].values
+                last, kept = first, []
+                for frame, out in zip(rows.field(0).to_pylist(), rows.field(1).to_pylist(), strict=True):
+                    if last is None or frame - last >= gap:
+                        last = frame
+                        kept.append(out)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1).take(pa.array([0] * len(kept), pa.int64())), pa.array(kept, pa.int64())], names=["clip_id", "frame"])
+
+    return g.mapInArrow(run, f"clip_id {kind}, frame long")
 
 
 def env_blocks(env: DataFrame, size: int) -> DataFrame:

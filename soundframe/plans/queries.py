@@ -88,6 +88,12 @@ def lookup_ids(spark, sf):
     return V.samples(spark, sf).join(keys, "id", "left_semi").select("id", "path")
 
 
+@query("lookup_paths", SAMPLES, select="SELECT id, path FROM samples WHERE id % 5 = 2")
+def lookup_paths(spark, sf):
+    s = V.samples(spark, sf)
+    return C.lookup(s, s.where("id % 5 = 2").select("path").unionByName(V.files(spark, sf).select("path")), "path").select("id", "path")
+
+
 @query("enrich_samples", SAMPLES, TAGS, PACKS, select="SELECT s.id, p.name AS pack_name, coalesce((SELECT string_agg(tag, '|' ORDER BY tag) FROM sample_tag t WHERE t.sample_id = s.id), '') AS tags FROM samples s LEFT JOIN packs p ON p.id = s.pack_id")
 def enrich_samples(spark, sf):
     return C.enrich(V.samples(spark, sf), V.sample_tag(spark, sf), V.packs(spark, sf)).select("id", "pack_name", F.array_join("tags", "|").alias("tags"))
@@ -245,6 +251,12 @@ def duplicate_savings(spark, sf):
     return C.duplicate_savings(V.dup_items(spark, sf))
 
 
+@query("duplicate_pages", V.DUPS, select="SELECT fingerprint_hash, CAST((k - 1) // 2 AS BIGINT) AS page, string_agg(path, '|' ORDER BY path) AS paths FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint_hash ORDER BY path) AS k, count(*) OVER (PARTITION BY fingerprint_hash) AS n FROM dup_items) WHERE n > 1 GROUP BY 1, 2")
+def duplicate_pages(spark, sf):
+    """The members of each duplicate group, two a page."""
+    return C.duplicate_pages(V.dup_items(spark, sf), 2).select("fingerprint_hash", "page", F.array_join("paths", "|").alias("paths"))
+
+
 @query("duplicate_stats", V.DUPS, select="SELECT count(*) AS n_groups, CAST(sum(m - 1) AS BIGINT) AS surplus, CAST(sum(s) AS BIGINT) AS wasted FROM (SELECT count(*) AS m, sum(size_bytes) - max(size_bytes) AS s FROM dup_items GROUP BY fingerprint_hash HAVING count(*) > 1)")
 def duplicate_stats(spark, sf):
     return C.duplicate_savings(V.dup_items(spark, sf)).agg(F.count("*").alias("n_groups"), F.sum(F.col("members") - 1).alias("surplus"), F.sum("savings").alias("wasted"))
@@ -513,6 +525,13 @@ def cosine(spark, sf):
     return v.join(nxt, "id").select("id", F.round(X.cosine(F.col("v"), F.col("w")), 6).alias("similarity"))
 
 
+@query("euclidean", select="SELECT a.vec_id AS id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def euclidean(spark, sf):
+    v = V.vectors(spark, sf)
+    nxt = v.select((F.col("id") - 1).alias("id"), F.col("v").alias("w"))
+    return v.join(nxt, "id").select("id", F.round(X.euclidean(F.col("v"), F.col("w")), 6).alias("distance"))
+
+
 @query("knn_exact", select="SELECT query_id, id, round(s, 6) AS similarity FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 10")
 def knn_exact(spark, sf):
     v = V.vectors(spark, sf)

@@ -89,6 +89,16 @@ WALK = """bp AS (SELECT clip_id, CAST(floor(60 / bpm * 20 + 0.5) AS BIGINT) AS p
 nx AS (SELECT clip_id, due, CASE WHEN top > env THEN near ELSE due END AS frame, period FROM nb), fs AS (SELECT clip_id, coalesce(min(frame) FILTER (env > 0.3), 0) AS due FROM env GROUP BY ALL), wk AS (SELECT nx.clip_id, nx.frame, nx.period FROM fs JOIN nx USING (clip_id, due) UNION ALL SELECT nx.clip_id, nx.frame, nx.period FROM wk JOIN nx ON nx.clip_id = wk.clip_id AND nx.due = wk.frame + wk.period)"""
 
 
+BACK = """ob AS (SELECT clip_id, frame, env, lag(env) OVER w AS p, lead(env) OVER w AS q, list([frame, env]) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING) AS h FROM env WINDOW w AS (PARTITION BY clip_id ORDER BY frame)),
+op AS (SELECT clip_id, frame, list_reduce(list_prepend([env, frame, 0, env], list_reverse(h)[1:10]), lambda a, x: CASE WHEN a[3] = 1 THEN a WHEN x[2] > a[4] THEN [a[1], a[2], 1, x[2]] WHEN x[2] <= a[1] THEN [x[2], x[1], 0, x[2]] ELSE [a[1], a[2], 0, x[2]] END)[2] AS onset FROM ob WHERE env > 0.1 AND env > p AND env >= q)"""
+
+
+@query("onsets_backtracked", SIG, FR, PW, ENV, BACK, select="SELECT clip_id, CAST(onset AS BIGINT) AS frame FROM op")
+def onsets_backtracked(spark, sf):
+    """Onsets moved back to where the envelope began to rise."""
+    return S.onsets(_env(spark, sf), backtrack=True)
+
+
 @query("beats", "RECURSIVE " + SIG, FR, PW, ENV, LAGS, TEMPO, WALK, select="SELECT clip_id, frame FROM wk")
 def beats(spark, sf):
     env = _env(spark, sf)
@@ -172,6 +182,16 @@ def spectrogram(spark, sf):
     return v.select("clip_id", "col", F.posexplode("v").alias("row", "x")).select("clip_id", "col", "row", F.round("x", 6).alias("x"))
 
 
+MELGRAM = GRAM.split("gv AS")[0] + f"""me AS (SELECT i, 700 * (power(10, i * log10(1 + {RATE / 2} / 700) / 11) - 1) * {N_FFT} / {RATE} AS e FROM (SELECT unnest(range(0, 12)) AS i)), mf AS (SELECT a.i AS band, k, CASE WHEN k BETWEEN a.e AND b.e THEN (k - a.e) / (b.e - a.e) WHEN k > b.e AND k <= c.e THEN (c.e - k) / (c.e - b.e) ELSE 0 END AS w FROM me a JOIN me b ON b.i = a.i + 1 JOIN me c ON c.i = a.i + 2, (SELECT unnest(range(0, {N_FFT // 2 + 1})) AS k)),
+gb AS (SELECT clip_id, frame, band AS k, sum(p * w) AS p FROM gp JOIN mf USING (k) GROUP BY ALL), gv AS""" + GRAM.split("gv AS")[1].split("gr AS")[0].rstrip().rstrip(",").replace("FROM gp)", "FROM gb)")
+
+
+@query("spectrogram_mel", SIG, LEN, MELGRAM, select="SELECT clip_id, CAST(col AS INT) AS col, CAST(k AS INT) AS row, round(v, 6) AS x FROM gw")
+def spectrogram_mel(spark, sf):
+    v = T.spectrogram(_blocks(spark, sf), RATE, 20, 10, SIZE, N_FFT, "mel")
+    return v.select("clip_id", "col", F.posexplode("v").alias("row", "x")).select("clip_id", "col", "row", F.round("x", 6).alias("x"))
+
+
 BARS = """bb AS (SELECT clip_id, least(n // (len // 30), 29) AS bar, n - least(n // (len // 30), 29) * (len // 30) AS i, x FROM signal JOIN len USING (clip_id)), bm AS (SELECT clip_id, bar, count(*) AS m, CAST(power(2, ceil(log2(count(*)))) AS BIGINT) AS size, max(abs(x)) AS peak FROM bb GROUP BY ALL),
 bd AS (SELECT clip_id, bar, k, size, sqrt(power(sum(x * (0.5 - 0.5 * cos(2 * pi() * i / (m - 1))) * cos(2 * pi() * k * i / size)), 2) + power(sum(x * (0.5 - 0.5 * cos(2 * pi() * i / (m - 1))) * sin(2 * pi() * k * i / size)), 2)) AS a FROM bb JOIN (SELECT *, unnest(range(1, size // 2)) AS k FROM bm) USING (clip_id, bar) GROUP BY ALL)"""
 
@@ -219,13 +239,14 @@ def spectral_bundle(spark, sf):
     return b.select("clip_id", F.round("centroid", 4).alias("centroid"), F.round("flatness", 4).alias("flatness"), F.round("zcr", 6).alias("zcr"), F.round(F.col("mfcc")[2], 6).alias("third"))
 
 
-@query("embed_missing", SIG, LEN, V.SAMPLES, select="SELECT id, CAST(CASE WHEN id % 3 = 0 THEN 1 WHEN id IN (SELECT clip_id FROM len) THEN 2 END AS INT) AS version FROM samples WHERE id < 30")
+@query("embed_missing", SIG, LEN, FR, PW, SPEC, *WIDE, EIGHTHS, FR8, PW8, QUALITY, VECTOR, V.SAMPLES, "nv AS (SELECT clip_id, CAST(i AS INT) AS i, round(v / sqrt(sum(v * v) OVER (PARTITION BY clip_id)), 6) AS x FROM va)", select="SELECT id, CAST(CASE WHEN id % 3 = 0 THEN 1 WHEN i IS NOT NULL THEN 2 END AS INT) AS version, i, x FROM samples LEFT JOIN nv ON clip_id = id AND id % 3 <> 0")
 def embed_missing(spark, sf):
-    """Versions after missing vectors are made: every third clip has one, clips with sound get one, NULL where there is none."""
-    s = V.samples(spark, sf).where("id < 30")  # the sounds of the view have ids from 0 to 9
+    """All samples after missing vectors are made: every third clip has one (empty here), clips with sound get theirs, the rest have NULLs."""
+    s = V.samples(spark, sf)
     have = s.where("id % 3 = 0").select("id", F.array().cast("array<double>").alias("v"), F.lit(1).alias("version"))
     e, failed = T.embed_missing(s, have, _blocks(spark, sf), RATE, 2, SIZE, N_FFT, HOP, 32)
-    return e.select("id", "version").unionByName(failed.select("id", F.lit(None).cast("int").alias("version")))
+    every = e.select("id", "v", "version").unionByName(failed.select("id", F.lit(None).cast("array<double>").alias("v"), F.lit(None).cast("int").alias("version")))
+    return every.select("id", "version", F.posexplode_outer("v").alias("i", "x")).select("id", "version", "i", F.round("x", 6).alias("x"))
 
 
 @query("split_job", SIG, LEN, V.SAMPLES, V.TAGS, FNV_OF.format("samples"), "g AS (SELECT clip_id, len, CAST(ceil(len / 349) AS BIGINT) AS n, unnest(range(0, CAST(ceil(len / 349) AS BIGINT), 6)) AS i FROM len)",

@@ -64,6 +64,17 @@ def types_to_tags(spark, sf):
     return M.types_to_tags(V.samples(spark, sf), V.sample_tag(spark, sf))
 
 
+@query("typed_clips", SAMPLES, select="SELECT count(*) AS typed FROM samples WHERE sample_type IS NOT NULL")
+def typed_clips(spark, sf):
+    return M.typed_clips(V.samples(spark, sf))
+
+
+@query("frame_units", SAMPLES, select="SELECT id, round(id * 512 / 22050, 6) AS seconds, CAST(floor(duration * 22050 / 512) AS BIGINT) AS frame, round(CASE WHEN id % 50 > 0 THEN 60 * 22050.0::DOUBLE / 512 / (id % 50) ELSE 0 END, 6) AS bpm FROM samples")
+def frame_units(spark, sf):
+    k = F.col("id")
+    return V.samples(spark, sf).select("id", F.round(text.frame_seconds(k, 22050.0, 512), 6).alias("seconds"), text.seconds_frame(F.col("duration"), 22050.0, 512).alias("frame"), F.round(text.lag_bpm((k % 50).cast("int"), 22050.0, 512), 6).alias("bpm"))
+
+
 @query("tag_union", SAMPLES, select="SELECT id, array_to_string(list_sort(list_distinct(list_filter(['recorded', sample_type, CASE WHEN id % 2 = 0 THEN 'even' END, CASE WHEN id % 4 = 0 THEN 'session:' || (id % 20) END], lambda x: x IS NOT NULL))), ',') AS tags FROM samples")
 def tag_union(spark, sf):
     k = F.col("id")

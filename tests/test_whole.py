@@ -131,3 +131,10 @@ def test_neighbours_within_a_radius(spark, k, piece):
     assert {(r.a_id, r.id, r["rank"], round(r.distance, 9)) for r in got.collect()} == want and len(want) > 700
     assert edges.near_pieces(p, 1.0, piece).agg(F.max(F.size("rows"))).first()[0] <= piece
     assert edges.radius_neighbours(p.limit(0), 1.0, k).count() == 0
+
+
+def test_many_labels(spark):
+    v = views.vectors(spark, SF)
+    labels = v.where("id % 25 = 0").select(F.col("id").alias("label"), "v")
+    few, many = (sorted((r.id, r.label, round(r.confidence, 9)) for r in vectors.label_by_vectors(v, labels, limit=n).collect()) for n in (10_000, 3))
+    assert few == many and len(few) == 3 * v.count()
