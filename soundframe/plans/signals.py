@@ -153,7 +153,16 @@ def n_segments(spark, sf):
     return T.chunks(T.n_segments(_features(spark, sf), 4, 4), S.lengths(b), HOP)
 
 
-@query("loop_quality")
+LOOPS = """cr AS (SELECT clip_id, len, n, n < least(64, len // 4) - 1 AS early, n >= len - least(64, len // 4) AS late, (x >= 0) <> (lead(x) OVER (PARTITION BY clip_id ORDER BY n) >= 0) AS turn FROM signal JOIN len USING (clip_id)),
+lb AS (SELECT clip_id, max(len) AS len, min(n) FILTER (turn AND early) AS a, max(n) FILTER (turn AND late) AS b FROM cr GROUP BY clip_id), le AS (SELECT clip_id, len, a IS NOT NULL AND b IS NOT NULL AS aligned, CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE a END AS s, CASE WHEN a IS NULL OR b IS NULL THEN len - 1 ELSE b END AS e FROM lb WHERE len >= 64),
+ls AS (SELECT clip_id, sum(abs(x)) FILTER (n >= s AND n < s + least(32, len // 4)) / any_value(least(32, len // 4)) AS p, sum(abs(x)) FILTER (n BETWEEN greatest(e - least(32, len // 4), 0) AND e) / any_value(least(32, len // 4)) AS q FROM signal JOIN le USING (clip_id) GROUP BY clip_id),
+lf AS (SELECT clip_id, 'p' AS side, n - s AS j, x FROM signal JOIN le USING (clip_id) WHERE n >= s AND n < s + 64 UNION ALL SELECT clip_id, 'q', n - (e - 64), x FROM signal JOIN le USING (clip_id) WHERE n BETWEEN e - 64 AND e),
+lg AS (SELECT clip_id, side, (j + 32) // 64 AS f, (j + 32) % 64 AS t, x FROM lf), lh AS (SELECT clip_id, side, f, k, power(sum(x * (0.5 - 0.5 * cos(2 * pi() * t / 63)) * cos(2 * pi() * k * t / 64)), 2) + power(sum(x * (0.5 - 0.5 * cos(2 * pi() * t / 63)) * sin(2 * pi() * k * t / 64)), 2) AS v FROM lg, (SELECT unnest(range(0, 33)) AS k) GROUP BY ALL),
+lm AS (SELECT clip_id, k, sum(v) FILTER (side = 'p') AS p, sum(v) FILTER (side = 'q') AS q FROM lh GROUP BY ALL), lc AS (SELECT clip_id, least(1, greatest(0, coalesce(sum(p * q) / nullif(sqrt(sum(p * p)) * sqrt(sum(q * q)), 0), 0))) AS c FROM lm GROUP BY clip_id),
+lq AS (SELECT clip_id, s, e, aligned, CASE WHEN p > 0 AND q > 0 THEN least(p, q) / greatest(p, q) WHEN p = q THEN 1 ELSE 0 END::DOUBLE AS level, CASE WHEN s + 64 > len OR e < 64 THEN 0.5 ELSE c END::DOUBLE AS alike FROM le JOIN ls USING (clip_id) JOIN lc USING (clip_id))"""
+
+
+@query("loop_quality", SIG, LEN, LOOPS, select="SELECT clip_id, s AS loop_start, e AS loop_end, aligned, round(level, 6) AS amplitude, round(alike, 6) AS spectrum, round(0.5 * alike + 0.3 * level + CASE WHEN aligned THEN 0.2 ELSE 0.1 END, 6) AS quality, 0.5 * alike + 0.3 * level + CASE WHEN aligned THEN 0.2 ELSE 0.1 END >= 0.7 AS is_loopable FROM lq")
 def loop_quality(spark, sf):
     return six(T.loop_quality(_blocks(spark, sf), RATE, SIZE, 0.1, 32, N_FFT), "amplitude", "spectrum", "quality")
 

@@ -214,7 +214,16 @@ def mood_adjective(spark, sf):
     return V.samples(spark, sf).select("id", mood.alias("mood"))
 
 
-@query("name_recordings")
+NAMED = f"""nf AS (SELECT * REPLACE (regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]+$', '') AS path), power(10, rms_db / 20) AS rms, spectral_flatness / 3 AS z FROM samples), {MOOD.replace('FROM samples', 'FROM nf')},
+tr AS (SELECT conv_id * 4 AS id, nullif(array_to_string(list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda w: regexp_replace(w, '[^a-z]', '', 'g')), lambda w: length(w) >= 3 AND NOT list_contains({text.STOP_WORDS}, w))[1:3], '-'), '') AS said FROM conversations WHERE turn = 0),
+nd AS (SELECT nf.*, m.w[('0x' || substr(md5(nf.path), 5, 2))::INT % len(m.w) + 1] AS mood, {text.ADJECTIVES}[('0x' || substr(md5(nf.path), 1, 2))::INT % 12 + 1] || '-' || {text.NOUNS}[('0x' || substr(md5(nf.path), 3, 2))::INT % 12 + 1] AS seed, coalesce(sample_type, 'vocal') AS label, nf.id % 3 = 0 AND nf.id % 10 >= 3 AS sure, said,
+CASE WHEN duration < 0.6 THEN CASE WHEN spectral_centroid > 5000 OR z > 0.25 THEN 'hat' WHEN spectral_centroid < 700 THEN 'kick' ELSE 'perc' END WHEN duration > 2.5 AND bpm > 60 THEN 'loop' WHEN spectral_centroid < 500 THEN 'bass' WHEN spectral_centroid > 3500 AND rms < 0.1 THEN 'texture' WHEN duration > 1.5 AND spectral_centroid < 2000 THEN 'pad' END AS kind,
+coalesce(duration >= 0.5 AND rms >= 0.005 AND spectral_centroid BETWEEN 300 AND 4500 AND z BETWEEN 0.03 AND 0.25, false) AS talk FROM nf JOIN m USING (id) LEFT JOIN tr USING (id)),
+ne AS (SELECT *, sure AND label = 'vocal' AS vocal, CASE WHEN talk OR (sure AND label = 'vocal') THEN said END AS plain FROM nd)"""
+
+
+@query("name_recordings", SAMPLES, NAMED, select="""SELECT id, concat_ws('_', CASE WHEN plain IS NOT NULL THEN plain WHEN sure THEN mood || '-' || label WHEN kind IS NOT NULL THEN mood || '-' || kind ELSE seed END, CASE WHEN bpm > 0 THEN CAST(bpm AS INT) || 'bpm' END, nullif(regexp_replace(key, '[^A-Za-z0-9-]', '', 'g'), '')) AS stem,
+CASE WHEN plain IS NOT NULL THEN 'transcription' WHEN sure THEN 'labels' WHEN kind IS NOT NULL THEN 'heuristic' ELSE 'seed' END AS method, CASE WHEN plain IS NOT NULL AND NOT vocal THEN 'vocal' WHEN sure THEN label || ',noise' WHEN kind IS NOT NULL THEN kind ELSE '' END AS tags, NULL::VARCHAR AS alternative FROM ne""")
 def name_recordings(spark, sf):
     """Names of the clips of the samples view; every third has labels and every fourth a transcript (a conversation's first turn)."""
     k = F.col("id")
