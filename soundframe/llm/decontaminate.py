@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from soundframe.llm.common import SPACE_RE, free, read, written
 
 SHINGLE, LEAST = 5, 0.75
-#: Up to so many benchmark shingles (16 bytes each) and keys of fingerprints (some 200 bytes) are broadcast; more are joined by shuffle.
-SENT = 1_000_000
+#: Up to so many bytes of benchmark shingles (some 100 each in a task) or keys of fingerprints (some 200) are broadcast; more are joined by shuffle.
+SENT = 64 << 20
 BLOCKS, WIDTH, NEAR = 12, 10, 2
 RADIUS = BLOCKS * (NEAR + 1) - 1
 
@@ -73,7 +73,7 @@ def block_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
     keys = items.select("item", "size", F.col("fp").alias("item_fp"), F.posexplode("fp").alias("block", "bits"))
     keys = keys.select("item", "size", "item_fp", "block", F.explode(F.transform(F.array(*map(F.lit, MASKS)), lambda m: F.col("bits").bitwiseXOR(m))).alias("bits"))
     # the planner knows the items' size only, not how many keys they have
-    keys = F.broadcast(keys) if items.count() * BLOCKS * len(MASKS) <= SENT else keys.hint("merge")
+    keys = F.broadcast(keys) if items.count() * BLOCKS * len(MASKS) * 200 <= SENT else keys.hint("merge")
     met = windows.select("wid", "size", "fp", F.posexplode("fp").alias("block", "bits")).join(keys, ["size", "block", "bits"])
     return met.where(hamming("fp", "item_fp") <= RADIUS).select("wid", "item").distinct()
 
@@ -99,7 +99,7 @@ def item_windows(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
     """(wid, doc_id, size, start, h, fp): the windows of docs (doc_id, text) that an item of that size could be similar to."""
     d = docs.withColumn("k", F.xxhash64("text"))
     index = written(items.select("item", "size", F.explode(F.array_distinct("item_h")).alias("s")), "item_shingles")
-    index = F.broadcast(index) if index.count() <= SENT else index
+    index = F.broadcast(index) if index.count() * 100 <= SENT else index
     # outer, as else a filter on h is put before the explosion, which computes it twice; its one null row meets nothing
     hits = shingled(d).select("doc_id", "k", F.size("h").alias("n"), F.posexplode_outer("h").alias("i", "s")).join(index, "s")
     pairs = hits.groupBy("doc_id", "k", "item", "n", "size").agg(F.array_sort(F.collect_set("i")).alias("at"))
@@ -118,8 +118,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     """(doc_id, item_id, start_word, n_words, hamming, similarity): for each document and item the best window of at least `least`.
 
     Of equal windows the first counts. Items and documents of fewer than five words are never matched; null texts are empty; rows
-    that repeat an id and a text count once; a null id stays null; items that repeat id and text count once. Texts and items may be
-    of any length. Other columns are ignored, whatever their names; empty tables give none.
+    that repeat an id and a text count once; a null id stays null; items that repeat id and text count once. Texts may be of any length, and
+    items too, but time and memory grow with the square of an item's words where a document holds most of it. Other columns are ignored, whatever their names; empty tables give none.
     """
     items = shingled(benchmark.select("item_id", "text")).select("item_id", F.size("h").alias("size"), F.col("h").alias("item_h"))
     items = items.where("size > 0").dropDuplicates(["item_id", "item_h"])

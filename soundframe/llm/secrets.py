@@ -217,7 +217,10 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with each united span of secrets in text_col replaced by mark; all other columns and rows stay as they are."""
+    """docs with each united span of secrets in text_col replaced by mark; all other columns, whatever their names, and rows stay as they are.
+
+    Null and empty texts stay as they are; texts may be of any length; rows that repeat are treated alike; an empty table gives an empty one.
+    """
     queries = [trigram_query(r.pattern, r.flags) for r in rules]
     wanted = sorted(set().union(*map(trigrams, queries)))
     place = docs.columns.index(text_col)

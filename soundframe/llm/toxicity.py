@@ -108,12 +108,13 @@ def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray, l2:
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int = FOLDS, max_features: int = MAX_FEATURES, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
     """Learns toxic from labelled documents of the folds other than 0 (crc32 of the id as text): buckets, weights and intercept.
 
-    Of several labels of an id the largest counts, of several texts the smallest; null ids and labels teach nothing; null texts are empty.
+    Of several labels of an id the largest counts, of several texts the smallest; null ids and labels other than 0 and 1 teach nothing; null
+    texts are empty.
     Without rows the score is that of label 0, with one class that of the class seen. Texts are counted where they lie; only the
     max_features numbers of each of at most max_rows rows meet in the task that fits.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-    labelled = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold != 0)
+    labelled = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold != 0)
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows rows of two numbers
     rows = written(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from soundframe.llm import secrets as S
 
 #: Written out again from the description, without any index.
@@ -83,3 +85,16 @@ def test_null_ids_and_repeated_rows(spark, docs_of):
     docs = docs.unionByName(docs).unionByName(docs.selectExpr("cast(null as bigint) as doc_id", "text", "lang", "source", "n_chars"))
     rows = scan_secrets(docs).collect()
     assert len(rows) == 6 and sum(len(r.secrets) for r in rows) == 3 and sum(r.doc_id is None for r in rows) == 2
+
+
+def test_odd_rows_of_masked_tables(spark, docs_of):
+    long = "plain words " * 40_000 + "password = abcdef123 " + "x" * 50
+    docs = docs_of([None, "", long, "token: zyxwvu987", "nothing"], ", secrets string, mark int", ("s", 1))
+    docs = docs.unionByName(docs.where("doc_id = 3")).unionByName(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    out = S.redact(docs)
+    assert out.schema == docs.schema
+    rows = sorted(((r.doc_id, r.text, r.secrets, r.mark) for r in out.collect()), key=str)
+    assert len(rows) == 7 and all(r[2:] == ("s", 1) for r in rows) and sum(r[1] is None for r in rows) == 1
+    assert not any("abcdef123" in (r[1] or "") or "zyxwvu987" in (r[1] or "") for r in rows) and sum("[SECRET]" in (r[1] or "") for r in rows) == 4
+    assert S.redact(docs.limit(0)).count() == 0
+    assert max(len(r.secrets) for r in S.scan_secrets(docs).collect()) == 1
