@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from soundframe.functions import music, rules, text
-from soundframe.operators import catalog, maintain, signal
+from soundframe.operators import catalog, edges, maintain, signal
 from soundframe.sources import audio, wav
 from soundframe.streaming import jobs
 
@@ -198,7 +198,7 @@ def test_neighbours_within_radius(spark):
     rng = np.random.default_rng(1)
     pts = [(i, *map(float, p)) for i, p in enumerate(rng.uniform(-6, 6, (80, 3)))]
     df = spark.createDataFrame(pts, "id long, x double, y double, z double")
-    got = {(r.a_id, r.id) for r in catalog.radius_neighbours(df).collect()}
+    got = {(r.a_id, r.id) for r in edges.radius_neighbours(df).collect()}
     want = {(a[0], b[0]) for a in pts for b in pts if a[0] != b[0] and sum((p - q) ** 2 for p, q in zip(a[1:], b[1:])) <= 9}
     assert got == want
 
