@@ -17,6 +17,21 @@ def best_window(text, item):
     return round(found, 6)
 
 
+def first_best(text, item):
+    """(start, similarity) of the first best window of a long text: shared shingles are counted up and down from window to window."""
+    d, b = ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (text.split(), item.split()))
+    width, own, have, both, best = min(len(d), len(b)), Counter(b), Counter(), 0, (0.0, 0)
+    for i, x in enumerate(d):
+        if i >= width:
+            both -= have[d[i - width]] <= own[d[i - width]]
+            have[d[i - width]] -= 1
+        have[x] += 1
+        both += have[x] <= own[x]
+        if i >= width - 1:
+            best = max(best, (both / (width + len(b) - both), width - 1 - i))
+    return -best[1], round(best[0], 6)
+
+
 def leaks(spark, docs_of, texts, items):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontaminate.contaminated(docs_of(texts), bench).collect()}
@@ -47,12 +62,44 @@ def test_near_copies_that_repeat_a_word(spark, docs_of):
 
 def test_fingerprints_of_long_texts(spark):
     df = spark.range(1).selectExpr("sequence(1L, 70000L) as h")
-    h = df.select(F.transform("h", lambda x: F.xxhash64(x)).alias("h"))
+    h = df.select(F.transform("h", lambda x: F.xxhash64(x, F.lit(0))).alias("h"))
     plain = [sum(x >> b & 1 for x in h.first().h) for b in range(60)]
-    got = h.select(decontaminate.majority(F.col("h"), 6).alias("x")).first().x
+    got = df.select(decontaminate.simhash(F.col("h")).alias("x")).first().x
     assert [got[b // 10] >> b % 10 & 1 for b in range(60)] == [int(2 * n > 70000) for n in plain]
 
 
+def test_moved_windows_equal_those_taken_alone(spark):
+    """Entries, fingerprints and shared entries of windows that are moved along, on few and on many different shingles."""
+    rng = random.Random(12)
+    rows = []
+    for _ in range(60):
+        n, kinds = rng.randrange(1, 90), rng.choice([1, 2, 5, 30, 10**6])
+        width = rng.randrange(1, n + 1)
+        at = sorted({0, *rng.sample(range(n - width + 1), rng.randrange(1, n - width + 2))})
+        rows.append(([rng.randrange(kinds) for _ in range(n)], at, width, [rng.randrange(kinds) for _ in range(rng.randrange(1, 60))]))
+    df = spark.createDataFrame(rows, "h array<bigint>, at array<int>, width int, g array<bigint>").withColumn("n", F.element_at("at", -1) + F.col("width"))
+    df = df.withColumn("h", F.slice("h", F.lit(1), F.col("n"))).withColumn("m", decontaminate.moves(F.col("h"), F.col("width")))
+    df = df.select("*", "m.add", "m.rem", F.sort_array(decontaminate.moves(F.col("g"), F.size("g"))["add"]).alias("own"))
+    moved = [F.col(c) for c in ("add", "rem", "at", "width")]
+    df = df.withColumns({"fps": decontaminate.fingerprints(*moved), "both": decontaminate.shared(*moved, F.col("own"))})
+    alone = F.transform("at", lambda a: decontaminate.simhash(F.slice("h", a + 1, F.col("width"))))
+    for r in df.withColumn("alone", alone).collect():
+        assert r.fps == r.alone
+        assert r.both == [sum((Counter(r.h[a : a + r.width]) & Counter(r.g)).values()) for a in r["at"]]
+
+
+def test_long_items(spark, docs_of):
+    """Items of 20,000 words inside longer documents, one with a repeated stretch; the work grows with the words, not with their square."""
+    words = [f"w{i}" for i in range(20_000)]
+    again = words[:9_000] + words[500:1_500] * 11
+    fill = [f"f{i}" for i in range(20_000)]
+    texts = [" ".join(fill + words + fill), " ".join(words[2_000:]), " ".join(fill + again[:18_500] + fill), " ".join(words[:9_000])]
+    bench = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(again))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, round(r.similarity, 6)) for r in decontaminate.contaminated(docs_of(texts), bench).collect()}
+    want = {(i, r.item_id): first_best(t, r.text) for i, t in enumerate(texts) for r in bench.collect()}
+    assert got == {k: v for k, v in want.items() if v[1] >= 0.75} and set(got) == {(0, 0), (1, 0), (2, 1)}
+
+
 def test_blocks_find_all_within_the_radius(spark):
     rng = random.Random(8)
     blocks = lambda: [rng.randrange(1 << decontaminate.WIDTH) for _ in range(decontaminate.BLOCKS)]
