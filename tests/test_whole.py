@@ -74,6 +74,15 @@ def test_top_edges_by_bounds(spark, parts):
     assert edges.edges_above(clips.limit(0)).count() == 0
 
 
+def test_partners_of_a_source_set(spark):
+    """A source set gets the partners of all pairs, also where it is not among the clips."""
+    clips = awkward(spark)
+    for source in (clips.where("id % 7 = 0"), clips.where("id % 7 = 1").withColumn("id", F.col("id") + 10_000)):
+        got, want = (sorted((r.a_id, r.id, r.score, r["rank"]) for r in df.collect()) for df in (edges.top_edges(clips, 5, 0.4, piece=20, source=source), catalog.compatible(source, clips, 5, 0.4)))
+        assert got == want and len(want) > 200
+    assert edges.top_edges(clips, source=clips.limit(0)).count() == 0
+
+
 def test_bounds_hold(spark):
     """No pair of two cells scores more than their bound."""
     import numpy as np
