@@ -83,6 +83,16 @@ def test_partners_of_a_source_set(spark):
     assert edges.top_edges(clips, source=clips.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("some", [True, False])
+def test_partners_of_a_larger_library(spark, some):
+    """Six times the clips: the pairs that meet grow by less than half of that squared, for some clips and for all."""
+    pairs = []
+    for times in (1, 6):
+        clips = views.samples(spark, "/root/testdata/sf0.01").withColumn("id", F.explode(F.array(*[F.col("id") + 2000 * i for i in range(times)])))
+        pairs.append(edges.edges_and_work(clips, 5, piece=100, **({"source": clips.where("id % 50 = 0")} if some else {}))[1].agg(F.sum("pairs")).first()[0])
+    assert pairs[1] < 18 * pairs[0]
+
+
 def test_bounds_hold(spark):
     """No pair of two cells scores more than their bound."""
     import numpy as np
