@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,22 +27,31 @@ def stem_from_seed(seed: Column) -> Column:
     return F.concat_ws("-", pick(ADJECTIVES, byte(0)), pick(NOUNS, byte(1)))
 
 
+def fnv(seeds: list[bytes]) -> np.ndarray:
+    """64-bit FNV-1a hashes, unsigned: all seeds step by step, those that have ended last."""
+    sizes = np.array([len(s) for s in seeds], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    begin, sizes, data = (np.cumsum(sizes) - sizes)[order], sizes[order], np.frombuffer(b"".join(seeds), np.uint8)
+    h = np.full(len(seeds), 0xCBF29CE484222325, np.uint64)
+    for i in range(int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -i, "left"))  # seeds of more than i bytes
+        h[:n] = (h[:n] ^ data[begin[:n] + i]) * np.uint64(0x100000001B3)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 def stem_fnv(seed: Column) -> Column:
-    """adjective-noun from the 64-bit FNV-1a hash of the seed's bytes, kept as two halves of 32 bits."""
-    code = F.hex(seed.cast("binary"))
-    half = (1 << 32) - 1
-    number = lambda x: F.lit(x).cast("long")
-
-    def step(a: Column, i: Column) -> Column:
-        low = a.low.bitwiseXOR(F.conv(F.substr(code, 2 * i + 1, F.lit(2)), 16, 10).cast("long"))
-        high = a.high * 435 + F.shiftright(low * 435, 32) + F.shiftleft(low.bitwiseAND((1 << 24) - 1), 8)  # times 2^40 + 435
-        return F.struct(high.bitwiseAND(half).alias("high"), (low * 435).bitwiseAND(half).alias("low"))
-
-    start = F.struct(number(0xCBF29CE4).alias("high"), number(0x84222325).alias("low"))
-    places = F.filter(F.sequence(F.lit(0), F.octet_length(seed)), lambda i: i < F.octet_length(seed))
-    n = len(ADJECTIVES)
-    stem = lambda h: F.concat_ws("-", pick(ADJECTIVES, (h.high % n) * ((1 << 32) % n) + h.low % n), pick(NOUNS, F.shiftleft(h.high, 16) + F.shiftright(h.low, 16)))
-    return F.get(F.transform(F.array(F.aggregate(places, start, step)), stem), F.lit(0))
+    """adjective-noun from the 64-bit FNV-1a hash of the seed's bytes; NULL for NULL."""
+
+    def stems(seeds: pd.Series) -> pd.Series:
+        out, known = pd.Series([None] * len(seeds), dtype=object), seeds.notna().to_numpy()
+        h = fnv([s.encode() for s in seeds[known]])
+        first, second = np.array(ADJECTIVES, object)[(h % 12).astype(int)], np.array(NOUNS, object)[((h >> np.uint64(16)) % 12).astype(int)]
+        out[known] = [f"{x}-{y}" for x, y in zip(first, second, strict=True)]
+        return out
+
+    return F.pandas_udf(stems, "string")(seed)
 
 
 def mood_adjective(seed: Column, rms: Column, hz: Column, zcr: Column, dur: Column) -> Column:
