@@ -94,6 +94,28 @@ def test_partners_of_a_larger_library(spark, some):
     assert pairs[1] < 18 * pairs[0]
 
 
+def test_clips_are_done_with_the_first_of_cells(spark):
+    """12,000 clips meet under 800 others each (1,004 when whole first pieces met whole pieces), and get the partners of all pairs."""
+    clips = views.samples(spark, "/root/testdata/sf0.01").withColumn("id", F.explode(F.array(*[F.col("id") + 2000 * i for i in range(6)])))
+    got, work = edges.edges_and_work(clips, 5)
+    assert work.agg(F.sum("pairs")).first()[0] < 12_000 * 800
+    some = "id % 600 = 0"
+    want = {(r.a_id, r.id, r.score, r["rank"]) for r in catalog.compatible(clips.where(some), clips, 5).collect()}
+    assert {(r.a_id, r.id, r.score, r["rank"]) for r in got.where("a_id % 600 = 0").collect()} == want and len(want) == 100
+
+
+def test_units_run_over_batches():
+    """Rows of a unit that come in several batches are one unit."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = {"cell": [1, 1, 1, 2, 2, 2], "piece": [0, 0, 1, 1, 1, 1], "id": [5, 6, 7, 8, 9, 10]}
+    for size in (1, 2, 4, 6):
+        batches = pa.table(rows).to_batches(max_chunksize=size)
+        assert [(u, v["id"].tolist()) for u, v in edges.units_of(iter(batches))] == [((1, 0), [5, 6]), ((1, 1), [7]), ((2, 1), [8, 9, 10])]
+    assert list(edges.units_of(iter([pa.RecordBatch.from_pydict({n: np.zeros(0, np.int64) for n in rows})]))) == []
+
+
 def test_bounds_hold(spark):
     """No pair of two cells scores more than their bound."""
     import numpy as np
