@@ -1,6 +1,8 @@
 import hashlib
 import random
+import re
 import time
+import tracemalloc
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -130,3 +132,65 @@ def test_many_repeated_rows(spark, docs_of):
     got = R.remove_repeats(one.unionByName(null.limit(500)).unionByName(clean)).groupBy("doc_id", F.octet_length("kept").alias("kept"), F.size("removed").alias("spans")).count().collect()
     assert sorted((str(r.doc_id), r.kept, r.spans, r["count"]) for r in got) == [("0", 0, 1, 10_000), ("7", 0, 0, 1), ("8", 3000, 0, 1), ("None", 0, 1, 500)]
     assert time.time() - began < 60
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return peak
+
+
+def test_what_a_python_worker_holds():
+    """8 MB of texts are hashed in under 20 MB, and a unit of 0.75 MB of near copies is indexed in under 48 MB (54 and 64 MB before)."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    texts = rng.integers(97, 123, (2000, 4000)).astype(np.uint8)
+    R.Powers.get(1 << 21)
+    assert peak_mb(lambda: [R.anchors_of(texts.reshape(-1)[lo:hi], *more) for lo, hi, _, *more in R.parts(np.arange(2001) * 4000)]) < 20
+    near = np.repeat(texts[:200, :750], 5, axis=0)
+    near[np.arange(1000), rng.integers(0, 750, 1000)] = 35
+    assert peak_mb(lambda: R.repeated_starts([t.tobytes() for t in near])) < 48
+
+
+def test_statistics_in_steps(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(R, "STEP", 3)
+    rng = random.Random(12)
+    for _ in range(20):
+        raw = bytes(rng.choice(b"\0ab") for _ in range(60)) * 2 + bytes([255])
+        same = lambda a, b: next((k for k in range(len(raw) - max(a, b)) if raw[a + k] != raw[b + k]), len(raw) - max(a, b))
+        assert R.RunIndex(np.frombuffer(raw, np.uint8)).statistics().tolist() == [max(same(i, j) for j in range(len(raw)) if j != i) for i in range(len(raw))]
+
+
+def test_tasks_have_one_python_step_and_small_batches(spark, docs_of):
+    """Where spans are too many to broadcast, a task of the result has one Python worker; a row group of 40 MB of text comes to it in batches of some 4 MB."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        long = prose(random.Random(13), 100)
+        plan = R.remove_repeats(docs_of([long, "x" + long, "short"]))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    most, above = 0, []
+    for line in plan.splitlines():
+        lead = re.match(r"[ :+\-]*", line)[0]
+        name = re.sub(r"^\*?\s?\(\d+\)\s", "", line[len(lead) :])
+        above = above[: next((k for k, (depth, _) in enumerate(above) if depth >= len(lead)), len(above))]
+        steps = 0 if "Exchange" in name.split(" ")[0] else (above[-1][1] if above else 0) + name.startswith(("ArrowEvalPython", "MapInArrow"))
+        above.append((len(lead), steps))
+        most = max(most, steps)
+    assert most == 1
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    texts = spark.range(0, 10_000, 1, 1).select(F.repeat(F.lit("word "), 800).alias("text"))
+    assert texts.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 6e6
