@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from soundframe.functions import text
 from soundframe.operators import catalog, edges, vectors
 from soundframe.plans import queries, views
-from soundframe.plans.all import QUERIES
+from soundframe.plans.all import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,6 +29,15 @@ def test_all_pairs(spark, con):
     assert len(got) > 9000 and sorted(got) == sorted((a, b, round(s, 6)) for a, b, s in want)
 
 
+def test_pairs_between_two_millionths(spark, tmp_path):
+    """Clips of sf0.1 whose scores lie between two millionths (0.6459375, less a last bit) have those of the SQL, bit by bit."""
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.1/part.parquet' WHERE p_partkey IN (1915, 13173, 8947, 11085, 3540, 5508)) TO '{tmp_path}/part.parquet'")
+    c.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    got, want = sorted(map(tuple, QUERIES["compat_pairs"](spark, str(tmp_path)).collect())), sorted(c.sql(SQL["compat_pairs"]).fetchall())
+    assert got == want and (1915, 13173, 0.645938) in got
+
+
 def test_query_sets_above_the_broadcast_bound(spark, monkeypatch):
     few = sorted(map(tuple, QUERIES["compatible_to"](spark, SF).collect()))
     v = views.vectors(spark, SF)
